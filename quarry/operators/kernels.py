@@ -143,3 +143,56 @@ def average_ranks(values: DataFrame, value_col: str, group_cols=(), count_col: s
     r = prefix_below(b, group_cols, "__bucket", [value_col], "cnt", out="below",
                      rows_bound=groups_bound * (len(cuts) + 1))
     return r.withColumn(out, F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).drop("__bucket")
+
+
+def hash_positions(df: DataFrame, seed, key_cols, group_cols=(), out: str = "pos",
+                   n_rows: int | None = None) -> DataFrame:
+    """K1 for a reproducible random order: 0-based position of each row in
+    md5(seed:key) order within its group.
+
+    The md5 text is uniform, so its first hex digits are already balanced
+    buckets in the same order: no quantile pass is needed. ``key_cols`` must
+    identify rows (within a group).
+    """
+    from quarry.functions.exprs import order_key
+    spark = df.sparkSession
+    key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    n = n_rows if n_rows is not None else DEFAULT_ROWS_PER_BUCKET
+    nb = bucket_count(spark, n)
+    digits = max(1, min(4, math.ceil(math.log(max(nb, 2), 16))))
+    d = df.withColumn("__h", order_key(seed, *key_cols)) \
+          .withColumn("__hb", F.conv(F.substring("__h", 1, digits), 16, 10).cast("int"))
+    groups = 1 if not group_cols else 1024
+    r = prefix_below(d, list(group_cols), "__hb", ["__h", *key_cols], F.lit(1),
+                     out=out, rows_bound=groups * 16 ** digits)
+    return r.withColumn(out, F.col(out).cast("long")).drop("__h", "__hb")
+
+
+def order_number(df: DataFrame, col: str) -> Column:
+    """A DOUBLE with the same order as ``col`` (numbers as is, timestamps as
+    microseconds since the epoch, exact below 2^53)."""
+    t = dict(df.dtypes)[col]
+    if t.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if t == "date":
+        return F.unix_date(F.col(col)).cast("double")
+    return F.col(col).cast("double")
+
+
+def ordered_positions(df: DataFrame, order_cols, group_cols=(), out: str = "pos",
+                      n_rows: int | None = None) -> DataFrame:
+    """K1 for an explicit order: 0-based position of each row ordered by
+    ``order_cols`` (the first must be numeric or a timestamp; the rest break
+    ties and must make rows distinct) within its group."""
+    spark = df.sparkSession
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    first = order_cols[0]
+    d = df.withColumn("__o", order_number(df, first))
+    if n_rows is None:
+        n_rows = DEFAULT_ROWS_PER_BUCKET
+    cuts = cut_points(d, ["__o"], bucket_count(spark, n_rows))["__o"]
+    d = bucketize(d, "__o", cuts, "__ob")
+    groups = 1 if not group_cols else 1024
+    r = prefix_below(d, list(group_cols), "__ob", ["__o", *order_cols], F.lit(1), out=out,
+                     rows_bound=groups * (len(cuts) + 1))
+    return r.withColumn(out, F.col(out).cast("long")).drop("__o", "__ob")
