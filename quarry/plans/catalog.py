@@ -60,3 +60,4 @@ def sql_lineitem_scores() -> str:
 
 from quarry.plans import queries_assoc  # noqa: E402,F401
 from quarry.plans import queries_split  # noqa: E402,F401
+from quarry.plans import queries_eval  # noqa: E402,F401
