@@ -104,7 +104,7 @@ def spearman(prep: Prepared, cuts: dict | None = None) -> DataFrame:
 def associate(df: DataFrame, target: str, task: str = "regression", metrics=("pearson", "spearman"),
               inputs=None, topk: int | None = None, mi_neighbors: int = 3, seed: int = 0,
               jitter: bool = True, dcor_sample: int | None = None,
-              prepared: Prepared | None = None) -> tuple[DataFrame, Prepared]:
+              prepared: Prepared | None = None, key: str | None = None) -> tuple[DataFrame, Prepared]:
     """Clean (B1-B6), score every metric, and rank each metric's
     features by |score| (descending, ties by feature name), keeping the top
     ``topk`` per metric when given. Returns the long table
@@ -112,7 +112,7 @@ def associate(df: DataFrame, target: str, task: str = "regression", metrics=("pe
     """
     task = canonical_task(task)
     metrics = canonical_metrics(metrics)
-    prep = prepared or prepare_for_association(df, target, inputs, task)
+    prep = prepared or prepare_for_association(df, target, inputs, task, key=key)
     frame = prep.frame.persist()
     prep.frame = frame
     spark = frame.sparkSession

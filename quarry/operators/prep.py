@@ -114,14 +114,15 @@ def cleaning_counts(raw: DataFrame, cleaned_cols) -> DataFrame:
 
 
 def prepare_for_association(df: DataFrame, target: str, inputs=None,
-                            task: str = "regression", listwise: bool = True) -> Prepared:
+                            task: str = "regression", listwise: bool = True,
+                            key: str | None = None) -> Prepared:
     """B1 + B13 + B3 + B4 + B6: select, code a class target, coerce, drop
     incomplete rows and constant inputs. Returns the frame with the used
     inputs and the target as DOUBLE."""
     if inputs is None:
         inputs = numeric_features(df, target)
-    inputs = [c for c in inputs if c != target]
-    sel = select_existing(df, list(inputs) + [target])
+    inputs = [c for c in inputs if c not in (target, key)]
+    sel = select_existing(df, list(inputs) + [target] + ([key] if key else []))
     if target not in sel.columns:
         raise ValueError(f"target {target!r} not in table")
     inputs = [c for c in inputs if c in sel.columns]
@@ -131,8 +132,9 @@ def prepare_for_association(df: DataFrame, target: str, inputs=None,
     counts = cleaning_counts(coerced, inputs + [target]).first()
     clean = drop_incomplete(coerced, inputs + [target]) if listwise else coerced
     used, skipped = split_constant(clean, inputs)
-    return Prepared(clean.select(*used, target), target, used, skipped,
-                    int(counts["rows_in"]), int(counts["rows_used"]))
+    keep = [*used, target] + ([key] if key else [])
+    return Prepared(clean.select(*keep), target, used, skipped,
+                    int(counts["rows_in"]), int(counts["rows_used"]), {"key": key})
 
 
 # ---------------------------------------------------------------- B8, B9

@@ -58,6 +58,24 @@ def sql_lineitem_scores() -> str:
     return (f"WITH rk AS (SELECT {ranks} FROM lineitem), s AS ({' UNION ALL '.join(unions)})")
 
 
+def sql_digamma(e: str) -> str:
+    """DuckDB twin of functions.exprs.digamma (shift by 6 + asymptotic series)."""
+    x = f"({e})::DOUBLE"
+    z = f"({x} + 6.0)"
+    shift = " + ".join(f"1.0 / ({x} + {i}.0)" for i in range(6))
+    return (f"(ln({z}) - 0.5 / {z} - (1.0 / 12.0) / ({z} * {z}) + (1.0 / 120.0) / ({z} * {z} * {z} * {z})"
+            f" - (1.0 / 252.0) / ({z} * {z} * {z} * {z} * {z} * {z})"
+            f" + (1.0 / 240.0) / ({z} * {z} * {z} * {z} * {z} * {z} * {z} * {z}) - ({shift}))")
+
+
+def sql_jittered(table: str, key: str, col: str, seed, extra: str = "") -> str:
+    """DuckDB twin of mi.scaled_jittered: x / std_pop + 1e-10 max(1, mean|x/std|) u."""
+    return f"""(SELECT t.{key}, {extra} t.{col} / s.sd + 1e-10 * greatest(1, s.ma) *
+  (('0x' || substr(md5('{seed}:{col}:' || t.{key}::VARCHAR), 1, 8))::BIGINT / 4294967296.0 * 2 - 1) AS x
+  FROM {table} t, (SELECT stddev_pop({col}) AS sd, avg(abs({col} / (SELECT stddev_pop({col}) FROM {table}))) AS ma
+  FROM {table}) s)"""
+
+
 from quarry.plans import queries_assoc  # noqa: E402,F401
 from quarry.plans import queries_split  # noqa: E402,F401
 from quarry.plans import queries_eval  # noqa: E402,F401

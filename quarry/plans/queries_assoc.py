@@ -207,3 +207,47 @@ SELECT feature, round(score, 6) + 0.0 AS score FROM (
   UNION ALL SELECT 'l_tax', corr(l_tax, l_extendedprice) FROM lineitem)
 """)(lambda spark, sf: rounded(assoc.associate(load(spark, sf, "lineitem"), LI_TARGET, "r", ["pearson"])[0]
                                .select("feature", "score")))
+
+# ------------------------------------------------------------------ D4
+
+
+def sql_mi_classif(table: str, key: str, col: str, label: str, k: int = 3, seed=0) -> str:
+    """Plain single-node form of D4: window neighbours per class and a range
+    join for the counts."""
+    from quarry.plans.catalog import sql_digamma, sql_jittered
+    j = sql_jittered(table, key, col, seed, extra=f"t.{label} AS lab,")
+    lags = ", ".join([f"lag(x, {i}) OVER o AS p{i}" for i in range(1, k + 1)]
+                     + [f"lead(x, {i}) OVER o AS n{i}" for i in range(1, k + 1)])
+    ds = ", ".join([f"abs(p{i} - x)" for i in range(1, k + 1)] + [f"abs(n{i} - x)" for i in range(1, k + 1)])
+    return f"""SELECT '{col}' AS feature, round(greatest({sql_digamma('max(n)')}
+    + avg({sql_digamma('kk')}) - avg({sql_digamma('nc')}) - avg({sql_digamma('mm')}), 0), 6) + 0.0 AS score
+FROM (WITH j AS {j},
+c AS (SELECT lab, count(*) AS nc FROM j GROUP BY lab),
+p AS (SELECT j.*, nc, least({k}, nc - 1) AS kk FROM j JOIN c USING (lab) WHERE nc > 1),
+w AS (SELECT *, {lags} FROM p WINDOW o AS (PARTITION BY lab ORDER BY x, {key})),
+r AS (SELECT *, list_sort(list_filter([{ds}], lambda v: v IS NOT NULL))[kk] AS r FROM w),
+g AS (SELECT *, greatest(r * (1 - 4e-15) - 4e-15 * abs(x), 0) AS rg FROM r),
+cnt AS (SELECT a.{key}, count(*) AS mm FROM g a JOIN p b
+  ON (a.r > 0 AND b.x > a.x - a.rg AND b.x < a.x + a.rg) OR (a.r <= 0 AND b.x = a.x) GROUP BY a.{key})
+SELECT g.*, cnt.mm, (SELECT count(*) FROM p) AS n FROM g JOIN cnt USING ({key})) q"""
+
+
+def _mi_events(spark, sf):
+    long, _ = assoc.associate(load(spark, sf, "events"), "event_type", "classification", ["mi"],
+                              inputs=["value", "user_id"], key="event_id", seed=0)
+    return rounded(long.select("feature", "score"))
+
+
+register("D4_mi_classif", sql_mi_classif("events", "event_id", "value", "event_type")
+         + " UNION ALL " + sql_mi_classif("events", "event_id", "user_id", "event_type"))(_mi_events)
+
+
+def _mi_quality(spark, sf):
+    d = load(spark, sf, "labels").join(load(spark, sf, "documents"), "doc_id")
+    long, _ = assoc.associate(d, "quality", "classification", ["mi"], inputs=["n_chars"], key="doc_id", seed=0)
+    return rounded(long.select("feature", "score"))
+
+
+register("D4_mi_classif_binary", sql_mi_classif(
+    "(SELECT l.doc_id, l.quality, d.n_chars FROM labels l JOIN documents d USING (doc_id))",
+    "doc_id", "n_chars", "quality"))(_mi_quality)
