@@ -91,7 +91,7 @@ def bounded_broadcast(df: DataFrame, rows_bound: int) -> DataFrame:
     return F.broadcast(df) if rows_bound <= BROADCAST_ROWS else df
 
 
-def prefix_below(df: DataFrame, group_cols, bucket_col: str, order_cols, weight: Column | str,
+def prefix_below(df: DataFrame, group_cols, bucket_col: str, order_cols, weight,
                  out: str = "below", rows_bound: int | None = None) -> DataFrame:
     """K1: for each row, the sum of ``weight`` over rows of its group that
     come strictly before it in ``order_cols`` order.
@@ -99,24 +99,32 @@ def prefix_below(df: DataFrame, group_cols, bucket_col: str, order_cols, weight:
     ``bucket_col`` must be a non-decreasing function of the order (as from
     ``bucketize``), and rows must be distinct on (group, order) -- aggregate
     duplicates first. ``rows_bound`` bounds groups x buckets; it decides
-    whether the offset table is broadcast.
+    whether the offset table is broadcast. ``weight`` may be a list of
+    columns; then ``out`` is a list of output names of the same length.
     """
     group_cols = list(group_cols)
     order_cols = list(order_cols) if not isinstance(order_cols, str) else [order_cols]
-    w = F.col(weight) if isinstance(weight, str) else weight
-    d = df.withColumn("__w", w)
-    totals = d.groupBy(*group_cols, bucket_col).agg(F.sum("__w").alias("__bt"))
+    many = isinstance(weight, (list, tuple))
+    weights = list(weight) if many else [weight]
+    outs = list(out) if many else [out]
+    d = df
+    for i, w in enumerate(weights):
+        d = d.withColumn(f"__w{i}", F.col(w) if isinstance(w, str) else w)
+    wn = [f"__w{i}" for i in range(len(weights))]
+    totals = d.groupBy(*group_cols, bucket_col).agg(*[F.sum(w).alias(f"{w}t") for w in wn])
     over_buckets = Window.partitionBy(*group_cols).orderBy(bucket_col) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, bucket_col,
-                            F.coalesce(F.sum("__bt").over(over_buckets), F.lit(0)).alias("__boff"))
+                            *[F.coalesce(F.sum(f"{w}t").over(over_buckets), F.lit(0)).alias(f"{w}o")
+                              for w in wn])
     if rows_bound is not None:
         offsets = bounded_broadcast(offsets, rows_bound)
     d = d.join(offsets, on=group_cols + [bucket_col], how="inner")
     inside = Window.partitionBy(*group_cols, bucket_col).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumn(out, F.col("__boff") + F.coalesce(F.sum("__w").over(inside), F.lit(0))) \
-            .drop("__w", "__boff")
+    for w, o in zip(wn, outs):
+        d = d.withColumn(o, F.col(f"{w}o") + F.coalesce(F.sum(w).over(inside), F.lit(0)))
+    return d.drop(*wn, *[f"{w}o" for w in wn])
 
 
 def average_ranks(values: DataFrame, value_col: str, group_cols=(), count_col: str | None = None,

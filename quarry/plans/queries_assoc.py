@@ -251,3 +251,30 @@ def _mi_quality(spark, sf):
 register("D4_mi_classif_binary", sql_mi_classif(
     "(SELECT l.doc_id, l.quality, d.n_chars FROM labels l JOIN documents d USING (doc_id))",
     "doc_id", "n_chars", "quality"))(_mi_quality)
+
+# ------------------------------------------------------------------ D5
+
+
+def sql_dcor(src: str, x: str, y: str, name: str) -> str:
+    """Brute-force distance correlation over all pairs (the oracle only)."""
+    return f"""SELECT '{name}' AS feature, round(sqrt(greatest((mab - 2 * mrab + ma * mb)
+  / sqrt((maa - 2 * mra2 + ma * ma) * (mbb - 2 * mrb2 + mb * mb)), 0)), 6) + 0.0 AS score FROM (
+WITH d AS (SELECT row_number() OVER () AS i, {x}::DOUBLE AS x, {y}::DOUBLE AS y FROM {src}),
+p AS (SELECT a.i, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM d a CROSS JOIN d b),
+r AS (SELECT i, avg(dx) AS ra, avg(dy) AS rb, avg(dx * dy) AS rab, avg(dx * dx) AS raa, avg(dy * dy) AS rbb
+  FROM p GROUP BY i)
+SELECT avg(rab) AS mab, avg(ra * rb) AS mrab, avg(ra) AS ma, avg(rb) AS mb, avg(raa) AS maa,
+  avg(ra * ra) AS mra2, avg(rbb) AS mbb, avg(rb * rb) AS mrb2 FROM r) s"""
+
+
+def _dcor_q(table, target, inputs):
+    def q(spark, sf):
+        long, _ = assoc.associate(load(spark, sf, table), target, "regression", ["dcor"], inputs=inputs)
+        return rounded(long.select("feature", "score"))
+    return q
+
+
+register("D5_dcor_events", sql_dcor("events", "user_id", "value", "user_id"))(
+    _dcor_q("events", "value", ["user_id"]))
+register("D5_dcor_orders", sql_dcor("orders", "o_custkey", "o_totalprice", "o_custkey"))(
+    _dcor_q("orders", "o_totalprice", ["o_custkey"]))
