@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.params import canonical_metrics, canonical_task
-from quarry.operators.kernels import bucket_count, bucketize_many, cut_points, prefix_below
+from quarry.operators.kernels import Cached, bucket_count, bucketize_many, cut_points, prefix_below
 from quarry.operators.prep import Prepared, prepare_for_association
 
 SCORE_SCHEMA = "feature string, score double"
@@ -83,21 +83,24 @@ def spearman(prep: Prepared, cuts: dict | None = None) -> DataFrame:
         cuts = cut_points(df, prep.used + [y], bucket_count(spark, n))
     mid = (n + 1) / 2.0
     nf = len(prep.used)
-    b = bucketize_many(df, cuts)
-    ycnt = b.groupBy(F.col(y).alias("y"), F.col(y + "__b").alias("yb")).agg(F.count(F.lit(1)).alias("cnt"))
-    ry = prefix_below(ycnt, [], "yb", ["y"], "cnt", rows_bound=len(cuts[y]) + 1) \
-        .select("y", (F.col("below") + (F.col("cnt") + 1) / 2.0 - mid).alias("ry"))
-    long = unpivot(b, prep.used, keep=[F.col(y).alias("y")], with_buckets=True)
-    triples = long.groupBy("feature", "x", "xb", "y").agg(F.count(F.lit(1)).alias("n"))
-    xcnt = triples.groupBy("feature", "xb", "x").agg(F.sum("n").alias("cnt"))
-    bound = nf * (max(len(v) for v in cuts.values()) + 1)
-    rx = prefix_below(xcnt, ["feature"], "xb", ["x"], "cnt", rows_bound=bound) \
-        .select("feature", "x", (F.col("below") + (F.col("cnt") + 1) / 2.0 - mid).alias("rx"))
-    j = triples.join(rx, ["feature", "x"]).join(ry, "y")
-    sxy = F.sum(F.col("n") * F.col("rx") * F.col("ry"))
-    sxx = F.sum(F.col("n") * F.col("rx") * F.col("rx"))
-    syy = F.sum(F.col("n") * F.col("ry") * F.col("ry"))
-    return j.groupBy("feature").agg(F.try_divide(sxy, F.sqrt(sxx * syy)).alias("score"))
+    with Cached() as keep:
+        b = bucketize_many(df, cuts)
+        ycnt = keep(b.groupBy(F.col(y).alias("y"), F.col(y + "__b").alias("yb"))
+                    .agg(F.count(F.lit(1)).alias("cnt")))
+        ry = prefix_below(ycnt, [], "yb", ["y"], "cnt", rows_bound=len(cuts[y]) + 1) \
+            .select("y", (F.col("below") + (F.col("cnt") + 1) / 2.0 - mid).alias("ry"))
+        long = unpivot(b, prep.used, keep=[F.col(y).alias("y")], with_buckets=True)
+        triples = keep(long.groupBy("feature", "x", "xb", "y").agg(F.count(F.lit(1)).alias("n")))
+        xcnt = keep(triples.groupBy("feature", "xb", "x").agg(F.sum("n").alias("cnt")))
+        bound = nf * (max(len(v) for v in cuts.values()) + 1)
+        rx = prefix_below(xcnt, ["feature"], "xb", ["x"], "cnt", rows_bound=bound) \
+            .select("feature", "x", (F.col("below") + (F.col("cnt") + 1) / 2.0 - mid).alias("rx"))
+        j = triples.join(rx, ["feature", "x"]).join(ry, "y")
+        sxy = F.sum(F.col("n") * F.col("rx") * F.col("ry"))
+        sxx = F.sum(F.col("n") * F.col("rx") * F.col("rx"))
+        syy = F.sum(F.col("n") * F.col("ry") * F.col("ry"))
+        rows = j.groupBy("feature").agg(F.try_divide(sxy, F.sqrt(sxx * syy)).alias("score")).collect()
+    return spark.createDataFrame([(r["feature"], r["score"]) for r in rows], SCORE_SCHEMA)
 
 
 # ---------------------------------------------------------------- D6, D10

@@ -23,6 +23,33 @@ DEFAULT_ROWS_PER_BUCKET = 2_000_000
 BROADCAST_ROWS = 2_000_000
 
 
+class Cached:
+    """Intermediates that are read more than once (K1 reads its input for the
+    bucket totals and again for the join back) are persisted here, memory
+    first and spilling to disk, and released together when the small
+    result has been computed."""
+
+    def __init__(self):
+        self.frames = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.frames.append(df)
+        return df
+
+    def release(self):
+        for f in self.frames:
+            f.unpersist()
+        self.frames = []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc):
+        self.release()
+
+
 def rows_per_bucket(spark) -> int:
     return int(spark.conf.get("spark.quarry.rowsPerBucket", str(DEFAULT_ROWS_PER_BUCKET)))
 

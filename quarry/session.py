@@ -22,7 +22,7 @@ DEFAULT_CONF = {
 
 
 def get_spark(master: str | None = None, partitions: int | None = None,
-              app: str = "quarry") -> SparkSession:
+              app: str = "quarry", driver_memory: str = "16g") -> SparkSession:
     """Build (or reuse) a session. On a cluster, pass nothing and let
     spark-submit supply master and resources."""
     b = SparkSession.builder.appName(app)
@@ -32,6 +32,9 @@ def get_spark(master: str | None = None, partitions: int | None = None,
         b = b.config(k, v)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the whole cluster; give it room
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
