@@ -80,3 +80,4 @@ from quarry.plans import queries_assoc  # noqa: E402,F401
 from quarry.plans import queries_split  # noqa: E402,F401
 from quarry.plans import queries_eval  # noqa: E402,F401
 from quarry.plans import queries_models  # noqa: E402,F401
+from quarry.plans import queries_explain  # noqa: E402,F401
