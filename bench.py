@@ -54,11 +54,17 @@ def main():
         force(split.split_time(ev, ["ts", "event_id"], 0.2))
 
     def q_train_linear():
-        li = load(spark, sf_dir, "lineitem").withColumn(
-            "id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-        li = li.dropDuplicates(["id"])
-        r = train_model(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"],
-                        "regression", "ridge", key="id", seed=42)
+        # order-level features derived from lineitem (l_orderkey is a unique key),
+        # with the order priority as a categorical input
+        li = load(spark, sf_dir, "lineitem")
+        feats = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"),
+                                             F.sum("l_quantity").alias("sum_qty"),
+                                             F.avg("l_discount").alias("avg_disc"),
+                                             F.sum("l_extendedprice").alias("sum_price"))
+        orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+        d = feats.join(orders, "l_orderkey")
+        r = train_model(d, "sum_price", ["n_lines", "sum_qty", "avg_disc", "o_orderpriority"],
+                        "regression", "ridge", key="l_orderkey", seed=42)
         r.metrics.collect()
         r.cv.collect()
 

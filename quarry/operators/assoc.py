@@ -88,18 +88,23 @@ def spearman(prep: Prepared, cuts: dict | None = None) -> DataFrame:
         ycnt = keep(b.groupBy(F.col(y).alias("y"), F.col(y + "__b").alias("yb"))
                     .agg(F.count(F.lit(1)).alias("cnt")))
         ry = prefix_below(ycnt, [], "yb", ["y"], "cnt", rows_bound=len(cuts[y]) + 1) \
-            .select("y", (F.col("below") + (F.col("cnt") + 1) / 2.0 - mid).alias("ry"))
-        long = unpivot(b, prep.used, keep=[F.col(y).alias("y")], with_buckets=True)
-        triples = keep(long.groupBy("feature", "x", "xb", "y").agg(F.count(F.lit(1)).alias("n")))
-        xcnt = keep(triples.groupBy("feature", "xb", "x").agg(F.sum("n").alias("cnt")))
+            .select("y", (F.col("below") + (F.col("cnt") + 1) / 2.0 - mid).alias("ry"), "cnt")
+        syy = ry.agg(F.sum(F.col("cnt") * F.col("ry") * F.col("ry"))).first()[0]
+        # each row gets its centred y rank once (a value held by many rows is
+        # one row of ``ry``; AQE splits a skewed join key on the row side)
+        with_ry = b.join(ry.select(F.col("y").alias(y), "ry"), y)
+        long = unpivot(with_ry, prep.used, keep=["ry"], with_buckets=True)
+        # per (feature, x): multiplicity and the sum of centred y ranks, in one
+        # pre-aggregated shuffle
+        g = keep(long.groupBy("feature", "xb", "x").agg(F.count(F.lit(1)).alias("cnt"),
+                                                        F.sum("ry").alias("sry")))
         bound = nf * (max(len(v) for v in cuts.values()) + 1)
-        rx = prefix_below(xcnt, ["feature"], "xb", ["x"], "cnt", rows_bound=bound) \
-            .select("feature", "x", (F.col("below") + (F.col("cnt") + 1) / 2.0 - mid).alias("rx"))
-        j = triples.join(rx, ["feature", "x"]).join(ry, "y")
-        sxy = F.sum(F.col("n") * F.col("rx") * F.col("ry"))
-        sxx = F.sum(F.col("n") * F.col("rx") * F.col("rx"))
-        syy = F.sum(F.col("n") * F.col("ry") * F.col("ry"))
-        rows = j.groupBy("feature").agg(F.try_divide(sxy, F.sqrt(sxx * syy)).alias("score")).collect()
+        rx = prefix_below(g, ["feature"], "xb", ["x"], "cnt", rows_bound=bound) \
+            .withColumn("rx", F.col("below") + (F.col("cnt") + 1) / 2.0 - mid)
+        rows = rx.groupBy("feature").agg(
+            F.try_divide(F.sum(F.col("rx") * F.col("sry")),
+                         F.sqrt(F.sum(F.col("cnt") * F.col("rx") * F.col("rx")) * F.lit(syy))).alias("score")
+        ).collect()
     return spark.createDataFrame([(r["feature"], r["score"]) for r in rows], SCORE_SCHEMA)
 
 

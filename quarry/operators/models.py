@@ -122,6 +122,12 @@ class FittedModel:
         return names
 
 
+def fit_encoder(df: DataFrame, inputs) -> PipelineModel:
+    """The feature stages alone (index, one-hot, assemble to ``features``)."""
+    enc, _ = encoder_stages(df, inputs, scale=False, out="features")
+    return Pipeline(stages=list(enc)).fit(df)
+
+
 def _label_stats(df: DataFrame, label: str):
     r = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
     return int(r["n"]), float(r["s"] or 0.0)
@@ -185,7 +191,7 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
 
 
 def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str = "linear",
-        profile: str = "core", seed: int = 42, **overrides) -> FittedModel:
+        profile: str = "core", seed: int = 42, encoder=None, **overrides) -> FittedModel:
     """Fit the pipeline for (task, kind, profile) on ``df`` (rows with a
     missing input or target are dropped first). Returns a FittedModel."""
     task = canonical_task(task)
@@ -218,9 +224,18 @@ def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str
         raise NotImplementedError(
             "knn needs a nearest-neighbour index; exact search by all pairs is not built (see README)")
     scale = p.get("scale", kind in SCALED_KINDS)
-    enc, _ = encoder_stages(data, inputs, scale=False, out="__enc" if (scale or kind == "svr") else "features")
-    stages = list(enc)
-    prefix = Pipeline(stages=stages).fit(data)
+    out_col = "__enc" if (scale or kind == "svr") else "features"
+    if encoder is not None:
+        # encoder fitted once on the whole training split (the reference one-hot
+        # encodes before cross-validation); only its output column is renamed
+        prefix = encoder
+        if out_col != "features":
+            from pyspark.ml.feature import SQLTransformer
+            prefix = PipelineModel(stages=list(encoder.stages) + [SQLTransformer(
+                statement=f"SELECT *, features AS {out_col} FROM __THIS__")])
+    else:
+        enc, _ = encoder_stages(data, inputs, scale=False, out=out_col)
+        prefix = Pipeline(stages=list(enc)).fit(data)
     fitted = list(prefix.stages)
     cur = prefix.transform(data)
     if scale or kind == "svr":

@@ -64,9 +64,12 @@ def cross_validate(train: DataFrame, target: str, inputs, task: str, kind: str,
     if k is None:
         k = sp.stratified_fold_count(train, target) if label else 5
     folds = sp.kfold(train, k, seed, key, label=label).persist()
+    from quarry.operators.models import fit_encoder
+    enc = fit_encoder(train.dropna(how="any", subset=[*inputs, target]), inputs)
     per = []
     for f in range(k):
-        m = fit(folds.where(F.col("fold") != f), target, inputs, task, kind, profile, seed, **params)
+        m = fit(folds.where(F.col("fold") != f), target, inputs, task, kind, profile, seed, encoder=enc,
+                **params)
         pred = _pred_frame(m, folds.where(F.col("fold") == f)).withColumn("fold", F.lit(f))
         per.append(metrics_table(m, pred, by="fold"))
     allf = per[0]
