@@ -150,5 +150,6 @@ def distance_correlation(prep, sample: int | None = None, seed=0, key: str | Non
         if k is None:
             raise ValueError("a sample needs a key column")
         frame = sample_rows(frame, sample, seed, k)
-    rows = [(f, dcor_pair(frame, f, prep.target)) for f in prep.used]
+    from quarry.session import run_parallel
+    rows = run_parallel([lambda f=f: (f, dcor_pair(frame, f, prep.target)) for f in prep.used])
     return spark.createDataFrame(rows, "feature string, score double")

@@ -144,14 +144,15 @@ def mutual_information(prep, task: str, k: int = 3, seed=0, jitter: bool = True,
         frame = frame.withColumn("__rowid", F.monotonically_increasing_id())
         key = "__rowid"
     kk = min(k, max(1, prep.rows_used - 1))
-    parts = []
-    for f in prep.used:
+    from quarry.session import run_parallel
+
+    def one(f):
         if task == "classification":
-            parts.append(mi_classif_feature(frame, f, prep.target, key, kk, seed, jitter))
+            r = mi_classif_feature(frame, f, prep.target, key, kk, seed, jitter).first()
         else:
             from quarry.operators.mi_reg import mi_regression_feature
-            parts.append(mi_regression_feature(frame, f, prep.target, key, kk, seed, jitter))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            r = mi_regression_feature(frame, f, prep.target, key, kk, seed, jitter).first()
+        return (f, r["score"])
+
+    rows = run_parallel([lambda f=f: one(f) for f in prep.used])
+    return spark.createDataFrame(rows, "feature string, score double")

@@ -56,7 +56,7 @@ def metrics_table(fitted: FittedModel, pred: DataFrame, by="split") -> DataFrame
 
 
 def cross_validate(train: DataFrame, target: str, inputs, task: str, kind: str, profile: str,
-                   seed: int, key: str, k: int | None = None, **params) -> DataFrame:
+                   seed: int, key: str, k: int | None = None, parallelism: int = 4, **params) -> DataFrame:
     """k folds (stratified for classes, k = clamp(smallest class, 2, 5));
     one fit per fold; mean and population std of r2/mae or accuracy/f1."""
     task = canonical_task(task)
@@ -66,15 +66,17 @@ def cross_validate(train: DataFrame, target: str, inputs, task: str, kind: str,
     folds = sp.kfold(train, k, seed, key, label=label).persist()
     from quarry.operators.models import fit_encoder
     enc = fit_encoder(train.dropna(how="any", subset=[*inputs, target]), inputs)
-    per = []
-    for f in range(k):
+    from quarry.session import run_parallel
+
+    def one(f):
         m = fit(folds.where(F.col("fold") != f), target, inputs, task, kind, profile, seed, encoder=enc,
                 **params)
         pred = _pred_frame(m, folds.where(F.col("fold") == f)).withColumn("fold", F.lit(f))
-        per.append(metrics_table(m, pred, by="fold"))
-    allf = per[0]
-    for p in per[1:]:
-        allf = allf.unionByName(p, allowMissingColumns=True)
+        t = metrics_table(m, pred, by="fold")
+        return t.schema, t.collect()
+
+    parts = run_parallel([lambda f=f: one(f) for f in range(k)], parallelism)
+    allf = train.sparkSession.createDataFrame([r for _, rows in parts for r in rows], parts[0][0])
     cols = ["r2", "mae"] if task == "regression" else ["accuracy", "f1"]
     out = ev.cv_summary(allf, cols)
     folds.unpersist()

@@ -70,3 +70,16 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+
+
+def run_parallel(fns, max_workers: int = 4):
+    """Run independent Spark jobs from a few driver threads (as
+    CrossValidator's ``parallelism`` does): the scheduler interleaves their
+    tasks, so small stages of one job fill cores idle in another. Results
+    come back in input order."""
+    fns = list(fns)
+    if len(fns) <= 1 or max_workers <= 1:
+        return [f() for f in fns]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(fns))) as ex:
+        return list(ex.map(lambda f: f(), fns))
