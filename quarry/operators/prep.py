@@ -212,8 +212,8 @@ def string_columns(df: DataFrame, cols) -> list[str]:
 
 def encoder_stages(df: DataFrame, inputs, scale: bool = False, out: str = "features"):
     """B10/B11 as pipeline stages: StringIndexer (alphabetical, unseen and
-    null kept) + OneHotEncoder; a kept index (unseen / null) is dropped by
-    dropLast, so it encodes as all zeros, which is what aligning dummies to
+    null kept, as the last index) + OneHotEncoder with dropLast, so unseen and
+    null categories encode as all zeros, which is what aligning dummies to
     the trained columns gives. Numeric inputs pass through as DOUBLE.
     Returns (stages, assembled input names)."""
     from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -225,8 +225,9 @@ def encoder_stages(df: DataFrame, inputs, scale: bool = False, out: str = "featu
         oh_out = [f"__oh_{c}" for c in cats]
         stages.append(StringIndexer(inputCols=cats, outputCols=idx_out,
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx_out, outputCols=oh_out,
-                                    dropLast=True, handleInvalid="keep"))
+        # the indexer's "unknown" index is its last category, so dropLast turns
+        # unseen and NULL categories into the all-zero vector
+        stages.append(OneHotEncoder(inputCols=idx_out, outputCols=oh_out, dropLast=True))
     for c in inputs:
         assembled.append(f"__oh_{c}" if c in cats else c)
     vec = out if not scale else "__raw_features"

@@ -239,3 +239,90 @@ SELECT feature, round(max(score) FILTER (WHERE metric = 'pearson'), 6) + 0.0 AS
   round(max(score) FILTER (WHERE metric = 'spearman'), 6) + 0.0 AS spearman
 FROM s GROUP BY feature
 """)(_scores_roundtrip)
+
+
+# ------------------------------------------------------------------ A4, A5, A8
+def _parity_roundtrip(spark, sf):
+    r = _train_linear(spark, sf)
+    path = sinks.scratch_path(spark, "parity")
+    sinks.write_parity(r.parity, path)
+    back = spark.read.parquet(f"{path}/parity")
+    return back.select("split", F.round("actual", 4).alias("actual"), F.round("predicted", 4).alias("predicted"))
+
+
+register("A4_write_parity", _PRED_SQL + """
+SELECT s.split, round(s.p_retailprice, 4) AS actual, round(c.a + c.b * s.p_size, 4) AS predicted FROM s, c
+""")(_parity_roundtrip)
+
+
+def _metrics_roundtrip(spark, sf):
+    r = _train_linear(spark, sf)
+    path = sinks.scratch_path(spark, "metrics")
+    sinks.write_metrics(r.metrics, path)
+    back = spark.read.json(f"{path}/metrics")
+    return rounded(back.select("split", "r2", "rmse", "mae", "n"))
+
+
+register("A5_write_metrics", _METRICS_SQL)(_metrics_roundtrip)
+
+
+def _pred_roundtrip(spark, sf):
+    m, d = _scored(spark, sf)
+    path = sinks.scratch_path(spark, "pred")
+    pred = m.transform(d.select("p_partkey", "p_size"))
+    sinks.write_predictions(pred, path, run_id="run1")
+    back = spark.read.parquet(path)
+    return back.select("p_partkey", F.round("p_retailprice_pred", 4).alias("p_retailprice_pred"), "run_id")
+
+
+register("A8_write_predictions", _PRED_SQL + """
+SELECT p.p_partkey, round(c.a + c.b * p.p_size, 4) AS p_retailprice_pred, 'run1' AS run_id FROM part p, c
+""")(_pred_roundtrip)
+
+
+# ------------------------------------------------------------------ B8, B11, B12
+def _feature_spec(spark, sf):
+    from quarry.operators.prep import feature_spec
+    li = load(spark, sf, "lineitem")
+    inputs, target, _ = feature_spec(li.columns, "auto_inputs")
+    inputs, target, _ = feature_spec(li.columns, "set_target_direct", inputs, "l_extendedprice")
+    inputs, target, sel = feature_spec(li.columns, "remove_inputs", inputs, target,
+                                       selected=["l_shipdate", "l_returnflag", "l_linestatus"])
+    return li.select(*inputs, target)
+
+
+register("B8_feature_spec", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem
+""")(_feature_spec)
+
+
+def _align(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    from quarry.operators.models import fit_encoder
+    cu = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    enc = fit_encoder(cu.where(F.col("c_mktsegment") != "MACHINERY"), ["c_mktsegment"])
+    arr = vector_to_array(F.col("features"))
+    return enc.transform(cu).select("c_custkey", (F.array_position(arr, 1.0) - 1).cast("long").alias("slot"),
+                                    F.size(arr).alias("width"))
+
+
+register("B11_align_to_features", """
+WITH k AS (SELECT c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS r
+  FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment <> 'MACHINERY'))
+SELECT c.c_custkey, coalesce(k.r, -1)::BIGINT AS slot, (SELECT count(*) FROM k)::INTEGER AS width
+FROM customer c LEFT JOIN k USING (c_mktsegment)
+""")(_align)
+
+
+def _union_features(spark, sf):
+    tr = _part_split(spark, sf).where("split = 'train'")
+    m = models.fit(tr, "p_retailprice", ["p_size", "p_type"], "regression", "linear")
+    names = m.feature_names()
+    return spark.createDataFrame(list(enumerate(names)), "slot long, feature string")
+
+
+register("B12_union_features", "WITH " + PART_SPLIT + """
+SELECT 0::BIGINT AS slot, 'p_size' AS feature
+UNION ALL SELECT row_number() OVER (ORDER BY p_type), 'p_type=' || p_type
+FROM (SELECT DISTINCT p_type FROM s WHERE split = 'train')
+""")(_union_features)
