@@ -45,10 +45,11 @@ def scaled_jittered(df: DataFrame, x: str, key: str, seed, jitter: bool, tag: st
     return df.withColumn("__x", xs + F.lit(amp) * unit_noise(seed, F.lit(tag), key))
 
 
-def sorted_neighbours(d: DataFrame, group: str, k: int, cuts) -> DataFrame:
+def sorted_neighbours(d: DataFrame, group: str, k: int, cuts, carry=()) -> DataFrame:
     """Adds ``nb_1..nb_2k``: the values of the k previous and k next rows in
     __x order within ``group`` (NULL where none), exactly, without a
-    single-task window per group.
+    single-task window per group. For every column c in ``carry`` the
+    neighbours' values come as ``c_nb_1..c_nb_2k``.
 
     A row r1-th from its bucket's start has its j-th predecessor inside the
     bucket when j < r1; otherwise the predecessor lies in an earlier bucket
@@ -61,18 +62,24 @@ def sorted_neighbours(d: DataFrame, group: str, k: int, cuts) -> DataFrame:
     wb = Window.partitionBy(group, "__b").orderBy("__x", "__key")
     b = b.withColumn("__r1", F.row_number().over(wb)) \
          .withColumn("__r2", F.count(F.lit(1)).over(Window.partitionBy(group, "__b")) - F.col("__r1") + 1)
+    cols = ["__x", *carry]
     for j in range(1, k + 1):
-        b = b.withColumn(f"__p{j}", F.lag("__x", j).over(wb)).withColumn(f"__n{j}", F.lead("__x", j).over(wb))
+        for c in cols:
+            b = b.withColumn(f"__p{j}_{c}", F.lag(c, j).over(wb)).withColumn(f"__n{j}_{c}", F.lead(c, j).over(wb))
+
+    def name(c, j):
+        return f"nb_{j}" if c == "__x" else f"{c}_nb_{j}"
+
     edge = (F.col("__r1") <= k) | (F.col("__r2") <= k)
     keep = [c for c in d.columns]
-    inner = b.where(~edge).select(*keep, *[F.col(f"__p{j}").alias(f"nb_{j}") for j in range(1, k + 1)],
-                                  *[F.col(f"__n{j}").alias(f"nb_{k + j}") for j in range(1, k + 1)])
+    inner = b.where(~edge).select(*keep, *[F.col(f"__p{j}_{c}").alias(name(c, j)) for j in range(1, k + 1) for c in cols],
+                                  *[F.col(f"__n{j}_{c}").alias(name(c, k + j)) for j in range(1, k + 1) for c in cols])
     we = Window.partitionBy(group).orderBy("__b", "__x", "__key")
     e = b.where(edge)
-    prevs = [F.when(F.lit(j) < F.col("__r1"), F.col(f"__p{j}")).otherwise(F.lag("__x", j).over(we)).alias(f"nb_{j}")
-             for j in range(1, k + 1)]
-    nexts = [F.when(F.lit(j) < F.col("__r2"), F.col(f"__n{j}")).otherwise(F.lead("__x", j).over(we))
-             .alias(f"nb_{k + j}") for j in range(1, k + 1)]
+    prevs = [F.when(F.lit(j) < F.col("__r1"), F.col(f"__p{j}_{c}")).otherwise(F.lag(c, j).over(we)).alias(name(c, j))
+             for j in range(1, k + 1) for c in cols]
+    nexts = [F.when(F.lit(j) < F.col("__r2"), F.col(f"__n{j}_{c}")).otherwise(F.lead(c, j).over(we))
+             .alias(name(c, k + j)) for j in range(1, k + 1) for c in cols]
     edges = e.select(*keep, *prevs, *nexts)
     return inner.unionByName(edges)
 

@@ -278,3 +278,49 @@ register("D5_dcor_events", sql_dcor("events", "user_id", "value", "user_id"))(
     _dcor_q("events", "value", ["user_id"]))
 register("D5_dcor_orders", sql_dcor("orders", "o_custkey", "o_totalprice", "o_custkey"))(
     _dcor_q("orders", "o_totalprice", ["o_custkey"]))
+
+# ------------------------------------------------------------------ D3
+
+
+def sql_mi_regression(src: str, key: str, x: str, y: str, k: int = 3, seed=0) -> str:
+    """Brute-force KSG estimate over all pairs (the oracle only)."""
+    from quarry.plans.catalog import sql_digamma, sql_jittered
+    g = "4e-15"
+
+    def strict(col):
+        return (f"(SELECT a.{key}, count(*) - 1 AS c FROM e a JOIN e b ON "
+                f"(a.eps > 0 AND b.{col} > a.{col} - greatest(a.eps * (1 - {g}) - {g} * abs(a.{col}), 0) "
+                f"AND b.{col} < a.{col} + greatest(a.eps * (1 - {g}) - {g} * abs(a.{col}), 0)) "
+                f"OR (a.eps <= 0 AND b.{col} = a.{col}) GROUP BY a.{key})")
+    return f"""SELECT '{x}' AS feature, round(greatest({sql_digamma('max(n)')} + {sql_digamma(str(k))}
+    - avg({sql_digamma('nx + 1')} + {sql_digamma('ny + 1')}), 0), 6) + 0.0 AS score FROM (
+WITH jx AS {sql_jittered(src, key, x, seed)}, jy AS {sql_jittered(src, key, y, seed)},
+p AS (SELECT jx.{key}, jx.x AS x, jy.x AS y FROM jx JOIN jy USING ({key})),
+pr AS (SELECT a.{key}, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d FROM p a JOIN p b ON a.{key} <> b.{key}),
+kk AS (SELECT {key}, list_sort(min(d, {k}))[{k}] AS eps FROM pr GROUP BY {key}),
+e AS (SELECT p.*, kk.eps FROM p JOIN kk USING ({key})),
+cx AS {strict('x')}, cy AS {strict('y')}
+SELECT cx.c AS nx, cy.c AS ny, (SELECT count(*) FROM p) AS n FROM cx JOIN cy USING ({key})) q"""
+
+
+_OF_SRC = """(SELECT l_orderkey, count(*) AS n_lines, sum(l_extendedprice) AS sum_price
+  FROM lineitem GROUP BY l_orderkey)"""
+
+
+def _mi_reg_orders(spark, sf):
+    li = load(spark, sf, "lineitem")
+    of = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_extendedprice").alias("sum_price"))
+    long, _ = assoc.associate(of, "sum_price", "regression", ["mi"], inputs=["n_lines"], key="l_orderkey", seed=0)
+    return rounded(long.select("feature", "score"))
+
+
+register("D3_mi_regression", sql_mi_regression(_OF_SRC, "l_orderkey", "n_lines", "sum_price"))(_mi_reg_orders)
+
+
+def _mi_reg_events(spark, sf):
+    long, _ = assoc.associate(load(spark, sf, "events"), "value", "regression", ["mi"], inputs=["user_id"],
+                              key="event_id", seed=0)
+    return rounded(long.select("feature", "score"))
+
+
+register("D3_mi_regression_events", sql_mi_regression("events", "event_id", "user_id", "value"))(_mi_reg_events)
