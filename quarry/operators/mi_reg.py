@@ -34,6 +34,7 @@ from quarry.operators.kernels import bucket_count, bucketize, cut_points, ordere
 from quarry.operators.mi import RADIUS_GUARD, range_counts, scaled_jittered, sorted_neighbours
 
 CELL = 16
+WIDEN = 1e-9
 
 
 def _strict_counts(d: DataFrame, rows: DataFrame, col: str, radius: str, cuts) -> DataFrame:
@@ -70,6 +71,9 @@ def knn_radius(d: DataFrame, k: int, n: int) -> DataFrame:
     kth = F.element_at(F.array_sort(F.filter(ds, lambda v: v.isNotNull())), k)
     bound = nb.select("__key", kth.alias("__ub"))
     q = p.join(bound, "__key").withColumn("__ub", F.coalesce("__ub", F.lit(float("inf"))))
+    # the square only has to contain the neighbours: widen it outward so that
+    # one lying exactly on its edge is never lost to rounding of x +/- ub
+    q = q.withColumn("__ub", F.col("__ub") + F.lit(WIDEN) * (F.col("__ub") + F.abs("__x") + F.abs("__y")))
     # 3. strips and cells overlapped by the square; explode and join
     q = bucketize(q.withColumn("__xl", F.col("__x") - F.col("__ub")), "__xl", xcuts, "__s_lo")
     q = bucketize(q.withColumn("__xh", F.col("__x") + F.col("__ub")), "__xh", xcuts, "__s_hi")

@@ -128,6 +128,27 @@ def fit_encoder(df: DataFrame, inputs) -> PipelineModel:
     return Pipeline(stages=list(enc)).fit(df)
 
 
+class KnnFitted(FittedModel):
+    """FittedModel of the exact kNN models: the feature pipeline plus the
+    standardised training rows; prediction joins back on the key."""
+
+    def __init__(self, *args, knn=None, **kw):
+        super().__init__(*args, **kw)
+        self.knn = knn
+
+    def transform(self, df: DataFrame, keep_index: bool = False) -> DataFrame:
+        key = self.params["key"]
+        pred = self.knn.predict(df, key)
+        if self.task == "classification":
+            lab = F.element_at(F.array(*[F.lit(v) for v in self.labels]), F.col("prediction").cast("int") + 1)
+            if self.label_type and self.label_type != "string":
+                lab = lab.cast(self.label_type)
+            pred = pred.select(key, lab.alias(self.pred_col))
+        else:
+            pred = pred.withColumnRenamed("prediction", self.pred_col)
+        return df.join(pred, key, "left").select(*df.columns, self.pred_col)
+
+
 def _label_stats(df: DataFrame, label: str):
     r = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
     return int(r["n"]), float(r["s"] or 0.0)
@@ -221,8 +242,13 @@ def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str
         data = data.withColumn("label", F.col(target).cast("double"))
         n, sigma = _label_stats(data, "label")
     if kind == "knn":
-        raise NotImplementedError(
-            "knn needs a nearest-neighbour index; exact search by all pairs is not built (see README)")
+        key = p.get("key")
+        if key is None:
+            raise ValueError("knn needs key=<unique row key> (neighbour ties break by it)")
+        from quarry.operators.knn import fit_knn
+        km = fit_knn(data, inputs, task, int(p["k"]), key)
+        return KnnFitted(km.features, task, kind, target, list(inputs), labels, ltype,
+                         dict(p, profile=profile, seed=seed), {c: types[c] for c in inputs}, knn=km)
     scale = p.get("scale", kind in SCALED_KINDS)
     out_col = "__enc" if (scale or kind == "svr") else "features"
     if encoder is not None:

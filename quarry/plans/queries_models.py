@@ -326,3 +326,54 @@ SELECT 0::BIGINT AS slot, 'p_size' AS feature
 UNION ALL SELECT row_number() OVER (ORDER BY p_type), 'p_type=' || p_type
 FROM (SELECT DISTINCT p_type FROM s WHERE split = 'train')
 """)(_union_features)
+
+
+# ------------------------------------------------------------------ E9, E15
+_EV_SPLIT = """s AS (SELECT e.*, epoch_us(ts) / 1e6 AS ts_s,
+  CASE WHEN pos < ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || event_id::VARCHAR), event_id) - 1 AS pos,
+  count(*) OVER () AS n FROM events) e)"""
+
+
+def _knn_sql(x1: str, x2: str, label: str, out: str) -> str:
+    return "WITH " + _EV_SPLIT + f""",
+tr AS (SELECT event_id AS rid, {label} AS label, {x1}::DOUBLE AS a, {x2}::DOUBLE AS b FROM s WHERE split = 'train'),
+st AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM tr),
+te AS (SELECT event_id AS qid, {x1}::DOUBLE AS a, {x2}::DOUBLE AS b FROM s WHERE split = 'test'),
+pr AS (SELECT te.qid, tr.rid, tr.label, sqrt(((te.a - st.ma) / st.sa - (tr.a - st.ma) / st.sa) ^ 2
+  + ((te.b - st.mb) / st.sb - (tr.b - st.mb) / st.sb) ^ 2) AS d FROM te, tr, st),
+nn AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY d, rid) AS r FROM pr)
+"""
+
+
+def _events_ts(spark, sf):
+    ev = load(spark, sf, "events")
+    ev = ev.withColumn("ts_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return split.split_random(ev, 0.2, 42, "event_id")
+
+
+def _knn_reg(spark, sf):
+    s = _events_ts(spark, sf)
+    m = models.fit(s.where("split = 'train'"), "value", ["ts_s", "user_id"], "regression", "knn", key="event_id")
+    return rounded(m.transform(s.where("split = 'test'").select("event_id", "ts_s", "user_id"))
+                   .select("event_id", "value_pred"))
+
+
+register("E9_knn", _knn_sql("ts_s", "user_id", "value", "value_pred") + """
+SELECT qid AS event_id, round(avg(label), 6) + 0.0 AS value_pred FROM nn WHERE r <= 5 GROUP BY qid
+""")(_knn_reg)
+
+
+def _knn_clf(spark, sf):
+    s = _events_ts(spark, sf)
+    m = models.fit(s.where("split = 'train'"), "event_type", ["value", "ts_s"], "classification", "knn",
+                   key="event_id")
+    return m.transform(s.where("split = 'test'").select("event_id", "value", "ts_s")) \
+        .select("event_id", "event_type_pred")
+
+
+register("E15_knn_clf", _knn_sql("value", "ts_s", "event_type", "event_type_pred") + """,
+v AS (SELECT qid, label, count(*) AS c FROM nn WHERE r <= 5 GROUP BY ALL)
+SELECT qid AS event_id, label AS event_type_pred FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, label) AS rr FROM v) WHERE rr = 1
+""")(_knn_clf)

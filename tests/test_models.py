@@ -89,3 +89,21 @@ def test_param_normalisers():
     with pytest.raises(ValueError):
         canonical_model("c", "lasso")
     assert resolve_seed("  7 ") == 7 and resolve_seed("bad") == 42
+
+
+def test_knn_regression_matches_brute_force(spark, events):
+    from quarry.operators import split
+    ev = events.withColumn("ts_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    s = split.split_random(ev, 0.2, 42, "event_id")
+    tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+    m = fit(tr, "value", ["ts_s", "user_id"], "r", "knn", key="event_id")
+    got = m.transform(te).select("event_id", "value_pred").toPandas().set_index("event_id")["value_pred"]
+    a = tr.select("event_id", "ts_s", "user_id", "value").toPandas()
+    b = te.select("event_id", "ts_s", "user_id").toPandas()
+    cols = ["ts_s", "user_id"]
+    mu, sd = a[cols].mean(), a[cols].std(ddof=1)
+    A, B = ((a[cols] - mu) / sd).values, ((b[cols] - mu) / sd).values
+    for i in range(len(B)):
+        d = np.sqrt(((A - B[i]) ** 2).sum(1))
+        o = np.lexsort((a.event_id.values, d))[:5]
+        assert abs(a.value.values[o].mean() - got[b.event_id.values[i]]) < 1e-9
