@@ -248,7 +248,7 @@ def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str
         from quarry.operators.knn import fit_knn
         km = fit_knn(data, inputs, task, int(p["k"]), key)
         return KnnFitted(km.features, task, kind, target, list(inputs), labels, ltype,
-                         dict(p, profile=profile, seed=seed), {c: types[c] for c in inputs}, knn=km)
+                         dict(p, profile=profile, seed=seed, d=km.d), {c: types[c] for c in inputs}, knn=km)
     scale = p.get("scale", kind in SCALED_KINDS)
     out_col = "__enc" if (scale or kind == "svr") else "features"
     if encoder is not None:

@@ -33,6 +33,7 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("label_type", T.StringType()),
     T.StructField("input_types", T.StringType()),
     T.StructField("data_path", T.StringType()),
+    T.StructField("params", T.StringType()),
 ])
 
 
@@ -46,6 +47,8 @@ def save_manifest(spark: SparkSession, run_dir: str, fitted, seed: int, data_pat
         "labels": [str(v) for v in fitted.labels] if fitted.labels else None,
         "label_type": fitted.label_type, "input_types": json.dumps(fitted.input_types),
         "data_path": data_path,
+        "params": json.dumps({k: v for k, v in fitted.params.items()
+                              if isinstance(v, (int, float, str, bool)) or v is None}),
     }
     spark.createDataFrame([m], MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{run_dir}/manifest")
     return m
@@ -67,8 +70,11 @@ def load_manifest(spark: SparkSession, run_dir: str) -> dict:
 
 
 def save_model(fitted, run_dir: str) -> str:
-    """A7 write."""
+    """A7 write. A kNN model also writes its standardised training rows."""
     fitted.pipeline.write().overwrite().save(f"{run_dir}/model")
+    knn = getattr(fitted, "knn", None)
+    if knn is not None:
+        knn.reference.write.mode("overwrite").parquet(f"{run_dir}/knn_reference")
     return f"{run_dir}/model"
 
 
@@ -78,9 +84,16 @@ def load_model(spark: SparkSession, run_dir: str):
     m = load_manifest(spark, run_dir)
     pm = PipelineModel.load(f"{run_dir}/model")
     labels = m.get("labels")
-    return FittedModel(pm, m["task"], m["model"], m["target"], list(m["features"] or []), labels,
-                       m.get("label_type"), {"profile": m.get("profile")},
-                       json.loads(m.get("input_types") or "{}"))
+    params = json.loads(m.get("params") or "{}")
+    params.setdefault("profile", m.get("profile"))
+    args = (pm, m["task"], m["model"], m["target"], list(m["features"] or []), labels,
+            m.get("label_type"), params, json.loads(m.get("input_types") or "{}"))
+    if m["model"] == "knn":
+        from quarry.operators.knn import KnnModel
+        from quarry.operators.models import KnnFitted
+        ref = spark.read.parquet(f"{run_dir}/knn_reference")
+        return KnnFitted(*args, knn=KnnModel(pm, ref, int(params["k"]), m["task"], int(params["d"])))
+    return FittedModel(*args)
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:

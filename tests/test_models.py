@@ -107,3 +107,15 @@ def test_knn_regression_matches_brute_force(spark, events):
         d = np.sqrt(((A - B[i]) ** 2).sum(1))
         o = np.lexsort((a.event_id.values, d))[:5]
         assert abs(a.value.values[o].mean() - got[b.event_id.values[i]]) < 1e-9
+
+
+def test_knn_save_load_round_trip(spark, events):
+    ev = events.withColumn("ts_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    m = fit(ev, "event_type", ["value", "ts_s"], "c", "knn", key="event_id")
+    root = sinks.scratch_path(spark, "test-knn")
+    runs.save_model(m, root)
+    runs.save_manifest(spark, root, m, 42)
+    back = runs.load_model(spark, root)
+    a = m.transform(ev).orderBy("event_id").select("event_type_pred").collect()
+    b = back.transform(ev).orderBy("event_id").select("event_type_pred").collect()
+    assert a == b
