@@ -61,6 +61,10 @@ PROFILES = {
 SCALED_KINDS = {"svr", "knn"}
 TREE_KINDS = {"rf", "hgb", "xgb"}
 MAX_TREE_DEPTH = 30   # MLlib's limit; the reference grows forests fully
+# Forest learners split every node of a level group in one pass over the data;
+# a larger group budget and cached node ids mean fewer passes for deep trees
+# (boosted trees are shallow; there the cache's checkpoints cost more).
+TREE_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
 @dataclass
@@ -175,7 +179,7 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
                                       standardization=False, maxIter=p["max_iter"], tol=1e-10, **common)
         if kind == "rf":
             return R.RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy="all", maxDepth=depth,
-                                           minInstancesPerNode=1, seed=seed, **common)
+                                           minInstancesPerNode=1, seed=seed, **TREE_OPTS, **common)
         if kind == "hgb":
             return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
                                   minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=seed, **common)
