@@ -199,7 +199,7 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
                                         elasticNetParam=0.0, standardization=False, tol=1e-10, **common)
         if kind == "rf":
             return C.RandomForestClassifier(numTrees=p["trees"], featureSubsetStrategy="sqrt", maxDepth=depth,
-                                            seed=seed, **common)
+                                            seed=seed, **TREE_OPTS, **common)
         if kind in ("hgb", "xgb"):
             if kind == "hgb":
                 g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
