@@ -47,6 +47,20 @@ def main():
         assoc.associate(load(spark, sf_dir, "orders"), "o_totalprice", "regression", ["dcor"],
                         inputs=["o_custkey"])[0].collect()
 
+    def q_mi_regression():
+        li = load(spark, sf_dir, "lineitem")
+        of = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"),
+                                          F.sum("l_extendedprice").alias("sum_price"))
+        assoc.associate(of, "sum_price", "regression", ["mi"], inputs=["n_lines"], key="l_orderkey")[0].collect()
+
+    def q_knn():
+        from quarry.operators.models import fit
+        ev = load(spark, sf_dir, "events").withColumn("ts_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+        s = split.split_random(ev, 0.2, 42, "event_id")
+        m = fit(s.where("split = 'train'"), "event_type", ["value", "ts_s"], "classification", "knn",
+                key="event_id")
+        force(m.transform(s.where("split = 'test'")))
+
     def q_splits():
         ev = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
         force(split.split_stratified(ev, "event_type", 0.2, 42, "event_id"))
@@ -78,7 +92,8 @@ def main():
     # warm-up (JIT, class loading), not timed
     load(spark, sf_dir, "region").collect()
 
-    qs = {"assoc_pearson_spearman": q_assoc, "mi_classif": q_mi_classif, "dcor": q_dcor,
+    qs = {"assoc_pearson_spearman": q_assoc, "mi_classif": q_mi_classif, "mi_regression": q_mi_regression,
+          "dcor": q_dcor, "knn_classify": q_knn,
           "splits": q_splits, "train_ridge_cv": q_train_linear, "roc_auc": q_eval_auc}
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
     times = {}
