@@ -146,6 +146,11 @@ def associate(df: DataFrame, target: str, task: str = "regression", metrics=("pe
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
+    # the score table has (metrics x inputs) rows: compute it now and release
+    # the cached frame instead of keeping it alive behind a lazy plan
+    rows = long.collect()
+    frame.unpersist()
+    long = spark.createDataFrame(rows, "metric string, feature string, score double, metric_order int")
     return rank_scores(long, topk), prep
 
 

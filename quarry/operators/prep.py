@@ -129,12 +129,24 @@ def prepare_for_association(df: DataFrame, target: str, inputs=None,
     if task == "classification":
         sel = label_codes(sel, target)
     coerced = coerce_numeric(sel, inputs + [target])
-    counts = cleaning_counts(coerced, inputs + [target]).first()
-    clean = drop_incomplete(coerced, inputs + [target]) if listwise else coerced
-    used, skipped = split_constant(clean, inputs)
+    # one pass: rows read, complete rows, and min / max of every used column
+    # over the rows kept (a column is constant when min = max)
+    cols = inputs + [target]
+    complete = F.lit(True)
+    for c in cols:
+        complete = complete & F.col(c).isNotNull()
+    aggs = [F.count(F.lit(1)).alias("rows_in"), F.count_if(complete).alias("rows_used")]
+    for i, c in enumerate(cols):
+        v = F.when(complete, F.col(c)) if listwise else F.col(c)
+        aggs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
+    row = coerced.agg(*aggs).first()
+    clean = drop_incomplete(coerced, cols) if listwise else coerced
+    varies = {c: row[f"a{i}"] is not None and row[f"a{i}"] != row[f"b{i}"] for i, c in enumerate(cols)}
+    used = [c for c in inputs if varies[c]]
+    skipped = [c for c in inputs if not varies[c]]
     keep = [*used, target] + ([key] if key else [])
-    return Prepared(clean.select(*keep), target, used, skipped,
-                    int(counts["rows_in"]), int(counts["rows_used"]), {"key": key})
+    return Prepared(clean.select(*keep), target, used, skipped, int(row["rows_in"]), int(row["rows_used"]),
+                    {"key": key, "target_constant": not varies[target]})
 
 
 # ---------------------------------------------------------------- B8, B9
