@@ -106,16 +106,24 @@ def range_counts(points: DataFrame, probes: DataFrame, cuts) -> DataFrame:
 
 def mi_classif_feature(df: DataFrame, x: str, label: str, key: str, k: int = 3, seed=0,
                        jitter: bool = True) -> DataFrame:
-    """D4 for one input; returns one row (feature, score)."""
+    """D4 for one input; returns one row (feature, score). Intermediates are
+    cached while it runs and released when the number is known."""
+    from quarry.operators.kernels import Cached
+    with Cached() as keep:
+        score = _mi_classif(df, x, label, key, k, seed, jitter, keep)
+    return df.sparkSession.createDataFrame([(x, score)], "feature string, score double")
+
+
+def _mi_classif(df, x, label, key, k, seed, jitter, keep):
     spark = df.sparkSession
     d = df.select(F.col(key).alias("__key"), F.col(x).cast("double").alias(x), F.col(label).alias("__c"))
     d = scaled_jittered(d, x, "__key", seed, jitter, x).select("__key", "__x", "__c")
     counts = d.groupBy("__c").agg(F.count(F.lit(1)).alias("__nc"))
-    d = d.join(F.broadcast(counts), "__c").where(F.col("__nc") > 1) \
-         .withColumn("__k", F.least(F.lit(k), F.col("__nc") - 1)).persist()
+    d = keep(d.join(F.broadcast(counts), "__c").where(F.col("__nc") > 1)
+             .withColumn("__k", F.least(F.lit(k), F.col("__nc") - 1)))
     n = d.count()
     if n == 0:
-        return spark.createDataFrame([(x, None)], "feature string, score double")
+        return None
     cuts = cut_points(d, ["__x"], bucket_count(spark, n))["__x"]
     nb = sorted_neighbours(d, "__c", k, cuts)
     r = kth_distance(F.col("__k"), k)
@@ -135,7 +143,7 @@ def mi_classif_feature(df: DataFrame, x: str, label: str, key: str, k: int = 3,
     j = rows.join(m, rows["__key"] == m["id"])
     mi = (digamma(F.lit(float(n))) + F.avg(digamma(F.col("__k").cast("double")))
           - F.avg(digamma(F.col("__nc").cast("double"))) - F.avg(digamma(F.col("__m").cast("double"))))
-    return j.agg(F.lit(x).alias("feature"), F.greatest(mi, F.lit(0.0)).alias("score"))
+    return j.agg(F.greatest(mi, F.lit(0.0)).alias("score")).first()["score"]
 
 
 def mutual_information(prep, task: str, k: int = 3, seed=0, jitter: bool = True, key: str | None = None):

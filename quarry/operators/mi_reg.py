@@ -53,7 +53,7 @@ def _strict_counts(d: DataFrame, rows: DataFrame, col: str, radius: str, cuts) -
                                   - F.sum(F.when(F.col("side") == 1, F.col("below")))).alias("cnt"))
 
 
-def knn_radius(d: DataFrame, k: int, n: int) -> DataFrame:
+def knn_radius(d: DataFrame, k: int, n: int, keep=None) -> DataFrame:
     """(__key, eps): k-th nearest-neighbour distance under the max-norm of
     (__x, __y) for every point; exact."""
     spark = d.sparkSession
@@ -62,7 +62,8 @@ def knn_radius(d: DataFrame, k: int, n: int) -> DataFrame:
     ycuts = cut_points(d, ["__y"], bucket_count(spark, n))["__y"]
     p = bucketize(d, "__x", xcuts, "__s")
     p = ordered_positions(p, ["__y", "__key"], group_cols=["__s"], out="__pos", n_rows=n)
-    p = p.withColumn("__cell", (F.col("__pos") / CELL).cast("long")).persist()
+    p = p.withColumn("__cell", (F.col("__pos") / CELL).cast("long"))
+    p = keep(p) if keep is not None else p.persist()
     # 2. an upper bound from the y-order neighbours inside the strip
     nb = sorted_neighbours(p.select("__key", "__s", F.col("__y").alias("__x"), F.col("__x").alias("__xx")),
                            "__s", k, ycuts, carry=["__xx"])
@@ -105,18 +106,26 @@ def knn_radius(d: DataFrame, k: int, n: int) -> DataFrame:
 
 def mi_regression_feature(df: DataFrame, x: str, target: str, key: str, k: int = 3, seed=0,
                           jitter: bool = True) -> DataFrame:
-    """D3 for one input; returns one row (feature, score)."""
+    """D3 for one input; returns one row (feature, score). Intermediates are
+    cached while it runs and released when the number is known."""
+    from quarry.operators.kernels import Cached
+    with Cached() as keep:
+        score = _mi_regression(df, x, target, key, k, seed, jitter, keep)
+    return df.sparkSession.createDataFrame([(x, score)], "feature string, score double")
+
+
+def _mi_regression(df, x, target, key, k, seed, jitter, keep):
     spark = df.sparkSession
     d = df.select(F.col(key).alias("__key"), F.col(x).cast("double").alias(x),
                   F.col(target).cast("double").alias(target))
     d = scaled_jittered(d, x, "__key", seed, jitter, x).withColumnRenamed("__x", "__xs")
-    d = scaled_jittered(d, target, "__key", seed, jitter, target) \
-        .select("__key", F.col("__xs").alias("__x"), F.col("__x").alias("__y")).persist()
+    d = keep(scaled_jittered(d, target, "__key", seed, jitter, target)
+             .select("__key", F.col("__xs").alias("__x"), F.col("__x").alias("__y")))
     n = d.count()
     if n <= k:
-        return spark.createDataFrame([(x, None)], "feature string, score double")
-    eps, p = knn_radius(d, k, n)
-    rows = d.join(eps, "__key").persist()
+        return None
+    eps, p = knn_radius(d, k, n, keep)
+    rows = keep(d.join(eps, "__key"))
     nb = bucket_count(spark, n)
     cuts = cut_points(d, ["__x", "__y"], nb)
     cx = _strict_counts(d.select("__key", "__x"), rows, "__x", "eps", cuts["__x"]).withColumnRenamed("cnt", "nx")
@@ -125,5 +134,4 @@ def mi_regression_feature(df: DataFrame, x: str, target: str, key: str, k: int =
     j = cx.join(cy, "id")
     mi = (digamma(F.lit(float(n))) + digamma(F.lit(float(k)))
           - F.avg(digamma(F.col("nx").cast("double")) + digamma(F.col("ny").cast("double"))))
-    out = j.agg(F.lit(x).alias("feature"), F.greatest(mi, F.lit(0.0)).alias("score"))
-    return out
+    return j.agg(F.greatest(mi, F.lit(0.0)).alias("score")).first()["score"]
