@@ -72,12 +72,16 @@ def knn_radius(d: DataFrame, k: int, n: int, keep=None) -> DataFrame:
     kth = F.try_element_at(F.array_sort(F.filter(ds, lambda v: v.isNotNull())), F.lit(k))
     # a second bound from the y-order neighbours that share the point's x level
     # (x with the jitter rounded off): when sparse levels share a strip, the
-    # strip's neighbours come from other levels and that bound is loose; for a
-    # continuous x every level is a single point and this bound is NULL
-    lv = sorted_neighbours(p.select("__key", F.round("__x", 6).alias("__lv"), F.col("__y").alias("__x"),
-                                    F.col("__x").alias("__xx")), "__lv", k, ycuts, carry=["__xx"])
-    bound = nb.select("__key", kth.alias("__ub1")).join(lv.select("__key", kth.alias("__ub2")), "__key") \
-        .select("__key", F.least("__ub1", "__ub2").alias("__ub"))
+    # strip's neighbours come from other levels and that bound is loose. Only
+    # an input with fewer levels than strips can have levels sharing strips.
+    levels = d.agg(F.approx_count_distinct(F.round("__x", 6)).alias("m")).first()["m"]
+    bound = nb.select("__key", kth.alias("__ub"))
+    if levels < n / 2 and levels < strips * 8:
+        lv = sorted_neighbours(p.select("__key", F.round("__x", 6).alias("__lv"), F.col("__y").alias("__x"),
+                                        F.col("__x").alias("__xx")), "__lv", k, ycuts, carry=["__xx"])
+        bound = bound.withColumnRenamed("__ub", "__ub1").join(lv.select("__key", kth.alias("__ub2")), "__key") \
+            .select("__key", F.least("__ub1", "__ub2").alias("__ub"))
+    bound = keep(bound) if keep is not None else bound.persist()   # read by several branches below
     q = p.join(bound, "__key").withColumn("__ub", F.coalesce("__ub", F.lit(float("inf"))))
     # the square only has to contain the neighbours: widen it outward so that
     # one lying exactly on its edge is never lost to rounding of x +/- ub

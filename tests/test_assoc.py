@@ -72,3 +72,17 @@ def test_small_n_gives_null_not_failure(spark, events):
     two = events.orderBy("event_id").limit(2)
     long, _ = assoc.associate(two, "value", "r", ["mi"], inputs=["user_id"], key="event_id")
     assert long.first()["score"] is None
+
+
+@pytest.mark.parametrize("table,x,y,key", [("orders", "o_custkey", "o_totalprice", "o_orderkey"),
+                                           ("events", "user_id", "value", "event_id")])
+def test_mi_regression_matches_brute_force(spark, table, x, y, key):
+    from brute import mi_cc
+
+    from quarry.operators.mi_reg import mi_regression_feature
+    df = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
+    got = mi_regression_feature(df, x, y, key, 3, 0, True).first()["score"]
+    d = df.select(F.col(key).alias("__key"), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    d = scaled_jittered(d, x, "__key", 0, True, x).withColumnRenamed("__x", "__xs")
+    d = scaled_jittered(d, y, "__key", 0, True, y).toPandas()
+    assert abs(got - mi_cc(d["__xs"].values, d["__x"].values, 3)) < 1e-9
