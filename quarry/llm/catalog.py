@@ -4,7 +4,7 @@ result."""
 
 from __future__ import annotations
 
-from quarry.llm import bpe, langid, minhash, packing, quality
+from quarry.llm import bpe, chat, html_text, langid, minhash, packing, quality
 from quarry.sources.tables import load
 
 QUERIES: dict = {}
@@ -46,3 +46,14 @@ def op9(spark, sf_dir):
     import public_tokenizers
     return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@register("op4_chat_windows", chat.SQL)
+def op4(spark, sf_dir):
+    rows = chat.with_probe(load(spark, sf_dir, "conversations"))
+    return chat.digests(chat.read_back(chat.format_conversations(rows)))
+
+
+@register("op8_html_main_text")
+def op8(spark, sf_dir):
+    return html_text.extract(load(spark, sf_dir, "pages"))
