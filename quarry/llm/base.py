@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir
 
@@ -25,6 +27,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_by_id(df: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
+    """``df.mapInPandas(run, "<key> long, <schema>")`` whose integer key travels as
+    text: beside a null, pandas would turn integers into inexact floats."""
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, f"{key} string, {schema}")
+    return out.withColumn(key, F.col(key).cast("long"))
+
+
+def plain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``pdf`` with its strings as Python objects: a group that came in several
+    batches has chunked string columns, which cannot be returned as they are."""
+    return pdf.astype({c: object for c, kind in pdf.dtypes.items() if isinstance(kind, pd.StringDtype)})
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8 bytes (none for null).
     ``bytes.split`` cuts at exactly these six characters."""

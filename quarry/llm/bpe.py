@@ -28,9 +28,8 @@ import pandas as pd
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.llm.base import bounded_batches
+from quarry.llm.base import bounded_batches, map_by_id
 
 CACHE = 200_000             # pre-tokens kept in each of two generations
 KEYS_PER_BUCKET = 4
@@ -152,6 +151,25 @@ class Encoder(dict):
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class FastIds:
+    """Ids of a text by the rank library, or by the heap for texts so long that its
+    split could exhaust the stack; both give the same ids (tests compare them)."""
+
+    LONG_TEXT = 200_000     # characters
+
+    def __init__(self, vocabulary: list[bytes], perfect: PerfectHash, pattern: str):
+        import tiktoken
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(vocabulary)}, special_tokens={})
+        self.heap = Encoder(vocabulary, perfect, pattern)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if len(text) >= self.LONG_TEXT:
+            return np.frombuffer(self.heap.encode(text), "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
+
+
 def shared_vocabulary(spark, path: str):
     """Broadcast (vocabulary, perfect hash)."""
     vocabulary = read_ranks(path)
@@ -160,7 +178,7 @@ def shared_vocabulary(spark, path: str):
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) of every document."""
-    return _run(docs, path, pattern, "doc_id long, ids binary",
+    return _run(docs, path, pattern, "ids binary",
                 lambda enc, text: (enc.encode(text),), ["ids"])
 
 
@@ -171,7 +189,7 @@ def _digests(enc: Encoder, text: str | None) -> tuple:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of their decoded bytes."""
-    return _run(docs, path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    return _run(docs, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string",
                 _digests, ["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -183,7 +201,7 @@ def _run(docs: DataFrame, path: str, pattern: str, schema: str, of, columns: lis
         enc = Encoder(*shared.value, pattern)
         for b in batches:
             out = pd.DataFrame([of(enc, t) for t in b["text"]], columns=columns)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            out.insert(0, "doc_id", b["doc_id"].to_numpy(object))
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return map_by_id(docs.select("doc_id", "text"), run, schema)

@@ -4,7 +4,9 @@ result."""
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, html_text, langid, minhash, packing, quality
+from pyspark.sql import functions as F
+
+from quarry.llm import ann, bpe, chat, html_text, langid, minhash, packing, quality, token_counts, warc
 from quarry.sources.tables import load
 
 QUERIES: dict = {}
@@ -57,3 +59,27 @@ def op4(spark, sf_dir):
 @register("op8_html_main_text")
 def op8(spark, sf_dir):
     return html_text.extract(load(spark, sf_dir, "pages"))
+
+
+@register("op7_warc_chain", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, true AS intact
+FROM f""")
+def op7(spark, sf_dir):
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
+@register("op3_collision_ann")
+def op3(spark, sf_dir):
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op6_token_counts")
+def op6(spark, sf_dir):
+    import public_tokenizers
+    return token_counts.count_lines(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                    public_tokenizers.PATTERN)

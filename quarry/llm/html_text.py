@@ -33,9 +33,8 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.llm.base import bounded_batches
+from quarry.llm.base import bounded_batches, map_by_id
 
 SIGMA, RADIUS = 1.0, 3
 COVER = 0.8                 # share of the content's characters that the article must hold
@@ -182,7 +181,6 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text = [main_text(h) for h in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.DataFrame({"page_id": b["page_id"].to_numpy(object), "url": b["url"].to_numpy(object), "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(
-        run, "page_id long, url string, text string, n_chars long")
+    return map_by_id(pages.select("page_id", "url", "html"), run, "url string, text string, n_chars long", "page_id")

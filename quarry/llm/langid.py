@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import bounded_batches
+from quarry.llm.base import bounded_batches, map_by_id
 
 MAX_TRAIN_ROWS = 3000       # documents the weights and the temperature are fitted on, at most
 CALIBRATION_SHARE = 5       # every fifth of them fits the temperature only
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [counts_of(t) for t in b["text"]]
-            yield pd.DataFrame({"lang": b["lang"], "at": [a.astype(np.int32).tobytes() for a, _ in found],
+            yield pd.DataFrame({"lang": b["lang"].to_numpy(object), "at": [a.astype(np.int32).tobytes() for a, _ in found],
                                 "x": [c.astype(np.int64).tobytes() for _, c in found]})
 
     # the sample's ids first (a bounded top-k that moves no text), then their texts
@@ -272,11 +272,11 @@ def predict_languages(docs: DataFrame, model: dict | None) -> DataFrame:
         for b in batches:
             out = classify(b["text"], model)
             out.insert(0, "held_out", b["held_out"].to_numpy())
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            out.insert(0, "doc_id", b["doc_id"].to_numpy(object))
             yield out
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(
-        run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return map_by_id(rows, run, "held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:

@@ -32,17 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import bounded_batches
-from quarry.llm.bpe import Encoder, shared_vocabulary
+from quarry.llm.base import bounded_batches, plain
+from quarry.llm.bpe import FastIds, shared_vocabulary
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
 BLOCK_DOCS = 20_000
-LONG_TEXT = 200_000         # characters from which the heap encoder takes over (no recursion in its split)
 WEIGHTS = (1.0, 0.1, 0.1)   # of tokens, documents and attention cost
 
 
@@ -105,27 +103,20 @@ def pack_documents(docs: DataFrame, path: str | None = None, pattern: str | None
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, perfect = shared.value
-        fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(vocabulary)}, special_tokens={})
-        heap = Encoder(vocabulary, perfect, pattern)
+        ids_of = FastIds(*shared.value, pattern)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                if text and len(text) >= LONG_TEXT:
-                    ids = np.frombuffer(heap.encode(text), "<u4")
-                else:
-                    ids = np.array(fast.encode_ordinary(text) if text else [], "<u4")
-                ids = np.append(ids, np.uint32(end_id))
+                ids = np.append(ids_of(text), np.uint32(end_id))
                 for k, at in enumerate(starts := piece_starts(len(ids), tokens)):
                     to = starts[k + 1] if k + 1 < len(starts) else len(ids)
                     part = ids[at:to].astype("<u4").tobytes()
                     rows.append((doc_id, k, at, to - at, zlib.crc32(part), part if with_ids else None))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = plain(pdf).sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         lengths = pdf["length"].to_numpy()
         whole = int((lengths == tokens).sum()) if max_cost is None or max_cost >= tokens * tokens else 0
         # full pieces are sequences of their own
@@ -135,9 +126,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, pattern: str | None
         out["offset"] = np.concatenate([np.zeros(whole, np.int64), offset])
         return out if with_ids else out.drop(columns="ids")
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema + ", ids binary")
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long"
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, schema + ", ids binary")
     # equal doc_ids must not fill one block: the row's place in its task deals them out
     block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks))
-    return rows.withColumn("block", block).groupBy("block").applyInPandas(
+    packed = rows.withColumn("block", block).groupBy("block").applyInPandas(
         pack, schema + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))

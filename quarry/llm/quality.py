@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.base import bounded_batches, words_of
+from quarry.llm.base import bounded_batches, map_by_id, words_of
 
 MAX_TRAIN_ROWS = 20_000     # labelled documents the model is fitted on, at most
 TREES = 40
@@ -210,7 +210,7 @@ def predict(model: dict | None, x: np.ndarray) -> np.ndarray:
 
 # ---- on Spark ------------------------------------------------------------
 
-STAT_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+STAT_SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
@@ -256,11 +256,10 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = judge(b["text"], model)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
+            out.insert(0, "doc_id", b["doc_id"].to_numpy(object))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, STAT_SCHEMA + ", base_failed boolean, quality double, kept boolean")
+    return map_by_id(docs.select("doc_id", "text"), run, STAT_SCHEMA + ", base_failed boolean, quality double, kept boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
