@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import evaluate as ev
-from quarry.operators.kernels import hash_positions
+from quarry.operators.kernels import hash_positions, require_keys
 
 
 def _score(fitted, pred: DataFrame, by) -> DataFrame:
@@ -31,10 +31,11 @@ def permutation_importance(fitted, df: DataFrame, key: str, repeats: int = 10, s
     features = list(features or fitted.inputs)
     t = fitted.target
     data = df.select(key, *fitted.inputs, t).dropna(how="any", subset=[*fitted.inputs, t])
-    base = hash_positions(data, f"{seed}:base", key, out="pos0")
+    n = require_keys(data, key)
+    base = hash_positions(data, f"{seed}:base", key, out="pos0", n_rows=n)
     ex = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(int(repeats) - 1))))
     donors = hash_positions(ex.select(key, "rep", *features), seed, [key, "rep"], group_cols=["rep"],
-                            out="pos0")
+                            out="pos0", n_rows=n, n_groups=int(repeats))
     donors = donors.select("rep", "pos0", *[F.col(f).alias(f"__d_{i}") for i, f in enumerate(features)])
     j = ex.join(donors, ["rep", "pos0"])
     variants = F.array(*[F.struct(F.lit(f).alias("feature"),

@@ -118,6 +118,19 @@ def bounded_broadcast(df: DataFrame, rows_bound: int) -> DataFrame:
     return F.broadcast(df) if rows_bound <= BROADCAST_ROWS else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, cols, how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` in which NULL meets NULL; the right side's copies
+    of the columns are dropped. Used wherever a group or bucket may be NULL,
+    so that its rows are never lost."""
+    r = right.select(*[F.col(c).alias(f"__ns_{i}") for i, c in enumerate(cols)],
+                     *[c for c in right.columns if c not in cols])
+    on = None
+    for i, c in enumerate(cols):
+        e = left[c].eqNullSafe(r[f"__ns_{i}"])
+        on = e if on is None else on & e
+    return left.join(r, on, how).drop(*[f"__ns_{i}" for i in range(len(cols))])
+
+
 def prefix_below(df: DataFrame, group_cols, bucket_col: str, order_cols, weight,
                  out: str = "below", rows_bound: int | None = None) -> DataFrame:
     """K1: for each row, the sum of ``weight`` over rows of its group that
@@ -146,7 +159,7 @@ def prefix_below(df: DataFrame, group_cols, bucket_col: str, order_cols, weight,
                               for w in wn])
     if rows_bound is not None:
         offsets = bounded_broadcast(offsets, rows_bound)
-    d = d.join(offsets, on=group_cols + [bucket_col], how="inner")
+    d = null_safe_join(d, offsets, group_cols + [bucket_col])
     inside = Window.partitionBy(*group_cols, bucket_col).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, -1)
     for w, o in zip(wn, outs):
@@ -180,29 +193,107 @@ def average_ranks(values: DataFrame, value_col: str, group_cols=(), count_col: s
     return r.withColumn(out, F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).drop("__bucket")
 
 
+def hash_digits(spark, n_rows: int) -> int:
+    """Leading hex digits of an md5 that cut ``n_rows`` rows into buckets of at
+    most ``rows_per_bucket`` rows (the digits are uniform)."""
+    b = max(2, math.ceil(n_rows / max(1, rows_per_bucket(spark))), min(256, n_rows // 2))
+    return max(1, math.ceil(math.log(b, 16)))
+
+
+def require_keys(df: DataFrame, cols) -> int:
+    """The number of rows, after making sure that no row has a NULL in ``cols``:
+    a row without its key has no place in a reproducible order."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 *[F.count_if(F.col(c).isNull()).alias(f"null{i}") for i, c in enumerate(cols)]).first()
+    bad = {c: row[f"null{i}"] for i, c in enumerate(cols) if row[f"null{i}"]}
+    if bad:
+        raise ValueError(f"rows with a NULL order value: {bad}")
+    return int(row["n"])
+
+
 def hash_positions(df: DataFrame, seed, key_cols, group_cols=(), out: str = "pos",
-                   n_rows: int | None = None) -> DataFrame:
+                   n_rows: int | None = None, n_groups: int | None = None) -> DataFrame:
     """K1 for a reproducible random order: 0-based position of each row in
-    md5(seed:key) order within its group.
+    md5(seed:key) order within its group (NULL is a group of its own).
 
     The md5 text is uniform, so its first hex digits are already balanced
     buckets in the same order: no quantile pass is needed. ``key_cols`` must
-    identify rows (within a group).
+    identify rows (within a group). ``n_rows`` is measured when not given;
+    ``n_groups`` bounds the offset table when known.
     """
     from quarry.functions.exprs import order_key
     spark = df.sparkSession
     key_cols = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    n = n_rows if n_rows is not None else DEFAULT_ROWS_PER_BUCKET
-    nb = bucket_count(spark, n)
-    digits = max(1, min(4, math.ceil(math.log(max(nb, 2), 16))))
+    n = n_rows if n_rows is not None else require_keys(df, key_cols)
+    digits = hash_digits(spark, n)
     d = df.withColumn("__h", order_key(seed, *key_cols)) \
-          .withColumn("__hb", F.conv(F.substring("__h", 1, digits), 16, 10).cast("int"))
-    groups = 1 if not group_cols else 1024
+          .withColumn("__hb", F.substring("__h", 1, digits))
+    groups = 1 if not group_cols else n_groups
     r = prefix_below(d, list(group_cols), "__hb", ["__h", *key_cols], F.lit(1),
-                     out=out, rows_bound=groups * 16 ** digits)
+                     out=out, rows_bound=None if groups is None else groups * 16 ** digits)
     return r.withColumn(out, F.col(out).cast("long")).drop("__h", "__hb")
 
 
+def last_of_first(df: DataFrame, h, quotas: DataFrame, group_col: str, n_rows: int) -> DataFrame:
+    """(group, last): the largest of the ``quota`` smallest values of the md5
+    column ``h`` in every group of ``quotas`` (group, quota > 0).
+
+    Rows are counted per md5 prefix (partial sums before a small shuffle); only
+    the rows of each group's boundary prefix are ordered. So a split needs no
+    shuffle of the table: a row is inside when its md5 is not above ``last``.
+    """
+    digits = hash_digits(df.sparkSession, n_rows)
+    d = df.select(group_col, h.alias("__h")).withColumn("__p", F.substring("__h", 1, digits))
+    counts = d.groupBy(group_col, "__p").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(group_col).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__below", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    edge = null_safe_join(counts, quotas, [group_col]).where(
+        (F.col("__below") < F.col("quota")) & (F.col("quota") <= F.col("__below") + F.col("__c")))
+    edge = edge.select(group_col, "__p", (F.col("quota") - F.col("__below")).alias("__nth"))
+    rows = null_safe_join(d, edge, [group_col, "__p"])
+    place = F.row_number().over(Window.partitionBy(group_col).orderBy("__h"))
+    return rows.withColumn("__r", place).where(F.col("__r") == F.col("__nth")).select(group_col, F.col("__h").alias("last"))
+
+
+def order_values(df: DataFrame, cols) -> list[Column]:
+    """``cols`` as columns whose literals compare exactly (times as integers)."""
+    types = dict(df.dtypes)
+    out = []
+    for c in cols:
+        if types[c].startswith("timestamp"):
+            out.append(F.unix_micros(F.col(c).cast("timestamp")))
+        elif types[c] == "date":
+            out.append(F.unix_date(F.col(c)))
+        else:
+            out.append(F.col(c))
+    return out
+
+
+def nth_values(df: DataFrame, cols, places) -> dict[int, tuple]:
+    """The order tuple (``order_values``) of the rows at the 0-based ``places`` of
+    the table ordered by ``cols``. Only the order columns are sorted (by ranges
+    of the whole tuple, so one hot time value is spread by its tie-breakers);
+    the driver reads a count per range and the asked rows."""
+    from quarry.session import cut_lineage
+    vals = [v.alias(f"v{i}") for i, v in enumerate(order_values(df, cols))]
+    names = [f"v{i}" for i in range(len(vals))]
+    s = cut_lineage(df.select(*vals).orderBy(*names))
+    s = s.select("*", F.spark_partition_id().alias("__part"),
+                 F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+    sizes = sorted((r["__part"], r["n"]) for r in s.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    out = {}
+    for place in places:
+        rest = place
+        for part, n in sizes:
+            if rest < n:
+                row = s.where((F.col("__part") == part) & (F.col("__at") == rest)).first()
+                out[place] = tuple(row[c] for c in names)
+                break
+            rest -= n
+    return out
+
+
 def order_number(df: DataFrame, col: str) -> Column:
     """A DOUBLE with the same order as ``col`` (numbers as is, timestamps as
     microseconds since the epoch, exact below 2^53)."""
@@ -215,7 +306,7 @@ def order_number(df: DataFrame, col: str) -> Column:
 
 
 def ordered_positions(df: DataFrame, order_cols, group_cols=(), out: str = "pos",
-                      n_rows: int | None = None) -> DataFrame:
+                      n_rows: int | None = None, n_groups: int | None = None) -> DataFrame:
     """K1 for an explicit order: 0-based position of each row ordered by
     ``order_cols`` (the first must be numeric or a timestamp; the rest break
     ties and must make rows distinct) within its group."""
@@ -224,10 +315,10 @@ def ordered_positions(df: DataFrame, order_cols, group_cols=(), out: str = "pos"
     first = order_cols[0]
     d = df.withColumn("__o", order_number(df, first))
     if n_rows is None:
-        n_rows = DEFAULT_ROWS_PER_BUCKET
+        n_rows = df.count()
     cuts = cut_points(d, ["__o"], bucket_count(spark, n_rows))["__o"]
     d = bucketize(d, "__o", cuts, "__ob")
-    groups = 1 if not group_cols else 1024
+    groups = 1 if not group_cols else n_groups
     r = prefix_below(d, list(group_cols), "__ob", ["__o", *order_cols], F.lit(1), out=out,
-                     rows_bound=groups * (len(cuts) + 1))
+                     rows_bound=None if groups is None else groups * (len(cuts) + 1))
     return r.withColumn(out, F.col(out).cast("long")).drop("__o", "__ob")

@@ -50,7 +50,7 @@ def knn_neighbours(ref: DataFrame, qry: DataFrame, d: int, k: int) -> DataFrame:
     xc = cut_points(ref, ["__c0"], strips)["__c0"] if strips > 1 else []
     yc = cut_points(ref, ["__c1"], bucket_count(spark, n))["__c1"]
     r = bucketize(ref, "__c0", xc, "__s")
-    r = ordered_positions(r, ["__c1", "rid"], group_cols=["__s"], out="__pos", n_rows=n)
+    r = ordered_positions(r, ["__c1", "rid"], group_cols=["__s"], out="__pos", n_rows=n, n_groups=len(xc) + 1)
     r = r.withColumn("__cell", (F.col("__pos") / CELL).cast("long")).persist()
     dist = F.sqrt(sum(((F.col(f"q{i}") - F.col(f"__c{i}")) ** 2 for i in range(d)), F.lit(0.0)))
     cols = [f"__c{i}" for i in range(max(d, 2))]

@@ -61,7 +61,7 @@ def knn_radius(d: DataFrame, k: int, n: int, keep=None) -> DataFrame:
     xcuts = cut_points(d, ["__x"], strips)["__x"] if strips > 1 else []
     ycuts = cut_points(d, ["__y"], bucket_count(spark, n))["__y"]
     p = bucketize(d, "__x", xcuts, "__s")
-    p = ordered_positions(p, ["__y", "__key"], group_cols=["__s"], out="__pos", n_rows=n)
+    p = ordered_positions(p, ["__y", "__key"], group_cols=["__s"], out="__pos", n_rows=n, n_groups=len(xcuts) + 1)
     p = p.withColumn("__cell", (F.col("__pos") / CELL).cast("long"))
     p = keep(p) if keep is not None else p.persist()
     # 2. an upper bound from the y-order neighbours inside the strip

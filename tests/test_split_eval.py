@@ -94,3 +94,44 @@ def test_classification_metrics_weighted(spark, events):
     n = len(p)
     assert abs(m["precision"] - prec / n) < 1e-12 and abs(m["f1"] - f1 / n) < 1e-12
     assert abs(m["accuracy"] - (p.actual == p.predicted).mean()) < 1e-12
+
+
+def _with_nulls(spark):
+    return spark.range(1000).select(F.col("id"), F.when(F.col("id") % 10 != 0, F.col("id") % 7).alias("g"),
+                                    F.when(F.col("id") % 10 != 0, F.col("id")).alias("gap"), (F.col("id") % 3).alias("hot"))
+
+
+def test_no_split_or_fold_loses_a_row(spark):
+    d = _with_nulls(spark)
+    for rows in ("2", "64", "2000000"):
+        spark.conf.set("spark.quarry.rowsPerBucket", rows)
+        try:
+            out = [split.split_random(d, 0.2, 1, "id"), split.split_stratified(d, "g", 0.2, 1, "id"), split.split_group(d, "g", 0.3, 1),
+                   split.split_time(d, ["hot", "id"], 0.2, mode="holdout"), split.kfold(d, 5, 1, "id", label="g"), split.kfold(d, 5, 1, "id")]
+            got = [sorted(map(tuple, o.select("id", o.columns[-1]).collect())) for o in out]
+        finally:
+            spark.conf.set("spark.quarry.rowsPerBucket", "64")
+        assert all(len({i for i, _ in g}) == len(g) == 1000 for g in got)
+        for g in got[:2] + got[3:4]:
+            assert sum(s == "test" for _, s in g) == 200
+        if rows == "2":
+            first = got
+        assert got == first
+
+
+def test_null_keys_and_order_values_are_errors(spark):
+    import pytest
+    d = _with_nulls(spark)
+    for run in (lambda: split.split_random(d, 0.2, 1, "gap"), lambda: split.split_time(d, ["gap"], 0.2),
+                lambda: split.kfold(d, 5, 1, "gap"), lambda: split.split_stratified(d, "g", 0.2, 1, "gap")):
+        with pytest.raises(ValueError, match="gap"):
+            run()
+
+
+def test_splits_do_not_shuffle_the_table(spark):
+    wide = _with_nulls(spark).withColumn("payload", F.repeat(F.col("id").cast("string"), 50))
+    for out in (split.split_random(wide, 0.2, 1, "id"), split.split_group(wide, "g", 0.3, 1),
+                split.split_time(wide, ["hot", "id"], 0.2), split.split_stratified(wide, "g", 0.2, 1, "id")):
+        plan = out._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        assert not [x for x in plan.splitlines() if x.strip(" +-:").startswith("Exchange") and "payload" in x]
+        assert "SortMergeJoin" not in plan
