@@ -41,7 +41,6 @@ def _row_sums(pairs: DataFrame, v: str, n: int, cuts) -> DataFrame:
     gc = F.lit(float(n)) - F.col("lc") - F.col("c")
     gs = F.lit(float(tot)) - F.col("lsum") - F.col("cv")
     s = F.col("v") * F.col("lc") - F.col("lsum") + gs - F.col("v") * gc
-    del spark
     return r.select("v", s.alias("s"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.kernels import average_ranks
+from quarry.session import cut_lineage
 
 
 def _by(by):
@@ -73,9 +74,9 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", posit
     keys = _by(by)
     pos = (F.col(label) == F.lit(positive)).cast("long")
     s = scored.select(*keys, F.col(score).cast("double").alias("__s"), pos.alias("__p"))
-    per = s.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__np"))
-    ranks = average_ranks(per, "__s", group_cols=keys, count_col="__n",
-                          groups_bound=1 if not keys else 1024)
+    # read by the cut points, the bucket totals, the ranks and the last join
+    per = cut_lineage(s.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__np")))
+    ranks = average_ranks(per, "__s", group_cols=keys, count_col="__n", groups_bound=1 if not keys else None)
     j = ranks.join(per, keys + ["__s"])
     g = j.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("__np")).alias("rs"),
                              F.sum("__np").alias("P"), F.sum(F.col("__n") - F.col("__np")).alias("N"))
@@ -85,18 +86,21 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", posit
 
 def confusion_matrix(pred: DataFrame, actual: str = "actual", predicted: str = "predicted",
                      labels=None) -> DataFrame:
-    """rows = actual labels, one column per label (sorted labels of the
-    whole table), zero-filled. The label list is the distinct classes, a
-    small bounded list."""
-    if labels is None:
-        both = pred.select(F.col(actual).alias("l")).union(pred.select(F.col(predicted).alias("l")))
-        labels = [r[0] for r in both.where("l IS NOT NULL").distinct().orderBy("l").limit(1001).collect()]
-        if len(labels) > 1000:
-            raise ValueError("more than 1000 labels: use confusion_counts")
+    """a square table: one row and one column per label, sorted, zero where
+    a pair does not occur. The labels are those of both columns, or given
+    (then a label that this part of the data lacks keeps its row). They become
+    columns, so their number is bounded by what a schema can hold; for more,
+    ``confusion_counts`` is the long form."""
     cc = confusion_counts(pred, actual, predicted, by=None)
-    wide = cc.groupBy(actual).pivot(predicted, labels).agg(F.sum("n")).fillna(0)
-    return wide.select(F.col(actual).alias("actual"), *[F.col(f"`{lab}`").cast("long").alias(str(lab))
-                                                        for lab in labels])
+    if labels is None:
+        # the counts hold one row per pair of labels, so this reads no row twice
+        both = cc.select(F.col(actual).alias("l")).union(cc.select(F.col(predicted).alias("l")))
+        labels = [r[0] for r in both.where("l IS NOT NULL").distinct().orderBy("l").collect()]
+    labels = list(labels)
+    rows = pred.sparkSession.createDataFrame([(v,) for v in labels], f"actual {pred.schema[actual].dataType.simpleString()}")
+    wide = cc.where(F.col(actual).isNotNull()).groupBy(F.col(actual).alias("actual")).pivot(predicted, labels).agg(F.sum("n"))
+    cell = lambda v: F.coalesce(F.col(f"`{v}`").cast("long"), F.lit(0).cast("long")).alias(str(v))
+    return rows.join(wide, "actual", "left").select("actual", *[cell(v) for v in labels])
 
 
 def cv_summary(fold_metrics: DataFrame, cols) -> DataFrame:

@@ -168,7 +168,7 @@ def prefix_below(df: DataFrame, group_cols, bucket_col: str, order_cols, weight,
 
 
 def average_ranks(values: DataFrame, value_col: str, group_cols=(), count_col: str | None = None,
-                  cuts=None, n_rows: int | None = None, groups_bound: int = 1,
+                  cuts=None, n_rows: int | None = None, groups_bound: int | None = 1,
                   out: str = "rank") -> DataFrame:
     """K1 applied to ranks: average rank (1-based, ties share the mean of
     their positions) of every distinct value of ``value_col`` in each group.
@@ -189,7 +189,7 @@ def average_ranks(values: DataFrame, value_col: str, group_cols=(), count_col: s
         cuts = cut_points(distinct, [value_col], bucket_count(spark, n_rows))[value_col]
     b = bucketize(distinct, value_col, cuts, "__bucket")
     r = prefix_below(b, group_cols, "__bucket", [value_col], "cnt", out="below",
-                     rows_bound=groups_bound * (len(cuts) + 1))
+                     rows_bound=None if groups_bound is None else groups_bound * (len(cuts) + 1))
     return r.withColumn(out, F.col("below") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).drop("__bucket")
 
 

@@ -30,6 +30,7 @@ from quarry.operators.kernels import bucket_count, bucketize, cut_points, prefix
 # Relative shrink of the radius so that x +/- r in floating point never
 # counts the neighbour that defines r (it lies exactly on the boundary).
 RADIUS_GUARD = 4e-15
+CLASS_BROADCAST = 10_000   # a class table of more rows is left to AQE
 
 
 def scaled_jittered(df: DataFrame, x: str, key: str, seed, jitter: bool, tag: str) -> DataFrame:
@@ -119,7 +120,8 @@ def _mi_classif(df, x, label, key, k, seed, jitter, keep):
     d = df.select(F.col(key).alias("__key"), F.col(x).cast("double").alias(x), F.col(label).alias("__c"))
     d = scaled_jittered(d, x, "__key", seed, jitter, x).select("__key", "__x", "__c")
     counts = d.groupBy("__c").agg(F.count(F.lit(1)).alias("__nc"))
-    d = keep(d.join(F.broadcast(counts), "__c").where(F.col("__nc") > 1)
+    counts = keep(counts)
+    d = keep(d.join(F.broadcast(counts) if counts.count() <= CLASS_BROADCAST else counts, "__c").where(F.col("__nc") > 1)
              .withColumn("__k", F.least(F.lit(k), F.col("__nc") - 1)))
     n = d.count()
     if n == 0:
@@ -156,7 +158,12 @@ def mutual_information(prep, task: str, k: int = 3, seed=0, jitter: bool = True,
     if key is None:
         key = prep.extra.get("key")
     if key is None or key not in frame.columns:
-        frame = frame.withColumn("__rowid", F.monotonically_increasing_id())
+        # a key from the row's own values: the score must not depend on how the
+        # table is partitioned; equal rows are numbered among themselves
+        values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in frame.columns]
+        frame = frame.withColumn("__rowhash", F.md5(F.concat_ws("\x1f", *values)))
+        nth = F.row_number().over(Window.partitionBy("__rowhash").orderBy(F.lit(0)))
+        frame = frame.withColumn("__rowid", F.concat_ws(":", "__rowhash", nth.cast("string"))).drop("__rowhash").persist()
         key = "__rowid"
     kk = min(k, max(1, prep.rows_used - 1))
     from quarry.session import run_parallel

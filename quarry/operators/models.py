@@ -61,6 +61,7 @@ PROFILES = {
 SCALED_KINDS = {"svr", "knn"}
 TREE_KINDS = {"rf", "hgb", "xgb"}
 MAX_TREE_DEPTH = 30   # MLlib's limit; the reference grows forests fully
+FOREST_BINS = 255     # candidate thresholds per input of every tree model
 # Forest learners split every node of a level group in one pass over the data;
 # a larger group budget and cached node ids mean fewer passes for deep trees
 # (boosted trees are shallow; there the cache's checkpoints cost more).
@@ -179,33 +180,34 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
                                       standardization=False, maxIter=p["max_iter"], tol=1e-10, **common)
         if kind == "rf":
             return R.RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy="all", maxDepth=depth,
-                                           minInstancesPerNode=1, seed=seed, **TREE_OPTS, **common)
+                                           minInstancesPerNode=1, maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
         if kind == "hgb":
             return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
                                   minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=seed, **common)
         if kind == "xgb":
-            return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
+            return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"], maxBins=FOREST_BINS,
                                   subsamplingRate=p["subsample"],
                                   featureSubsetStrategy=str(p["colsample"]) if p["colsample"] < 1 else "all",
                                   seed=seed, **common)
         if kind == "svr":
-            # Kernel regression on random Fourier features: approximate RBF SVR,
-            # with the epsilon-insensitive loss replaced by Huber.
-            return R.LinearRegression(loss="huber", epsilon=1.35, regParam=1.0 / (p["C"] * max(n, 1)),
-                                      elasticNetParam=0.0, standardization=False, maxIter=200, **common)
+            # Kernel regression on random Fourier features: approximate RBF SVR with
+            # the epsilon-insensitive loss replaced by the squared one (the profile's
+            # epsilon has no counterpart there), so the normal equations solve it.
+            return R.LinearRegression(regParam=sigma_y / (p["C"] * max(n, 1)), elasticNetParam=0.0,
+                                      standardization=False, solver="normal", **common)
     else:
         if kind in ("linear", "ridge"):
             return C.LogisticRegression(maxIter=p["max_iter"], regParam=1.0 / (p["C"] * max(n, 1)),
                                         elasticNetParam=0.0, standardization=False, tol=1e-10, **common)
         if kind == "rf":
             return C.RandomForestClassifier(numTrees=p["trees"], featureSubsetStrategy="sqrt", maxDepth=depth,
-                                            seed=seed, **TREE_OPTS, **common)
+                                            maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
         if kind in ("hgb", "xgb"):
             if kind == "hgb":
                 g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
                                     minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=seed, **common)
             else:
-                g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
+                g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"], maxBins=FOREST_BINS,
                                     subsamplingRate=p["subsample"],
                                     featureSubsetStrategy=str(p["colsample"]) if p["colsample"] < 1 else "all",
                                     seed=seed, **common)

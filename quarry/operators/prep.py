@@ -67,19 +67,6 @@ def complete_pair(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- B6, B7
-def split_constant(df: DataFrame, inputs) -> tuple[list[str], list[str]]:
-    """(used, skipped): an input is used when it has two distinct
-    non-null values. One aggregate of min and max per column; no distinct
-    count is needed."""
-    inputs = list(inputs)
-    if not inputs:
-        return [], []
-    row = df.agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(inputs)]).first()
-    used = [c for i, c in enumerate(inputs) if row[f"v{i}"]]
-    skipped = [c for i, c in enumerate(inputs) if not row[f"v{i}"]]
-    return used, skipped
-
-
 @dataclass
 class Prepared:
     """Result of the correlation cleaning step: the clean frame and the
@@ -102,17 +89,6 @@ class Prepared:
               list(self.skipped), list(self.used))], schema)
 
 
-def cleaning_counts(raw: DataFrame, cleaned_cols) -> DataFrame:
-    """B7 counts in one aggregate: rows read, rows with every used column
-    present, rows dropped."""
-    complete = F.lit(True)
-    for c in cleaned_cols:
-        complete = complete & F.col(c).isNotNull()
-    return raw.agg(F.count(F.lit(1)).alias("rows_in"),
-                   F.count_if(complete).alias("rows_used")) \
-              .withColumn("rows_dropped", F.col("rows_in") - F.col("rows_used"))
-
-
 def prepare_for_association(df: DataFrame, target: str, inputs=None,
                             task: str = "regression", listwise: bool = True,
                             key: str | None = None) -> Prepared:
@@ -251,14 +227,12 @@ def encoder_stages(df: DataFrame, inputs, scale: bool = False, out: str = "featu
 
 def one_hot(df: DataFrame, cols, key_cols=()) -> DataFrame:
     """B10 as a table: one 0/1 column per (column, category), none dropped,
-    NULL gives all zeros. Categories come from a distinct scan whose size is
-    the number of categories (checked against ``max_categories``)."""
+    NULL gives all zeros. The categories become columns, so the schema bounds
+    their number; inputs with very many go through ``encoder_stages``, whose
+    vector is sparse."""
     out = df
     for c in cols:
-        cats = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
-                .orderBy(c).limit(10_001).collect()]
-        if len(cats) > 10_000:
-            raise ValueError(f"{c}: more than 10000 categories; use encoder_stages")
+        cats = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
         out = out.select("*", *[F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
                                 .alias(f"{c}_{v}") for v in cats])
         out = out.drop(c)
@@ -296,11 +270,6 @@ def sample_rows(df: DataFrame, n: int, seed, key: str) -> DataFrame:
     return df.withColumn("__o", order_key(seed, key)).orderBy("__o", key).limit(int(n)).drop("__o")
 
 
-def slug_names(df: DataFrame, col: str, out: str = "slug") -> DataFrame:
-    """B17 on a column of names."""
-    return df.withColumn(out, slugify(F.col(col)))
-
-
 def preview(df: DataFrame, n: int = 5, key=None) -> DataFrame:
     """A2: the first ``n`` rows by an explicit key (Spark has no file order);
     NaN shown as NULL."""

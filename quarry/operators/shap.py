@@ -27,16 +27,13 @@ def _node_tables(spark, est, path):
     est.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
     rows = data.select("treeID", "nodeData.*").collect()
-    try:
-        meta = spark.read.parquet(f"{path}/treesMetadata")
-        c = meta.columns   # (tree id, metadata json, weight), names vary by version
-        weights = {int(r[0]): float(r[1]) for r in meta.select(c[0], c[-1]).collect()}
-    except Exception:  # noqa: BLE001
-        weights = {}
+    # (tree id, metadata, weight): the columns' names vary by version, not their order
+    meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights")
+    weights = {int(r["treeID"]): float(r["weights"]) for r in meta.select("treeID", "weights").collect()}
     trees = {}
     for r in rows:
         trees.setdefault(r["treeID"], {})[r["id"]] = r
-    return [(weights.get(t, 1.0), trees[t]) for t in sorted(trees)]
+    return [(weights[t], trees[t]) for t in sorted(trees)]
 
 
 def _compile(nodes: dict, kind: str):
@@ -219,3 +216,25 @@ def shap_importance(fitted, df: DataFrame) -> DataFrame:
     agg = part.groupBy("slot").agg((F.sum("sabs") / F.sum("n")).alias("importance"))
     lookup = spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
     return agg.join(F.broadcast(lookup), "slot").select("feature", "importance")
+
+
+def shap_gaps(fitted, df: DataFrame, tolerance: float) -> DataFrame:
+    """(rows_off, n): rows whose SHAP values and base do not add up to the
+    model's own prediction within ``tolerance`` (relative), and all rows."""
+    from quarry.sources.sinks import scratch_path
+    spark = df.sparkSession
+    trees, n_out = ensemble(spark, fitted, scratch_path(spark, "shap-model"))
+    m = len(fitted.feature_names())
+    bc = spark.sparkContext.broadcast((trees, n_out))
+    xs = fitted.pipeline.transform(df.dropna(how="any", subset=list(fitted.inputs))).select(
+        vector_to_array("features").alias("x"), "prediction")
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                phi, base = shap_values_batch(*bc.value, np.stack(b["x"].to_numpy()), m)
+                want = b["prediction"].to_numpy()
+                gap = np.abs(phi[:, :, 0].sum(axis=1) + base[0] - want)
+                yield pd.DataFrame({"off": [int((gap > tolerance * np.maximum(1.0, np.abs(want))).sum())], "n": [len(b)]})
+
+    return xs.mapInPandas(run, "off long, n long").agg(F.sum("off").alias("rows_off"), F.sum("n").alias("n"))

@@ -1,60 +1,75 @@
 """Tuning (I1). The reference declares budgets but never computes; here a
-budget is the number of seeded random draws from a parameter grid, each
-scored by k-fold cross-validation (one fit per fold), best draw refitted on
-all rows. Each draw is a distributed job; the loop over draws is bounded by
-the budget.
+budget is the number of seeded random draws from a search space, each scored
+by k-fold cross-validation (one fit per fold). Numeric ranges are drawn on a
+log or linear scale, so a larger budget always tries more. Draws are
+independent distributed jobs and run a few at a time; the loop over them is
+bounded by the budget.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 import random
 
 from pyspark.sql import DataFrame
 
 from quarry.functions.params import canonical_model, canonical_task, tune_budget
 
-# The search space of each model kind.
-GRIDS = {
-    "ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
-    "lasso": {"alpha": [0.0001, 0.001, 0.01, 0.1, 1.0]},
-    "elasticnet": {"alpha": [0.001, 0.01, 0.1, 1.0], "l1_ratio": [0.2, 0.5, 0.8]},
-    "rf": {"trees": [50, 100, 300], "max_depth": [8, 12, 20, 30]},
-    "hgb": {"rounds": [50, 100, 200], "lr": [0.05, 0.1, 0.2], "depth": [3, 5, 7]},
-    "xgb": {"rounds": [100, 300, 500], "lr": [0.05, 0.1, 0.3], "depth": [4, 6, 8]},
-    "svr": {"C": [0.1, 1.0, 10.0, 100.0]},
-    "linear": {"C": [0.01, 0.1, 1.0, 10.0]},
+# The search space of each model kind. ("log" or "lin", low, high)
+# is a real range, ("int", low, high) a whole-number one.
+SPACES = {
+    "ridge": {"alpha": ("log", 0.01, 100.0)},
+    "lasso": {"alpha": ("log", 0.0001, 1.0)},
+    "elasticnet": {"alpha": ("log", 0.001, 1.0), "l1_ratio": ("lin", 0.1, 0.9)},
+    "rf": {"trees": ("int", 50, 300), "max_depth": ("int", 8, 30)},
+    "hgb": {"rounds": ("int", 50, 200), "lr": ("log", 0.05, 0.2), "depth": ("int", 3, 7)},
+    "xgb": {"rounds": ("int", 100, 500), "lr": ("log", 0.05, 0.3), "depth": ("int", 4, 8)},
+    "svr": {"C": ("log", 0.1, 100.0)},
+    "linear": {"C": ("log", 0.01, 10.0)},
+    "knn": {"k": ("int", 1, 50)},
 }
 
 
 def draws(kind: str, budget: int, seed: int) -> list[dict]:
-    grid = GRIDS.get(kind, {})
-    if not grid or budget <= 0:
+    """``budget`` parameter sets, the same for the same seed."""
+    space = SPACES.get(kind, {})
+    if not space or budget <= 0:
         return [{}]
-    keys = sorted(grid)
-    combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
     rng = random.Random(seed)
-    rng.shuffle(combos)
-    return combos[:budget]
+
+    def one(scale, low, high):
+        if scale == "int":
+            return rng.randint(low, high)
+        if scale == "log":
+            return round(math.exp(rng.uniform(math.log(low), math.log(high))), 6)
+        return round(rng.uniform(low, high), 6)
+
+    return [{name: one(*space[name]) for name in sorted(space)} for _ in range(budget)]
 
 
 def tune(df: DataFrame, target: str, inputs, task: str, kind: str, key: str, mode: str = "quick",
-         trials: int | None = None, seed: int = 42, profile: str = "core", k: int | None = None):
-    """Returns (best params, table of every draw with its CV score)."""
-    from quarry.plans.train import cross_validate
+         trials: int | None = None, seed: int = 42, profile: str = "core", k: int | None = None,
+         parallelism: int = 4, refit: bool = True):
+    """(best params, table of every draw with its CV score); the best draw is
+    that with the highest score, the earlier of equals. With ``refit`` the first
+    value is the model fitted on all rows with the best params."""
+    from quarry.operators.models import fit
+    from quarry.plans.train import _model_params, cross_validate
+    from quarry.session import run_parallel
     task = canonical_task(task)
     kind = canonical_model(task, kind)
     budget = tune_budget(mode, trials)
-    if task == "regression" and kind == "linear":
-        cand = [{}]
-    else:
-        cand = draws(kind, budget, seed)
-    rows = []
+    cand = [{}] if task == "regression" and kind == "linear" else draws(kind, budget, seed)
     col = "r2_mean" if task == "regression" else "f1_mean"
-    for i, p in enumerate(cand):
-        cv = cross_validate(df, target, inputs, task, kind, profile, seed, key, k=k, **p).first()
-        rows.append((i, str(sorted(p.items())), float(cv[col])))
-    spark = df.sparkSession
-    table = spark.createDataFrame(rows, f"draw int, params string, {col} double")
-    best = max(range(len(cand)), key=lambda i: (rows[i][2], -i))
-    return cand[best], table
+    kept = df.select(*dict.fromkeys([key, *inputs, target])).persist()
+
+    def one(p):
+        return float(cross_validate(kept, target, inputs, task, kind, profile, seed, key, k=k, parallelism=2, **p).first()[col])
+
+    scores = run_parallel([lambda p=p: one(p) for p in cand], parallelism)
+    rows = [(i, str(sorted(p.items())), s) for i, (p, s) in enumerate(zip(cand, scores, strict=True))]
+    table = df.sparkSession.createDataFrame(rows, f"draw int, params string, {col} double")
+    best = cand[max(range(len(cand)), key=lambda i: (scores[i], -i))]
+    model = fit(kept, target, inputs, task, kind, profile, seed, **_model_params(task, kind, key, best)) if refit else best
+    kept.unpersist()
+    return model, table

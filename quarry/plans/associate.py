@@ -11,10 +11,12 @@ from quarry.sources.tables import load
 def correlation_job(df: DataFrame, target: str, task: str = "regression",
                     metrics=("pearson", "spearman", "mi", "dcor"), inputs=None,
                     topk: int | None = None, sort_by: str = "combined", seed: int = 0,
-                    out: str | None = None, fmt: str = "csv"):
+                    out: str | None = None, fmt: str = "csv", key: str | None = None, mi_neighbors: int = 3,
+                    dcor_sample: int | None = None):
     """The whole correlation run. Returns (long, wide, report) frames and,
     with ``out``, writes the score tables and the cleaning report there."""
-    long, prep = assoc.associate(df, target, task, metrics, inputs=inputs, topk=topk, seed=seed)
+    long, prep = assoc.associate(df, target, task, metrics, inputs=inputs, topk=topk, seed=seed, key=key,
+                                 mi_neighbors=mi_neighbors, dcor_sample=dcor_sample)
     metrics = list(dict.fromkeys(m.lower() for m in metrics))
     wide = assoc.rank_wide(assoc.wide_table(long, metrics), sort_by, topk)
     report = prep.report()

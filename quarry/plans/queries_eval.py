@@ -113,24 +113,27 @@ FROM p GROUP BY actual
 """)(lambda spark, sf: ev.confusion_matrix(event_predictions(spark, sf)))
 
 
+def _confusion_unseen(spark, sf):
+    """A label that is predicted but never actual still has its row."""
+    p = event_predictions(spark, sf).where("actual <> 'click'")
+    return ev.confusion_matrix(p.withColumn("predicted", F.when(F.col("event_id") % 50 == 0, "zero").otherwise(F.col("predicted"))))
+
+
+register("F4_confusion_matrix_square", "WITH " + EV_PRED + """,
+q AS (SELECT actual, CASE WHEN event_id % 50 = 0 THEN 'zero' ELSE predicted END AS predicted FROM p WHERE actual <> 'click'),
+l AS (SELECT DISTINCT unnest([actual, predicted]) AS actual FROM q)
+SELECT l.actual, count(*) FILTER (WHERE predicted = 'click') AS click, count(*) FILTER (WHERE predicted = 'error') AS error,
+  count(*) FILTER (WHERE predicted = 'purchase') AS purchase, count(*) FILTER (WHERE predicted = 'signup') AS signup,
+  count(*) FILTER (WHERE predicted = 'view') AS view, count(*) FILTER (WHERE predicted = 'zero') AS zero
+FROM l LEFT JOIN q USING (actual) GROUP BY l.actual
+""")(_confusion_unseen)
+
+
 def _cv_line(spark, sf):
-    """5-fold CV of a least-squares line: the train statistics of a fold are
-    the totals minus the fold's own sums, so every fold is fitted in one
-    aggregate; per-fold r2 and mae, then mean and population std."""
-    d = split.kfold(load(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), 5, 42, "p_partkey")
-    x, y = F.col("p_size").cast("double"), F.col("p_retailprice")
-    st = d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-                               F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
-    allw = Window.partitionBy()
-    for c in ("n", "sx", "sy", "sxx", "sxy"):
-        st = st.withColumn("t" + c, F.sum(c).over(allw) - F.col(c))
-    b = (F.col("tn") * F.col("tsxy") - F.col("tsx") * F.col("tsy")) / (F.col("tn") * F.col("tsxx") - F.col("tsx") ** 2)
-    st = st.withColumn("b", b).withColumn("a", (F.col("tsy") - F.col("b") * F.col("tsx")) / F.col("tn"))
-    pred = d.join(F.broadcast(st.select("fold", "a", "b")), "fold") \
-        .select("fold", F.col("p_retailprice").alias("actual"),
-                (F.col("a") + F.col("b") * F.col("p_size")).alias("predicted"))
-    per = ev.regression_metrics(pred, by="fold")
-    return rounded(ev.cv_summary(per, ["r2", "mae"]))
+    """F5 on the whole of ``part``: 5 folds of a least-squares line."""
+    from quarry.plans.train import cross_validate
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return rounded(cross_validate(d, "p_retailprice", ["p_size"], "regression", "linear", "core", 42, "p_partkey"))
 
 
 register("F5_cross_validate", """
@@ -146,12 +149,17 @@ p AS (SELECT d.fold, p_retailprice AS actual, a + b * p_size AS predicted FROM d
 m AS (SELECT fold, 1 - sum((actual - predicted) ^ 2) / (var_pop(actual) * count(*)) AS r2,
   avg(abs(actual - predicted)) AS mae FROM p GROUP BY fold)
 SELECT round(avg(r2), 6) + 0.0 AS r2_mean, round(stddev_pop(r2), 6) + 0.0 AS r2_std,
-  round(avg(mae), 6) + 0.0 AS mae_mean, round(stddev_pop(mae), 6) + 0.0 AS mae_std FROM m
+  round(avg(mae), 6) + 0.0 AS mae_mean, round(stddev_pop(mae), 6) + 0.0 AS mae_std, 5 AS folds FROM m
 """)(_cv_line)
 
+def _parity(spark, sf):
+    p = part_predictions(spark, sf)
+    return rounded(ev.parity(p.where("split = 'train'"), p.where("split = 'test'"), "actual", "predicted"))
+
+
 register("F6_parity", "WITH " + PART_PRED + """
-SELECT p_partkey, split, round(actual, 6) + 0.0 AS actual, round(predicted, 6) + 0.0 AS predicted FROM p
-""")(lambda spark, sf: rounded(part_predictions(spark, sf)))
+SELECT split, round(actual, 6) + 0.0 AS actual, round(predicted, 6) + 0.0 AS predicted FROM p
+""")(_parity)
 
 register("F7_parity_range", "WITH " + PART_PRED + """,
 g AS (SELECT least(min(actual), min(predicted)) AS lo, greatest(max(actual), max(predicted)) AS hi FROM p)

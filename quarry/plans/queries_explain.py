@@ -41,7 +41,7 @@ def _perm(spark, sf):
     return rounded(permutation_importance(m, data, "l_orderkey", 10, 42))
 
 
-register("H2_permutation_importance", "WITH " + ORDER_FEATS_SQL + """,
+_H2_SQL = "WITH " + ORDER_FEATS_SQL + """,
 b AS (SELECT *, row_number() OVER (ORDER BY md5('42:base:' || l_orderkey::VARCHAR), l_orderkey) - 1 AS pos0 FROM of),
 ex AS (SELECT b.*, r.range AS rep FROM b, range(10) r),
 dn AS (SELECT rep, n_lines AS dn, row_number() OVER (PARTITION BY rep
@@ -51,7 +51,8 @@ m AS (SELECT rep, 1 - sum((actual - predicted) ^ 2) / (var_pop(actual) * count(*
 base AS (SELECT 1 - sum((sum_price - (c.a + c.b * n_lines)) ^ 2) / (var_pop(sum_price) * count(*)) AS r2b FROM of, c)
 SELECT 'n_lines' AS feature, round(avg(r2b - r2), 6) + 0.0 AS importance,
   round(stddev_pop(r2b - r2), 6) + 0.0 AS importance_std, round(max(r2b), 6) + 0.0 AS baseline FROM m, base
-""")(_perm)
+"""
+register("H2_permutation_importance", _H2_SQL)(_perm)
 
 
 def _perm_multi(spark, sf):
@@ -64,7 +65,7 @@ register("H3_top_importance")(_perm_multi)
 
 def _shap(spark, sf):
     from quarry.operators.shap import shap_importance
-    m, data = _fit_orders(spark, sf, "hgb", ("n_lines", "sum_qty", "avg_disc"), rounds=20)
+    m, data = _fit_orders(spark, sf, "hgb", ("n_lines", "sum_qty", "avg_disc"))
     return shap_importance(m, data)
 
 
@@ -73,7 +74,7 @@ register("H1_shap_importance")(_shap)
 
 def _explain_job(spark, sf):
     from quarry.plans.explain_job import explain
-    m, data = _fit_orders(spark, sf, "rf", ("n_lines", "sum_qty", "avg_disc"), trees=20, max_depth=8)
+    m, data = _fit_orders(spark, sf, "hgb", ("n_lines", "sum_qty", "avg_disc"))
     imp, rep = explain(spark, m, data, "l_orderkey")
     r = rep.first()
     return imp.withColumn("method", F.lit(r["method"])).withColumn("n_samples", F.lit(r["n_samples"]))
@@ -82,15 +83,63 @@ def _explain_job(spark, sf):
 register("H4_explain_run")(_explain_job)
 
 
-def _tune(spark, sf):
-    from quarry.operators.tune import tune
-    of = order_features(spark, sf)
-    best, table = tune(of, "sum_price", ["n_lines", "sum_qty"], "regression", "ridge", "l_orderkey",
-                       mode="quick", trials=4)
-    return table
+def _shap_adds_up(spark, sf):
+    """H1: per row, the values of all inputs and the base add up to the model's
+    prediction; emitted: rows for which they do not (none), and all rows."""
+    from quarry.operators.shap import shap_gaps
+    m, data = _fit_orders(spark, sf, "hgb", ("n_lines", "sum_qty", "avg_disc"), rounds=20)
+    return shap_gaps(m, data, 1e-6)
+
+
+register("H1_shap_additivity", """
+SELECT 0::BIGINT AS rows_off, count(DISTINCT l_orderkey) AS n FROM lineitem
+""")(_shap_adds_up)
 
 
-register("I1_tune_ridge")(_tune)
+def _explain_from_run(spark, sf):
+    """H4 from a run folder: permutation importance of a saved line on the table
+    that its manifest names."""
+    from quarry.plans.explain_job import explain_run
+    from quarry.sources import runs
+    root = sinks.scratch_path(spark, "run")
+    m, data = _fit_orders(spark, sf)
+    data.write.parquet(f"{root}/data.parquet")
+    runs.save_model(m, root)
+    runs.save_manifest(spark, root, m, 42, f"{root}/data.parquet")
+    explain_run(spark, root, "l_orderkey", out=f"{root}/explained")
+    back = spark.read.json(f"{root}/explained/importance")
+    n = spark.read.json(f"{root}/explained/report").first()
+    return rounded(back.select("feature", "importance", "importance_std", "baseline")).withColumn("n_samples", F.lit(n["n_samples"]))
+
+
+register("H4_from_run", "SELECT *, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_samples FROM (" + _H2_SQL + ")")(_explain_from_run)
+
+
+def _tune(spark, sf):
+    """The thirty draws of the quick budget."""
+    from quarry.operators.tune import tune
+    of = order_features(spark, sf).select("l_orderkey", F.col("n_lines").cast("double").alias("n_lines"), "sum_price")
+    _, table = tune(of, "sum_price", ["n_lines"], "regression", "ridge", "l_orderkey", mode="quick")
+    return rounded(table.select("draw", "params", "r2_mean"))
+
+
+def _tune_sql() -> str:
+    from quarry.operators.tune import draws
+    alphas = ", ".join(f"({i}, {p['alpha']!r}::DOUBLE, '{str(sorted(p.items())).replace(chr(39), chr(39) * 2)}')"
+                       for i, p in enumerate(draws("ridge", 30, 42)))
+    return f"""WITH {ORDER_FEATS_SQL},
+a(draw, alpha, params) AS (VALUES {alphas}),
+d AS (SELECT l_orderkey, n_lines::DOUBLE AS x, sum_price AS y,
+  (row_number() OVER (ORDER BY md5('42:' || l_orderkey::VARCHAR)) - 1) % 5 AS fold FROM of),
+f AS (SELECT range AS fold FROM range(5)),
+t AS (SELECT f.fold, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx
+  FROM f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+p AS (SELECT a.draw, a.params, d.fold, d.y, my + sxy / (sxx + alpha) * (d.x - mx) AS yp FROM d JOIN t USING (fold), a),
+m AS (SELECT draw, params, fold, 1 - sum((y - yp) ^ 2) / (var_pop(y) * count(*)) AS r2 FROM p GROUP BY ALL)
+SELECT draw::INTEGER AS draw, params, round(avg(r2), 6) + 0.0 AS r2_mean FROM m GROUP BY draw, params"""
+
+
+register("I1_tune_ridge", _tune_sql())(_tune)
 
 
 def _stream(spark, sf):

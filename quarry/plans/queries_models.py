@@ -99,7 +99,66 @@ register("E10_logistic")(_pred_query("classification", "linear", table="labels")
 register("E11_ridge_clf")(_pred_query("classification", "ridge", table="labels"))
 register("E12_rf_clf")(_pred_query("classification", "rf", table="events"))
 register("E13_hgb_clf")(_pred_query("classification", "hgb", table="labels"))
-register("E13_hgb_clf_multiclass")(_pred_query("classification", "hgb", table="events", rounds=20))
+register("E13_hgb_clf_multiclass")(_pred_query("classification", "hgb", table="events"))
+
+
+def _gradient_query(kind):
+    """The penalised log loss is convex, so its gradient vanishes at the
+    solution alone: emit it, per term, at the fitted coefficients."""
+    def q(spark, sf):
+        d = load(spark, sf, "labels").join(load(spark, sf, "documents"), "doc_id").select(
+            "doc_id", "quality", (F.log1p("n_chars") - 7.0).alias("x"))
+        m = models.fit(d, "quality", ["x"], "classification", kind)
+        est = m.pipeline.stages[-1]
+        b, a = float(est.coefficients[0]), float(est.intercept)
+        e = 1.0 / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x")))) - F.col("quality")
+        g = d.agg(F.avg(e).alias("ga"), (F.avg(e * F.col("x")) + F.lit(b) / F.count(F.lit(1))).alias("gb"), F.count(F.lit(1)).alias("n"))
+        return g.select(F.inline(F.array(
+            F.struct(F.lit("intercept").alias("term"), (F.round("ga", 5) + 0.0).alias("gradient"), F.col("n").alias("n")),
+            F.struct(F.lit("x").alias("term"), (F.round("gb", 5) + 0.0).alias("gradient"), F.col("n").alias("n")))))
+    return q
+
+
+_GRADIENT_SQL = """
+WITH t AS (SELECT count(*) AS n FROM labels l JOIN documents d USING (doc_id))
+SELECT 'intercept' AS term, 0.0::DOUBLE AS gradient, n FROM t UNION ALL SELECT 'x', 0.0::DOUBLE, n FROM t
+"""
+register("E10_logistic_gradient", _GRADIENT_SQL)(_gradient_query("linear"))
+register("E11_ridge_clf_gradient", _GRADIENT_SQL)(_gradient_query("ridge"))
+
+
+def _stump(kind):
+    """One boosting round of depth 1 on p_size (50 values, every bin exact)."""
+    def q(spark, sf):
+        d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+        m = models.fit(d, "p_retailprice", ["p_size"], "regression", kind, rounds=1, depth=1, lr=1.0)
+        return m.transform(d).select("p_partkey", (F.round("p_retailprice_pred", 4) + 0.0).alias("prediction"))
+    return q
+
+
+_STUMP_SQL = """
+WITH v AS (SELECT p_size, count(*) AS n, sum(p_retailprice) AS s FROM part GROUP BY p_size),
+c AS (SELECT p_size, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM v
+  WINDOW w AS (ORDER BY p_size ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT p_size AS cut, sl / nl AS lv, (s - sl) / (n - nl) AS rv FROM c WHERE nl >= 20 AND n - nl >= 20
+  ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, p_size LIMIT 1)
+SELECT p_partkey, round(CASE WHEN p_size <= cut THEN lv ELSE rv END, 4) + 0.0 AS prediction FROM part, b
+"""
+register("E6_hgb_stump", _STUMP_SQL)(_stump("hgb"))
+register("E7_xgb_stump", _STUMP_SQL)(_stump("xgb"))
+
+
+def _svr_fit(spark, sf):
+    """E8 on a smooth curve of every part: the share of the variance explained."""
+    d = load(spark, sf, "part").select("p_partkey", (F.col("p_size") / 5.0).alias("x"))
+    d = d.withColumn("y", 10.0 * F.sin("x") + 50.0)
+    m = models.fit(d, "y", ["x"], "regression", "svr", "gui")
+    p = m.transform(d).select(F.col("y").alias("actual"), F.col(m.pred_col).alias("predicted"), F.lit("all").alias("split"))
+    from quarry.operators.evaluate import regression_metrics
+    return regression_metrics(p).select((F.col("r2") > 0.99).alias("fits"), "n")
+
+
+register("E8_svr_smooth_curve", "SELECT true AS fits, count(*) AS n FROM part")(_svr_fit)
 register("E14_xgb_clf")(_pred_query("classification", "xgb", table="labels"))
 
 
@@ -266,6 +325,93 @@ def _metrics_roundtrip(spark, sf):
 register("A5_write_metrics", _METRICS_SQL)(_metrics_roundtrip)
 
 
+def _parity_all(spark, sf):
+    """A4: the union of both splits."""
+    path = sinks.scratch_path(spark, "parity")
+    sinks.write_parity(_train_linear(spark, sf).parity, path)
+    return spark.read.parquet(f"{path}/parity_all").select(
+        "split", F.round("actual", 4).alias("actual"), F.round("predicted", 4).alias("predicted"))
+
+
+register("A4_write_parity_all", _PRED_SQL + """
+SELECT s.split, round(s.p_retailprice, 4) AS actual, round(c.a + c.b * s.p_size, 4) AS predicted FROM s, c
+""")(_parity_all)
+
+
+def _scores_layout(layout, fmt):
+    """A3: the scores written in one layout and format, and read back."""
+    def q(spark, sf):
+        from quarry.operators.assoc import wide_table
+        from quarry.plans.queries_assoc import _li_scores
+        long = _li_scores(spark, sf)
+        path = sinks.scratch_path(spark, "scores")
+        if layout == "long":
+            sinks.write_scores(long, path, "long", fmt)
+            return rounded(read_table(spark, f"{path}/scores_long", fmt).select("metric", "feature", F.col("score").cast("double")))
+        sinks.write_scores(wide_table(long, ["pearson", "spearman"]), path, "wide", fmt)
+        back = read_table(spark, f"{path}/scores_wide", fmt)
+        return rounded(back.select("feature", F.col("pearson").cast("double"), F.col("spearman").cast("double")))
+    return q
+
+
+_SCORES_SQL = __import__("quarry.plans.catalog", fromlist=["x"]).sql_lineitem_scores()
+_LONG_SQL = _SCORES_SQL + " SELECT metric, feature, round(score, 6) + 0.0 AS score FROM s"
+_WIDE_SQL = _SCORES_SQL + """ SELECT feature, round(max(score) FILTER (WHERE metric = 'pearson'), 6) + 0.0 AS pearson,
+  round(max(score) FILTER (WHERE metric = 'spearman'), 6) + 0.0 AS spearman FROM s GROUP BY feature"""
+register("A3_write_scores_long_csv", _LONG_SQL)(_scores_layout("long", "csv"))
+register("A3_write_scores_wide_json", _WIDE_SQL)(_scores_layout("wide", "json"))
+
+
+def _listed_broken(spark, sf):
+    """A good run, one without manifest, one with a broken manifest, and an
+    empty root."""
+    root = sinks.scratch_path(spark, "runs")
+    _train_linear(spark, sf, out=f"{root}/good")
+    metrics = spark.read.json(f"{root}/good/metrics")
+    sinks.write_metrics(metrics, f"{root}/no_manifest")
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.text(f"{root}/torn/manifest")
+    none = runs.list_runs(spark, f"{root}/nothing-here").select("name", "model")
+    listed = runs.list_runs(spark, root)
+    return rounded(listed.select("name", "model", "r2")).unionByName(none.withColumn("r2", F.lit(None).cast("double")))
+
+
+register("A9_list_runs_broken", _METRICS_SQL.replace("SELECT split, round(1", "SELECT g.name, g.model, CASE WHEN g.name <> 'torn' THEN m.r2 END AS r2 FROM (SELECT split, round(1") + """) m,
+(VALUES ('good', 'linear'), ('no_manifest', NULL), ('torn', NULL)) g(name, model) WHERE m.split = 'test'
+""")(_listed_broken)
+
+
+def _score_from_run(spark, sf):
+    """G2 from a run folder: the saved model on the table its manifest names."""
+    from quarry.plans.score import score_run
+    root = sinks.scratch_path(spark, "run")
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    train_model(d, "p_retailprice", ["p_size"], "regression", "linear", key="p_partkey", seed=42, cv=False, out_dir=root,
+                data_path=f"{sf.rstrip('/')}/part.parquet")
+    r = score_run(spark, root, out=f"{root}/scored")
+    back = spark.read.parquet(f"{root}/scored/predictions")
+    return back.select("p_size", F.round("p_retailprice_pred", 4).alias("p_retailprice_pred"), F.lit(r.rows_used).alias("rows_used"))
+
+
+register("G2_from_run", _PRED_SQL + """
+SELECT p.p_size::DOUBLE AS p_size, round(c.a + c.b * p.p_size, 4) AS p_retailprice_pred, (SELECT count(*) FROM part) AS rows_used FROM part p, c
+""")(_score_from_run)
+
+
+def _parity_from_run(spark, sf):
+    """F6 of a saved run whose parity table is missing."""
+    root = sinks.scratch_path(spark, "run")
+    m, _ = _scored(spark, sf)
+    runs.save_model(m, root)
+    runs.save_manifest(spark, root, m, 42, f"{sf.rstrip('/')}/part.parquet")
+    p = runs.parity_of(spark, root, "p_partkey")
+    return p.select("split", F.round("actual", 4).alias("actual"), F.round("predicted", 4).alias("predicted"))
+
+
+register("F6_parity_from_run", _PRED_SQL + """
+SELECT s.split, round(s.p_retailprice, 4) AS actual, round(c.a + c.b * s.p_size, 4) AS predicted FROM s, c
+""")(_parity_from_run)
+
+
 def _pred_roundtrip(spark, sf):
     m, d = _scored(spark, sf)
     path = sinks.scratch_path(spark, "pred")
@@ -364,6 +510,50 @@ SELECT qid AS event_id, round(avg(label), 6) + 0.0 AS value_pred FROM nn WHERE r
 """)(_knn_reg)
 
 
+def _train_knn(spark, sf):
+    """F10 with a neighbour model: split, fit, evaluate both splits."""
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"),
+                                      (F.col("p_partkey") + 0.3 * F.sin("p_partkey")).alias("k"), "p_retailprice")
+    return rounded(train_model(d, "p_retailprice", ["p_size", "k"], "regression", "knn", key="p_partkey", seed=42, cv=False).metrics)
+
+
+register("F10_train_knn", "WITH " + PART_SPLIT + """,
+x AS (SELECT *, p_partkey + 0.3::DOUBLE * sin(p_partkey) AS k FROM s),
+tr AS (SELECT p_partkey AS rid, p_retailprice AS label, p_size::DOUBLE AS a, k AS b FROM x WHERE split = 'train'),
+st AS (SELECT stddev_samp(a) AS sa, stddev_samp(b) AS sb FROM tr),
+pr AS (SELECT s.p_partkey, s.split, s.p_retailprice AS actual, tr.label,
+  row_number() OVER (PARTITION BY s.p_partkey ORDER BY ((s.p_size - tr.a) / sa) ^ 2 + ((s.k - tr.b) / sb) ^ 2, rid) AS r
+  FROM x s, tr, st),
+p AS (SELECT p_partkey, split, actual, avg(label) AS predicted FROM pr WHERE r <= 5 GROUP BY ALL)
+SELECT split, round(1 - sum((actual - predicted) ^ 2) / (var_pop(actual) * count(*)), 6) + 0.0 AS r2,
+  round(sqrt(avg((actual - predicted) ^ 2)), 6) + 0.0 AS rmse,
+  round(avg(abs(actual - predicted)), 6) + 0.0 AS mae, count(*) AS n FROM p GROUP BY split
+""")(_train_knn)
+
+
+def _knn_many(spark, sf):
+    """E9 with five numeric inputs and a categorical one."""
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_partkey").cast("double").alias("b"),
+                                      F.sin("p_partkey").alias("c"), F.cos(F.col("p_partkey") * 2.0).alias("d"),
+                                      (F.col("p_partkey") % 97).cast("double").alias("e"), "p_type", "p_retailprice")
+    s = split.split_random(d, 0.2, 42, "p_partkey")
+    m = models.fit(s.where("split = 'train'"), "p_retailprice", ["a", "b", "c", "d", "e", "p_type"], "regression", "knn", key="p_partkey")
+    return rounded(m.transform(s.where("split = 'test'")).select("p_partkey", "p_retailprice_pred"))
+
+
+register("E9_knn_many_inputs", "WITH " + PART_SPLIT + """,
+x AS (SELECT *, p_size::DOUBLE AS a, p_partkey::DOUBLE AS b, sin(p_partkey) AS c, cos(p_partkey * 2.0::DOUBLE) AS d, (p_partkey % 97)::DOUBLE AS e FROM s),
+tr AS (SELECT * FROM x WHERE split = 'train'),
+st AS (SELECT stddev_samp(a) AS sa, stddev_samp(b) AS sb, stddev_samp(c) AS sc, stddev_samp(d) AS sd, stddev_samp(e) AS se FROM tr),
+ty AS (SELECT k.p_type, 1 / var_samp((tr.p_type = k.p_type)::INTEGER) AS w FROM tr, (SELECT DISTINCT p_type FROM tr) k GROUP BY k.p_type),
+pr AS (SELECT q.p_partkey, tr.p_retailprice AS label, row_number() OVER (PARTITION BY q.p_partkey ORDER BY
+  ((q.a - tr.a) / sa) ^ 2 + ((q.b - tr.b) / sb) ^ 2 + ((q.c - tr.c) / sc) ^ 2 + ((q.d - tr.d) / sd) ^ 2 + ((q.e - tr.e) / se) ^ 2
+  + CASE WHEN q.p_type = tr.p_type THEN 0 ELSE coalesce(tq.w, 0) + tt.w END, tr.p_partkey) AS r
+  FROM x q JOIN tr ON q.split = 'test' JOIN ty tt ON tt.p_type = tr.p_type LEFT JOIN ty tq ON tq.p_type = q.p_type, st)
+SELECT p_partkey, round(avg(label), 6) + 0.0 AS p_retailprice_pred FROM pr WHERE r <= 5 GROUP BY p_partkey
+""")(_knn_many)
+
+
 def _knn_clf(spark, sf):
     s = _events_ts(spark, sf)
     m = models.fit(s.where("split = 'train'"), "event_type", ["value", "ts_s"], "classification", "knn",

@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 from quarry.operators.prep import coerce_numeric, drop_incomplete, resolve_headers
 
 
-def prediction_column(target: str | None) -> str:
-    """``<target>_pred``, or ``prediction`` if the target is unknown."""
-    return f"{target}_pred" if target else "prediction"
-
-
 def batch_predict(fitted, df: DataFrame) -> DataFrame:
     """G1: every input column plus the prediction; no cleaning."""
     return fitted.transform(df)
@@ -55,6 +50,17 @@ def score_clean(fitted, df: DataFrame) -> ScoreResult:
     return ScoreResult(out, int(counts["n"]), int(counts["u"]))
 
 
+def score_run(spark, run_dir: str, df: DataFrame | None = None, out: str | None = None) -> ScoreResult:
+    """G2 from a run folder: its model on ``df`` (or on the table it was trained
+    on); with ``out`` the predictions and the report are written there."""
+    from quarry.sources import runs, sinks
+    r = score_clean(runs.load_model(spark, run_dir), runs.run_data(spark, run_dir) if df is None else df)
+    if out:
+        sinks.write_predictions(r.predictions, f"{out}/predictions")
+        r.report().coalesce(1).write.mode("overwrite").json(f"{out}/report")
+    return r
+
+
 def _all_present(cols):
     e = F.lit(True)
     for c in cols:

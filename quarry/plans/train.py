@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.params import canonical_task, resolve_seed
+from quarry.functions.params import canonical_model, canonical_task, resolve_seed
 from quarry.operators import evaluate as ev
 from quarry.operators import split as sp
 from quarry.operators.models import FittedModel, fit
@@ -42,6 +42,11 @@ def _pred_frame(fitted: FittedModel, df: DataFrame, split: str | None = None) ->
     return out.select(*cols)
 
 
+def _model_params(task: str, kind: str, key: str, params: dict) -> dict:
+    """``params`` for ``fit``; a neighbour model also needs the row key."""
+    return {**params, "key": key} if canonical_model(task, kind) == "knn" else params
+
+
 def metrics_table(fitted: FittedModel, pred: DataFrame, by="split") -> DataFrame:
     """F1 for regression; F2 (+ F3 when binary with a score) for classes."""
     if fitted.task == "regression":
@@ -60,6 +65,7 @@ def cross_validate(train: DataFrame, target: str, inputs, task: str, kind: str,
     """k folds (stratified for classes, k = clamp(smallest class, 2, 5));
     one fit per fold; mean and population std of r2/mae or accuracy/f1."""
     task = canonical_task(task)
+    params = _model_params(task, kind, key, params)
     label = target if task == "classification" else None
     if k is None:
         k = sp.stratified_fold_count(train, target) if label else 5
@@ -86,10 +92,13 @@ def cross_validate(train: DataFrame, target: str, inputs, task: str, kind: str,
 def train_model(df: DataFrame, target: str, inputs, task: str = "regression", kind: str = "linear",
                 key: str = "id", test_size: float = 0.2, split_method: str | None = None,
                 profile: str = "core", seed="42", cv: bool = True, out_dir: str | None = None,
-                data_path: str | None = None, **params) -> TrainResult:
+                data_path: str | None = None, tune_mode: str = "off", trials: int | None = None,
+                **params) -> TrainResult:
     """drop incomplete rows, split (stratified for classes unless told
     otherwise), fit, cross-validate on train, evaluate both splits, and
-    optionally save the run (model, manifest, metrics, parity)."""
+    optionally save the run (model, manifest, metrics, parity). With a
+    ``tune_mode`` the parameters are first drawn and cross-validated on the
+    train split (I1) and the best ones are refitted."""
     task = canonical_task(task)
     seed = resolve_seed(seed)
     inputs = [c for c in inputs if c != target]
@@ -98,6 +107,11 @@ def train_model(df: DataFrame, target: str, inputs, task: str = "regression", ki
     parts = sp.split_train_test(data, method, test_size, seed, key=key,
                                 stratify_col=target if method == "stratified" else None).persist()
     train, test = parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
+    if tune_mode != "off":
+        from quarry.operators.tune import tune
+        best, _ = tune(train, target, inputs, task, kind, key, tune_mode, trials, seed, profile, refit=False)
+        params = {**params, **best}
+    params = _model_params(task, kind, key, params)
     fitted = fit(train, target, inputs, task, kind, profile, seed, **params)
     cvt = cross_validate(train, target, inputs, task, kind, profile, seed, key, **params) if cv else None
     pred = _pred_frame(fitted, parts)

@@ -54,7 +54,7 @@ def save_manifest(spark: SparkSession, run_dir: str, fitted, seed: int, data_pat
     return m
 
 
-def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
+def read_manifests(spark: SparkSession, pattern) -> DataFrame:
     """A6 read: manifests as a table; the feature list is the first present
     of the known aliases. Malformed files give partial rows (PERMISSIVE)."""
     raw = spark.read.option("mode", "PERMISSIVE").json(pattern)
@@ -96,20 +96,71 @@ def load_model(spark: SparkSession, run_dir: str):
     return FittedModel(*args)
 
 
+def run_names(spark: SparkSession, root: str) -> list[str]:
+    """Sub-folders of ``root`` (none if it does not exist), through the file
+    system that the path names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory())
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def run_data(spark: SparkSession, run_dir: str) -> DataFrame:
+    """The table that a run was trained on, from its manifest."""
+    from quarry.sources.tables import read_table
+    path = load_manifest(spark, run_dir).get("data_path")
+    if not path:
+        raise ValueError(f"the manifest of {run_dir} names no data_path; give the table")
+    return read_table(spark, path)
+
+
+def parity_of(spark: SparkSession, run_dir: str, key: str) -> DataFrame:
+    """F6 of a saved run: its parity table, or, where that is missing, the model's
+    predictions on its training table, split as the manifest's seed splits it."""
+    if _has(spark, f"{run_dir}/parity"):
+        return spark.read.parquet(f"{run_dir}/parity").select("actual", "predicted", "split")
+    from quarry.operators.evaluate import parity
+    from quarry.operators.split import split_train_test
+    fitted, m = load_model(spark, run_dir), load_manifest(spark, run_dir)
+    data = run_data(spark, run_dir).dropna(how="any", subset=[*fitted.inputs, fitted.target])
+    method = "stratified" if fitted.task == "classification" else "random"
+    parts = split_train_test(data, method, 0.2, m["random_state"], key=key, stratify_col=fitted.target)
+    scored = fitted.transform(parts)
+    return parity(scored.where("split = 'train'"), scored.where("split = 'test'"), fitted.target, fitted.pred_col)
+
+
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """One row per run folder under ``root``: its manifest joined to
     its ``test`` metrics row (split matched case-insensitively), sorted by
-    name. A missing or broken file leaves NULLs, not an error."""
-    man = read_manifests(spark, f"{root.rstrip('/')}/*/manifest")
-    name = F.element_at(F.split(F.col("source_file"), "/"), -3)
-    man = man.withColumn("name", name)
-    try:
-        met = spark.read.option("mode", "PERMISSIVE").json(f"{root.rstrip('/')}/*/metrics") \
-            .withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)) \
-            .where(F.lower("split") == "test").drop("split")
-    except Exception:  # noqa: BLE001 - no metrics anywhere
-        return man.orderBy("name")
-    return man.join(met, "name", "left").orderBy("name")
+    name. A missing or broken manifest or metrics file leaves NULLs; a root
+    without runs, or none at all, gives no row."""
+    root = root.rstrip("/")
+    names = run_names(spark, root)
+    out = spark.createDataFrame([(n,) for n in names], "name string")
+    nth = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
+    kept = [n for n in names if _has(spark, f"{root}/{n}/manifest")]
+    cols = [f for f in MANIFEST_SCHEMA.fieldNames()]
+    if kept:
+        man = read_manifests(spark, [f"{root}/{n}/manifest" for n in kept]).withColumn("name", nth)
+        man = man.select("name", *[(F.col(c) if c in man.columns else F.lit(None).cast(MANIFEST_SCHEMA[c].dataType)).alias(c) for c in cols],
+                         "source_file").dropDuplicates(["name"])
+        out = out.join(man, "name", "left")
+    else:
+        out = out.select("name", *[F.lit(None).cast(MANIFEST_SCHEMA[c].dataType).alias(c) for c in cols],
+                         F.lit(None).cast("string").alias("source_file"))
+    kept = [n for n in names if _has(spark, f"{root}/{n}/metrics")]
+    if kept:
+        met = spark.read.option("mode", "PERMISSIVE").json([f"{root}/{n}/metrics" for n in kept])
+        if "split" in met.columns:
+            met = met.withColumn("name", nth).where(F.lower("split") == "test").drop("split", "_corrupt_record")
+            out = out.join(met, "name", "left")
+    return out.orderBy("name")
 
 
 def combine_scores(tables: dict, order=None) -> DataFrame:

@@ -59,9 +59,11 @@ def write_scores(scores: DataFrame, out: str, layout: str = "long", fmt: str = "
 
 
 def write_parity(parity: DataFrame, run_dir: str, fmt: str = "parquet", extra: str | None = None) -> str:
-    """A4: the parity table partitioned by split (train / test), and the
-    union under ``all``; optionally a second copy at ``extra``."""
+    """A4: the parity table partitioned by split (train / test) under
+    ``parity``, and the union with its split as a column under ``parity_all``;
+    optionally a second copy of the first at ``extra``."""
     _write(parity, f"{run_dir}/parity", fmt, partition_by="split")
+    _write(parity.select("actual", "predicted", "split"), f"{run_dir}/parity_all", fmt)
     if extra:
         _write(parity, extra, fmt, partition_by="split")
     return f"{run_dir}/parity"

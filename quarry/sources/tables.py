@@ -9,9 +9,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None,
-               infer: bool = True) -> DataFrame:
+               infer: bool = True, multi_line: bool = False) -> DataFrame:
     """A1: a table from CSV (header, inferred or declared types), Parquet or
-    JSON. Inference costs an extra pass over CSV; pass ``schema`` in
+    JSON (one object per line; ``multi_line`` for one document per file). Inference costs an extra pass over CSV; pass ``schema`` in
     production and keep the inferred one in the run manifest."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet")
                   else "json" if path.endswith(".json") else "csv")
@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
         r = r.schema(schema) if schema is not None else r.option("inferSchema", infer)
         return r.csv(path)
     if fmt == "json":
-        r = spark.read.option("multiLine", True)
+        r = spark.read.option("multiLine", multi_line)
         return (r.schema(schema) if schema is not None else r).json(path)
     return spark.read.parquet(path)
 
