@@ -36,7 +36,9 @@ def score_clean(fitted, df: DataFrame) -> ScoreResult:
     """Resolve the manifest's inputs by name (B9), coerce numeric inputs
     (B3), drop incomplete rows (B4), predict; output the inputs and the
     prediction. Raises when no row survives."""
-    sel = resolve_headers(df, fitted.inputs)
+    # a neighbour model finds its rows by their key
+    key = [fitted.params["key"]] if fitted.kind == "knn" else []
+    sel = resolve_headers(df, list(dict.fromkeys([*fitted.inputs, *key])))
     numeric = [c for c in fitted.inputs
                if fitted.input_types.get(c, "double") not in ("string", "boolean")]
     sel = coerce_numeric(sel, numeric)
@@ -46,7 +48,7 @@ def score_clean(fitted, df: DataFrame) -> ScoreResult:
     if counts["u"] == 0:
         raise ValueError("no row has every input present; nothing to score")
     clean = drop_incomplete(sel, fitted.inputs)
-    out = fitted.transform(clean).select(*fitted.inputs, fitted.pred_col)
+    out = fitted.transform(clean).select(*dict.fromkeys([*key, *fitted.inputs]), fitted.pred_col)
     return ScoreResult(out, int(counts["n"]), int(counts["u"]))
 
 

@@ -111,8 +111,7 @@ def train_model(df: DataFrame, target: str, inputs, task: str = "regression", ki
         from quarry.operators.tune import tune
         best, _ = tune(train, target, inputs, task, kind, key, tune_mode, trials, seed, profile, refit=False)
         params = {**params, **best}
-    params = _model_params(task, kind, key, params)
-    fitted = fit(train, target, inputs, task, kind, profile, seed, **params)
+    fitted = fit(train, target, inputs, task, kind, profile, seed, **_model_params(task, kind, key, params))
     cvt = cross_validate(train, target, inputs, task, kind, profile, seed, key, **params) if cv else None
     pred = _pred_frame(fitted, parts)
     par = pred.select("actual", "predicted", "split")

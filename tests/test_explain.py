@@ -65,5 +65,49 @@ def test_stream_scoring_equals_batch(spark, orders_feats, tmp_path):
 
 def test_tune_picks_from_draws(spark, orders_feats):
     from quarry.operators.tune import tune
-    best, table = tune(orders_feats, "sum_price", ["n_lines"], "r", "ridge", "l_orderkey", trials=2, k=2)
-    assert table.count() == 2 and "alpha" in best
+    model, table = tune(orders_feats, "sum_price", ["n_lines"], "r", "ridge", "l_orderkey", trials=7, k=2)
+    rows = table.orderBy("draw").collect()
+    assert len(rows) == 7 and len({r["params"] for r in rows}) == 7
+    best = max(rows, key=lambda r: (r["r2_mean"], -r["draw"]))
+    assert best["params"] == str([("alpha", model.params["alpha"])])
+
+
+def test_keyless_mi_ignores_the_partitioning(spark, orders_feats):
+    from quarry.operators import assoc
+    d = orders_feats.select("n_lines", "sum_qty", "sum_price")
+    got = [assoc.associate(d.repartition(n), "sum_price", "regression", ["mi"], inputs=["n_lines", "sum_qty"])[0]
+           .orderBy("feature").select("score").collect() for n in (1, 7)]
+    assert [round(r[0], 9) for r in got[0]] == [round(r[0], 9) for r in got[1]]
+
+
+def test_svr_follows_a_smooth_curve(spark):
+    import numpy as np
+    from quarry.operators import models
+    d = spark.range(1000).select("id", (F.col("id") / 100.0).alias("x")).withColumn("y", 10 * F.sin("x") + 50)
+    for profile in ("core", "gui"):
+        m = models.fit(d, "y", ["x"], "regression", "svr", profile)
+        p = m.transform(d).toPandas()
+        x = (p.x - p.x.mean()) / p.x.std(ddof=0)
+        kernel = np.exp(-np.subtract.outer(x.values, x.values) ** 2)
+        c = m.params["C"]
+        exact = p.y.mean() + kernel @ np.linalg.solve(kernel + np.eye(len(x)) / c, p.y - p.y.mean())
+        line = np.polyval(np.polyfit(p.x, p.y, 1), p.x)
+        sse = lambda z: ((p.y - z) ** 2).sum()
+        assert sse(p.y_pred) < 0.05 * sse(line)
+        assert np.abs(p.y_pred - exact).max() < 0.5
+
+
+def test_saved_runs_score_and_explain(spark, orders_feats, tmp_path):
+    from quarry.plans.explain_job import explain_run
+    from quarry.plans.score import score_run
+    from quarry.plans.train import train_model
+    data = str(tmp_path / "data.parquet")
+    orders_feats.write.parquet(data)
+    for kind in ("ridge", "knn"):
+        run = str(tmp_path / kind)
+        r = train_model(orders_feats, "sum_price", ["n_lines", "sum_qty"], "regression", kind, key="l_orderkey", out_dir=run,
+                        data_path=data, cv=kind == "knn")
+        assert r.metrics.count() == 2
+        assert score_run(spark, run).rows_used == orders_feats.count()
+    imp, report = explain_run(spark, str(tmp_path / "ridge"), "l_orderkey", repeats=2)
+    assert imp.count() == 2 and report.first()["n_samples"] == orders_feats.count()
