@@ -1,102 +1,183 @@
 """Exact k-nearest-neighbour models (E9 regression, E15 classification),
-kernel K4, on standardised inputs, without forming query x reference pairs.
-
-Reference (training) rows are cut into strips by the first coordinate and,
-inside a strip, into cells of ``CELL`` rows in order of the second
-coordinate (K1 positions). For a query row:
-  1. the reference rows of the cell it falls in and of the cell before
-     (at most 2 * CELL rows, found by a K1 probe count) give an upper bound
-     ``ub`` on its k-th neighbour distance;
-  2. every reference row within ``ub`` of it in the first two coordinates
-     (a superset of the Euclidean ball) lies in the strips and cells that the
-     square [c0 +/- ub] x [c1 +/- ub] overlaps; the query is exploded to those
-     cells and equi-joined with their rows, the full distance is computed,
-     and the k nearest (ties by reference key) are kept.
-The candidates of a query are the reference rows near it, so the work is
-bounded by local density, not by the size of any group. Regression averages
-the k labels; classification takes the most frequent label (ties to the
-lowest class), as the reference's estimators do.
+kernel K4, on standardised inputs, in any number of dimensions.
+
+About sqrt(n) reference rows, picked by hash, are pivots (``MAX_PIVOTS`` at
+most, so their broadcast is bounded). Every reference row belongs to the cell
+of its nearest pivot and keeps its distance to it; a cell knows its count and
+its least and greatest such distance. For a query:
+  1. the cells of the nearest pivots that together hold k rows are searched;
+     the k-th distance found is an upper bound ``ub``;
+  2. by the triangle inequality a row x of a cell with pivot p can be within
+     ``ub`` only if |d(q, p) - d(x, p)| <= ub: all other cells whose distance
+     range meets that are searched, and inside them only such rows.
+All inputs take part in the pruning. A task holds one block of a cell's rows and
+one block of the queries sent to it, compares them as arrays, and returns k rows
+per query; cells and queries beyond ``BLOCK_ROWS`` are dealt into several
+blocks, so a hot cell is never one task. Ties go to the smaller reference key.
+Regression averages the k labels; classification takes the most frequent label
+(ties to the lowest class), as the reference's estimators do.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.kernels import bucket_count, bucketize, cut_points, ordered_positions, prefix_below
-
-CELL = 16
-# The search square only has to contain the ball; widen it outward so that a
-# neighbour lying exactly on its edge is never lost to rounding of c +/- ub.
+MAX_PIVOTS = 2048
+BLOCK_ROWS = 20_000
+# Rounding of sums may not lose a row that lies exactly on the bound.
 WIDEN = 1e-9
 
 
-def _coords(df: DataFrame, d: int) -> DataFrame:
-    arr = vector_to_array("features")
-    return df.select("*", *[arr[i].alias(f"__c{i}") for i in range(d)],
-                     *([F.lit(0.0).alias("__c1")] if d == 1 else []))
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` to all rows of ``b``, summed
+    input by input."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        out += (a[:, j, None] - b[None, :, j]) ** 2
+    return np.sqrt(out)
+
+
+class Cells:
+    """The pivots and, per cell, its row count and range of pivot distances."""
+
+    def __init__(self, pivots: np.ndarray, stats: pd.DataFrame):
+        self.pivots = pivots
+        m = len(pivots)
+        self.n, self.low, self.high = np.zeros(m, np.int64), np.full(m, np.inf), np.full(m, -np.inf)
+        at = stats["cell"].to_numpy(int)
+        self.n[at], self.low[at], self.high[at] = stats["n"], stats["low"], stats["high"]
+
+    def first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """(queries x cells) mask: the nearest cells that hold k rows together."""
+        order = np.argsort(np.where(self.n > 0, d, np.inf), axis=1, kind="stable")
+        counts = self.n[order]
+        take = np.cumsum(counts, axis=1) - counts < k
+        mask = np.zeros(d.shape, bool)
+        np.put_along_axis(mask, order, take, axis=1)
+        return mask & (self.n > 0)
+
+    def within(self, d: np.ndarray, ub: np.ndarray) -> np.ndarray:
+        """(queries x cells) mask: cells that can hold a row within ``ub``."""
+        edge = (ub * (1 + WIDEN) + WIDEN)[:, None]
+        return (d - self.high <= edge) & (self.low - d <= edge) & (self.n > 0)
+
+
+def assign(df: DataFrame, pivots: np.ndarray, others: str) -> DataFrame:
+    """``df`` (with ``v``) and its ``cell`` and distance ``r`` to that pivot."""
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+
+    @F.pandas_udf("cell int, r double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, shared.value.shape[1]))
+        cell, r = np.zeros(len(x), int), np.zeros(len(x))
+        step = max(1, 4_000_000 // max(1, len(shared.value)))
+        for lo in range(0, len(x), step):
+            d = _distances(x[lo:lo + step], shared.value)
+            cell[lo:lo + step] = d.argmin(1)
+            r[lo:lo + step] = d.min(1)
+        return pd.DataFrame({"cell": cell, "r": r})
+
+    return df.withColumn("__a", nearest("v")).select(*others.split(), "v", "__a.cell", "__a.r")
+
+
+def _probes(qry: DataFrame, shared, k: int, second: bool) -> DataFrame:
+    """(qid, v, d, ub, cell): the cells that each query searches first, or (with
+    its ``ub``) those it still has to search."""
+    def run(batches):
+        cells = shared.value
+        for b in batches:
+            step = max(1, 4_000_000 // max(1, len(cells.pivots)))
+            for lo in range(0, len(b), step):
+                part = b.iloc[lo:lo + step]
+                d = _distances(np.stack(part["v"].to_numpy()), cells.pivots)
+                mask = cells.first(d, k)
+                ub = np.full(len(part), np.inf)
+                if second:
+                    ub = part["ub"].to_numpy(float)
+                    mask = cells.within(d, ub) & ~mask
+                i, c = np.nonzero(mask)
+                yield pd.DataFrame({"qid": part["qid"].to_numpy(object)[i], "v": part["v"].to_numpy(object)[i],
+                                    "d": d[i, c], "ub": ub[i], "cell": c.astype(np.int32)})
+
+    kind = qry.schema["qid"].dataType.simpleString()
+    return qry.mapInPandas(run, f"qid {kind}, v array<double>, d double, ub double, cell int")
+
+
+def _search(cells: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """(qid, dist, rid, label): per query and block of rows the k nearest."""
+    def parts(df, key):
+        """Blocks per cell, from its count."""
+        sizes = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(f"n_{key}"))
+        return sizes
+
+    sizes = parts(cells, "x").join(parts(probes, "q"), "cell")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    left = (cells.join(sizes, "cell").withColumn("px", F.pmod(F.xxhash64("rid"), F.col("n_x")).cast("int"))
+            .select("cell", "rid", "label", "v", "r", "px", every("n_q", "pq")))
+    right = (probes.join(sizes, "cell").withColumn("pq", F.pmod(F.xxhash64("qid"), F.col("n_q")).cast("int"))
+             .select("cell", "qid", F.col("v").alias("qv"), "d", "ub", "pq", every("n_x", "px")))
+    kinds = {"qid": probes.schema["qid"].dataType.simpleString(), "rid": cells.schema["rid"].dataType.simpleString()}
+
+    def nearest(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(x) and len(q):
+            x = x.sort_values(["r", "rid"])
+            xv, r = np.stack(x["v"].to_numpy()), x["r"].to_numpy()
+            rid, label, qid = x["rid"].to_numpy(), x["label"].to_numpy(), q["qid"].to_numpy()
+            qv, d, ub = np.stack(q["qv"].to_numpy()), q["d"].to_numpy(), q["ub"].to_numpy()
+            edge = ub * (1 + WIDEN) + WIDEN
+            lo, hi = np.searchsorted(r, d - edge, "left"), np.searchsorted(r, d + edge, "right")
+            for i in np.flatnonzero(hi > lo):
+                dist = _distances(qv[i:i + 1], xv[lo[i]:hi[i]])[0]
+                near = np.flatnonzero(dist <= edge[i])
+                best = near[np.lexsort((rid[lo[i] + near], dist[near]))[:k]]
+                found.append((np.repeat(qid[i], len(best)), dist[best], rid[lo[i] + best], label[lo[i] + best]))
+        if not found:
+            return pd.DataFrame({"qid": [], "dist": [], "rid": [], "label": []})
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(["qid", "dist", "rid", "label"], zip(*found), strict=True)})
+
+    return left.groupBy("cell", "px", "pq").cogroup(right.groupBy("cell", "px", "pq")).applyInPandas(
+        nearest, f"qid {kinds['qid']}, dist double, rid {kinds['rid']}, label double")
+
+
+def _k_best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy("dist", "rid")
+    return found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+
+
+def knn_cells(ref: DataFrame) -> tuple[DataFrame, Cells]:
+    """The reference rows with their cells, and the cells' facts."""
+    n = ref.count()
+    wanted = max(1, min(MAX_PIVOTS, math.isqrt(n)))
+    rows = ref.select("v").orderBy(F.md5(F.col("rid").cast("string"))).limit(wanted).collect()
+    pivots = np.unique(np.array([r["v"] for r in rows], float).reshape(len(rows), -1), axis=0)
+    if not len(pivots):
+        raise ValueError("no reference rows")
+    cells = assign(ref, pivots, "rid label").persist()
+    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).toPandas()
+    return cells, Cells(pivots, stats)
 
 
-def knn_neighbours(ref: DataFrame, qry: DataFrame, d: int, k: int) -> DataFrame:
+def knn_neighbours(ref: DataFrame, qry: DataFrame, d: int, k: int, cells=None) -> DataFrame:
     """(qid, rid, dist, label) for the k nearest reference rows of every
-    query row. ``ref`` has (rid, label, __c0..), ``qry`` has (qid, __c0..)."""
-    spark = ref.sparkSession
-    n = ref.count()
-    strips = max(1, int(math.sqrt(n / (CELL * 4.0))))
-    xc = cut_points(ref, ["__c0"], strips)["__c0"] if strips > 1 else []
-    yc = cut_points(ref, ["__c1"], bucket_count(spark, n))["__c1"]
-    r = bucketize(ref, "__c0", xc, "__s")
-    r = ordered_positions(r, ["__c1", "rid"], group_cols=["__s"], out="__pos", n_rows=n, n_groups=len(xc) + 1)
-    r = r.withColumn("__cell", (F.col("__pos") / CELL).cast("long")).persist()
-    dist = F.sqrt(sum(((F.col(f"q{i}") - F.col(f"__c{i}")) ** 2 for i in range(d)), F.lit(0.0)))
-    cols = [f"__c{i}" for i in range(max(d, 2))]
-    q = qry.select("qid", *[F.col(c).alias("q" + c[3:]) for c in cols])
-    q = bucketize(q.withColumn("__q0", F.col("q0")), "__q0", xc, "__s")
-
-    def cell_counts(probes):
-        """(qid, __s, side, below): reference rows of strip __s strictly
-        before each probe value in second-coordinate order."""
-        pts = r.select(F.col("rid").alias("id"), "__s", F.col("__c1").alias("v"), F.lit(1).alias("kind"),
-                       F.lit(-1).alias("side"), F.lit(1).alias("w"))
-        u = bucketize(pts.unionByName(probes.withColumn("w", F.lit(0))), "v", yc, "__vb")
-        c = prefix_below(u, ["__s"], "__vb", ["v", "kind", "id", "side"], "w", out="below",
-                         rows_bound=(len(xc) + 1) * (len(yc) + 1))
-        return c.where(F.col("w") == 0).select(F.col("id").alias("qid"), "__s", "side", "below")
-
-    # 1. upper bound from the query's own cell and the one before
-    own = cell_counts(q.select(F.col("qid").alias("id"), "__s", F.col("q1").alias("v"), F.lit(0).alias("kind"),
-                               F.lit(0).alias("side")))
-    own = own.select("qid", "__s", F.explode(F.array((F.col("below") / CELL).cast("long"),
-                                                     (F.col("below") / CELL).cast("long") - 1)).alias("__cell"))
-    near = own.join(r, ["__s", "__cell"]).join(q.drop("__s", "__q0"), "qid")
-    w = Window.partitionBy("qid").orderBy("__d", "rid")
-    ub = near.select("qid", "rid", dist.alias("__d")).withColumn("__r", F.row_number().over(w)) \
-        .where(F.col("__r") <= k).groupBy("qid").agg(F.max("__d").alias("ub"), F.count(F.lit(1)).alias("__m"))
-    qq = q.join(ub, "qid", "left").withColumn(
-        "ub", F.when(F.col("__m") >= F.lit(min(k, n)), F.col("ub")).otherwise(F.lit(float("inf"))))
-    qq = qq.withColumn("ub", F.col("ub") + F.lit(WIDEN) * (F.col("ub") + F.abs("q0") + F.abs("q1")))
-    # 2. exact search inside the square
-    qq = bucketize(qq.withColumn("__lo", F.col("q0") - F.col("ub")), "__lo", xc, "__s_lo")
-    qq = bucketize(qq.withColumn("__hi", F.col("q0") + F.col("ub")), "__hi", xc, "__s_hi")
-    qs = qq.select("qid", "q1", "ub", F.explode(F.sequence("__s_lo", "__s_hi")).alias("__s"))
-    lo = qs.select(F.col("qid").alias("id"), "__s", (F.col("q1") - F.col("ub")).alias("v"),
-                   F.lit(0).alias("kind"), F.lit(0).alias("side"))
-    hi = qs.select(F.col("qid").alias("id"), "__s", (F.col("q1") + F.col("ub")).alias("v"),
-                   F.lit(2).alias("kind"), F.lit(1).alias("side"))
-    c = cell_counts(lo.unionByName(hi))
-    rng = c.groupBy("qid", "__s").agg(F.max(F.when(F.col("side") == 0, F.col("below"))).alias("a"),
-                                      F.max(F.when(F.col("side") == 1, F.col("below"))).alias("b"))
-    rng = rng.where(F.col("b") > F.col("a")).select(
-        "qid", "__s", F.explode(F.sequence((F.col("a") / CELL).cast("long"),
-                                           ((F.col("b") - 1) / CELL).cast("long"))).alias("__cell"))
-    cand = rng.join(r, ["__s", "__cell"]).join(q.drop("__s", "__q0"), "qid")
-    cand = cand.select("qid", "rid", "label", dist.alias("dist"))
-    w2 = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= k).drop("__r")
+    query row. ``ref`` has (rid, label, v), ``qry`` has (qid, v); a query with a
+    missing input finds nothing."""
+    table, facts = cells or knn_cells(ref)
+    shared = ref.sparkSession.sparkContext.broadcast(facts)
+    qry = qry.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).select("qid", "v").persist()
+    first = _k_best(_search(table, _probes(qry, shared, k, False), k), k).persist()
+    ub = first.groupBy("qid").agg(F.max("dist").alias("ub"), F.count(F.lit(1)).alias("m"))
+    # fewer than k reference rows: everything was searched
+    q = qry.join(ub.where(F.col("m") >= k).select("qid", "ub"), "qid")
+    rest = _search(table, _probes(q, shared, k, True), k)
+    return _k_best(first.drop("__r").unionByName(rest), k).drop("__r")
 
 
 class KnnModel:
@@ -104,13 +185,15 @@ class KnnModel:
 
     def __init__(self, features: PipelineModel, reference: DataFrame, k: int, task: str, d: int):
         self.features, self.reference, self.k, self.task, self.d = features, reference, k, task, d
+        self.cells = None
 
     def predict(self, df: DataFrame, key: str) -> DataFrame:
         """(key, prediction): mean label (regression) or majority label with
         ties to the lowest class index (classification)."""
-        q = _coords(self.features.transform(df), self.d).select(F.col(key).alias("qid"),
-                                                                *[f"__c{i}" for i in range(max(self.d, 2))])
-        nb = knn_neighbours(self.reference, q, self.d, self.k)
+        q = self.features.transform(df).select(F.col(key).alias("qid"), vector_to_array("features").alias("v"))
+        if self.cells is None:
+            self.cells = knn_cells(self.reference)
+        nb = knn_neighbours(self.reference, q, self.d, self.k, self.cells)
         if self.task == "regression":
             out = nb.groupBy("qid").agg(F.avg("label").alias("prediction"))
         else:
@@ -120,6 +203,12 @@ class KnnModel:
                 .select("qid", F.col("label").alias("prediction"))
         return out.withColumnRenamed("qid", key)
 
+    def release(self) -> None:
+        """Free the cached rows of the cells."""
+        if self.cells is not None:
+            self.cells[0].unpersist()
+            self.cells = None
+
 
 def fit_knn(data: DataFrame, inputs, task: str, k: int, key: str) -> KnnModel:
     """``data`` has the inputs and a DOUBLE ``label`` (class index for
@@ -130,8 +219,6 @@ def fit_knn(data: DataFrame, inputs, task: str, k: int, key: str) -> KnnModel:
     enc, _ = encoder_stages(data, inputs, scale=False, out="__raw")
     stages = list(enc) + [StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)]
     pm = Pipeline(stages=stages).fit(data)
-    t = pm.transform(data)
-    d = len(t.select("features").first()[0])
-    ref = _coords(t, d).select(F.col(key).alias("rid"), "label", *[f"__c{i}" for i in range(max(d, 2))])
-    from pyspark import StorageLevel
-    return KnnModel(pm, ref.persist(StorageLevel.MEMORY_AND_DISK), k, task, d)
+    t = pm.transform(data).select(F.col(key).alias("rid"), F.col("label").cast("double").alias("label"),
+                                  vector_to_array("features").alias("v"))
+    return KnnModel(pm, t, k, task, int(len(pm.stages[-1].mean)))
