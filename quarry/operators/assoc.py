@@ -68,8 +68,8 @@ def spearman(prep: Prepared, cuts: dict | None = None) -> DataFrame:
     """Pearson on average ranks, every input in the same stages.
 
     The frame is bucketed once for all columns (K1 cut points), unpivoted to
-    (feature, x, y), and the (feature, x, y) triples are pre-aggregated so
-    hot pairs collapse map-side. Ranks of x per feature and of y come from
+    (feature, x, rank of y), and rows are aggregated by (feature, x) so that
+    equal values collapse map-side. Ranks of x per feature and of y come from
     K1; they are joined back on value, and a weighted correlation of centred
     ranks finishes (the mean rank (n+1)/2 is exact, so no cancellation).
     """

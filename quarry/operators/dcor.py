@@ -12,9 +12,9 @@ Row sums are prefix sums over the sorted values (K1). The pair sum A comes
 from a dyadic decomposition of the (x, y) order: every pair p < q of
 positions meets in exactly one (level, block) with p in the left half and q
 in the right; there, running sums of 1, x, y, xy over the left half, in y
-order, give each right row's share. That is n log n rows and no pair. Blocks
-up to ``rows_per_bucket`` rows use one window each; the few larger blocks of
-the top levels are split by y buckets (K1). Rows are pre-aggregated into
+order, give each right row's share: n log n steps and no pair. Rows are shuffled
+once by block of ``INNER_ROWS`` positions, whose task sums every level inside;
+only the few levels above write a row per level, split by y buckets (K1). Rows are pre-aggregated into
 distinct (x, y) with a count, so repeated values cost nothing, and x and y
 are centred first so the sums do not cancel.
 """
@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.kernels import (bucket_count, bucketize, cut_points, ordered_positions,
@@ -44,12 +46,56 @@ def _row_sums(pairs: DataFrame, v: str, n: int, cuts) -> DataFrame:
     return r.select("v", s.alias("s"))
 
 
+# Rows of one block of positions; the levels below it are summed in one task.
+INNER_ROWS = 1 << 17
+
+
+def _inner_sum(pos: np.ndarray, x: np.ndarray, y: np.ndarray, c: np.ndarray, levels: int) -> float:
+    """Sum over position pairs p < q that share a block of 2^levels positions of
+    c_p c_q (x_q - x_p) |y_q - y_p|: at each level the left half of every block
+    meets its right half, by running sums in y order."""
+    total = 0.0
+    w_all = np.stack([c, c * y, c * x, c * x * y])
+    for lvl in range(levels):
+        blk, side = pos >> (lvl + 1), (pos >> lvl) & 1
+        o = np.lexsort((pos, side, y, blk))
+        new = np.r_[True, blk[o][1:] != blk[o][:-1]]
+        at, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        right = side[o] == 1
+        w = np.where(right, 0.0, w_all[:, o])
+        run = np.cumsum(w, axis=1)
+        base = np.concatenate([np.zeros((4, 1)), run[:, start[1:] - 1]], axis=1)
+        below = run - w - base[:, at]
+        above = (run[:, np.r_[start[1:] - 1, len(o) - 1]] - base)[:, at] - below
+        xo, yo = x[o], y[o]
+        pair = lambda v: xo * yo * v[0] - xo * v[1] - yo * v[2] + v[3]
+        total += float((c[o] * (pair(below) - pair(above)))[right].sum())
+    return total
+
+
 def pair_sum(pairs: DataFrame, m: int) -> float:
-    """A / 2 = sum over position pairs p < q of c_p c_q (x_q - x_p) |y_q - y_p|."""
+    """A / 2 = sum over position pairs p < q of c_p c_q (x_q - x_p) |y_q - y_p|.
+
+    Rows are shuffled once by block of positions; a task sums all levels inside
+    its block. Only the few levels above write a row per level."""
     spark = pairs.sparkSession
     levels = max(1, math.ceil(math.log2(max(m, 2))))
     pos = ordered_positions(pairs, ["x", "y"], n_rows=m)
-    ex = pos.select("x", "y", "c", "pos", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
+    limit = max(2, min(INNER_ROWS, rows_per_bucket(spark)))
+    inner = max(0, min(levels, int(math.floor(math.log2(limit)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        a = _inner_sum(*(pdf[k].to_numpy() for k in ("pos", "x", "y", "c")), inner)
+        return pd.DataFrame({"a": [a]})
+
+    if inner < levels:
+        pos = pos.persist()
+    total = (pos.select("pos", "x", "y", "c", F.expr(f"shiftright(pos, {inner})").alias("blk"))
+             .groupBy("blk").applyInPandas(run, "a double").agg(F.sum("a")).first()[0] or 0.0)
+    if inner >= levels:
+        return total
+    ex = pos.select("x", "y", "c", "pos", F.explode(F.sequence(F.lit(inner), F.lit(levels - 1))).alias("lvl"))
     ex = ex.withColumn("blk", F.expr("shiftright(pos, lvl + 1)")) \
            .withColumn("side", F.expr("cast(shiftright(pos, lvl) & 1 as int)"))
     left = F.col("side") == 0
@@ -57,34 +103,20 @@ def pair_sum(pairs: DataFrame, m: int) -> float:
           F.when(left, F.col("c") * F.col("x")).otherwise(0.0),
           F.when(left, F.col("c") * F.col("x") * F.col("y")).otherwise(0.0)]
     ex = ex.select("*", *[w.alias(f"w{i}") for i, w in enumerate(ws)])
-    limit = max(2, rows_per_bucket(spark))
-    small_lvls = max(0, min(levels, int(math.floor(math.log2(limit))) - 1))
-    order = ["y", "side", "pos"]
-    # levels whose blocks fit in one task: one window per (level, block)
-    small = ex.where(F.col("lvl") < small_lvls)
-    w = Window.partitionBy("lvl", "blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    small = small.select("*", *[F.coalesce(F.sum(f"w{i}").over(w), F.lit(0.0)).alias(f"l{i}") for i in range(4)])
-    parts = [small]
-    if small_lvls < levels:
-        big = ex.where(F.col("lvl") >= small_lvls)
-        cuts = cut_points(pairs, ["y"], bucket_count(spark, m))["y"]
-        big = bucketize(big, "y", cuts, "__yb")
-        nblocks = sum(max(1, m >> (lv + 1)) for lv in range(small_lvls, levels))
-        big = prefix_below(big, ["lvl", "blk"], "__yb", order, [f"w{i}" for i in range(4)],
-                           out=[f"l{i}" for i in range(4)], rows_bound=nblocks * (len(cuts) + 1))
-        parts.append(big.drop("__yb"))
-    allr = parts[0]
-    for p in parts[1:]:
-        allr = allr.unionByName(p)
-    tots = Window.partitionBy("lvl", "blk")
-    allr = allr.select("*", *[F.sum(f"w{i}").over(tots).alias(f"t{i}") for i in range(4)]) \
-        if small_lvls >= levels else _block_totals(allr)
+    cuts = cut_points(pairs, ["y"], bucket_count(spark, m))["y"]
+    big = bucketize(ex, "y", cuts, "__yb")
+    nblocks = sum(max(1, m >> (lv + 1)) for lv in range(inner, levels))
+    big = prefix_below(big, ["lvl", "blk"], "__yb", ["y", "side", "pos"], [f"w{i}" for i in range(4)],
+                       out=[f"l{i}" for i in range(4)], rows_bound=nblocks * (len(cuts) + 1))
+    allr = _block_totals(big.drop("__yb"))
     x, y = F.col("x"), F.col("y")
     first = x * y * F.col("l0") - x * F.col("l1") - y * F.col("l2") + F.col("l3")
     g = [F.col(f"t{i}") - F.col(f"l{i}") for i in range(4)]
     second = -(x * y * g[0] - x * g[1] - y * g[2] + g[3])
     contrib = F.when(F.col("side") == 1, F.col("c") * (first + second)).otherwise(0.0)
-    return allr.agg(F.sum(contrib).alias("a")).first()["a"] or 0.0
+    top = allr.agg(F.sum(contrib).alias("a")).first()["a"] or 0.0
+    pos.unpersist()
+    return total + top
 
 
 def _block_totals(allr: DataFrame) -> DataFrame:
