@@ -28,6 +28,12 @@ class TrainResult:
     seed: int
     n_train: int
     n_test: int
+    parts: DataFrame | None = None      # the cached split, which parity and metrics read
+
+    def release(self) -> None:
+        """Free the cached split; parity and metrics are recomputed if read again."""
+        if self.parts is not None:
+            self.parts.unpersist()
 
 
 def _pred_frame(fitted: FittedModel, df: DataFrame, split: str | None = None) -> DataFrame:
@@ -125,4 +131,4 @@ def train_model(df: DataFrame, target: str, inputs, task: str = "regression", ki
         sinks.write_parity(par, out_dir)
         if cvt is not None:
             cvt.coalesce(1).write.mode("overwrite").json(f"{out_dir}/cv")
-    return TrainResult(fitted, par, metrics, cvt, seed, counts.get("train", 0), counts.get("test", 0))
+    return TrainResult(fitted, par, metrics, cvt, seed, counts.get("train", 0), counts.get("test", 0), parts)

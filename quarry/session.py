@@ -3,6 +3,7 @@ benchmarks, and one that finds the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,6 +39,18 @@ def get_spark(master: str | None = None, partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    return importable(spark)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver did, when
+    that is no installed place: the folder joins their PYTHONPATH. (Where
+    executors do not see that folder, ship the package with --py-files.)"""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    parts = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if home not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([*parts, home])
     return spark
 
 
