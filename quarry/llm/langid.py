@@ -40,7 +40,7 @@ TERM_SCALE = 100.0          # relative frequencies are small; one constant for a
 BLOCK = 1 << 18
 CHUNKS = 32                 # document frequencies travel as so many slices
 UNDETERMINED = "und"
-MIN_SCORE = 0.4             # least score of a document that ``identified`` keeps
+MIN_SCORE = 0.3             # least score of a document that ``identified`` keeps (texts in two languages score low)
 
 _D = 1 << HASH_BITS
 _MIX = np.uint32(0x9E3779B1)
