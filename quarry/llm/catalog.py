@@ -27,7 +27,23 @@ def op1(spark, sf_dir):
     return quality.quality_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
-@register("op2_minhash_dedup")
+# All pairs that share a shingle, and the transitive closure of their links.
+DEDUP_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+x AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5
+  THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+  WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM x a JOIN x b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM c JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * common >= 75 * (nu.n + nv.n - common)),
+reach(id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT id, e.v FROM reach JOIN e ON r = e.u),
+root AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN root ON root.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+
+@register("op2_minhash_dedup", DEDUP_SQL)
 def op2(spark, sf_dir):
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -56,7 +72,16 @@ def op4(spark, sf_dir):
     return chat.digests(chat.read_back(chat.format_conversations(rows)))
 
 
-@register("op8_html_main_text")
+# On pages of this table the article is one element without boilerplate inside.
+ARTICLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS h FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(b|i|em|strong|a|span)\b[^>]*>', '', 'g'), '<(/?[a-zA-Z!][^>]*)>', ' ', 'g') AS t FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM t),
+s AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM s"""
+
+
+@register("op8_html_main_text", ARTICLE_SQL)
 def op8(spark, sf_dir):
     return html_text.extract(load(spark, sf_dir, "pages"))
 

@@ -136,22 +136,22 @@ SQL = rf"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS at FROM rows_),
-e AS (SELECT *, (at = 0 AND role = '{SYSTEM}') AS is_system, (strlen(text) + 3) // 4 + 4 AS tokens,
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM rows_),
+e AS (SELECT *, (place = 0 AND role = '{SYSTEM}') AS is_system, (strlen(text) + 3) // 4 + 4 AS tokens,
   {len(TURN + TEXT + END)} + length(regexp_replace(regexp_replace(role, '<(\\*)({ANGLE})', '<\\\1\2', 'g'), '\[(\\*)({SQUARE})', '[\\\1\2', 'g'))
   + length(regexp_replace(regexp_replace(text, '<(\\*)({ANGLE})', '<\\\1\2', 'g'), '\[(\\*)({SQUARE})', '[\\\1\2', 'g')) AS chars FROM n),
 s AS (SELECT *, max(CASE WHEN is_system THEN chars END) OVER (PARTITION BY conv_id) AS system_chars,
   greatest({BUDGET - HISTORY_TOKENS} - max(CASE WHEN is_system THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), 1) AS room,
-  sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY at) AS ends FROM e),
+  sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY place) AS ends FROM e),
 p AS (SELECT *, ends - CASE WHEN is_system THEN 0 ELSE tokens END AS starts FROM s),
 c AS (SELECT *, floor(starts / room) AS cell_a, floor((ends - 1) / room) AS cell_b FROM p),
-o AS (SELECT *, at > (CASE WHEN system_chars IS NULL THEN 0 ELSE 1 END)
-  AND (cell_a <> lag(cell_a) OVER (PARTITION BY conv_id ORDER BY at) OR cell_b <> lag(cell_b) OVER (PARTITION BY conv_id ORDER BY at)) AS opens FROM c),
+o AS (SELECT *, place > (CASE WHEN system_chars IS NULL THEN 0 ELSE 1 END)
+  AND (cell_a <> lag(cell_a) OVER (PARTITION BY conv_id ORDER BY place) OR cell_b <> lag(cell_b) OVER (PARTITION BY conv_id ORDER BY place)) AS opens FROM c),
 h AS (SELECT f.conv_id, sum(b.chars) AS history_chars FROM o f JOIN o b ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.opens
-  AND b.at BETWEEN f.at - {HISTORY_TURNS} AND f.at - 1 AND NOT b.is_system AND f.starts - b.starts <= {HISTORY_TOKENS} GROUP BY f.conv_id),
+  AND b.place BETWEEN f.place - {HISTORY_TURNS} AND f.place - 1 AND NOT b.is_system AND f.starts - b.starts <= {HISTORY_TOKENS} GROUP BY f.conv_id),
 g AS (SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-  coalesce(string_agg(CASE WHEN role = '{TARGET}' THEN text END, '' ORDER BY at), '') AS loss,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(string_agg(CASE WHEN role = '{TARGET}' THEN text END, '' ORDER BY place), '') AS loss,
   sum(chars) + sum(CASE WHEN opens THEN coalesce(system_chars, 0) ELSE 0 END) AS chars FROM o GROUP BY conv_id)
 SELECT g.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(g.chars + coalesce(h.history_chars, 0) AS BIGINT) AS formatted_chars
