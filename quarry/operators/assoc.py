@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.params import canonical_metrics, canonical_task
 from quarry.operators.kernels import Cached, bucket_count, bucketize_many, cut_points, prefix_below
-from quarry.operators.prep import Prepared, prepare_for_association
+from quarry.operators.prep import Prepared, numeric_features, prepare_for_association
+from quarry.session import run_parallel
 
 SCORE_SCHEMA = "feature string, score double"
 SIGNED = ("pearson", "spearman")
@@ -112,15 +113,27 @@ def spearman(prep: Prepared, cuts: dict | None = None) -> DataFrame:
 def associate(df: DataFrame, target: str, task: str = "regression", metrics=("pearson", "spearman"),
               inputs=None, topk: int | None = None, mi_neighbors: int = 3, seed: int = 0,
               jitter: bool = True, dcor_sample: int | None = None,
-              prepared: Prepared | None = None, key: str | None = None) -> tuple[DataFrame, Prepared]:
+              prepared: Prepared | None = None, key: str | None = None,
+              pairwise: bool = False) -> tuple[DataFrame, Prepared]:
     """Clean (B1-B6), score every metric, and rank each metric's
     features by |score| (descending, ties by feature name), keeping the top
     ``topk`` per metric when given. Returns the long table
     ``(metric, feature, score, metric_order, rank)`` and the cleaning result.
+
+    Rows lacking any used column are dropped (listwise). With ``pairwise`` every
+    input is scored on the rows that have it and the target (B5), input by
+    input; the cleaning result then describes the listwise frame.
     """
     task = canonical_task(task)
     metrics = canonical_metrics(metrics)
     prep = prepared or prepare_for_association(df, target, inputs, task, key=key)
+    if pairwise:
+        wanted = [c for c in (inputs if inputs is not None else numeric_features(df, target)) if c in df.columns and c != target]
+        options = dict(mi_neighbors=mi_neighbors, seed=seed, jitter=jitter, dcor_sample=dcor_sample, key=key)
+        rows = [r for one in run_parallel([lambda c=c: associate(df, target, task, metrics, [c], **options)[0].drop("rank").collect()
+                                           for c in wanted]) for r in one]
+        long = df.sparkSession.createDataFrame(rows, "metric string, feature string, score double, metric_order int")
+        return rank_scores(long, topk), prep
     frame = prep.frame.persist()
     prep.frame = frame
     spark = frame.sparkSession

@@ -62,6 +62,9 @@ SCALED_KINDS = {"svr", "knn"}
 TREE_KINDS = {"rf", "hgb", "xgb"}
 MAX_TREE_DEPTH = 30   # MLlib's limit; the reference grows forests fully
 FOREST_BINS = 255     # candidate thresholds per input of every tree model
+# Least share of the training rows in a forest's leaf: up to 10,000 rows a leaf may
+# hold one row, as in the reference; beyond, it bounds a tree at 20,000 nodes.
+MIN_LEAF_SHARE = 1e-4
 # Forest learners split every node of a level group in one pass over the data;
 # a larger group budget and cached node ids mean fewer passes for deep trees
 # (boosted trees are shallow; there the cache's checkpoints cost more).
@@ -164,6 +167,7 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
     from pyspark.ml import regression as R
     common = dict(featuresCol="features", labelCol="label", predictionCol="prediction")
     depth = min(MAX_TREE_DEPTH, int(p.get("max_depth", MAX_TREE_DEPTH)))
+    leaf = max(1, math.ceil(n * float(p.get("min_leaf_share", MIN_LEAF_SHARE))))
     if task == "regression":
         if kind == "linear":
             return R.LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="normal", **common)
@@ -180,7 +184,7 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
                                       standardization=False, maxIter=p["max_iter"], tol=1e-10, **common)
         if kind == "rf":
             return R.RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy="all", maxDepth=depth,
-                                           minInstancesPerNode=1, maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
+                                           minInstancesPerNode=leaf, maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
         if kind == "hgb":
             return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
                                   minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=seed, **common)
@@ -201,7 +205,7 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
                                         elasticNetParam=0.0, standardization=False, tol=1e-10, **common)
         if kind == "rf":
             return C.RandomForestClassifier(numTrees=p["trees"], featureSubsetStrategy="sqrt", maxDepth=depth,
-                                            maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
+                                            minInstancesPerNode=leaf, maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
         if kind in ("hgb", "xgb"):
             if kind == "hgb":
                 g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],

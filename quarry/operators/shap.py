@@ -26,7 +26,8 @@ def _node_tables(spark, est, path):
     """[(weight, nodes dict)] for each tree of a saved ensemble."""
     est.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
-    rows = data.select("treeID", "nodeData.*").collect()
+    # tree by tree; a tree's nodes are bounded by the model's leaf share
+    rows = data.select("treeID", "nodeData.*").toLocalIterator()
     # (tree id, metadata, weight): the columns' names vary by version, not their order
     meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights")
     weights = {int(r["treeID"]): float(r["weights"]) for r in meta.select("treeID", "weights").collect()}

@@ -148,6 +148,26 @@ SELECT metric, feature, round(score, 6) + 0.0 AS score, rank FROM r
 """)(lambda spark, sf: rounded(_li_scores(spark, sf).select("metric", "feature", "score", "rank")))
 
 
+def _pairwise(spark, sf):
+    """Scores over the rows that have the one input and the target: quality and
+    toxic are missing for most documents, doc_id never is."""
+    long, _ = assoc.associate(_docs_labels(spark, sf), "n_chars", "regression", ["pearson", "spearman"],
+                              inputs=["doc_id", "quality", "toxic"], pairwise=True)
+    return rounded(long.select("metric", "feature", "score", "rank"))
+
+
+register("D6_associate_pairwise", """
+WITH t AS (SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+u AS (SELECT 'doc_id' AS feature, doc_id::DOUBLE AS x, n_chars::DOUBLE AS y FROM t UNION ALL SELECT 'quality', quality, n_chars FROM t
+  UNION ALL SELECT 'toxic', toxic, n_chars FROM t),
+k AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry FROM u WHERE x IS NOT NULL AND y IS NOT NULL),
+s AS (SELECT 'pearson' AS metric, feature, corr(x, y) AS score FROM k GROUP BY feature
+  UNION ALL SELECT 'spearman', feature, corr(rx, ry) FROM k GROUP BY feature)
+SELECT metric, feature, round(score, 6) + 0.0 AS score, row_number() OVER (PARTITION BY metric ORDER BY abs(score) DESC NULLS LAST, feature) AS rank FROM s
+""")(_pairwise)
+
+
 def _part_scores(spark, sf):
     long, _ = assoc.associate(load(spark, sf, "part"), "p_retailprice", "r", ["pearson", "spearman"],
                               topk=1)
