@@ -116,6 +116,8 @@ def mi_classif_feature(df: DataFrame, x: str, label: str, key: str, k: int = 3,
 
 
 def _mi_classif(df, x, label, key, k, seed, jitter, keep):
+    if not jitter:
+        return _mi_classif_by_value(df, x, label, k, keep)
     spark = df.sparkSession
     d = df.select(F.col(key).alias("__key"), F.col(x).cast("double").alias(x), F.col(label).alias("__c"))
     d = scaled_jittered(d, x, "__key", seed, jitter, x).select("__key", "__x", "__c")
@@ -148,6 +150,42 @@ def _mi_classif(df, x, label, key, k, seed, jitter, keep):
     return j.agg(F.greatest(mi, F.lit(0.0)).alias("score")).first()["score"]
 
 
+def _mi_classif_by_value(df, x, label, k, keep):
+    """D4 without jitter: equal values share radius and counts, so the work is done
+    once per distinct (class, value). At most k + 1 copies of a value matter to a
+    k-th neighbour, so a value held by a third of all rows is k + 1 rows here."""
+    spark = df.sparkSession
+    sd = df.agg(F.stddev_pop(F.col(x).cast("double")).alias("s")).first()["s"] or 1.0
+    g = df.groupBy(F.col(label).alias("__c"), (F.col(x).cast("double") / F.lit(sd)).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    g = keep(g)
+    classes = keep(g.groupBy("__c").agg(F.sum("__n").alias("__nc")).where(F.col("__nc") > 1))
+    small = classes.count() <= CLASS_BROADCAST
+    g = keep(g.join(F.broadcast(classes) if small else classes, "__c").withColumn("__k", F.least(F.lit(k), F.col("__nc") - 1)))
+    n = g.agg(F.sum("__n")).first()[0]
+    if not n:
+        return None
+    cuts = cut_points(g, ["__x"], bucket_count(spark, g.count()))["__x"]
+    copies = g.withColumn("__key", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("__n"), F.lit(k + 1).cast("long")))))
+    nb = sorted_neighbours(copies, "__c", k, cuts).where(F.col("__key") == 1)
+    rows = nb.select("__c", "__x", "__n", "__k", "__nc", kth_distance(F.col("__k"), k).alias("__r"))
+    guard = F.col("__r") * (F.lit(1.0) - F.lit(RADIUS_GUARD)) - F.lit(RADIUS_GUARD) * F.abs(F.col("__x"))
+    rows = keep(rows.withColumn("__rg", F.when(F.col("__r") > 0, F.greatest(guard, F.lit(0.0))).otherwise(0.0)))
+    # points of all classes strictly inside the radius; at radius 0 those equal to x
+    zero = F.col("__r") <= 0
+    ends = rows.select("__x", "__rg", (F.col("__x") + F.col("__rg")).alias("hi"), (F.col("__x") - F.col("__rg")).alias("lo"),
+                       F.when(zero, 2).otherwise(0).alias("khi"), F.when(zero, 0).otherwise(2).alias("klo"))
+    points = g.groupBy(F.col("__x").alias("v")).agg(F.sum("__n").alias("w")).withColumn("kind", F.lit(1))
+    probes = ends.select(F.col("hi").alias("v"), F.col("khi").alias("kind")).union(ends.select("lo", "klo")).distinct()
+    u = bucketize(points.unionByName(probes.withColumn("w", F.lit(0).cast("long"))), "v", cuts, "__vb")
+    below = prefix_below(u, [], "__vb", ["v", "kind"], "w", out="below", rows_bound=len(cuts) + 1).where(F.col("kind") != 1).select("v", "kind", "below")
+    up, lo = below.toDF("hi", "khi", "__up"), below.toDF("lo", "klo", "__lo")
+    m = ends.distinct().join(up, ["hi", "khi"]).join(lo, ["lo", "klo"]).select("__x", "__rg", (F.col("__up") - F.col("__lo")).alias("__m"))
+    j = rows.join(m, ["__x", "__rg"])
+    mean = lambda c: F.sum(digamma(F.col(c).cast("double")) * F.col("__n")) / F.sum("__n")
+    mi = digamma(F.lit(float(n))) + mean("__k") - mean("__nc") - mean("__m")
+    return j.agg(F.greatest(mi, F.lit(0.0)).alias("score")).first()["score"]
+
+
 def mutual_information(prep, task: str, k: int = 3, seed=0, jitter: bool = True, key: str | None = None):
     """D3/D4 over every used input of a prepared frame; one row per input.
     Fewer than 3 rows give NULL scores (the reference fails there)."""

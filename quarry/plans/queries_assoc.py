@@ -231,11 +231,12 @@ SELECT feature, round(score, 6) + 0.0 AS score FROM (
 # ------------------------------------------------------------------ D4
 
 
-def sql_mi_classif(table: str, key: str, col: str, label: str, k: int = 3, seed=0) -> str:
+def sql_mi_classif(table: str, key: str, col: str, label: str, k: int = 3, seed=0, jitter: bool = True) -> str:
     """Plain single-node form of D4: window neighbours per class and a range
     join for the counts."""
     from quarry.plans.catalog import sql_digamma, sql_jittered
-    j = sql_jittered(table, key, col, seed, extra=f"t.{label} AS lab,")
+    j = (sql_jittered(table, key, col, seed, extra=f"t.{label} AS lab,") if jitter else
+         f"(SELECT {key}, {label} AS lab, {col} / (SELECT stddev_pop({col}) FROM {table}) AS x FROM {table})")
     lags = ", ".join([f"lag(x, {i}) OVER o AS p{i}" for i in range(1, k + 1)]
                      + [f"lead(x, {i}) OVER o AS n{i}" for i in range(1, k + 1)])
     ds = ", ".join([f"abs(p{i} - x)" for i in range(1, k + 1)] + [f"abs(n{i} - x)" for i in range(1, k + 1)])
@@ -262,6 +263,17 @@ register("D4_mi_classif", sql_mi_classif("events", "event_id", "value", "event_t
          + " UNION ALL " + sql_mi_classif("events", "event_id", "user_id", "event_type"))(_mi_events)
 
 
+def _mi_discrete(spark, sf):
+    """Without jitter, where values repeat: a few users hold many events each."""
+    long, _ = assoc.associate(load(spark, sf, "events"), "event_type", "classification", ["mi"],
+                              inputs=["user_id", "value"], key="event_id", jitter=False)
+    return rounded(long.select("feature", "score"))
+
+
+register("D4_mi_classif_no_jitter", sql_mi_classif("events", "event_id", "user_id", "event_type", jitter=False)
+         + " UNION ALL " + sql_mi_classif("events", "event_id", "value", "event_type", jitter=False))(_mi_discrete)
+
+
 def _mi_quality(spark, sf):
     d = load(spark, sf, "labels").join(load(spark, sf, "documents"), "doc_id")
     long, _ = assoc.associate(d, "quality", "classification", ["mi"], inputs=["n_chars"], key="doc_id", seed=0)
