@@ -63,6 +63,30 @@ def _perm_multi(spark, sf):
 register("H3_top_importance")(_perm_multi)
 
 
+def _perm_pair(spark, sf):
+    """H3 of a line on two inputs: the more important one."""
+    m, data = _fit_orders(spark, sf, "linear", ("n_lines", "avg_disc"))
+    return rounded(top_importance(permutation_importance(m, data, "l_orderkey", 10, 42), 1).select("feature", "importance", "baseline"))
+
+
+register("H3_top_importance_pair", "WITH " + ORDER_FEATS_SQL + """,
+t AS (SELECT avg(n_lines) AS m1, avg(avg_disc) AS m2, avg(sum_price) AS my, var_pop(n_lines) AS v11, var_pop(avg_disc) AS v22,
+  covar_pop(n_lines, avg_disc) AS v12, covar_pop(n_lines, sum_price) AS c1, covar_pop(avg_disc, sum_price) AS c2 FROM s WHERE split = 'train'),
+k AS (SELECT (v22 * c1 - v12 * c2) / (v11 * v22 - v12 * v12) AS b1, (v11 * c2 - v12 * c1) / (v11 * v22 - v12 * v12) AS b2, m1, m2, my FROM t),
+b AS (SELECT *, row_number() OVER (ORDER BY md5('42:base:' || l_orderkey::VARCHAR), l_orderkey) - 1 AS pos0 FROM of),
+ex AS (SELECT b.*, r.range AS rep FROM b, range(10) r),
+dn AS (SELECT rep, n_lines AS d1, avg_disc AS d2, row_number() OVER (PARTITION BY rep
+  ORDER BY md5('42:' || l_orderkey::VARCHAR || ':' || rep::VARCHAR), l_orderkey) - 1 AS pos0 FROM ex),
+pj AS (SELECT f.feature, ex.rep, ex.sum_price AS actual,
+  my + b1 * (CASE WHEN f.feature = 'n_lines' THEN d1 ELSE n_lines END - m1) + b2 * (CASE WHEN f.feature = 'avg_disc' THEN d2 ELSE avg_disc END - m2) AS predicted
+  FROM ex JOIN dn USING (rep, pos0), k, (VALUES ('n_lines'), ('avg_disc')) f(feature)),
+m AS (SELECT feature, rep, 1 - sum((actual - predicted) ^ 2) / (var_pop(actual) * count(*)) AS r2 FROM pj GROUP BY ALL),
+base AS (SELECT 1 - sum((sum_price - my - b1 * (n_lines - m1) - b2 * (avg_disc - m2)) ^ 2) / (var_pop(sum_price) * count(*)) AS r2b FROM of, k)
+SELECT feature, round(avg(r2b - r2), 6) + 0.0 AS importance, round(max(r2b), 6) + 0.0 AS baseline FROM m, base
+GROUP BY feature ORDER BY avg(r2b - r2) DESC, feature LIMIT 1
+""")(_perm_pair)
+
+
 def _shap(spark, sf):
     from quarry.operators.shap import shap_importance
     m, data = _fit_orders(spark, sf, "hgb", ("n_lines", "sum_qty", "avg_disc"))
