@@ -36,13 +36,12 @@ CLASS_BROADCAST = 10_000   # a class table of more rows is left to AQE
 def scaled_jittered(df: DataFrame, x: str, key: str, seed, jitter: bool, tag: str) -> DataFrame:
     """x / std_pop(x) plus the deterministic jitter; two numbers come back
     to the driver (std and mean |x/std|)."""
-    st = df.agg(F.stddev_pop(x).alias("s")).first()["s"] or 0.0
-    s = st if st > 0 else 1.0
+    st = df.agg(F.stddev_pop(x).alias("s"), F.avg(F.abs(F.col(x))).alias("m")).first()
+    s = st["s"] if st["s"] and st["s"] > 0 else 1.0
     xs = F.col(x) / F.lit(s)
     if not jitter:
         return df.withColumn("__x", xs)
-    m = df.agg(F.avg(F.abs(xs)).alias("m")).first()["m"] or 0.0
-    amp = 1e-10 * max(1.0, m)
+    amp = 1e-10 * max(1.0, (st["m"] or 0.0) / s)
     return df.withColumn("__x", xs + F.lit(amp) * unit_noise(seed, F.lit(tag), key))
 
 
