@@ -184,7 +184,8 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
                                       standardization=False, maxIter=p["max_iter"], tol=1e-10, **common)
         if kind == "rf":
             return R.RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy="all", maxDepth=depth,
-                                           minInstancesPerNode=leaf, maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
+                                           minInstancesPerNode=leaf, bootstrap=bool(p.get("bootstrap", True)),
+                                           maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
         if kind == "hgb":
             return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
                                   minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=seed, **common)
@@ -205,7 +206,8 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
                                         elasticNetParam=0.0, standardization=False, tol=1e-10, **common)
         if kind == "rf":
             return C.RandomForestClassifier(numTrees=p["trees"], featureSubsetStrategy="sqrt", maxDepth=depth,
-                                            minInstancesPerNode=leaf, maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
+                                            minInstancesPerNode=leaf, bootstrap=bool(p.get("bootstrap", True)),
+                                            maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
         if kind in ("hgb", "xgb"):
             if kind == "hgb":
                 g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],

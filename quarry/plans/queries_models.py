@@ -148,6 +148,59 @@ register("E6_hgb_stump", _STUMP_SQL)(_stump("hgb"))
 register("E7_xgb_stump", _STUMP_SQL)(_stump("xgb"))
 
 
+def _forest_stump(spark, sf):
+    """E5: one tree of depth 1 on all rows (no bootstrap sample)."""
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    m = models.fit(d, "p_retailprice", ["p_size"], "regression", "rf", trees=1, max_depth=1, min_leaf_share=0.0, bootstrap=False)
+    return m.transform(d).select("p_partkey", (F.round("p_retailprice_pred", 4) + 0.0).alias("prediction"))
+
+
+register("E5_rf_stump", _STUMP_SQL.replace("WHERE nl >= 20 AND n - nl >= 20", "WHERE nl < n"))(_forest_stump)
+
+
+def _forest_clf_stump(spark, sf):
+    """One tree of depth 1 on user_id, all rows: the split of least Gini impurity, each
+    side its most frequent class."""
+    d = load(spark, sf, "events").select("event_id", "user_id", "event_type")
+    m = models.fit(d, "event_type", ["user_id"], "classification", "rf", trees=1, max_depth=1, min_leaf_share=0.0, bootstrap=False)
+    return m.transform(d).select("event_id", F.col(m.pred_col).alias("prediction"))
+
+
+register("E12_rf_clf_stump", """
+WITH v AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
+u AS (SELECT DISTINCT user_id AS cut FROM events),
+s AS (SELECT u.cut, v.event_type, sum(CASE WHEN v.user_id <= u.cut THEN n ELSE 0 END) AS l, sum(CASE WHEN v.user_id > u.cut THEN n ELSE 0 END) AS r
+  FROM u, v GROUP BY ALL),
+g AS (SELECT cut, sum(l * l)::DOUBLE / sum(l) + sum(r * r)::DOUBLE / sum(r) AS purity FROM s GROUP BY cut HAVING sum(r) > 0),
+b AS (SELECT cut FROM g ORDER BY purity DESC, cut LIMIT 1),
+p AS (SELECT (SELECT event_type FROM s JOIN b USING (cut) ORDER BY l DESC, event_type LIMIT 1) AS lc,
+  (SELECT event_type FROM s JOIN b USING (cut) ORDER BY r DESC, event_type LIMIT 1) AS rc)
+SELECT event_id, CASE WHEN user_id <= cut THEN lc ELSE rc END AS prediction FROM events, b, p
+""")(_forest_clf_stump)
+
+
+def _boosted_clf_stump(kind):
+    """One boosting round of depth 1 on user_id; its score is the logistic
+    function of twice the leaf's mean of the class coded -1 and 1."""
+    def q(spark, sf):
+        d = load(spark, sf, "events").select("event_id", "user_id", (F.col("event_type") == "click").cast("int").alias("click"))
+        m = models.fit(d, "click", ["user_id"], "classification", kind, rounds=1, depth=1)
+        return m.transform(d).select("event_id", (F.round("score", 6) + 0.0).alias("score"))
+    return q
+
+
+_CLF_STUMP_SQL = """
+WITH v AS (SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) AS s FROM events GROUP BY user_id),
+c AS (SELECT user_id, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM v
+  WINDOW w AS (ORDER BY user_id ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT user_id AS cut, sl / nl AS lv, (s - sl) / (n - nl) AS rv FROM c WHERE nl >= {0} AND n - nl >= {0}
+  ORDER BY (sl * sl)::DOUBLE / nl + ((s - sl) * (s - sl))::DOUBLE / (n - nl) DESC, user_id LIMIT 1)
+SELECT event_id, round(1 / (1 + exp(-2 * CASE WHEN user_id <= cut THEN lv ELSE rv END)), 6) + 0.0 AS score FROM events, b
+"""
+register("E13_hgb_clf_stump", _CLF_STUMP_SQL.format(20))(_boosted_clf_stump("hgb"))
+register("E14_xgb_clf_stump", _CLF_STUMP_SQL.format(1))(_boosted_clf_stump("xgb"))
+
+
 def _svr_fit(spark, sf):
     """E8 on a smooth curve of every part: the share of the variance explained."""
     d = load(spark, sf, "part").select("p_partkey", (F.col("p_size") / 5.0).alias("x"))
