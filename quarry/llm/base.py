@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,25 +41,18 @@ def plain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.astype({c: object for c, kind in pdf.dtypes.items() if isinstance(kind, pd.StringDtype)})
 
 
-def marked(rows: DataFrame, column: str):
-    """A filter of fixed size for values of ``column``: returns a function from a
-    column name to a condition that holds for every value in ``rows`` (and for few
-    others, as long as the values are fewer than the bits). The values' hashes set
-    bits of one bitmap of ``MARK_BITS`` bits, which is broadcast."""
-    bit = F.pmod(F.xxhash64(column), F.lit(MARK_BITS))
-    words = (rows.select(bit.alias("b"))
-             .select((F.col("b") / 32).cast("int").alias("w"), F.expr("shiftleft(1L, cast(b % 32 as int))").alias("x"))
-             .groupBy("w").agg(F.bit_or("x").alias("x")).toPandas())
-    bitmap = np.zeros(MARK_BITS // 32, np.uint32)
-    bitmap[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).astype(np.uint32)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def has(at: pd.Series) -> pd.Series:
-        b = at.to_numpy(np.int64)
-        return pd.Series((shared.value[b // 32] >> (b % 32).astype(np.uint32)) & 1 == 1)
-
-    return lambda name: has(F.pmod(F.xxhash64(name), F.lit(MARK_BITS)))
+def mark(df: DataFrame, name: str, rows: DataFrame, column: str) -> DataFrame:
+    """``df`` and a boolean ``marked``: true for every row whose ``name`` is among the
+    values of ``column`` in ``rows`` (and for few others, as long as those values are
+    fewer than the bits). The values' hashes set bits of one bitmap of ``MARK_BITS``
+    bits; its words, a fixed number of rows at most, are broadcast."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS))
+    words = (rows.select(bit(column).alias("b"))
+             .select((F.col("b") / 64).cast("int").alias("__w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("x"))
+             .groupBy("__w").agg(F.bit_or("x").alias("__x")))
+    out = df.withColumn("__b", bit(name)).withColumn("__w", (F.col("__b") / 64).cast("int")).join(F.broadcast(words), "__w", "left")
+    found = F.coalesce(F.getbit("__x", (F.col("__b") % 64).cast("int")) == 1, F.lit(False))
+    return out.withColumn("marked", found).drop("__b", "__w", "__x")
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.base import bounded_batches, marked, plain, saved
+from quarry.llm.base import bounded_batches, mark, plain, saved
 from quarry.session import checkpoint_dir
 
 MAGIC = "WARC/1.0\r\n"
@@ -61,8 +61,8 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     # only payloads that occur twice or more meet their pages again; no other page is shuffled
     twins = saved(p.where(F.col("n") >= min_revisit).groupBy("digest")
                   .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
-    again = marked(twins, "digest")("digest")
-    p = p.where(again).join(twins, "digest", "left").unionByName(p.where(~again).withColumn("first", F.lit(None).cast("long")))
+    p = mark(p, "digest", twins, "digest")
+    p = p.where("marked").join(twins, "digest", "left").unionByName(p.where("not marked").withColumn("first", F.lit(None).cast("long")))
     revisit = F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False))
     urn = lambda c: F.concat(F.lit(f"<{ID}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     url = F.coalesce("url", F.lit(""))
