@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,15 @@ def read_ranks(path: str) -> list[bytes]:
     return [t for _, t in pairs]
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a ``tokenizers`` file and their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must match as they are")
+    return {t["content"]: t["id"] for t in added}
+
+
 def _place(h: int, seed: int, n: int) -> int:
     """Slot of a key's hash under a bucket's displacement."""
     x = ((h ^ seed) * 0x9E3779B97F4A7C15) & _M64
@@ -153,18 +164,29 @@ class Encoder(dict):
 
 class FastIds:
     """Ids of a text by the rank library, or by the heap for texts so long that its
-    split could exhaust the stack; both give the same ids (tests compare them)."""
+    split could exhaust the stack; both give the same ids (tests compare them).
+    ``added`` tokens get their own ids wherever they stand, the leftmost and then the
+    longest first, and the text between them is encoded part by part; without them
+    their strings are ordinary text."""
 
     LONG_TEXT = 200_000     # characters
 
-    def __init__(self, vocabulary: list[bytes], perfect: PerfectHash, pattern: str):
+    def __init__(self, vocabulary: list[bytes], perfect: PerfectHash, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
+        self.added = added or {}
+        found = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        self.split = re.compile(f"({found})").split if found else None
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(vocabulary)}, special_tokens={})
         self.heap = Encoder(vocabulary, perfect, pattern)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
+        if self.split and len(parts := self.split(text)) > 1:   # every second part is an added token
+            return np.concatenate([np.array([self.added[t]], "<u4") if k % 2 else self.ordinary(t) for k, t in enumerate(parts)])
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> np.ndarray:
         if len(text) >= self.LONG_TEXT:
             return np.frombuffer(self.heap.encode(text), "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")

@@ -16,9 +16,10 @@ fewest sequences; lower ones can be given.
 Blocks are a fixed size, so work and memory per task do not grow with the input,
 and a block loses less than one sequence to its border.
 
-Ids: the pairs of the byte-level vocabulary in rank order give the same ids as
-its ``tokenizers`` file (tests compare both), and the rank reader is four times
-as fast, so tasks use it. Special-token strings are ordinary text.
+Ids are those of the byte-level vocabulary's ``tokenizers`` file: texts are cut at
+its added tokens, which keep their own ids, and between them the vocabulary's pairs
+in rank order give the file's ids (tests compare both). The rank reader is four
+times as fast, so tasks use it.
 
 Defined cases: null and empty texts are the closing id alone; repeated rows are
 packed each; an empty table gives an empty result; columns other than doc_id and
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.base import bounded_batches, plain
-from quarry.llm.bpe import FastIds, shared_vocabulary
+from quarry.llm.bpe import FastIds, read_added, shared_vocabulary
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
@@ -91,19 +92,22 @@ def best_fit(lengths: np.ndarray, tokens: int = SEQUENCE_TOKENS, docs: int | Non
 
 def pack_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, end_id: int = END_ID,
                    tokens: int = SEQUENCE_TOKENS, max_docs: int | None = None, max_cost: int | None = None,
-                   rule: str = "norm", with_ids: bool = False) -> DataFrame:
+                   rule: str = "norm", with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and
-    offset (and ``ids`` if asked for)."""
+    offset (and ``ids`` if asked for). ``added``: the vocabulary's added tokens; by
+    default those of the default vocabulary, and none for another one."""
     import public_tokenizers
 
     bounded_batches(docs.sparkSession)
+    if added is None and path is None:
+        added = read_added(public_tokenizers.path("byte_bpe_50k.json"))
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
     shared = shared_vocabulary(docs.sparkSession, path)
     blocks = max(1, -(-docs.count() // BLOCK_DOCS))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = FastIds(*shared.value, pattern)
+        ids_of = FastIds(*shared.value, pattern, added)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):

@@ -134,6 +134,22 @@ def test_odd_rows(spark, odd_docs, no_docs, library):
     assert bpe.round_trip(no_docs, PATH, P.PATTERN).count() == 0
 
 
+def test_packed_ids_are_those_of_the_tokenizers_file(spark, parts, monkeypatch):
+    file = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = dict(enumerate([f"a {end} b", end, f"{end}{end}", f" \n\n{end}\n \n x", f"<|{end}|>", end[:-1], f"{end} word " * 700, "plain", f"é漢{end}🎉"]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids_of = {i: file.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    rows = packing.pack_documents(docs, with_ids=True).collect()
+    check_packed(rows, ids_of.get)
+    for i, ids in ids_of.items():
+        own = b"".join(bytes(r["ids"]) for r in sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"]))
+        assert np.frombuffer(own, "<u4").tolist() == [*ids, packing.END_ID]
+    fast = bpe.FastIds(*parts, P.PATTERN, bpe.read_added(P.path("byte_bpe_50k.json")))
+    fast.LONG_TEXT = 10
+    assert all(fast(t).tolist() == ids_of[i] for i, t in texts.items())
+
+
 def brute_spans(text, library):
     """(first character, end character) of each token, token by token."""
     raw, at, out = text.encode(), 0, []
