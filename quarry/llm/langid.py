@@ -2,10 +2,12 @@
 
 Features are TF-IDF weights of hashed character 1- to 3-grams of lower-cased
 letters (anything else is one separator). Document frequencies count every
-labelled training document; the weights are learned from a bounded sample of
-them (``MAX_TRAIN_ROWS``) with follow-the-regularised-leader (per-coordinate
-rates, L1 and L2), and a temperature fitted on a part of the sample that the
-weights never saw turns scores into probabilities. Predictions read whole texts.
+labelled training document, and every language that labels one is learned. The
+weights come from a bounded sample (``MAX_TRAIN_ROWS``, dealt out in proportion
+with ``MIN_LANG_ROWS`` for a language that has them) with
+follow-the-regularised-leader (per-coordinate rates, L1 and L2), and a temperature
+fitted on a part of each language's sample that the weights never saw turns scores
+into probabilities. Predictions read whole texts.
 
 With relative term frequencies the score of a class is a mean over n-gram
 positions of ``idf * weight``, so a batch is scored by one gather and one
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.base import bounded_batches, map_by_id
 
-MAX_TRAIN_ROWS = 3000       # documents the weights and the temperature are fitted on, at most
-CALIBRATION_SHARE = 5       # every fifth of them fits the temperature only
+MAX_TRAIN_ROWS = 3000       # documents the weights and the temperature are fitted on, beside the floor
+MIN_LANG_ROWS = 50          # of them for each language, if it has them (MAX_TRAIN_ROWS / languages, if that is less)
+CALIBRATION_SHARE = 5       # every fifth of a language's fits the temperature only
 HASH_BITS = 17
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 EPOCHS = 2
@@ -41,6 +44,7 @@ BLOCK = 1 << 18
 CHUNKS = 32                 # document frequencies travel as so many slices
 UNDETERMINED = "und"
 MIN_SCORE = 0.3             # least score of a document that ``identified`` keeps (texts in two languages score low)
+SURE = 1.2                  # or so many times an even score, if that is less (more than four languages)
 
 _D = 1 << HASH_BITS
 _MIX = np.uint32(0x9E3779B1)
@@ -168,6 +172,52 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
+def quotas(counts: dict[str, int], max_rows: int) -> dict[str, int]:
+    """Documents of each language in the sample: all, if they are ``max_rows`` at
+    most, else its share of ``max_rows`` and never fewer than the floor or all it has."""
+    n = sum(counts.values())
+    if n <= max_rows:
+        return dict(counts)
+    floor = max(1, min(MIN_LANG_ROWS, max_rows // len(counts)))
+    return {lang: min(c, max(floor, max_rows * c // n)) for lang, c in counts.items()}
+
+
+def sampled(docs: DataFrame, max_rows: int) -> tuple[DataFrame, dict[str, int]]:
+    """(rows of ``docs`` with their hash ``k``, quotas): of each language the quota's
+    smallest hashes of doc_id, and more only where rows repeat one doc_id. Hashes
+    below a bound that twice the quota should lie under are counted; a language that
+    has fewer there is counted again below a larger one. No text moves."""
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    quota = quotas(counts, max_rows)
+    docs = docs.withColumn("k", F.xxhash64("doc_id"))
+    lowest, highest = -(1 << 63), (1 << 63) - 1
+    cut = {lang: highest for lang, c in counts.items() if quota[lang] == c}
+    reach = {lang: 2 * quota[lang] + 64 for lang in counts if lang not in cut}
+
+    def below(bounds: dict[str, int]) -> DataFrame:
+        if not bounds:
+            return docs.limit(0)
+        table = docs.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound long")
+        return docs.join(F.broadcast(table), "lang").where("k <= bound").drop("bound")
+
+    while reach:
+        bounds = {lang: min(highest, lowest + (1 << 64) * m // counts[lang]) for lang, m in reach.items()}
+        found: dict[str, list] = {lang: [] for lang in reach}
+        for r in below(bounds).groupBy("lang", "k").count().collect():
+            found[r["lang"]].append((r["k"], r["count"]))
+        for lang, keys in found.items():
+            rows = 0
+            for k, c in sorted(keys):
+                rows += c
+                if rows >= quota[lang]:
+                    cut[lang] = k
+                    del reach[lang]
+                    break
+            else:
+                reach[lang] *= 4
+    return below(cut), quota
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     """Learn from rows (doc_id, text, lang) whose text and lang are given."""
     bounded_batches(docs.sparkSession)
@@ -180,14 +230,14 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [counts_of(t) for t in b["text"]]
-            yield pd.DataFrame({"lang": b["lang"].to_numpy(object), "at": [a.astype(np.int32).tobytes() for a, _ in found],
+            yield pd.DataFrame({"lang": b["lang"].to_numpy(object), "k": b["k"].to_numpy(), "at": [a.astype(np.int32).tobytes() for a, _ in found],
                                 "x": [c.astype(np.int64).tobytes() for _, c in found]})
 
-    # the sample's ids first (a bounded top-k that moves no text), then their texts
-    key = F.xxhash64(F.col("doc_id"))
-    last = docs.select(key.alias("k")).orderBy("k").limit(max_rows).agg(F.max("k")).first()[0]
-    rows = (docs.where(key <= last).mapInPandas(counted, "lang string, at binary, x binary")
-            .limit(max_rows).toPandas())    # the limit only matters where rows repeat one doc_id
+    some, quota = sampled(docs, max_rows)
+    some = some.mapInPandas(counted, "lang string, k long, at binary, x binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "at", "x"))     # only matters where rows repeat one doc_id
+    rows = some.withColumn("place", place).where(F.col("place") <= max(quota.values())).toPandas()
+    rows = rows[rows["place"] <= rows["lang"].map(quota)]
     rows = rows.sort_values(["lang", "at", "x"], kind="stable").sample(frac=1, random_state=7)
     langs = sorted(rows["lang"].unique())
     x, y = [], []
@@ -199,7 +249,9 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     if not x:
         return None
     y = np.array(y)
-    held = np.arange(len(y)) % CALIBRATION_SHARE == 0 if len(y) >= 50 else np.zeros(len(y), bool)
+    # a language with fewer documents than that share is learned from all of them
+    nth = pd.Series(y).groupby(y).cumcount().to_numpy()
+    held = nth % CALIBRATION_SHARE == CALIBRATION_SHARE - 1 if len(y) >= 50 else np.zeros(len(y), bool)
     w = ftrl([r for r, h in zip(x, held, strict=True) if not h], y[~held], len(langs))
     logits = np.array([v @ w[at] for (at, v), h in zip(x, held, strict=True) if h]).reshape(-1, len(langs))
     used = np.flatnonzero(np.abs(w).sum(1))
@@ -279,10 +331,16 @@ def predict_languages(docs: DataFrame, model: dict | None) -> DataFrame:
     return map_by_id(rows, run, "held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:
+def least_score(model: dict | None) -> float:
+    """The bound of ``identified``: with more languages an even score is lower."""
+    return min(MIN_SCORE, SURE / len(model["langs"])) if model else MIN_SCORE
+
+
+def identified(docs: DataFrame, model: dict | None, min_score: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose language is recognised
-    with ``min_score`` at least; no row is shuffled."""
+    with ``min_score`` (by default ``least_score``) at least; no row is shuffled."""
     bounded_batches(docs.sparkSession)
+    min_score = least_score(model) if min_score is None else min_score
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:

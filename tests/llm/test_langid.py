@@ -26,6 +26,26 @@ def test_blocks_do_not_change_the_score():
     assert (abs(whole["score"] - cut["score"]) < 1e-9).all()
 
 
+def test_every_labelled_language_is_learned(spark):
+    ids = [r[0] for r in spark.range(400).orderBy(langid.F.xxhash64("id").desc()).collect()]
+    rare = dict.fromkeys(ids[:6], "el")     # the largest hashes: no sample over all languages holds them
+    rows = [(i, f"το βιβλίο είναι εδώ και το σπίτι {i}" if i in rare else f"the book is here and the house is there {i}", rare.get(i, "en")) for i in ids]
+    rows += [(7, f"das Buch ist hier und das Haus {j}", "de") for j in range(300)]      # one doc_id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_rows=60)
+    assert model["langs"] == ["de", "el", "en"]
+    assert langid.classify(["το σπίτι είναι εδώ", "the house is there", "das Haus ist hier"], model)["lang_pred"].tolist() == ["el", "en", "de"]
+    some, quota = langid.sampled(docs, 60)
+    assert quota == {"de": 25, "el": 6, "en": 33}
+    assert {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()} == {"de": 300, "el": 6, "en": 33}
+    assert langid.quotas({"a": 5, "b": 9}, 20) == {"a": 5, "b": 9}
+
+
+def test_the_bound_follows_the_number_of_languages():
+    assert langid.least_score(None) == langid.least_score({"langs": ["a"] * 4}) == langid.MIN_SCORE
+    assert 1 / 50 < langid.least_score({"langs": ["a"] * 50}) < 1.3 / 50
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     model = langid.fit(odd_docs)
     rows = langid.predict_languages(odd_docs, model).collect()
