@@ -9,10 +9,16 @@ regions. Lines of menus, notices, adverts and the like (by element, role or clas
 word) never count as content.
 
 Content regions choose where the article is, not which of its lines stay: the
-innermost element that holds nearly all content characters (an ``article`` or
-``main`` around most of them first) is the article, and every line inside it that
-no boilerplate element encloses is returned, however short. So single-word
-paragraphs survive, which a bare threshold would drop.
+innermost ``article`` or ``main`` that holds all content lines is the article; if
+several hold them together, all of these are; if some content stands in none, the
+innermost element that holds all of it. Every line inside that no boilerplate
+element encloses is returned, however short. So single-word paragraphs survive,
+which a bare threshold would drop, and no content line is lost.
+
+Words of ids and classes name boilerplate wherever they stand in one. Inside an
+``article`` or ``main``, on headings and on sections these are often slugs of
+headings: there a whole id or class must consist of such words (and of
+``BOX_WORDS``), and a heading's own id names nothing.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are joined by one space in page order. Unclosed paragraphs, items and
@@ -26,6 +32,7 @@ row; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -37,7 +44,6 @@ from pyspark.sql import DataFrame
 from quarry.llm.base import bounded_batches, map_by_id
 
 SIGMA, RADIUS = 1.0, 3
-COVER = 0.8                 # share of the content's characters that the article must hold
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -51,6 +57,9 @@ ROLES = set("navigation banner contentinfo complementary search form alert dialo
 CLASS_WORDS = set("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent
 notice notices alert popup modal sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond
 disqus share sharing social related recommended newsletter subscribe signup login widget pagination pager""".split())
+# ... and what may stand beside them in the name of a box.
+BOX_WORDS = set("box bar button buttons container wrapper slot unit block posts links".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # A new one of these ends an open one of the same kind.
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -85,11 +94,17 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
+        if not attrs:
+            return False
+        slugs = tag in HEADINGS or tag == "section" or any(t in ("article", "main") for t, _, _ in self.stack)
         for name, value in attrs:
             if value and name == "role" and value.lower() in ROLES:
                 return True
-            if value and name in ("class", "id") and not CLASS_WORDS.isdisjoint(_WORD.findall(value.lower())):
-                return True
+            if value and name in ("class", "id") and not (name == "id" and tag in HEADINGS):
+                for token in value.lower().split() if slugs else [value.lower()]:
+                    words = set(_WORD.findall(token))
+                    if not CLASS_WORDS.isdisjoint(words) and (not slugs or words <= CLASS_WORDS | BOX_WORDS):
+                        return True
         return False
 
     def handle_starttag(self, tag, attrs):
@@ -149,6 +164,12 @@ def content(lines) -> np.ndarray:
     return chosen if chosen.any() else shown
 
 
+def shared(paths: list) -> list:
+    """The elements that stand in every path: an element's ancestors never change,
+    so they are what the first and the last path in order begin with."""
+    return [a for a, _ in itertools.takewhile(lambda e: e[0] == e[1], zip(min(paths), max(paths), strict=False))]
+
+
 def main_text(html: str | None) -> str:
     """The article's text."""
     if not html:
@@ -161,17 +182,13 @@ def main_text(html: str | None) -> str:
     if not any(not hidden for *_, hidden in lines):
         return ""
     chosen = content(lines)
-    mass: dict[tuple, int] = {}
-    total = 0
-    for (text, _, path, _), is_content in zip(lines, chosen, strict=True):
-        if is_content:
-            total += len(text)
-            for element in path:
-                mass[element] = mass.get(element, 0) + len(text)
-    named = [e for e, m in mass.items() if e[0] in ("article", "main") and 2 * m >= total]
-    wide = named or [e for e, m in mass.items() if m >= COVER * total and e[0] in HOLDS]
-    inside = max(wide, key=lambda e: (-mass[e], e[1]) if named else (0, e[1])) if wide else None
-    return " ".join(text for text, _, path, hidden in lines if not hidden and (inside is None or inside in path))
+    paths = [path for (_, _, path, _), is_content in zip(lines, chosen, strict=True) if is_content]
+    named = [[e for e in path if e[0] in ("article", "main")] for path in paths]
+    if all(named):
+        inside = set(shared(named)[-1:]) or {path[0] for path in named}
+    else:
+        inside = set([e for e in shared(paths) if e[0] in HOLDS][-1:])
+    return " ".join(text for text, _, path, hidden in lines if not hidden and (not inside or not inside.isdisjoint(path)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -47,6 +47,25 @@ def test_templates(around):
     assert html_text.main_text(PAGE % (around % BODY)) == TEXT
 
 
+def para(word, n):
+    return "<p>" + " ".join([word] * n) + "</p>"
+
+
+@pytest.mark.parametrize("page, words", [
+    (f"<div id=post><div>{para('first', 85) * 5}</div><div>{para('last', 75)}</div></div>", {"first": 425, "last": 75}),
+    (f"<body><article>{para('one', 60)}</article><article>{para('two', 40)}</article></body>", {"one": 60, "two": 40}),
+    (f"<main><article>{para('one', 55)}</article><div>{para('two', 45)}</div></main>", {"one": 55, "two": 45}),
+    (f"<body><article>{para('one', 55)}</article><div>{para('two', 45)}</div></body>", {"one": 55, "two": 45}),
+    (f"<article>{para('one', 50)}<section id=related-work>{para('work', 50)}</section><h2 id=comments-on-results>Results</h2>{para('r', 50)}</article>",
+     {"one": 50, "work": 50, "Results": 1, "r": 50}),
+    (f"<div>{para('one', 50)}<section id=related-work><h3 id=comments>Work</h3>{para('w', 50)}</section></div>", {"one": 50, "Work": 1, "w": 50}),
+    (f"<article>{para('one', 50)}<div class='share-buttons'>{para('s', 50)}</div><div id=cookie-notice>{para('c', 50)}</div>"
+     f"<section class='x comments'>{para('k', 50)}</section></article>", {"one": 50}),
+])
+def test_no_content_region_is_lost(page, words):
+    assert html_text.main_text(page).split() == [w for word, n in words.items() for w in [word] * n]
+
+
 def test_odd_pages(spark):
     for page, text in [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<script>x", ""), ("<nav>only menu</nav>", ""),
                        ("a < b &amp; c &#233;", "a < b & c é"), ("<!-- x --><b>bold", "bold"), ("</p></div>x</b>", "x")]:
