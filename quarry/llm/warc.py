@@ -13,7 +13,9 @@ are followed by pointer doubling to the offset at which they leave it; sums of
 the splits' sizes turn these into offsets of the file, and pointer jumping over
 the few entry offsets, from the start of each file, finds the entry that each
 split is really entered at. Only candidates on the chain from there are records.
-Payloads that a magic cuts into several pieces are put together again and hashed.
+Payloads that a magic cuts into several pieces are put together again and hashed:
+the pieces are read a second time and found by their digests, so that this read may
+have other splits than the first.
 
 Defined cases: a null page is an empty payload; smaller payloads are responses
 all; rows that repeat the smallest page_id of their group are responses each; a
@@ -48,7 +50,7 @@ ID = "urn:page:"
 # ids travel as text: beside a null, pandas would make them inexact floats
 HEADER_TYPES = "record_type string, page_id string, refers_to string, digest string"
 CANDIDATE = ("file string, block long, ordinal int, at long, size long, length long, following int, leaves long, complete boolean, "
-             + HEADER_TYPES + ", payload_bytes long, payload_digest string")
+             + HEADER_TYPES + ", payload_bytes long, payload_digest string, content string")
 COLUMNS = [c.split()[0] for c in CANDIDATE.split(", ")]
 
 
@@ -154,12 +156,12 @@ def candidates(archive: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows, total, ordinal = None, [], 0, 0
         for b in batches:
-            for file, block, piece in zip(b["file"], b["block"], b["piece"], strict=True):
+            for file, block, piece, digest in zip(b["file"], b["block"], b["piece"], b["content"], strict=True):
                 if (file, block) != now:
                     if now is not None:
                         yield flush(*now, rows, total)
                     now, rows, total, ordinal = (file, block), [], 0, 0
-                row = {"ordinal": ordinal, "at": total - sep, "size": len(piece) + sep, "complete": False}
+                row = {"ordinal": ordinal, "at": total - sep, "size": len(piece) + sep, "complete": False, "content": digest}
                 if block == 0 and ordinal == 0:
                     row["at"] = -sep - 1        # what comes before the first magic of a file
                 elif head := parse_header(piece):
@@ -180,7 +182,7 @@ def candidates(archive: DataFrame) -> DataFrame:
         for out in run(batches):
             for c in ("at", "size", "length", "payload_bytes", "following", "leaves", "ordinal", "block"):
                 out[c] = out[c].astype("Int64")
-            for c in ("record_type", "page_id", "refers_to", "digest", "payload_digest"):
+            for c in ("record_type", "page_id", "refers_to", "digest", "payload_digest", "content"):
                 out[c] = out[c].astype(object).where(out[c].notna(), None)
             yield out
 
@@ -188,10 +190,11 @@ def candidates(archive: DataFrame) -> DataFrame:
 
 
 def open_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, piece): the pieces between magics, split by split."""
+    """(file, block, piece, content): the pieces between magics and their digests,
+    split by split."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").cast("binary").alias("piece"))
+        F.col("value").cast("binary").alias("piece"), F.sha2(F.col("value").cast("binary"), 256).alias("content"))
 
 
 def _entries(found: DataFrame, bases: DataFrame) -> DataFrame:
@@ -253,35 +256,30 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, path: str, pieces: DataFrame, bases: DataFrame, cut: DataFrame) -> DataFrame:
-    """Records whose payload holds magics: their pieces are read again and put
-    together, record by record."""
+    """Records whose payload holds magics: their pieces are read again, found by
+    their digests and put together, record by record."""
     spans = cut.select(F.col("file"), F.col("off").alias("record"), (F.col("off") + F.col("length")).alias("to"))
     # every piece follows the last cut record that starts at or before it
-    places = pieces.join(bases.drop("size"), ["file", "block"]).select("file", "block", "ordinal", (F.col("base") + F.col("at")).alias("off"))
+    places = pieces.join(bases.drop("size"), ["file", "block"]).select("file", "content", (F.col("base") + F.col("at")).alias("off"))
     near = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
     needed = (places.join(spans.withColumn("off", F.col("record")), ["file", "off"], "left")
               .withColumn("record", F.last("record", True).over(near)).withColumn("to", F.last("to", True).over(near))
-              .where(F.col("off") < F.col("to")).select("file", "block", "ordinal", "off", "record"))
+              .where(F.col("off") < F.col("to")).select("file", "content", "off", "record"))
+    needed = saved(needed)
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n = None, 0
-        for b in batches:
-            at = []
-            for key in zip(b["file"], b["block"], strict=True):
-                now, n = (key, 0) if key != now else (now, n + 1)
-                at.append(n)
-            yield plain(b).assign(ordinal=at)
-
-    data = open_archives(spark, path).mapInPandas(numbered, "file string, block long, piece binary, ordinal int")
+    data = mark(open_archives(spark, path), "content", needed, "content").where("marked")
+    data = data.groupBy("content").agg(F.first("piece").alias("piece"))
     names = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, digest string"
 
     def join_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["piece"].isna().any():
+            raise ValueError("a piece of a record was not found again")
         whole = MAGIC.encode().join(pdf.sort_values("off")["piece"])
         head = parse_header(whole)
         n, digest = payload_of(whole[head["content"]:head["content"] + head["length"]], head["record_type"], head["digest"])
         return pd.DataFrame([{**head, "payload_bytes": n, "payload_digest": digest}])[[x.split()[0] for x in names.split(", ")]]
 
-    return data.join(needed, ["file", "block", "ordinal"]).groupBy("file", "record").applyInPandas(join_pieces, names)
+    return needed.join(data, "content", "left").groupBy("file", "record").applyInPandas(join_pieces, names)
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:

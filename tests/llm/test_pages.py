@@ -110,6 +110,25 @@ def test_round_trip_with_magic_inside_payloads(spark, tmp_path, split):
     assert len(got) == len(rows) and all(r["intact"] for r in got)
 
 
+def test_the_second_read_may_have_other_splits(spark, tmp_path, monkeypatch):
+    rows = [(i, "u", "x" * 400 * i + FAKE + "y" * 1500 + FAKE * (i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    splits, read = iter(["3k", "1k"]), warc.open_archives
+
+    def other(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(splits))
+        return read(*args)
+
+    monkeypatch.setattr(warc, "open_archives", other)
+    try:
+        got = warc.round_trip(df, str(tmp_path / "s")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert next(splits, None) is None
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == expected(rows)
+    assert len(got) == len(rows) and all(r["intact"] for r in got)
+
+
 def test_odd_tables(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty, str(tmp_path / "e")).count() == 0
