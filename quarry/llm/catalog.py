@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, chat, html_text, langid, minhash, packing, quality, token_counts, warc
+from quarry.llm import ann, bpe, chat, html_text, langid, minhash, packing, quality, repair, runs, token_counts, warc
 from quarry.sources.tables import load
 
 QUERIES: dict = {}
@@ -108,3 +108,13 @@ def op6(spark, sf_dir):
     import public_tokenizers
     return token_counts.count_lines(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                     public_tokenizers.PATTERN)
+
+
+@register("op12_conversation_repair", repair.SQL)
+def op12(spark, sf_dir):
+    return repair.repair_report(load(spark, sf_dir, "conversations"))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return runs.periodic_runs(load(spark, sf_dir, "documents"))
