@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, chat, html_text, langid, minhash, packing, quality, repair, runs, token_counts, warc
+from quarry.llm import ann, bpe, chat, discriminant, html_text, langid, minhash, packing, quality, repair, runs, token_counts, warc
 from quarry.sources.tables import load
 
 QUERIES: dict = {}
@@ -110,6 +110,11 @@ def op6(spark, sf_dir):
                                     public_tokenizers.PATTERN)
 
 
+@register("op11_quality_discriminant")
+def op11(spark, sf_dir):
+    return discriminant.quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @register("op12_conversation_repair", repair.SQL)
 def op12(spark, sf_dir):
     return repair.repair_report(load(spark, sf_dir, "conversations"))
