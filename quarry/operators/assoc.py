@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.params import canonical_metrics, canonical_task
 from quarry.operators.kernels import Cached, bucket_count, bucketize_many, cut_points, prefix_below
-from quarry.operators.prep import Prepared, numeric_features, prepare_for_association
+from quarry.operators.prep import Prepared, numeric_features, plain_name, plain_names, prepare_for_association
 from quarry.session import run_parallel
 
 SCORE_SCHEMA = "feature string, score double"
@@ -124,6 +124,16 @@ def associate(df: DataFrame, target: str, task: str = "regression", metrics=("pe
     input is scored on the rows that have it and the target (B5), input by
     input; the cleaning result then describes the listwise frame.
     """
+    if prepared is None and any(plain_name(c) != c for c in df.columns):
+        names = {plain_name(c): c for c in df.columns}
+        plain = lambda cs: None if cs is None else [plain_name(c) for c in cs]
+        long, prep = associate(plain_names(df), plain_name(target), task, metrics, plain(inputs), None, mi_neighbors, seed, jitter,
+                               dcor_sample, None, key and plain_name(key), pairwise)
+        spelled = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        prep.frame = prep.frame.toDF(*[names[c] for c in prep.frame.columns])
+        prep.target, prep.used, prep.skipped = target, [names[c] for c in prep.used], [names[c] for c in prep.skipped]
+        prep.extra["key"] = key
+        return rank_scores(long.drop("rank").withColumn("feature", spelled[F.col("feature")]), topk), prep
     task = canonical_task(task)
     metrics = canonical_metrics(metrics)
     prep = prepared or prepare_for_association(df, target, inputs, task, key=key)

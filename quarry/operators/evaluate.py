@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.kernels import average_ranks
+from quarry.operators.kernels import average_ranks, null_safe_join
 from quarry.session import cut_lineage
 
 
@@ -70,14 +70,16 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", posit
     """exact ROC AUC in the Mann-Whitney form, (sum of positive average
     ranks - P(P+1)/2) / (P N), with tie-averaged ranks from kernel K1.
     Scores are pre-aggregated per (group, score, class), so repeated scores
-    cost one row each; NULL when a group has one class only."""
+    cost one row each; NULL when a group has one class only. A row without label
+    or score (or with a NaN score) is left out; a NULL group is a group."""
     keys = _by(by)
+    scored = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     pos = (F.col(label) == F.lit(positive)).cast("long")
     s = scored.select(*keys, F.col(score).cast("double").alias("__s"), pos.alias("__p"))
     # read by the cut points, the bucket totals, the ranks and the last join
     per = cut_lineage(s.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__np")))
     ranks = average_ranks(per, "__s", group_cols=keys, count_col="__n", groups_bound=1 if not keys else None)
-    j = ranks.join(per, keys + ["__s"])
+    j = null_safe_join(ranks, per, keys + ["__s"])
     g = j.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("__np")).alias("rs"),
                              F.sum("__np").alias("P"), F.sum(F.col("__n") - F.col("__np")).alias("N"))
     auc = F.try_divide(F.col("rs") - F.col("P") * (F.col("P") + 1) / 2.0, F.col("P") * F.col("N"))

@@ -30,6 +30,7 @@ from quarry.operators.kernels import bucket_count, bucketize, cut_points, prefix
 # Relative shrink of the radius so that x +/- r in floating point never
 # counts the neighbour that defines r (it lies exactly on the boundary).
 RADIUS_GUARD = 4e-15
+COPY_BLOCK = 100_000       # equal rows that one task numbers
 CLASS_BROADCAST = 10_000   # a class table of more rows is left to AQE
 
 
@@ -194,24 +195,28 @@ def mutual_information(prep, task: str, k: int = 3, seed=0, jitter: bool = True,
     frame = prep.frame
     if key is None:
         key = prep.extra.get("key")
-    if key is None or key not in frame.columns:
+    if jitter and (key is None or key not in frame.columns):
         # a key from the row's own values: the score must not depend on how the
-        # table is partitioned; equal rows are numbered among themselves
-        values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in frame.columns]
-        frame = frame.withColumn("__rowhash", F.md5(F.concat_ws("\x1f", *values)))
-        nth = F.row_number().over(Window.partitionBy("__rowhash").orderBy(F.lit(0)))
-        frame = frame.withColumn("__rowid", F.concat_ws(":", "__rowhash", nth.cast("string"))).drop("__rowhash").persist()
+        # table is partitioned; equal rows are counted, then numbered block by block
+        columns = frame.columns
+        values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+        copies = frame.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__rowhash", F.md5(F.concat_ws("\x1f", *values)))
+        last = (F.col("__n") - 1) / COPY_BLOCK
+        copies = copies.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last)))).repartition("__rowhash", "__block")
+        first = F.col("__block") * COPY_BLOCK + 1
+        nth = F.explode(F.sequence(first, F.least("__n", first + COPY_BLOCK - 1))).alias("__nth")
+        frame = copies.select(*columns, "__rowhash", nth)
+        frame = frame.withColumn("__rowid", F.concat_ws(":", "__rowhash", F.col("__nth").cast("string"))).drop("__rowhash", "__nth").persist()
         key = "__rowid"
     kk = min(k, max(1, prep.rows_used - 1))
-    from quarry.session import run_parallel
-
-    def one(f):
-        if task == "classification":
-            r = mi_classif_feature(frame, f, prep.target, key, kk, seed, jitter).first()
-        else:
-            from quarry.operators.mi_reg import mi_regression_feature
-            r = mi_regression_feature(frame, f, prep.target, key, kk, seed, jitter).first()
-        return (f, r["score"])
-
-    rows = run_parallel([lambda f=f: one(f) for f in prep.used])
+    if task == "regression":
+        from quarry.operators.mi_reg import mi_regression
+        scores = mi_regression(frame, prep.used, prep.target, key, kk, seed, jitter)
+        rows = [(f, scores[f]) for f in prep.used]
+    else:
+        from quarry.session import run_parallel
+        rows = run_parallel([lambda f=f: (f, mi_classif_feature(frame, f, prep.target, key, kk, seed, jitter).first()["score"])
+                             for f in prep.used])
+    if frame is not prep.frame:
+        frame.unpersist()
     return spark.createDataFrame(rows, "feature string, score double")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.params import canonical_model, canonical_task
-from quarry.operators.prep import encoder_stages
+from quarry.operators.prep import encoder_stages, plain_name, plain_names, quoted
 
 # The two parameter profiles of each model kind.
 PROFILES = {
@@ -91,6 +91,12 @@ class FittedModel:
     def transform(self, df: DataFrame, keep_index: bool = False) -> DataFrame:
         """G1 core: every input column plus ``<target>_pred`` (and, for a
         binary classifier, ``score`` = probability of the second class)."""
+        names = df.columns
+        df = plain_names(df)
+        out = self._transform(df, keep_index)
+        return out.toDF(*names, *out.columns[len(names):]) if df.columns != names else out
+
+    def _transform(self, df: DataFrame, keep_index: bool) -> DataFrame:
         out = self.pipeline.transform(df)
         extra = []
         if self.task == "classification":
@@ -123,8 +129,8 @@ class FittedModel:
             for c, labs in zip(m.getInputCols(), m.labelsArray):
                 cat_labels[c] = labs
         for c in self.inputs:
-            if c in cat_labels:
-                names += [f"{c}={v}" for v in cat_labels[c]]
+            if plain_name(c) in cat_labels:
+                names += [f"{c}={v}" for v in cat_labels[plain_name(c)]]
             else:
                 names.append(c)
         return names
@@ -144,8 +150,8 @@ class KnnFitted(FittedModel):
         super().__init__(*args, **kw)
         self.knn = knn
 
-    def transform(self, df: DataFrame, keep_index: bool = False) -> DataFrame:
-        key = self.params["key"]
+    def _transform(self, df: DataFrame, keep_index: bool) -> DataFrame:
+        key = plain_name(self.params["key"])
         pred = self.knn.predict(df, key)
         if self.task == "classification":
             lab = F.element_at(F.array(*[F.lit(v) for v in self.labels]), F.col("prediction").cast("int") + 1)
@@ -154,7 +160,7 @@ class KnnFitted(FittedModel):
             pred = pred.select(key, lab.alias(self.pred_col))
         else:
             pred = pred.withColumnRenamed("prediction", self.pred_col)
-        return df.join(pred, key, "left").select(*df.columns, self.pred_col)
+        return df.join(pred, key, "left").select(*df.columns, quoted(self.pred_col))
 
 
 def _label_stats(df: DataFrame, label: str):
@@ -223,10 +229,22 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
     raise ValueError(f"no estimator for {task}/{kind}")
 
 
+def spelled(model: FittedModel, target: str, inputs) -> FittedModel:
+    """``model``, fitted on ``plain_names``, under the table's own names."""
+    model.target, model.inputs = target, [c for c in inputs if c != target]
+    model.input_types = {c: model.input_types[plain_name(c)] for c in model.inputs}
+    return model
+
+
 def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str = "linear",
         profile: str = "core", seed: int = 42, encoder=None, **overrides) -> FittedModel:
     """Fit the pipeline for (task, kind, profile) on ``df`` (rows with a
     missing input or target are dropped first). Returns a FittedModel."""
+    if any(plain_name(c) != c for c in df.columns):
+        if "key" in overrides:
+            overrides["key"] = plain_name(overrides["key"])
+        m = fit(plain_names(df), plain_name(target), [plain_name(c) for c in inputs], task, kind, profile, seed, encoder, **overrides)
+        return spelled(m, target, inputs)
     task = canonical_task(task)
     kind = canonical_model(task, kind)
     if profile not in ("core", "gui"):

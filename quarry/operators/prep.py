@@ -17,6 +17,23 @@ from pyspark.sql import types as T
 from quarry.functions.exprs import clean_double, coerce_text_number, order_key, slugify
 
 
+def plain_name(c: str) -> str:
+    """A column name that needs no quoting where Spark parses names: dots and
+    backquotes are spelled out."""
+    return c.replace(".", "__dot__").replace("`", "__tick__")
+
+
+def quoted(c: str):
+    """The column of that very name, dots and backquotes included."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with ``plain_name`` columns (itself when all are plain)."""
+    names = [plain_name(c) for c in df.columns]
+    return df if names == df.columns else df.toDF(*names)
+
+
 # ---------------------------------------------------------------- B1, B2
 def select_existing(df: DataFrame, cols) -> DataFrame:
     """B1: keep the requested columns that exist, in request order."""
@@ -26,7 +43,7 @@ def select_existing(df: DataFrame, cols) -> DataFrame:
         if c in have and c not in seen:
             keep.append(c)
             seen.add(c)
-    return df.select(*keep)
+    return df.select(*[quoted(c) for c in keep])
 
 
 def numeric_features(df: DataFrame, target: str | None = None) -> list[str]:
@@ -41,29 +58,37 @@ def coerce_numeric(df: DataFrame, cols) -> DataFrame:
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     exprs = []
     for c in df.columns:
+        col = quoted(c)
         if c in cols:
             dt = types[c]
             if isinstance(dt, T.NumericType):
-                e = clean_double(F.col(c).cast("double"))
+                e = clean_double(col.cast("double"))
             elif isinstance(dt, T.BooleanType):
-                e = F.col(c).cast("double")
+                e = col.cast("double")
             else:
-                e = coerce_text_number(F.col(c))
+                e = coerce_text_number(col)
             exprs.append(e.alias(c))
         else:
-            exprs.append(F.col(c))
+            exprs.append(col)
     return df.select(*exprs)
 
 
 def drop_incomplete(df: DataFrame, cols=None) -> DataFrame:
     """Listwise deletion: drop a row with NULL (or NaN) in any used column."""
-    return df.dropna(how="any", subset=list(cols) if cols else None)
+    keep = F.lit(True)
+    for f in df.schema.fields:
+        if cols is None or f.name in cols:
+            c = quoted(f.name)
+            keep = keep & c.isNotNull()
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                keep = keep & ~F.isnan(c)
+    return df.where(keep)
 
 
 def complete_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pairwise-complete rows of two columns."""
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()
-                    & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    x, y = quoted(x), quoted(y)
+    return df.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x.cast("double")) & ~F.isnan(y.cast("double")))
 
 
 # ---------------------------------------------------------------- B6, B7
@@ -252,14 +277,18 @@ def label_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 
 
 def standardize(df: DataFrame, cols, population: bool = True) -> DataFrame:
-    """(x - mean) / std per column; population std by default."""
+    """(x - mean) / std per column; population std by default. A constant column
+    becomes 0 (a NULL stays NULL)."""
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"m_{c}"),
                  (F.stddev_pop(c) if population else F.stddev_samp(c)).alias(f"s_{c}")]
     stats = df.agg(*aggs).first()
-    return df.select(*[((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"])).alias(c)
-                       if c in cols else F.col(c) for c in df.columns])
+    def scaled(c):
+        s = stats[f"s_{c}"]
+        return ((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(s if s else 1.0)).alias(c)
+
+    return df.select(*[scaled(c) if c in cols else F.col(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------- B15, B17

@@ -103,6 +103,22 @@ SELECT split, round((sum(rk) FILTER (WHERE quality = 1) - sum(quality) * (sum(qu
     split.split_random(load(spark, sf, "labels").join(load(spark, sf, "documents"), "doc_id"), 0.3, 3, "doc_id"),
     "quality", "n_chars", 1, by="split")))
 
+def _auc_nulls(spark, sf):
+    """F3 with rows that lack a label or a score, and a NULL group."""
+    t = load(spark, sf, "labels").join(load(spark, sf, "documents"), "doc_id")
+    return rounded(ev.roc_auc(t.select(F.when(F.col("doc_id") % 5 > 0, F.col("quality")).alias("quality"),
+                                       F.when(F.col("doc_id") % 7 > 0, F.col("n_chars")).alias("n_chars"),
+                                       F.when(F.col("lang") != "en", F.col("lang")).alias("lang")), "quality", "n_chars", 1, by="lang"))
+
+
+register("F3_roc_auc_null_labels", """
+WITH t AS (SELECT CASE WHEN lang <> 'en' THEN lang END AS lang, quality, n_chars FROM labels JOIN documents USING (doc_id)
+  WHERE doc_id % 5 > 0 AND doc_id % 7 > 0 AND quality IS NOT NULL AND n_chars IS NOT NULL),
+r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS rk FROM t)
+SELECT lang, CASE WHEN sum(quality) > 0 AND sum(quality) < count(*) THEN round((sum(rk) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2.0)
+  / (sum(quality) * (count(*) - sum(quality))), 6) + 0.0 END AS roc_auc FROM r GROUP BY lang
+""")(_auc_nulls)
+
 register("F4_confusion_matrix", "WITH " + EV_PRED + """
 SELECT actual, count(*) FILTER (WHERE predicted = 'click') AS click,
   count(*) FILTER (WHERE predicted = 'error') AS error,

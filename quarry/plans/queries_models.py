@@ -479,6 +479,41 @@ SELECT p.p_partkey, round(c.a + c.b * p.p_size, 4) AS p_retailprice_pred, 'run1'
 """)(_pred_roundtrip)
 
 
+def _two_runs(spark, sf):
+    """Two scoring runs in one table, the first of them written twice."""
+    m, d = _scored(spark, sf)
+    path = sinks.scratch_path(spark, "pred")
+    pred = m.transform(d.select("p_partkey", "p_size"))
+    sinks.write_predictions(pred.where("p_partkey % 2 = 0"), path, run_id="run1")
+    sinks.write_predictions(pred, path, run_id="run2")
+    sinks.write_predictions(pred.where("p_partkey % 3 = 0"), path, run_id="run1")
+    back = spark.read.parquet(path)
+    return back.select("p_partkey", F.round("p_retailprice_pred", 4).alias("p_retailprice_pred"), "run_id")
+
+
+register("A8_write_predictions_two_runs", _PRED_SQL + """
+SELECT p.p_partkey, round(c.a + c.b * p.p_size, 4) AS p_retailprice_pred, r.run_id FROM part p, c, (VALUES ('run1'), ('run2')) r(run_id)
+WHERE r.run_id = 'run2' OR p.p_partkey % 3 = 0
+""")(_two_runs)
+
+
+def _parity_other_split(spark, sf):
+    """F6 of a run trained on 60 % of the rows, from its manifest."""
+    root = sinks.scratch_path(spark, "run")
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    s = split.split_random(d, 0.4, 42, "p_partkey")
+    m = models.fit(s.where("split = 'train'"), "p_retailprice", ["p_size"], "regression", "linear")
+    runs.save_model(m, root)
+    runs.save_manifest(spark, root, m, 42, f"{sf.rstrip('/')}/part.parquet", {"method": "random", "test_size": 0.4, "key": "p_partkey"})
+    p = runs.parity_of(spark, root)
+    return p.select("split", F.round("actual", 4).alias("actual"), F.round("predicted", 4).alias("predicted"))
+
+
+register("F6_parity_from_run_other_split", _PRED_SQL.replace("0.2", "0.4") + """
+SELECT s.split, round(s.p_retailprice, 4) AS actual, round(c.a + c.b * s.p_size, 4) AS predicted FROM s, c
+""")(_parity_other_split)
+
+
 # ------------------------------------------------------------------ B8, B11, B12
 def _feature_spec(spark, sf):
     from quarry.operators.prep import feature_spec

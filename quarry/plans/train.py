@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from quarry.functions.params import canonical_model, canonical_task, resolve_seed
 from quarry.operators import evaluate as ev
 from quarry.operators import split as sp
-from quarry.operators.models import FittedModel, fit
+from quarry.operators.models import FittedModel, fit, spelled
+from quarry.operators.prep import plain_name, plain_names
 
 
 @dataclass
@@ -108,6 +109,8 @@ def train_model(df: DataFrame, target: str, inputs, task: str = "regression", ki
     task = canonical_task(task)
     seed = resolve_seed(seed)
     inputs = [c for c in inputs if c != target]
+    own = target, inputs
+    df, key, target, inputs = plain_names(df), plain_name(key), plain_name(target), [plain_name(c) for c in inputs]
     data = df.select(*dict.fromkeys([key, *inputs, target])).dropna(how="any", subset=[*inputs, target])
     method = split_method or ("stratified" if task == "classification" else "random")
     parts = sp.split_train_test(data, method, test_size, seed, key=key,
@@ -123,12 +126,15 @@ def train_model(df: DataFrame, target: str, inputs, task: str = "regression", ki
     par = pred.select("actual", "predicted", "split")
     metrics = metrics_table(fitted, pred)
     counts = {r["split"]: r["n"] for r in ev.split_counts(parts).collect()}
+    spelled(fitted, *own)
     if out_dir:
         from quarry.sources import runs, sinks
         runs.save_model(fitted, out_dir)
-        runs.save_manifest(df.sparkSession, out_dir, fitted, seed, data_path)
         sinks.write_metrics(metrics, out_dir)
         sinks.write_parity(par, out_dir)
         if cvt is not None:
             cvt.coalesce(1).write.mode("overwrite").json(f"{out_dir}/cv")
+        # last: a run with a whole manifest is a whole run
+        runs.save_manifest(df.sparkSession, out_dir, fitted, seed, data_path,
+                           {"method": method, "test_size": test_size, "key": key})
     return TrainResult(fitted, par, metrics, cvt, seed, counts.get("train", 0), counts.get("test", 0), parts)

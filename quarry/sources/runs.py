@@ -34,11 +34,14 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("input_types", T.StringType()),
     T.StructField("data_path", T.StringType()),
     T.StructField("params", T.StringType()),
+    T.StructField("split", T.StringType()),
 ])
 
 
-def save_manifest(spark: SparkSession, run_dir: str, fitted, seed: int, data_path: str | None = None) -> dict:
-    """A6 write: one JSON row describing the run."""
+def save_manifest(spark: SparkSession, run_dir: str, fitted, seed: int, data_path: str | None = None,
+                  split: dict | None = None) -> dict:
+    """A6 write: one JSON row describing the run. ``split`` (method, test_size and
+    key) is how its rows were split. A run writes its manifest last."""
     m = {
         "schema_version": SCHEMA_VERSION, "artifact_type": "model", "model": fitted.kind,
         "task": fitted.task, "target": fitted.target, "features": list(fitted.inputs),
@@ -49,6 +52,7 @@ def save_manifest(spark: SparkSession, run_dir: str, fitted, seed: int, data_pat
         "data_path": data_path,
         "params": json.dumps({k: v for k, v in fitted.params.items()
                               if isinstance(v, (int, float, str, bool)) or v is None}),
+        "split": json.dumps(split) if split else None,
     }
     spark.createDataFrame([m], MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{run_dir}/manifest")
     return m
@@ -120,28 +124,36 @@ def run_data(spark: SparkSession, run_dir: str) -> DataFrame:
     return read_table(spark, path)
 
 
-def parity_of(spark: SparkSession, run_dir: str, key: str) -> DataFrame:
+def parity_of(spark: SparkSession, run_dir: str, key: str | None = None) -> DataFrame:
     """F6 of a saved run: its parity table, or, where that is missing, the model's
-    predictions on its training table, split as the manifest's seed splits it."""
+    predictions on its training table, split as the manifest says (a run that does
+    not say: 20 % by ``key``, stratified for classes)."""
     if _has(spark, f"{run_dir}/parity"):
         return spark.read.parquet(f"{run_dir}/parity").select("actual", "predicted", "split")
     from quarry.operators.evaluate import parity
     from quarry.operators.split import split_train_test
     fitted, m = load_model(spark, run_dir), load_manifest(spark, run_dir)
     data = run_data(spark, run_dir).dropna(how="any", subset=[*fitted.inputs, fitted.target])
-    method = "stratified" if fitted.task == "classification" else "random"
-    parts = split_train_test(data, method, 0.2, m["random_state"], key=key, stratify_col=fitted.target)
+    how = json.loads(m.get("split") or "{}")
+    method = how.get("method") or ("stratified" if fitted.task == "classification" else "random")
+    key = how.get("key") or key
+    if key is None:
+        raise ValueError(f"the manifest of {run_dir} names no key column; give one")
+    parts = split_train_test(data, method, how.get("test_size", 0.2), m["random_state"], key=key, stratify_col=fitted.target)
     scored = fitted.transform(parts)
     return parity(scored.where("split = 'train'"), scored.where("split = 'test'"), fitted.target, fitted.pred_col)
 
 
-def list_runs(spark: SparkSession, root: str) -> DataFrame:
+def list_runs(spark: SparkSession, root: str, committed: bool = False) -> DataFrame:
     """One row per run folder under ``root``: its manifest joined to
     its ``test`` metrics row (split matched case-insensitively), sorted by
     name. A missing or broken manifest or metrics file leaves NULLs; a root
-    without runs, or none at all, gives no row."""
+    without runs, or none at all, gives no row. With ``committed`` only runs are
+    listed whose manifest, the last thing a run writes, was written to its end."""
     root = root.rstrip("/")
     names = run_names(spark, root)
+    if committed:
+        names = [n for n in names if _has(spark, f"{root}/{n}/manifest/_SUCCESS")]
     out = spark.createDataFrame([(n,) for n in names], "name string")
     nth = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
     kept = [n for n in names if _has(spark, f"{root}/{n}/manifest")]

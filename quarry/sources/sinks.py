@@ -28,8 +28,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{output_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _write(df: DataFrame, path: str, fmt: str, partition_by=None):
+def _write(df: DataFrame, path: str, fmt: str, partition_by=None, one_partition: bool = False):
     w = df.write.mode("overwrite")
+    if one_partition:
+        w = w.option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
@@ -75,9 +77,10 @@ def write_metrics(metrics: DataFrame, run_dir: str, fmt: str = "json") -> str:
 
 
 def write_predictions(pred: DataFrame, out: str, run_id: str | None = None, fmt: str = "parquet") -> str:
-    """Predictions; the run id becomes a partition column, so several
-    scoring runs share one table."""
+    """Predictions; the run id becomes a partition column, so several scoring
+    runs share one table. A run's rows replace those of the same run alone; they
+    appear when the write is committed."""
     if run_id:
         pred = pred.withColumn("run_id", F.lit(run_id))
-        return _write(pred, out, fmt, partition_by="run_id")
+        return _write(pred, out, fmt, partition_by="run_id", one_partition=True)
     return _write(pred, out, fmt)
