@@ -6,29 +6,33 @@ shingle offers the value j + random to the j-th slot of its own permutation, so
 ranks are correlated, every shingle fills different slots, and a document stops
 at the level at which all slots are filled (one or two for usual lengths).
 
-Documents with equal sets are one class; only its smallest doc_id goes on. Bands
-of the signature bring classes together, and links are confirmed on full sets:
-first each bucket's members against its smallest member (a star, so a bucket of
-n near copies costs n pairs); then, in buckets that still hold several
-components, all members across components. Small buckets list their pairs
-(sizes and sketches permitting); in larger ones the task that holds the bucket
-compares full sets and reports only links that join components, so no row per
-pair is made. Buckets of more than ``SPLIT_FROM`` members are first split by a
-second band, and what is still larger is compared part by part. Linked classes are grouped by distributed union of stars
-(``components``), never on the driver.
+Documents with equal sets are one class, named by 64 bits of its set's digest; one
+document's text stands for it. Bands of the signature bring classes together, and
+links are confirmed on full sets, which are computed once for the classes that
+share a band and written: first each bucket's members against one of them (a star,
+so a bucket of n near copies costs n pairs); then, in buckets that still hold
+several components, all members outside the bucket's largest component against all
+others. The task that holds a bucket compares full sets and reports only links
+that join components, so no row per pair is made; a bucket is dealt into parts of
+``PART`` members (or ``PART_SHINGLES`` shingles) that meet part by part. Linked
+classes are grouped by distributed union of stars (``components``), never on the
+driver.
 
 With 32 bands of 4 slots a pair at similarity 0.75 meets with probability
-1 - 5e-6 (in a split bucket 1 - 8e-5), a nearer pair more surely.
+1 - 5e-6, a nearer pair more surely, in buckets of any size.
 
 Defined cases: a text without words (null, empty, white space) has an empty set
 and is linked with nothing; fewer than five words are one shingle; rows with a
 null doc_id are linked with nothing and have a null component; each row is
-judged by its own text, so repeated rows share a component; columns other than
-doc_id and text are ignored.
+judged by its own text, so repeated rows share a component and a doc_id that
+stands on different texts may stand in several; a text of any length is read
+whole; an empty table gives an empty result; columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +48,8 @@ SHINGLE = 5
 SLOTS, BANDS = 128, 32
 ROWS = SLOTS // BANDS
 THRESHOLD = 75              # percent: 100 * intersection >= THRESHOLD * union
-PAIRS_UP_TO = 16            # unresolved buckets up to this size list their pairs, larger ones compare in their task
-SPLIT_FROM = 2000           # unresolved buckets above this size are split by a second band
+PART = 512                  # members of a part of a bucket, and ...
+PART_SHINGLES = 2_000_000   # ... shingles of all of them, at most (in the mean)
 BLOCK = 100_000             # shingles whose permutations are held at once
 CACHE = 300_000             # words whose hashes a task keeps
 _FULL = np.uint32(0xFFFFFFFF)
@@ -128,26 +132,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit per slot, packed into two longs."""
-    return np.packbits((sig & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
-
-
-def most_bits(threshold: int = THRESHOLD) -> int:
-    """Sketch bits in which a pair at the threshold differs at most, five standard
-    deviations above the mean."""
-    p = (1 - threshold / 100) / 2
-    return int(SLOTS * p + 5 * (SLOTS * p * (1 - p)) ** 0.5) + 1
-
-
 def similar(n_a: int, n_b: int, common: int, threshold: int = THRESHOLD) -> bool:
     return 100 * common >= threshold * (n_a + n_b - common)
 
 
 # ---- on Spark ------------------------------------------------------------
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two longs a set."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash (two longs), bands and sketch of each text."""
+    """doc_id, n_shingles, set digest (h1, h2), bands and the text's md5 of each row."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,27 +154,37 @@ def signed(docs: DataFrame) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             has = np.flatnonzero(n)
             out = pd.DataFrame({"doc_id": b["doc_id"].to_numpy(object), "n_shingles": n})
-            found = {c: np.full(len(n), None, object) for c in ("h1", "h2", "bands", "s1", "s2")}
+            found = {c: np.full(len(n), None, object) for c in ("h1", "h2", "bands")}
             if len(has):
-                sig = signatures([sets[i] for i in has])
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(sets[i].tobytes()) for i in has), np.int64).reshape(-1, 2)
-                sketch, keys = sketches(sig), band_keys(sig)
+                digest, keys = _digests([sets[i] for i in has]), band_keys(signatures([sets[i] for i in has]))
                 for at, i in enumerate(has):
-                    found["h1"][i], found["h2"][i] = int(digest[at, 0]), int(digest[at, 1])
-                    found["s1"][i], found["s2"][i], found["bands"][i] = int(sketch[at, 0]), int(sketch[at, 1]), keys[at]
+                    found["h1"][i], found["h2"][i], found["bands"][i] = int(digest[at, 0]), int(digest[at, 1]), keys[at]
             for c, values in found.items():
                 out[c] = pd.Series(values, dtype=object)
+            out["m"] = pd.Series([hashlib.md5((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in b["text"]], dtype=object)
             yield out
 
-    return map_by_id(docs.select("doc_id", "text"), run, "n_shingles long, h1 long, h2 long, bands array<long>, s1 long, s2 long")
+    return map_by_id(docs.select("doc_id", "text"), run, "n_shingles long, h1 long, h2 long, bands array<long>, m string")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id")))
+def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid and full shingle set (binary) of the ``classes`` (cid, rep): the texts of
+    their rep are picked out by a mark, so none is shuffled to find them."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [x for x in (shingle_set(t, hashes) for t in b["text"]) if len(x)]
+            if sets:
+                yield pd.DataFrame({"cid": _digests(sets)[:, 0], "s": [x.tobytes() for x in sets]})
 
-    full = _sets(docs, ids, "doc_id")
+    some = mark(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", classes, "rep").where("marked")
+    found = some.select("doc_id", "text").mapInPandas(run, "cid long, s binary")
+    # one row a class: rows may repeat, and a few others share a mark
+    return found.join(classes.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("s").alias("s"))
 
+
+def confirmed(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (u, v) of classes whose full shingle sets reach the threshold."""
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
@@ -188,30 +195,16 @@ def confirmed(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
             out.append(similar(len(x), len(y), int((both[1:] == both[:-1]).sum()), threshold))
         return pd.Series(out, dtype=bool)
 
-    return (pairs.join(full.select(F.col("doc_id").alias("u"), F.col("s").alias("su")), "u")
-            .join(full.select(F.col("doc_id").alias("v"), F.col("s").alias("sv")), "v")
-            .where(linked("su", "sv")).select("u", "v").distinct())
-
-
-def _cross_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (u, v), u > v, of bucket members in different components whose sizes and
-    sketches allow the threshold; the join's condition drops the rest unseen."""
-    facts = ["rep", "root", "n", "s1", "s2"]
-    a = members.select("key", *[F.col(c).alias(f"{c}_a") for c in facts])
-    b = members.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in facts])
-    near = ((F.col("rep_a") > F.col("rep_b")) & (F.col("root_a") != F.col("root_b"))
-            & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-            & (F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-               <= most_bits(threshold)))
-    return (a.join(b, (F.col("key") == F.col("key_b")) & near)
-            .select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")).distinct())
-
-
-def settle(reps: list[int], roots: list[int], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Links (u, v) that join the components of one bucket's members: every member
-    outside the largest component is compared on full sets with all others, by
-    counting along the members that hold each of its shingles. At most one link
-    per component comes out, however many pairs are alike."""
+    return (pairs.join(sets.select(F.col("cid").alias("u"), F.col("s").alias("su")), "u")
+            .join(sets.select(F.col("cid").alias("v"), F.col("s").alias("sv")), "v")
+            .where(linked("su", "sv")).select("u", "v"))
+
+
+def settle(ids: list[int], roots: list[int], asks: list[bool], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links (u, v) that join the components of some members of one bucket: every
+    member that ``asks`` is compared on full sets with all others, by counting along
+    the members that hold each of its shingles. At most one link per component
+    comes out, however many pairs are alike."""
     n = np.array([len(s) for s in sets])
     _, codes, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     ends = np.cumsum(n)
@@ -225,11 +218,8 @@ def settle(reps: list[int], roots: list[int], sets: list[np.ndarray], threshold:
             r = now[r]
         return r
 
-    largest = max(set(roots), key=lambda r: (roots.count(r), r)) if len(set(roots)) < len(roots) else None
     out = []
-    for x in range(len(sets)):
-        if roots[x] == largest:
-            continue
+    for x in np.flatnonzero(asks).tolist():
         c = codes[ends[x] - n[x]:ends[x]]
         lens = df[c]
         at = np.repeat(first[c] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
@@ -238,113 +228,107 @@ def settle(reps: list[int], roots: list[int], sets: list[np.ndarray], threshold:
             a, b = find(roots[x]), find(roots[y])
             if a != b:
                 now[max(a, b)] = min(a, b)
-                out.append((max(reps[x], reps[y]), min(reps[x], reps[y])))
+                out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
     return out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """doc_id and full shingle set (binary) of the documents in ``ids`` (and of the
-    few others that share a mark): no text is shuffled to pick them out."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "s": [shingle_set(t, hashes).tobytes() for t in b["text"]]})
-
-    some = mark(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", ids, column).where("marked")
-    return some.select("doc_id", "text").mapInPandas(run, "doc_id long, s binary")
-
-
-def _settled(docs: DataFrame, rest: DataFrame, threshold: int) -> DataFrame:
-    """Links across components inside the larger unresolved buckets. Pairs are
-    compared within the task that holds the bucket, so no row per pair is made. A
-    bucket above ``SPLIT_FROM`` members is first split by a second band, and what
-    is still larger is compared part by part."""
-    large = F.col("size") > SPLIT_FROM
-    split = (rest.where(large).select("*", F.posexplode("bands").alias("second", "value")).where("second > band")
-             .withColumn("key", F.xxhash64("key", "value")))
-    cells = rest.where(~large).select("key", "rep", "root").union(split.select("key", "rep", "root"))
-    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    cells = cells.join(sizes.where("lo <> hi").select("key", F.ceil(F.col("size") / SPLIT_FROM).alias("parts")), "key")
-    # a member of part p meets every part: tasks hold the parts (p, q)
-    part = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    cells = (cells.withColumn("part", part).withColumn("other", other)
-             .withColumn("cell", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-             .select("cell", "rep", "root").distinct())
-    full = _sets(docs, rest, "rep").withColumnRenamed("doc_id", "rep")
-    rows = cells.join(full, "rep")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks, "cell").sortWithinPartitions("cell", "rep")
+def _settled(sets: DataFrame, rest: DataFrame, threshold: int) -> DataFrame:
+    """Links across components inside the unresolved buckets ``rest`` (key, cid, n,
+    root). Members of a bucket's largest component are compared with the others
+    only. Parts p of the others (side 0) and q of the largest component (side 1)
+    meet in cells (0 p, 1 q) and (0 p, 0 p')."""
+    by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    facts = by_root.groupBy("key").agg(F.max(F.struct("c", "root", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    parts = lambda c, w: F.ceil(F.greatest(c / PART, w / PART_SHINGLES)).cast("long")
+    facts = facts.select("key", F.col("top.root").alias("largest"), parts(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("n0"),
+                         parts(F.col("top.c"), F.col("top.w")).alias("n1"))
+    m = rest.select("key", "cid", "root").join(facts, "key").withColumn("asks", F.col("root") != F.col("largest"))
+    m = m.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(7)), F.when(F.col("asks"), F.col("n0")).otherwise(F.col("n1"))))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    with_others = F.transform(upto("n0"), lambda i: F.struct(F.lit(0).alias("side"), F.least("part", i).alias("a"), F.greatest("part", i).alias("b")))
+    with_others = F.filter(with_others, lambda c: c["a"] != c["b"])
+    with_largest = F.transform(upto("n1"), lambda i: F.struct(F.lit(1).alias("side"), F.col("part").alias("a"), i.alias("b")))
+    from_largest = F.transform(upto("n0"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("a"), F.col("part").alias("b")))
+    cells = m.select("key", "cid", "root", "asks", F.explode(F.when(F.col("asks"), F.concat(with_others, with_largest)).otherwise(from_largest)).alias("c"))
+    cells = cells.select(F.xxhash64("key", "c.side", "c.a", "c.b").alias("cell"), "cid", "root", "asks")
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.join(sets, "cid").repartition(tasks, "cell").sortWithinPartitions("cell", "cid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(held):
-            links = settle(*zip(*held, strict=True), threshold) if len({r for _, r, _ in held}) > 1 else []
+            links = settle(*zip(*held, strict=True), threshold) if len({r for _, r, _, _ in held}) > 1 else []
             return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
         now, held = None, []
         for b in batches:
-            for cell, rep, root, s in zip(b["cell"], b["rep"], b["root"], b["s"], strict=True):
+            for cell, cid, root, asks, s in zip(b["cell"], b["cid"], b["root"], b["asks"], b["s"], strict=True):
                 if cell != now and held:
                     yield done(held)
                     held = []
                 now = cell
-                held.append((rep, root, np.frombuffer(s, np.uint64)))
+                held.append((cid, root, asks, np.frombuffer(s, np.uint64)))
         if held:
             yield done(held)
 
     return rows.mapInPandas(run, "u long, v long").distinct()
 
 
-def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, band, size, rep, root of the buckets that hold several components."""
-    known = (members.join(roots, members["rep"] == roots["id"], "left")
-             .select("key", "band", "rep", F.coalesce("root", "rep").alias("root")))
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                     F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    return known.join(mixed, "key")
-
-
 def linked_classes(docs: DataFrame, table: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(id, root) of the classes of equal sets that are linked to others."""
-    classes = (table.where("n_shingles > 0 and doc_id is not null")
-               .groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
-                                        F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
-    classes = saved(classes.drop("h1", "h2"))
-    rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    classes = saved(table.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("h1").alias("cid")).agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    rows = classes.select("cid", "rep", "n", F.explode("bands").alias("key"))
     # a bucket's smallest member and size: one row per task and key is shuffled
-    heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = saved(rows.join(heads, "key").select("key", "band", "rep", "head"))
-    tested = members.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
-    edges = saved(confirmed(docs, tested, threshold))
-    roots = components(edges)
-
-    # what one star could not settle: buckets that still hold several components
-    rest = saved(_mixed(members, roots).join(classes.select("rep", "n", "s1", "s2", "bands"), "rep"))
-    little = rest.where(F.col("size") <= PAIRS_UP_TO)
-    pairs = saved(_cross_pairs(little, threshold).join(tested, ["u", "v"], "left_anti"))
-    more = saved(confirmed(docs, pairs, threshold).union(_settled(docs, rest.where(F.col("size") > PAIRS_UP_TO), threshold)))
+    heads = rows.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = saved(rows.join(heads, "key"))
+    sets = saved(_sets(docs, members.select("cid", "rep").distinct()))
+    tested = members.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct()
+    roots = components(confirmed(sets, tested, threshold))
+
+    # what one star could not settle: buckets of three and more that hold several
+    # components (of two, the star has compared the only pair)
+    known = (members.where("size > 2").join(roots, F.col("cid") == F.col("id"), "left")
+             .select("key", "cid", "n", F.coalesce("root", "cid").alias("root")))
+    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    more = saved(_settled(sets, known.join(mixed, "key"), threshold))
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).union(more))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
+def judged(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, m (the text's md5), n_shingles and root (a class of its component,
+    null for rows without words or doc_id) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = saved(signed(docs))
     roots = linked_classes(docs, table, threshold)
-    reps = (table.where("n_shingles > 0 and doc_id is not null")
-            .groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    reps = reps.join(roots, reps["rep"] == roots["id"], "left").select(
-        "h1", "h2", F.coalesce("root", "rep").alias("root"))
-    out = table.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = table.select("doc_id", "m", "n_shingles", "h1").join(roots, F.col("h1") == F.col("id"), "left")
+    return out.select("doc_id", "m", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "h1")).alias("root"))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
+    rows = judged(docs, threshold)
+    least = rows.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.join(least, F.col("root") == F.col("r"), "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, less all but the smallest
-    doc_id of each component."""
-    gone = near_duplicates(docs, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns unchanged, less all but one of each
+    component: a row with its smallest (doc_id, text digest). Rows without words
+    or doc_id stay."""
+    rows = saved(judged(docs, threshold).where("root is not null").groupBy("root", "doc_id", "m").agg(F.count(F.lit(1)).alias("n")))
+    keep = rows.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("doc_id", "m")).alias("k"))
+    rows = rows.join(keep, F.col("root") == F.col("r"))
+    kept = (F.col("doc_id") == F.col("k.doc_id")) & (F.col("m") == F.col("k.m"))
+    gone = rows.where(~kept | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("m").alias("__m")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__m"))
+    out = docs.join(gone, same, "left_anti").select(*docs.columns)
+    # a kept row that stands there several times comes back once
+    again = rows.where(kept & (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("m").alias("__m")).distinct()
+    if again.isEmpty():
+        return out
+    once = docs.join(again, same).dropDuplicates(["__id", "__m"]).select(*docs.columns)
+    return out.union(once)

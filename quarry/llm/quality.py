@@ -138,7 +138,9 @@ def _grow(binned, grad, hess, cuts, signs) -> list[tuple]:
             n = np.cumsum(np.bincount(b, minlength=BINS))[:-1]
             vl = np.clip(-g / (h + L2), low, high)
             vr = np.clip(-(g_all - g) / (h_all - h + L2), low, high)
-            gain = g**2 / (h + L2) + (g_all - g)**2 / (h_all - h + L2) - g_all**2 / (h_all + L2)
+            # twice the loss that the (clipped) leaf values save against one clipped leaf
+            v0 = nodes[at][4]
+            gain = -(2 * g * vl + (h + L2) * vl**2 + 2 * (g_all - g) * vr + (h_all - h + L2) * vr**2) + 2 * g_all * v0 + (h_all + L2) * v0**2
             bad = (n < MIN_LEAF) | (len(rows) - n < MIN_LEAF) | (sign * (vr - vl) < 0)
             bad[len(cuts[f]):] = True
             gain = np.where(bad, -np.inf, gain)
@@ -215,7 +217,9 @@ STAT_SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     """The model from documents that ``labels`` (doc_id, quality) covers: at most
-    ``max_rows`` labels by smallest hash, so their broadcast is bounded."""
+    ``max_rows`` labels by smallest hash, so their broadcast is bounded. Where
+    doc_ids repeat, the ``max_rows`` rows with the smallest hash of doc_id and
+    statistics are taken, whatever the partitioning."""
     bounded_batches(docs.sparkSession)
     sample = (labels.where("doc_id is not null and quality is not null")
               .groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
@@ -223,12 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> d
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"].to_numpy(),
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "y": b["y"].to_numpy(),
                                 "x": [statistics(t)[5] for t in b["text"]]})
 
-    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-            .mapInPandas(features, "y int, x array<double>")
-            .limit(max_rows).toPandas())    # the limit only matters where documents repeat a doc_id
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+            .mapInPandas(features, "doc_id long, y int, x array<double>")
+            .orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(max_rows).toPandas())
     if not len(rows):
         return None
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy().astype(float)

@@ -51,12 +51,12 @@ def test_matches_brute_force(spark):
     check(minhash.near_duplicates(docs), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("split_from, pairs_up_to", [(2000, 16), (4, 2), (2000, 0), (2000, 10**6)])
-def test_groups_chains_and_common_passages(spark, monkeypatch, split_from, pairs_up_to):
+@pytest.mark.parametrize("part, shingles", [(512, 2_000_000), (4, 2_000_000), (512, 150)])
+def test_groups_chains_and_common_passages(spark, monkeypatch, part, shingles):
     """A large group of near copies, chains whose ends differ, and many documents
-    that share one passage; the parameters take every way through the buckets."""
-    monkeypatch.setattr(minhash, "SPLIT_FROM", split_from)
-    monkeypatch.setattr(minhash, "PAIRS_UP_TO", pairs_up_to)
+    that share one passage; buckets whole and in parts."""
+    monkeypatch.setattr(minhash, "PART", part)
+    monkeypatch.setattr(minhash, "PART_SHINGLES", shingles)
     rng = np.random.default_rng(3)
     pick = lambda n: [f"{WORDS[i % 19]}{i}" for i in rng.integers(0, 5000, n)]
     rows, base, passage = [], pick(120), pick(60)
@@ -110,3 +110,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = minhash.without_copies(odd_docs)
     assert kept.columns == odd_docs.columns
     assert minhash.near_duplicates(no_docs).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "y"), (3, b + " more", "z"), (4, a.upper(), "x"), (5, "", "e"), (5, "", "e"), (5, None, "e"),
+            (6, "lone words", "l"), (6, "lone words", "l"), (6, "lone words", "other"), (7, "c c c", "p"), (7, "d d d", "q"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted([tuple(r) for r in minhash.without_copies(docs).collect()], key=repr)
+    lone = [r for r in got if r[0] == 6]
+    assert len(lone) == 1 and lone[0][1] == "lone words"
+    rest = [(1, a, "x"), (2, b, "y"), (5, "", "e"), (5, "", "e"), (5, None, "e"), (7, "c c c", "p"), (7, "d d d", "q"), (None, a, "n")]
+    assert [r for r in got if r[0] != 6] == sorted(rest, key=repr)
+    by = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    assert {(2, 36, 1), (2, 36, 2), (3, 37, 2), (4, 36, 1)} <= by

@@ -79,3 +79,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = quality.good_documents(odd_docs, labels)
     assert kept.columns == odd_docs.columns
     assert quality.quality_report(no_docs, labels).count() == 0
+
+
+def test_same_model_whatever_the_partitioning(spark):
+    """Repeated doc_ids beyond the limit."""
+    docs, labels = spark.read.parquet(f"{SF001}/documents.parquet"), spark.read.parquet(f"{SF001}/labels.parquet")
+    docs = docs.union(docs.selectExpr("doc_id", "concat(text, ' tail words') as text", "lang", "source", "n_chars")).union(docs)
+    models = [quality.fit(docs.repartition(n), labels, max_rows=40) for n in (1, 3, 7)]
+    assert models[0] is not None
+    for m in models[1:]:
+        assert all(np.array_equal(m[k], models[0][k]) for k in models[0])
