@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.base import bounded_batches, map_by_id
@@ -42,6 +42,7 @@ EPOCHS = 2
 TERM_SCALE = 100.0          # relative frequencies are small; one constant for all of them
 BLOCK = 1 << 18
 CHUNKS = 32                 # document frequencies travel as so many slices
+SUM_TASKS = 256            # tasks whose sums are added up together
 UNDETERMINED = "und"
 MIN_SCORE = 0.3             # least score of a document that ``identified`` keeps (texts in two languages score low)
 SURE = 1.2                  # or so many times an even score, if that is less (more than four languages)
@@ -98,10 +99,10 @@ def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- learning ------------------------------------------------------------
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int) -> np.ndarray:
-    """Weights (n-grams x classes) of a softmax regression, one pass per epoch
-    of follow-the-regularised-leader."""
-    z, n, w = (np.zeros((_D, classes)) for _ in range(3))
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, width: int) -> np.ndarray:
+    """Weights (``width`` n-grams x classes) of a softmax regression, one pass per
+    epoch of follow-the-regularised-leader."""
+    z, n, w = (np.zeros((width, classes)) for _ in range(3))
     for _ in range(EPOCHS):
         for (at, x), k in zip(rows, y, strict=True):
             s = x @ w[at]
@@ -142,8 +143,9 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts of ``docs`` each hashed n-gram occurs, and how many texts
-    there are. A task adds up its own documents; ``CHUNKS`` slices per task are
-    then summed in parallel and the fixed-size result comes to the driver."""
+    there are. A task adds up its own documents; the slices (``CHUNKS``) of at most
+    ``SUM_TASKS`` tasks are summed together, then their sums, and the fixed-size
+    result comes to the driver."""
     width = _D // CHUNKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,14 +162,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                                 "df": [zlib.compress(df[i * width:(i + 1) * width].tobytes(), 1) for i in range(CHUNKS)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["df"])
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "n": [pdf["n"].sum()], "df": [total.tobytes()]})
+        total = np.zeros(width, np.int64)
+        for x in pdf["df"]:
+            total += np.frombuffer(zlib.decompress(x), np.int64)
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "n": [pdf["n"].sum()], "df": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "chunk int, n long, df binary"
-    found = docs.select("text").mapInPandas(count, schema).groupBy("chunk").applyInPandas(add, schema).collect()
+    slices = docs.select("text").mapInPandas(count, schema).withColumn("some", F.floor(F.spark_partition_id() / SUM_TASKS))
+    found = slices.groupBy("chunk", "some").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema).collect()
     df, n = np.zeros(_D, np.int64), 0
     for r in found:
-        df[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(bytes(r["df"]), np.int64)
+        df[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r["df"])), np.int64)
         n = r["n"]
     return df, n
 
@@ -184,12 +189,12 @@ def quotas(counts: dict[str, int], max_rows: int) -> dict[str, int]:
 
 def sampled(docs: DataFrame, max_rows: int) -> tuple[DataFrame, dict[str, int]]:
     """(rows of ``docs`` with their hash ``k``, quotas): of each language the quota's
-    smallest hashes of doc_id, and more only where rows repeat one doc_id. Hashes
+    smallest hashes of doc_id and text, and more only where whole rows repeat. Hashes
     below a bound that twice the quota should lie under are counted; a language that
     has fewer there is counted again below a larger one. No text moves."""
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     quota = quotas(counts, max_rows)
-    docs = docs.withColumn("k", F.xxhash64("doc_id"))
+    docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
     lowest, highest = -(1 << 63), (1 << 63) - 1
     cut = {lang: highest for lang, c in counts.items() if quota[lang] == c}
     reach = {lang: 2 * quota[lang] + 64 for lang in counts if lang not in cut}
@@ -235,9 +240,10 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
 
     some, quota = sampled(docs, max_rows)
     some = some.mapInPandas(counted, "lang string, k long, at binary, x binary")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "at", "x"))     # only matters where rows repeat one doc_id
-    rows = some.withColumn("place", place).where(F.col("place") <= max(quota.values())).toPandas()
-    rows = rows[rows["place"] <= rows["lang"].map(quota)]
+    # rows that repeat come once with their number; the last of a quota may be among them
+    rows = some.groupBy("lang", "k", "at", "x").count().toPandas().sort_values(["lang", "k", "at", "x"], kind="stable")
+    before = rows.groupby("lang")["count"].cumsum() - rows["count"]
+    rows = rows.loc[rows.index.repeat(np.minimum(rows["lang"].map(quota) - before, rows["count"]).clip(lower=0))]
     rows = rows.sort_values(["lang", "at", "x"], kind="stable").sample(frac=1, random_state=7)
     langs = sorted(rows["lang"].unique())
     x, y = [], []
@@ -251,12 +257,15 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict | None:
     y = np.array(y)
     # a language with fewer documents than that share is learned from all of them
     nth = pd.Series(y).groupby(y).cumcount().to_numpy()
-    held = nth % CALIBRATION_SHARE == CALIBRATION_SHARE - 1 if len(y) >= 50 else np.zeros(len(y), bool)
-    w = ftrl([r for r, h in zip(x, held, strict=True) if not h], y[~held], len(langs))
+    held = nth % CALIBRATION_SHARE == CALIBRATION_SHARE - 1
+    # only n-grams of the sample have weights
+    seen = np.unique(np.concatenate([at for at, _ in x]))
+    x = [(np.searchsorted(seen, at), v) for at, v in x]
+    w = ftrl([r for r, h in zip(x, held, strict=True) if not h], y[~held], len(langs), len(seen))
     logits = np.array([v @ w[at] for (at, v), h in zip(x, held, strict=True) if h]).reshape(-1, len(langs))
-    used = np.flatnonzero(np.abs(w).sum(1))
-    return {"langs": langs, "at": used.astype(np.int32), "t": temperature(logits, y[held]),
-            "w": (TERM_SCALE * idf[used, None] * w[used]).astype(np.float32)}
+    some = np.abs(w).sum(1) > 0
+    return {"langs": langs, "at": seen[some].astype(np.int32), "t": temperature(logits, y[held]),
+            "w": (TERM_SCALE * idf[seen[some], None] * w[some]).astype(np.float32)}
 
 
 # ---- prediction ----------------------------------------------------------
