@@ -2,6 +2,7 @@ import hashlib
 import html
 import re
 
+import numpy as np
 import pytest
 
 from quarry.llm import html_text, warc
@@ -66,6 +67,36 @@ def test_no_content_region_is_lost(page, words):
     assert html_text.main_text(page).split() == [w for word, n in words.items() for w in [word] * n]
 
 
+A = " ".join(["Long article words that go on and on with sense."] * 6)
+B = " ".join(["Second paragraph of the article has words too."] * 6)
+ART = f"<h1>Title</h1><p>{A}</p><p>Short.</p><p>{B}</p>"
+ALL = f"Title {A} Short. {B}"
+HARD = [
+    *[(f'<body><nav><a>Home</a></nav><div class="{c}">{ART}</div><div class="comments"><p>first! {A}</p></div></body>', ALL)
+      for c in ("content with-sidebar", "has-comments", "navbar-fixed page", "social-science", "sidebar")],
+    (f'<article>{ART}</article><section class="comments"><article class="comment">{A}</article></section>', ALL),
+    (f'<article>{ART}<section class="comments"><article>{A} x</article></section></article><aside><article>{B} tease</article></aside>', ALL),
+    (f'<article><p>one two <button>Share</button> three <span class="ad">buy now</span> {A}</p><select><option>x</option></select></article>',
+     f"one two three {A}"),
+    (f"<body><ul><li><a>Home</a><li><a>News</a><li><a>About us</a></ul>{ART}<p>Copyright 2024 Someone</p></body>", ALL),
+    (f"<body><p>{A}</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>{B}</p></body>", f"{A} {B}"),
+    (f"<div id=post><div>{A}</div><div>The last part.</div></div>", f"{A} The last part."),
+    (f"<main><article>{A}</article><div>{B}</div></main>", f"{A} {B}"),
+    (f'<div class="cookie-banner">We use cookies<article>{ART}</article>', ALL),
+    (f"<aside><article>{ART}</article></aside>", ALL),
+]
+
+
+@pytest.mark.parametrize("page, text", HARD)
+def test_boxes_comments_menus_and_inline_boilerplate(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_regions_choose_the_text(monkeypatch):
+    monkeypatch.setattr(html_text, "content", lambda lines: np.ones(len(lines), bool))
+    assert sum(html_text.main_text(page) != text for page, text in HARD) >= 1
+
+
 def test_odd_pages(spark):
     for page, text in [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<script>x", ""), ("<nav>only menu</nav>", ""),
                        ("a < b &amp; c &#233;", "a < b & c é"), ("<!-- x --><b>bold", "bold"), ("</p></div>x</b>", "x")]:
