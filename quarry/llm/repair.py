@@ -170,12 +170,14 @@ def ordered(rows: DataFrame) -> DataFrame:
                      F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
          .groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
          .withColumn("h", F.md5(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"))))
-    seen = (t.groupBy("conv_id", "h").agg(F.min("turn").alias("least"), F.count("turn").alias("turns"), F.count(F.lit(1)).alias("n"))
+    t = t.withColumn("last", F.regexp_extract("text", rf"({WORD})[\x20\x09-\x0D]*\z", 1))
+    # a blank row is blank first, so only texts with a word are looked up
+    seen = (t.where("last <> ''").groupBy("conv_id", "h").agg(F.min("turn").alias("least"), F.count("turn").alias("turns"), F.count(F.lit(1)).alias("n"))
             .where("n > 1").withColumnRenamed("conv_id", "c").withColumnRenamed("h", "g"))
     t = t.join(seen, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")), "left")
     # nulls come first: with a null turn among them, every numbered turn is later
     later = F.col("n").isNotNull() & F.col("turn").isNotNull() & ((F.col("turns") < F.col("n")) | (F.col("turn") > F.col("least")))
-    last = F.regexp_extract("text", rf"({WORD})[\x20\x09-\x0D]*\z", 1)
+    last = F.col("last")
     fault = (F.when(last == "", BLANK).when(later, DUPLICATE).when(~last.isin(".", "!", "?"), TRUNC).otherwise(SOUND))
     t = t.select("conv_id", "turn", "role", "text", "copies", "h", fault.cast("int").alias("fault"), F.substring("text", 1, HEAD).alias("head"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "head", "h"]
