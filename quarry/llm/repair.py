@@ -45,6 +45,7 @@ from quarry.llm.base import bounded_batches, saved
 
 REROLE, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 HEAD = 100                      # characters of a text by which rows of one turn are ordered
+BROADCAST_ROWS = 100_000        # a measured number of rows up to which a table is broadcast
 BATCH = 4 << 20                 # characters in one batch of repaired turns
 # The states are 0 (nothing yet), 1 (after s), 2 (after u), 3 (after a).
 STATES, START, ENDS = 4, 0, (0, 3)
@@ -166,17 +167,20 @@ def ordered(rows: DataFrame) -> DataFrame:
     """The distinct rows in order, written: conv_id, turn, role, text, copies, fault
     (of the first copy) and part (the task that holds the row)."""
     bounded_batches(rows.sparkSession)
-    t = (rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-                     F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
-         .groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-         .withColumn("h", F.md5(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"))))
+    keys = F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")
+    rows = rows.select(*keys, F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    digest = F.md5(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"))
+    t = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("h", digest)
     t = t.withColumn("last", F.regexp_extract("text", rf"({WORD})[\x20\x09-\x0D]*\z", 1))
-    # a blank row is blank first, so only texts with a word are looked up
-    seen = (t.where("last <> ''").groupBy("conv_id", "h").agg(F.min("turn").alias("least"), F.count("turn").alias("turns"), F.count(F.lit(1)).alias("n"))
-            .where("n > 1").withColumnRenamed("conv_id", "c").withColumnRenamed("h", "g"))
-    t = t.join(seen, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")), "left")
+    # texts that stand at two turns; a blank row is blank first, so it needs none
+    again = F.coalesce(F.col("least") < F.col("most"), F.lit(False)) | (F.col("unnumbered") & F.col("least").isNotNull())
+    seen = saved(rows.select(*keys, "role", "text").withColumn("h", digest).where(F.col("text").rlike(WORD))
+                 .groupBy(F.col("conv_id").alias("c"), F.col("h").alias("g")).agg(
+                     F.min("turn").alias("least"), F.max("turn").alias("most"), F.bool_or(F.col("turn").isNull()).alias("unnumbered")).where(again))
+    t = t.join(F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen,
+               F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")), "left")
     # nulls come first: with a null turn among them, every numbered turn is later
-    later = F.col("n").isNotNull() & F.col("turn").isNotNull() & ((F.col("turns") < F.col("n")) | (F.col("turn") > F.col("least")))
+    later = F.coalesce(F.col("turn").isNotNull() & (F.col("unnumbered") | (F.col("turn") > F.col("least"))), F.lit(False))
     last = F.col("last")
     fault = (F.when(last == "", BLANK).when(later, DUPLICATE).when(~last.isin(".", "!", "?"), TRUNC).otherwise(SOUND))
     t = t.select("conv_id", "turn", "role", "text", "copies", "h", fault.cast("int").alias("fault"), F.substring("text", 1, HEAD).alias("head"))
