@@ -40,34 +40,34 @@ PROFILES = {
     ("regression", "elasticnet"): {"core": {"alpha": 1.0, "l1_ratio": 0.5, "scale": False, "max_iter": 1000},
                                    "gui": {"alpha": 0.001, "l1_ratio": 0.5, "scale": True, "max_iter": 10000}},
     ("regression", "rf"): {"core": {"trees": 100}, "gui": {"trees": 300}},
-    ("regression", "hgb"): {"core": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255},
-                            "gui": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255}},
-    ("regression", "xgb"): {"core": {"rounds": 100, "lr": 0.3, "depth": 6, "subsample": 1.0, "colsample": 1.0},
-                            "gui": {"rounds": 500, "lr": 0.05, "depth": 6, "subsample": 0.9, "colsample": 0.9}},
+    ("regression", "hgb"): {"core": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255, "l2": 0.0},
+                            "gui": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255, "l2": 0.0}},
+    ("regression", "xgb"): {"core": {"rounds": 100, "lr": 0.3, "depth": 6, "subsample": 1.0, "colsample": 1.0, "l2": 1.0},
+                            "gui": {"rounds": 500, "lr": 0.05, "depth": 6, "subsample": 0.9, "colsample": 0.9, "l2": 1.0}},
     ("regression", "svr"): {"core": {"C": 1.0, "epsilon": 0.1, "components": 200},
                             "gui": {"C": 10.0, "epsilon": 0.1, "components": 200}},
     ("regression", "knn"): {"core": {"k": 5}, "gui": {"k": 5}},
     ("classification", "linear"): {"core": {"C": 1.0, "max_iter": 2000}, "gui": {"C": 1.0, "max_iter": 2000}},
     ("classification", "ridge"): {"core": {"C": 1.0, "max_iter": 2000}, "gui": {"C": 1.0, "max_iter": 2000}},
     ("classification", "rf"): {"core": {"trees": 100}, "gui": {"trees": 300}},
-    ("classification", "hgb"): {"core": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255},
-                                "gui": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255}},
-    ("classification", "xgb"): {"core": {"rounds": 100, "lr": 0.3, "depth": 6, "subsample": 1.0, "colsample": 1.0},
+    ("classification", "hgb"): {"core": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255, "l2": 0.0},
+                                "gui": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255, "l2": 0.0}},
+    ("classification", "xgb"): {"core": {"rounds": 100, "lr": 0.3, "depth": 6, "subsample": 1.0, "colsample": 1.0, "l2": 1.0},
                                 "gui": {"rounds": 500, "lr": 0.05, "depth": 6, "subsample": 0.9,
-                                        "colsample": 0.9}},
+                                        "colsample": 0.9, "l2": 1.0}},
     ("classification", "knn"): {"core": {"k": 5}, "gui": {"k": 5}},
 }
 
 SCALED_KINDS = {"svr", "knn"}
 TREE_KINDS = {"rf", "hgb", "xgb"}
+BOOSTED_KINDS = {"hgb", "xgb"}
 MAX_TREE_DEPTH = 30   # MLlib's limit; the reference grows forests fully
 FOREST_BINS = 255     # candidate thresholds per input of every tree model
 # Least share of the training rows in a forest's leaf: up to 10,000 rows a leaf may
 # hold one row, as in the reference; beyond, it bounds a tree at 20,000 nodes.
 MIN_LEAF_SHARE = 1e-4
 # Forest learners split every node of a level group in one pass over the data;
-# a larger group budget and cached node ids mean fewer passes for deep trees
-# (boosted trees are shallow; there the cache's checkpoints cost more).
+# a larger group budget and cached node ids mean fewer passes for deep trees.
 TREE_OPTS = {"maxMemoryInMB": 1024, "cacheNodeIds": True, "checkpointInterval": 10}
 
 
@@ -168,7 +168,16 @@ def _label_stats(df: DataFrame, label: str):
     return int(r["n"]), float(r["s"] or 0.0)
 
 
-def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int, n_classes: int):
+def _boosted(data: DataFrame, kind: str, p: dict, seed: int, classes: int):
+    """Second-order boosted trees with the profile's parameters."""
+    from quarry.operators.boost import fit_boosted
+    loss = "squared" if not classes else "logistic" if classes == 2 else "softmax"
+    return fit_boosted(data, loss, classes, int(p["rounds"]), p["lr"], int(p["depth"]), p["l2"], int(p.get("min_leaf", 1)),
+                       1.0 if kind == "xgb" else 1e-3, int(p.get("bins", FOREST_BINS)), p.get("subsample", 1.0), p.get("colsample", 1.0), seed,
+                       2.0 if kind == "xgb" else 1.0)
+
+
+def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int):
     from pyspark.ml import classification as C
     from pyspark.ml import regression as R
     common = dict(featuresCol="features", labelCol="label", predictionCol="prediction")
@@ -192,14 +201,6 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
             return R.RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy="all", maxDepth=depth,
                                            minInstancesPerNode=leaf, bootstrap=bool(p.get("bootstrap", True)),
                                            maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
-        if kind == "hgb":
-            return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
-                                  minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=seed, **common)
-        if kind == "xgb":
-            return R.GBTRegressor(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"], maxBins=FOREST_BINS,
-                                  subsamplingRate=p["subsample"],
-                                  featureSubsetStrategy=str(p["colsample"]) if p["colsample"] < 1 else "all",
-                                  seed=seed, **common)
         if kind == "svr":
             # Kernel regression on random Fourier features: approximate RBF SVR with
             # the epsilon-insensitive loss replaced by the squared one (the profile's
@@ -214,18 +215,6 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int,
             return C.RandomForestClassifier(numTrees=p["trees"], featureSubsetStrategy="sqrt", maxDepth=depth,
                                             minInstancesPerNode=leaf, bootstrap=bool(p.get("bootstrap", True)),
                                             maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
-        if kind in ("hgb", "xgb"):
-            if kind == "hgb":
-                g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"],
-                                    minInstancesPerNode=p["min_leaf"], maxBins=p["bins"], seed=seed, **common)
-            else:
-                g = C.GBTClassifier(maxIter=p["rounds"], stepSize=p["lr"], maxDepth=p["depth"], maxBins=FOREST_BINS,
-                                    subsamplingRate=p["subsample"],
-                                    featureSubsetStrategy=str(p["colsample"]) if p["colsample"] < 1 else "all",
-                                    seed=seed, **common)
-            if n_classes > 2:
-                return C.OneVsRest(classifier=g, parallelism=4, **common)
-            return g
     raise ValueError(f"no estimator for {task}/{kind}")
 
 
@@ -310,8 +299,10 @@ def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str
             rs = rff_stage(d, p["components"], gamma=1.0 / d, seed=seed, inputCol="__scaled", outputCol="features")
             fitted.append(rs)
             cur = rs.transform(cur)
-    est = _estimator(task, kind, p, n, sigma, seed, len(labels or []))
-    model = est.fit(cur)
+    if kind in BOOSTED_KINDS:
+        model = _boosted(cur, kind, p, seed, len(labels or []))
+    else:
+        model = _estimator(task, kind, p, n, sigma, seed).fit(cur)
     fitted.append(model)
     return FittedModel(PipelineModel(stages=fitted), task, kind, target, list(inputs), labels, ltype,
                        dict(p, profile=profile, seed=seed), {c: types[c] for c in inputs})

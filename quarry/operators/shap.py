@@ -1,5 +1,6 @@
 """Tree SHAP (H1): path-dependent SHAP values (Lundberg, Erion, Lee 2018;
-Lundberg et al. 2020) for MLlib forests and boosted trees.
+Lundberg et al. 2020) for MLlib forests and boosted trees
+(``boost``; their values are those of the margins).
 
 The fitted ensemble is saved and its node table read back as a DataFrame
 (node id, children, split, prediction, impurity statistics = cover); the
@@ -72,6 +73,15 @@ def _compile(nodes: dict, kind: str):
                 value=np.stack(values), root=root)
 
 
+def _compiled(tree: dict):
+    """The same arrays from a boosted tree, whose leaves point to themselves."""
+    n = len(tree["left"])
+    leaf = np.array(tree["left"]) == np.arange(n)
+    return dict(left=np.where(leaf, -1, tree["left"]), right=np.where(leaf, -1, tree["right"]), feat=np.where(leaf, -1, tree["feature"]),
+                thr=np.array(tree["threshold"], float), cats=[None] * n, cover=np.array(tree["cover"], float),
+                value=np.array(tree["value"], float)[:, None], root=0)
+
+
 # ------------------------------------------------------------------ the algorithm
 def _extend(path, pz, po, pi):
     d, z, o, w = path
@@ -153,11 +163,13 @@ def ensemble(spark, fitted, path):
     est = fitted.pipeline.stages[-1]
     name = type(est).__name__
     trees = []
-    if name == "OneVsRestModel":
-        for c, m in enumerate(est.models):
-            for w, nodes in _node_tables(spark, m, f"{path}/m{c}"):
-                trees.append((w, _compile(nodes, "regression"), c))
-        return trees, len(est.models)
+    if name == "BoostedTrees":
+        model = est.content
+        trees = [(1.0, _compiled(t), k) for one_round in model["trees"] for k, t in enumerate(one_round)]
+        # the base is a tree of one leaf
+        trees += [(1.0, _compiled({"feature": [0], "threshold": [0.0], "left": [0], "right": [0], "value": [v], "cover": [1.0]}), k)
+                  for k, v in enumerate(model["base"])]
+        return trees, len(model["base"])
     if name == "RandomForestClassificationModel":
         tabs = _node_tables(spark, est, path)
         k = len(tabs)
@@ -166,8 +178,6 @@ def ensemble(spark, fitted, path):
         tabs = _node_tables(spark, est, path)
         k = len(tabs)
         return [(1.0 / k, _compile(nodes, "regression"), 0) for _, nodes in tabs], 1
-    if name in ("GBTRegressionModel", "GBTClassificationModel"):
-        return [(w, _compile(nodes, "regression"), 0) for w, nodes in _node_tables(spark, est, path)], 1
     raise ValueError(f"not a tree ensemble: {name}")
 
 

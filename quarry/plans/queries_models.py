@@ -10,6 +10,7 @@ their properties are tested in tests/.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quarry.operators import models, split
@@ -145,7 +146,27 @@ b AS (SELECT p_size AS cut, sl / nl AS lv, (s - sl) / (n - nl) AS rv FROM c WHER
 SELECT p_partkey, round(CASE WHEN p_size <= cut THEN lv ELSE rv END, 4) + 0.0 AS prediction FROM part, b
 """
 register("E6_hgb_stump", _STUMP_SQL)(_stump("hgb"))
-register("E7_xgb_stump", _STUMP_SQL)(_stump("xgb"))
+
+
+def _boosted_depth_two(spark, sf):
+    """One boosting round of depth 2 on p_size with the L2 penalty 1."""
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    m = models.fit(d, "p_retailprice", ["p_size"], "regression", "xgb", rounds=1, depth=2, lr=1.0)
+    return m.transform(d).select("p_partkey", (F.round("p_retailprice_pred", 4) + 0.0).alias("prediction"))
+
+
+register("E7_xgb_stump", """
+WITH t AS (SELECT p_partkey, p_size, p_retailprice - avg(p_retailprice) OVER () AS r, avg(p_retailprice) OVER () AS base FROM part),
+v AS (SELECT p_size, count(*) AS n, sum(r) AS s FROM t GROUP BY p_size),
+c AS (SELECT p_size, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM v WINDOW w AS (ORDER BY p_size)),
+b AS (SELECT p_size AS cut FROM c WHERE nl < n ORDER BY sl * sl / (nl + 1) + (s - sl) * (s - sl) / (n - nl + 1) DESC, p_size LIMIT 1),
+c2 AS (SELECT p_size <= cut AS low, p_size, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER p AS n, sum(s) OVER p AS s FROM v, b
+  WINDOW w AS (PARTITION BY p_size <= cut ORDER BY p_size), p AS (PARTITION BY p_size <= cut)),
+b2 AS (SELECT low, p_size AS cut2, sl / (nl + 1) AS lv, (s - sl) / (n - nl + 1) AS rv FROM (SELECT *, row_number() OVER (PARTITION BY low
+  ORDER BY sl * sl / (nl + 1) + (s - sl) * (s - sl) / (n - nl + 1) DESC, p_size) AS k FROM c2 WHERE nl < n) WHERE k = 1)
+SELECT p_partkey, round(base + CASE WHEN p_size <= cut2 THEN lv ELSE rv END, 4) + 0.0 AS prediction
+FROM t CROSS JOIN b JOIN b2 ON b2.low = (p_size <= cut)
+""")(_boosted_depth_two)
 
 
 def _forest_stump(spark, sf):
@@ -180,8 +201,7 @@ SELECT event_id, CASE WHEN user_id <= cut THEN lc ELSE rc END AS prediction FROM
 
 
 def _boosted_clf_stump(kind):
-    """One boosting round of depth 1 on user_id; its score is the logistic
-    function of twice the leaf's mean of the class coded -1 and 1."""
+    """One boosting round of depth 1 on user_id under the logistic loss."""
     def q(spark, sf):
         d = load(spark, sf, "events").select("event_id", "user_id", (F.col("event_type") == "click").cast("int").alias("click"))
         m = models.fit(d, "click", ["user_id"], "classification", kind, rounds=1, depth=1)
@@ -189,16 +209,44 @@ def _boosted_clf_stump(kind):
     return q
 
 
-_CLF_STUMP_SQL = """
-WITH v AS (SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) AS s FROM events GROUP BY user_id),
-c AS (SELECT user_id, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER () AS n, sum(s) OVER () AS s FROM v
+def _clf_stump_sql(l2: float, lr: float, least: str) -> str:
+    """Gradient and hessian sums per user_id; a leaf is -G / (H + l2)."""
+    gain = f"gl * gl / (hl + {l2}) + (g - gl) * (g - gl) / (h - hl + {l2})"
+    return f"""
+WITH q AS (SELECT avg(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0 END) AS q FROM events),
+v AS (SELECT user_id, count(*) AS n, sum(q - CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS g, sum(q * (1 - q)) AS h FROM events, q GROUP BY user_id),
+c AS (SELECT user_id, sum(n) OVER w AS nl, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER () AS n, sum(g) OVER () AS g, sum(h) OVER () AS h FROM v
   WINDOW w AS (ORDER BY user_id ROWS UNBOUNDED PRECEDING)),
-b AS (SELECT user_id AS cut, sl / nl AS lv, (s - sl) / (n - nl) AS rv FROM c WHERE nl >= {0} AND n - nl >= {0}
-  ORDER BY (sl * sl)::DOUBLE / nl + ((s - sl) * (s - sl))::DOUBLE / (n - nl) DESC, user_id LIMIT 1)
-SELECT event_id, round(1 / (1 + exp(-2 * CASE WHEN user_id <= cut THEN lv ELSE rv END)), 6) + 0.0 AS score FROM events, b
+b AS (SELECT user_id AS cut, -gl / (hl + {l2}) AS lv, -(g - gl) / (h - hl + {l2}) AS rv FROM c WHERE {least}
+  ORDER BY round({gain}, 9) DESC, user_id LIMIT 1)
+SELECT event_id, round(1 / (1 + exp(-(ln(q / (1 - q)) + {lr} * CASE WHEN user_id <= cut THEN lv ELSE rv END))), 6) + 0.0 AS score FROM events, b, q
 """
-register("E13_hgb_clf_stump", _CLF_STUMP_SQL.format(20))(_boosted_clf_stump("hgb"))
-register("E14_xgb_clf_stump", _CLF_STUMP_SQL.format(1))(_boosted_clf_stump("xgb"))
+
+
+register("E13_hgb_clf_stump", _clf_stump_sql(0.0, 0.1, "nl >= 20 AND n - nl >= 20"))(_boosted_clf_stump("hgb"))
+register("E14_xgb_clf_stump", _clf_stump_sql(1.0, 0.3, "hl >= 1 AND h - hl >= 1"))(_boosted_clf_stump("xgb"))
+
+
+def _softmax_stump(spark, sf):
+    """E14 with five classes: one softmax round of depth 1 on user_id, a tree per
+    class; the probability of the first class and the likeliest class."""
+    d = load(spark, sf, "events").select("event_id", "user_id", "event_type")
+    m = models.fit(d, "event_type", ["user_id"], "classification", "xgb", rounds=1, depth=1, lr=1.0)
+    p = m.pipeline.transform(d).select("event_id", vector_to_array("probability")[0].alias("p"))
+    return m.transform(d).join(p, "event_id").select("event_id", F.col(m.pred_col).alias("prediction"), (F.round("p", 6) + 0.0).alias("p_first"))
+
+
+register("E14_xgb_clf_multiclass_stump", """
+WITH q AS (SELECT event_type AS k, count(*) / (SELECT count(*) FROM events)::DOUBLE AS q FROM events GROUP BY event_type),
+v AS (SELECT k, user_id, sum(q - CASE WHEN event_type = k THEN 1 ELSE 0 END) AS g, sum(2 * q * (1 - q)) AS h FROM events, q GROUP BY k, user_id),
+c AS (SELECT k, user_id, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER p AS g, sum(h) OVER p AS h FROM v
+  WINDOW w AS (PARTITION BY k ORDER BY user_id), p AS (PARTITION BY k)),
+b AS (SELECT k, user_id AS cut, -gl / (hl + 1) AS lv, -(g - gl) / (h - hl + 1) AS rv FROM (SELECT *, row_number() OVER (PARTITION BY k
+  ORDER BY round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1), 9) DESC, user_id) AS place FROM c WHERE hl >= 1 AND h - hl >= 1) WHERE place = 1),
+m AS (SELECT event_id, k, exp(ln(q) + CASE WHEN user_id <= cut THEN lv ELSE rv END) AS e FROM events, b JOIN q USING (k)),
+p AS (SELECT event_id, k, e / sum(e) OVER (PARTITION BY event_id) AS p FROM m)
+SELECT event_id, arg_max(k, p) AS prediction, round(arg_min(p, k), 6) + 0.0 AS p_first FROM p GROUP BY event_id
+""")(_softmax_stump)
 
 
 def _svr_fit(spark, sf):
