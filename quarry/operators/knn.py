@@ -1,15 +1,19 @@
 """Exact k-nearest-neighbour models (E9 regression, E15 classification),
 kernel K4, on standardised inputs, in any number of dimensions.
 
-About sqrt(n) reference rows, picked by hash, are pivots (``MAX_PIVOTS`` at
-most, so their broadcast is bounded). Every reference row belongs to the cell
-of its nearest pivot and keeps its distance to it; a cell knows its count and
-its least and greatest such distance. For a query:
-  1. the cells of the nearest pivots that together hold k rows are searched;
-     the k-th distance found is an upper bound ``ub``;
+Reference rows picked by hash are pivots, sqrt(n) of them or one per ``CELL_ROWS``
+rows if that is more (``MAX_PIVOTS`` at most, so their broadcast is bounded), in two
+levels: the first sqrt of them are top pivots, every pivot belongs to its nearest
+top. A reference row goes to its nearest top and there to the nearest pivot: that
+is its cell. Cells know their count and the least and greatest distance of their
+rows to the pivot, tops the same of all their rows to the top. For a query:
+  1. the cells next to it, in the nearest tops that together hold k rows, are
+     searched; the k-th distance found is an upper bound ``ub``;
   2. by the triangle inequality a row x of a cell with pivot p can be within
-     ``ub`` only if |d(q, p) - d(x, p)| <= ub: all other cells whose distance
-     range meets that are searched, and inside them only such rows.
+     ``ub`` only if |d(q, p) - d(x, p)| <= ub: first tops are left out that way,
+     then cells of the others, and inside the rest only rows that meet it are
+     compared. So a query meets the tops and the pivots near it, never all pivots,
+     and a cell stays near ``CELL_ROWS`` rows at any number of rows.
 All inputs take part in the pruning. A task holds one block of a cell's rows and
 one block of the queries sent to it, compares them as arrays, and returns k rows
 per query; cells and queries beyond ``BLOCK_ROWS`` are dealt into several
@@ -29,7 +33,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PIVOTS = 2048
+MAX_PIVOTS = 1 << 18
+CELL_ROWS = 10_000
 BLOCK_ROWS = 20_000
 # Rounding of sums may not lose a row that lies exactly on the bound.
 WIDEN = 1e-9
@@ -44,47 +49,106 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+class Pivots:
+    """Pivots in two levels, those of a top next to each other."""
+
+    def __init__(self, rows: np.ndarray):
+        self.tops = rows[:max(1, math.isqrt(len(rows)))]
+        top = self._nearest(rows, self.tops)[0]
+        order = np.argsort(top, kind="stable")
+        self.pivots, self.top_of = rows[order], top[order]
+        self.starts = np.searchsorted(self.top_of, np.arange(len(self.tops) + 1))
+
+    @staticmethod
+    def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, r = np.zeros(len(x), np.int64), np.zeros(len(x))
+        step = max(1, 4_000_000 // max(1, len(pivots)))
+        for lo in range(0, len(x), step):
+            d = _distances(x[lo:lo + step], pivots)
+            at[lo:lo + step], r[lo:lo + step] = d.argmin(1), d.min(1)
+        return at, r
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's cell, its distance to the pivot and to the top."""
+        top, r_top = self._nearest(x, self.tops)
+        cell, r = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for t in np.unique(top):
+            rows = np.flatnonzero(top == t)
+            at, d = self._nearest(x[rows], self.pivots[self.starts[t]:self.starts[t + 1]])
+            cell[rows], r[rows] = at + self.starts[t], d
+        return cell, r, r_top
+
+
 class Cells:
-    """The pivots and, per cell, its row count and range of pivot distances."""
+    """The pivots with each cell's row count and range of pivot distances, and the
+    same of the tops. ``stats``: cell, n, low, high, top_low, top_high."""
 
-    def __init__(self, pivots: np.ndarray, stats: pd.DataFrame):
+    def __init__(self, pivots: Pivots, stats: pd.DataFrame):
         self.pivots = pivots
-        m = len(pivots)
+        m, t = len(pivots.pivots), len(pivots.tops)
         self.n, self.low, self.high = np.zeros(m, np.int64), np.full(m, np.inf), np.full(m, -np.inf)
         at = stats["cell"].to_numpy(int)
         self.n[at], self.low[at], self.high[at] = stats["n"], stats["low"], stats["high"]
-
-    def first(self, d: np.ndarray, k: int) -> np.ndarray:
-        """(queries x cells) mask: the nearest cells that hold k rows together."""
-        order = np.argsort(np.where(self.n > 0, d, np.inf), axis=1, kind="stable")
-        counts = self.n[order]
-        take = np.cumsum(counts, axis=1) - counts < k
-        mask = np.zeros(d.shape, bool)
-        np.put_along_axis(mask, order, take, axis=1)
-        return mask & (self.n > 0)
-
-    def within(self, d: np.ndarray, ub: np.ndarray) -> np.ndarray:
-        """(queries x cells) mask: cells that can hold a row within ``ub``."""
-        edge = (ub * (1 + WIDEN) + WIDEN)[:, None]
-        return (d - self.high <= edge) & (self.low - d <= edge) & (self.n > 0)
-
-
-def assign(df: DataFrame, pivots: np.ndarray, others: str) -> DataFrame:
-    """``df`` (with ``v``) and its ``cell`` and distance ``r`` to that pivot."""
+        self.top_n, self.top_low, self.top_high = np.zeros(t, np.int64), np.full(t, np.inf), np.full(t, -np.inf)
+        np.add.at(self.top_n, pivots.top_of[at], stats["n"])
+        np.minimum.at(self.top_low, pivots.top_of[at], stats["top_low"])
+        np.maximum.at(self.top_high, pivots.top_of[at], stats["top_high"])
+
+    def _cells_of(self, x, q, top):
+        """(query, cell, distance) of all cells in (query, top) pairs."""
+        size = np.diff(self.pivots.starts)[top]
+        cell = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.pivots.starts[top], size)
+        q = np.repeat(q, size)
+        d = np.zeros(len(q))
+        for j in range(x.shape[1]):
+            d += (x[q, j] - self.pivots.pivots[cell, j]) ** 2
+        return q, cell, np.sqrt(d)
+
+    @staticmethod
+    def _enough(q, d, n, k):
+        """Which of each query's places, nearest first, are needed to hold k rows."""
+        order = np.lexsort((d, q))
+        counts = n[order]
+        before = np.cumsum(counts) - counts
+        head = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1])) if len(q) else []
+        before = before - np.repeat(before[head], np.diff(np.append(head, len(q))))
+        take = np.zeros(len(q), bool)
+        take[order] = before < k
+        return take & (n > 0)
+
+    def first(self, x: np.ndarray, k: int):
+        """(query, cell, distance) of the nearest cells that hold k rows together."""
+        d = _distances(x, self.pivots.tops)
+        q, top = np.divmod(np.arange(d.size), d.shape[1])
+        take = self._enough(q, d.ravel(), self.top_n[top], k)
+        q, cell, d = self._cells_of(x, q[take], top[take])
+        take = self._enough(q, d, self.n[cell], k)
+        return q[take], cell[take], d[take]
+
+    def within(self, x: np.ndarray, ub: np.ndarray):
+        """(query, cell, distance) of the cells that can hold a row within ``ub``."""
+        edge = ub * (1 + WIDEN) + WIDEN
+        d = _distances(x, self.pivots.tops)
+        q, top = np.nonzero((d - self.top_high <= edge[:, None]) & (self.top_low - d <= edge[:, None]) & (self.top_n > 0))
+        q, cell, d = self._cells_of(x, q, top)
+        near = (d - self.high[cell] <= edge[q]) & (self.low[cell] - d <= edge[q]) & (self.n[cell] > 0)
+        return q[near], cell[near], d[near]
+
+
+def assign(df: DataFrame, pivots: Pivots, others: str) -> DataFrame:
+    """``df`` (with ``v``), its ``cell`` and its distances to pivot (``r``) and top."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
-    @F.pandas_udf("cell int, r double")
+    @F.pandas_udf("cell int, r double, r_top double")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, shared.value.shape[1]))
-        cell, r = np.zeros(len(x), int), np.zeros(len(x))
-        step = max(1, 4_000_000 // max(1, len(shared.value)))
-        for lo in range(0, len(x), step):
-            d = _distances(x[lo:lo + step], shared.value)
-            cell[lo:lo + step] = d.argmin(1)
-            r[lo:lo + step] = d.min(1)
-        return pd.DataFrame({"cell": cell, "r": r})
+        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, shared.value.tops.shape[1]))
+        cell, r, r_top = shared.value.assign(x)
+        return pd.DataFrame({"cell": cell, "r": r, "r_top": r_top})
+
+    return df.withColumn("__a", nearest("v")).select(*others.split(), "v", "__a.cell", "__a.r", "__a.r_top")
+
 
-    return df.withColumn("__a", nearest("v")).select(*others.split(), "v", "__a.cell", "__a.r")
+QUERY_STEP = 1024       # queries that are compared with the pivots at once
 
 
 def _probes(qry: DataFrame, shared, k: int, second: bool) -> DataFrame:
@@ -93,18 +157,19 @@ def _probes(qry: DataFrame, shared, k: int, second: bool) -> DataFrame:
     def run(batches):
         cells = shared.value
         for b in batches:
-            step = max(1, 4_000_000 // max(1, len(cells.pivots)))
-            for lo in range(0, len(b), step):
-                part = b.iloc[lo:lo + step]
-                d = _distances(np.stack(part["v"].to_numpy()), cells.pivots)
-                mask = cells.first(d, k)
+            for lo in range(0, len(b), QUERY_STEP):
+                part = b.iloc[lo:lo + QUERY_STEP]
+                x = np.stack(part["v"].to_numpy())
+                i, c, d = cells.first(x, k)
                 ub = np.full(len(part), np.inf)
                 if second:
                     ub = part["ub"].to_numpy(float)
-                    mask = cells.within(d, ub) & ~mask
-                i, c = np.nonzero(mask)
+                    done = i * len(cells.n) + c
+                    i, c, d = cells.within(x, ub)
+                    rest = ~np.isin(i * len(cells.n) + c, done)
+                    i, c, d = i[rest], c[rest], d[rest]
                 yield pd.DataFrame({"qid": part["qid"].to_numpy(object)[i], "v": part["v"].to_numpy(object)[i],
-                                    "d": d[i, c], "ub": ub[i], "cell": c.astype(np.int32)})
+                                    "d": d, "ub": ub[i], "cell": c.astype(np.int32)})
 
     kind = qry.schema["qid"].dataType.simpleString()
     return qry.mapInPandas(run, f"qid {kind}, v array<double>, d double, ub double, cell int")
@@ -155,13 +220,16 @@ def _k_best(found: DataFrame, k: int) -> DataFrame:
 def knn_cells(ref: DataFrame) -> tuple[DataFrame, Cells]:
     """The reference rows with their cells, and the cells' facts."""
     n = ref.count()
-    wanted = max(1, min(MAX_PIVOTS, math.isqrt(n)))
+    wanted = max(1, min(MAX_PIVOTS, max(math.isqrt(n), n // CELL_ROWS)))
     rows = ref.select("v").orderBy(F.md5(F.col("rid").cast("string"))).limit(wanted).collect()
-    pivots = np.unique(np.array([r["v"] for r in rows], float).reshape(len(rows), -1), axis=0)
-    if not len(pivots):
+    if not rows:
         raise ValueError("no reference rows")
+    found = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
+    # each value once, in the order of their hashes: the tops are a sample too
+    pivots = Pivots(found[np.sort(np.unique(found, axis=0, return_index=True)[1])])
     cells = assign(ref, pivots, "rid label").persist()
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).toPandas()
+    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high"),
+                                      F.min("r_top").alias("top_low"), F.max("r_top").alias("top_high")).toPandas()
     return cells, Cells(pivots, stats)
 
 
@@ -172,7 +240,7 @@ def knn_neighbours(ref: DataFrame, qry: DataFrame, d: int, k: int, cells=None) -
     table, facts = cells or knn_cells(ref)
     shared = ref.sparkSession.sparkContext.broadcast(facts)
     qry = qry.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).select("qid", "v").persist()
-    first = _k_best(_search(table, _probes(qry, shared, k, False), k), k).persist()
+    first = _k_best(_search(table, _probes(qry, shared, k, False), k), k).persist()      # read for the bound and for the result
     ub = first.groupBy("qid").agg(F.max("dist").alias("ub"), F.count(F.lit(1)).alias("m"))
     # fewer than k reference rows: everything was searched
     q = qry.join(ub.where(F.col("m") >= k).select("qid", "ub"), "qid")

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.operators import knn
@@ -43,25 +46,53 @@ def test_neighbours_match_brute_force(spark, monkeypatch, case, block):
         assert [j for _, j in found] == [j for j, _ in want]
 
 
+def _cells(x, wanted):
+    pivots = knn.Pivots(x[:wanted])
+    cell, r, r_top = pivots.assign(x)
+    g = pd.DataFrame({"cell": cell, "n": 1, "r": r, "t": r_top}).groupby("cell")
+    stats = pd.DataFrame({"n": g.n.sum(), "low": g.r.min(), "high": g.r.max(), "top_low": g.t.min(), "top_high": g.t.max()}).reset_index()
+    return knn.Cells(pivots, stats), cell, r
+
+
 def test_all_inputs_prune():
-    """Share of the rows that a query's cells and distance rings leave."""
+    """Share of the rows that a query's cells and distance rings leave; none of the
+    true neighbours is left out."""
     rng = np.random.default_rng(1)
     share = {}
     for dims in (2, 5, 8):
         x = rng.standard_normal((4000, dims))
-        pivots = x[:63]
-        d = knn._distances(x, pivots)
-        cell, r = d.argmin(1), d.min(1)
-        import pandas as pd
-        g = pd.DataFrame({"cell": cell, "r": r}).groupby("cell").r.agg(["size", "min", "max"]).reset_index()
-        cells = knn.Cells(pivots, g.set_axis(["cell", "n", "low", "high"], axis=1))
+        cells, cell, r = _cells(x, 63)
         q = rng.standard_normal((100, dims))
-        dq = knn._distances(q, pivots)
-        true = np.sort(knn._distances(q, x), 1)[:, 4]
-        mask = cells.within(dq, true)
-        ring = [sum(((cell == c) & (abs(dq[i, c] - r) <= true[i])).sum() for c in np.flatnonzero(mask[i])) for i in range(len(q))]
-        share[dims] = np.mean(ring) / len(x)
-    assert share[2] < 0.03 and share[5] < 0.25 and share[8] < 0.7
+        d = knn._distances(q, x)
+        true = np.sort(d, 1)[:, 4]
+        i, c, dq = cells.within(q, true)
+        ring = 0
+        met = np.zeros(d.shape, bool)
+        for a, b, e in zip(i, c, dq, strict=True):
+            rows = (cell == b) & (abs(e - r) <= true[a] * (1 + 1e-9) + 1e-9)
+            met[a] |= rows
+            ring += rows.sum()
+        assert met[d <= true[:, None]].all()
+        share[dims] = ring / len(q) / len(x)
+    assert share[2] < 0.04 and share[5] < 0.35 and share[8] < 0.8
+
+
+def test_candidates_of_a_query_stay_few_at_any_number_of_rows():
+    """Rows compared and pivots met per query, 10^4 to 10^6 rows."""
+    rng = np.random.default_rng(3)
+    compared = {}
+    for n in (10**4, 10**5, 10**6):
+        x = rng.standard_normal((n, 2))
+        cells, cell, r = _cells(x, max(math.isqrt(n), n // 1000))
+        q = rng.standard_normal((40, 2))
+        ub = np.sort(knn._distances(q, x), 1)[:, 4]
+        i, c, d = cells.within(q, ub)
+        assert np.bincount(cell).max() < 40 * n / len(cells.n)
+        sizes = pd.Series(r).groupby(cell).apply(np.sort)
+        compared[n] = sum(np.searchsorted(sizes[b], e + ub[a], "right") - np.searchsorted(sizes[b], e - ub[a], "left")
+                          for a, b, e in zip(i, c, d, strict=True)) / len(q)
+        assert len(cells.pivots.tops) ** 2 <= len(cells.n)
+    assert max(compared.values()) < 400, compared
 
 
 def test_few_rows_and_missing_inputs(spark):
