@@ -47,6 +47,22 @@ def draws(kind: str, budget: int, seed: int) -> list[dict]:
     return [{name: one(*space[name]) for name in sorted(space)} for _ in range(budget)]
 
 
+def _ridge_scores(df: DataFrame, target: str, inputs, key: str, profile: str, seed: int, k: int, cand: list[dict]) -> list[float]:
+    """Mean r2 of every draw from one scan: the folds' moments serve all penalties."""
+    from quarry.operators import gram, split
+    from quarry.operators.models import PROFILES, fit_encoder
+    from quarry.plans.train import linear_moments
+    folds = split.kfold(df, k, seed, key)
+    _, moments = linear_moments(folds, fit_encoder(df.dropna(how="any", subset=[*inputs, target]), inputs), target, inputs)
+
+    def score(p):
+        p = {**PROFILES[("regression", "ridge")][profile], **p}
+        fits = gram.cross_fits(moments, float(p["alpha"]), bool(p["scale"]))
+        return sum(gram.r2(m, fits[f]) for f, m in moments.items()) / len(moments)
+
+    return [score(p) for p in cand]
+
+
 def tune(df: DataFrame, target: str, inputs, task: str, kind: str, key: str, mode: str = "quick",
          trials: int | None = None, seed: int = 42, profile: str = "core", k: int | None = None,
          parallelism: int = 4, refit: bool = True):
@@ -66,7 +82,10 @@ def tune(df: DataFrame, target: str, inputs, task: str, kind: str, key: str, mod
     def one(p):
         return float(cross_validate(kept, target, inputs, task, kind, profile, seed, key, k=k, parallelism=2, **p).first()[col])
 
-    scores = run_parallel([lambda p=p: one(p) for p in cand], parallelism)
+    if task == "regression" and kind == "ridge":
+        scores = _ridge_scores(kept, target, inputs, key, profile, seed, k or 5, cand)
+    else:
+        scores = run_parallel([lambda p=p: one(p) for p in cand], parallelism)
     rows = [(i, str(sorted(p.items())), s) for i, (p, s) in enumerate(zip(cand, scores, strict=True))]
     table = df.sparkSession.createDataFrame(rows, f"draw int, params string, {col} double")
     best = cand[max(range(len(cand)), key=lambda i: (scores[i], -i))]

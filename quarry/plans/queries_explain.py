@@ -111,7 +111,7 @@ def _shap_adds_up(spark, sf):
     """H1: per row, the values of all inputs and the base add up to the model's
     prediction; emitted: rows for which they do not (none), and all rows."""
     from quarry.operators.shap import shap_gaps
-    m, data = _fit_orders(spark, sf, "hgb", ("n_lines", "sum_qty", "avg_disc"), rounds=20)
+    m, data = _fit_orders(spark, sf, "hgb", ("n_lines", "sum_qty", "avg_disc"))
     return shap_gaps(m, data, 1e-6)
 
 
@@ -166,6 +166,33 @@ SELECT draw::INTEGER AS draw, params, round(avg(r2), 6) + 0.0 AS r2_mean FROM m
 register("I1_tune_ridge", _tune_sql())(_tune)
 
 
+def _tune_two(spark, sf):
+    """I1 with two inputs."""
+    from quarry.operators.tune import tune
+    of = order_features(spark, sf).select("l_orderkey", F.col("n_lines").cast("double").alias("n_lines"), "sum_qty", "sum_price")
+    _, table = tune(of, "sum_price", ["n_lines", "sum_qty"], "regression", "ridge", "l_orderkey", mode="quick")
+    return rounded(table.select("draw", "params", "r2_mean"))
+
+
+def _tune_two_sql() -> str:
+    """Two normal equations per fold and penalty, solved by Cramer's rule."""
+    head = _tune_sql().split("d AS (SELECT")[0]
+    cov = lambda a, b: f"covar_pop({a}, {b}) * count(*)"
+    return head + f"""d AS (SELECT l_orderkey, n_lines::DOUBLE AS u, sum_qty::DOUBLE AS v, sum_price AS y,
+  (row_number() OVER (ORDER BY md5('42:' || l_orderkey::VARCHAR)) - 1) % 5 AS fold FROM of),
+f AS (SELECT range AS fold FROM range(5)),
+t AS (SELECT f.fold, avg(u) AS mu, avg(v) AS mv, avg(y) AS my, {cov('u', 'u')} AS uu, {cov('v', 'v')} AS vv, {cov('u', 'v')} AS uv,
+  {cov('u', 'y')} AS uy, {cov('v', 'y')} AS vy FROM f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+b AS (SELECT fold, draw, params, mu, mv, my, (uy * (vv + alpha) - vy * uv) / ((uu + alpha) * (vv + alpha) - uv * uv) AS b1,
+  (vy * (uu + alpha) - uy * uv) / ((uu + alpha) * (vv + alpha) - uv * uv) AS b2 FROM t, a),
+m AS (SELECT draw, params, fold, 1 - sum((y - my - b1 * (u - mu) - b2 * (v - mv)) ^ 2) / (var_pop(y) * count(*)) AS r2
+  FROM d JOIN b USING (fold) GROUP BY ALL)
+SELECT draw::INTEGER AS draw, params, round(avg(r2), 6) + 0.0 AS r2_mean FROM m GROUP BY draw, params"""
+
+
+register("I1_tune_ridge_two_inputs", _tune_two_sql())(_tune_two)
+
+
 def _stream(spark, sf):
     """Score the order table as a stream: files in a folder -> fitted
     pipeline -> parquet sink (availableNow), then read the sink."""

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.params import canonical_model, canonical_task, resolve_seed
 from quarry.operators import evaluate as ev
+from quarry.operators import gram
 from quarry.operators import split as sp
-from quarry.operators.models import FittedModel, fit, spelled
+from quarry.operators.models import PROFILES, FittedModel, fit, spelled
 from quarry.operators.prep import plain_name, plain_names
 
 
@@ -67,10 +68,27 @@ def metrics_table(fitted: FittedModel, pred: DataFrame, by="split") -> DataFrame
     return m
 
 
+def linear_moments(folds: DataFrame, enc, target: str, inputs):
+    """The encoded rows of linear models and their moments per fold."""
+    rows = enc.transform(folds.dropna(how="any", subset=[*inputs, target])).withColumn("label", F.col(target).cast("double"))
+    rows = rows.select(F.col("fold").cast("int").alias("fold"), "features", "label")
+    return rows, gram.fold_moments(rows)
+
+
+def _linear_folds(folds: DataFrame, enc, target: str, inputs, kind: str, profile: str, params: dict) -> DataFrame:
+    p = {**PROFILES[("regression", kind)][profile], **params}
+    rows, moments = linear_moments(folds, enc, target, inputs)
+    fits = gram.cross_fits(moments, float(p.get("alpha", 0.0)), bool(p.get("scale", False)))
+    mae = gram.absolute_errors(rows, fits)
+    table = [(gram.r2(m, fits[f]), mae[f]) for f, m in moments.items()]
+    return ev.cv_summary(folds.sparkSession.createDataFrame(table, "r2 double, mae double"), ["r2", "mae"])
+
+
 def cross_validate(train: DataFrame, target: str, inputs, task: str, kind: str, profile: str,
                    seed: int, key: str, k: int | None = None, parallelism: int = 4, **params) -> DataFrame:
     """k folds (stratified for classes, k = clamp(smallest class, 2, 5));
-    one fit per fold; mean and population std of r2/mae or accuracy/f1."""
+    one fit per fold; mean and population std of r2/mae or accuracy/f1. Linear and
+    ridge regression take two scans for all folds (``operators.gram``)."""
     task = canonical_task(task)
     params = _model_params(task, kind, key, params)
     label = target if task == "classification" else None
@@ -79,6 +97,10 @@ def cross_validate(train: DataFrame, target: str, inputs, task: str, kind: str,
     folds = sp.kfold(train, k, seed, key, label=label).persist()
     from quarry.operators.models import fit_encoder
     enc = fit_encoder(train.dropna(how="any", subset=[*inputs, target]), inputs)
+    if task == "regression" and canonical_model(task, kind) in ("linear", "ridge"):
+        out = _linear_folds(folds, enc, target, inputs, canonical_model(task, kind), profile, params)
+        folds.unpersist()
+        return out.withColumn("folds", F.lit(k))
     from quarry.session import run_parallel
 
     def one(f):

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from quarry.operators import models, shap
 from quarry.operators.explain import permutation_importance, top_importance
 from quarry.plans.queries_explain import order_features
+from quarry.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def orders_feats(spark):
 @pytest.mark.parametrize("kind,params", [("hgb", {"rounds": 4}), ("rf", {"trees": 3, "max_depth": 5})])
 def test_shap_additivity_regression(spark, orders_feats, kind, params):
     m = models.fit(orders_feats, "sum_price", ["n_lines", "sum_qty", "avg_disc"], "r", kind, **params)
-    trees, n_out = shap.ensemble(spark, m, f"/tmp/quarry-test-shap-{kind}")
+    trees, n_out = shap.ensemble(spark, m, sinks.scratch_path(spark, "test-shap"))
     X = np.stack(shap.feature_frame(m, orders_feats).toPandas()["x"].to_numpy())[:100]
     phi, base = shap.shap_values_batch(trees, n_out, X, 3)
     pred = np.array([r[0] for r in m.pipeline.transform(orders_feats).select("prediction").limit(100).collect()])
@@ -26,7 +27,7 @@ def test_shap_additivity_regression(spark, orders_feats, kind, params):
 
 def test_shap_additivity_classifier_probabilities(spark, events):
     m = models.fit(events, "event_type", ["value", "user_id"], "c", "rf", trees=3, max_depth=4)
-    trees, n_out = shap.ensemble(spark, m, "/tmp/quarry-test-shap-clf")
+    trees, n_out = shap.ensemble(spark, m, sinks.scratch_path(spark, "test-shap"))
     X = np.stack(shap.feature_frame(m, events).toPandas()["x"].to_numpy())[:100]
     phi, base = shap.shap_values_batch(trees, n_out, X, 2)
     prob = np.stack([np.array(r[0]) for r in m.pipeline.transform(events).limit(100)

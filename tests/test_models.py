@@ -77,7 +77,7 @@ def test_classifier_labels_round_trip(spark, spark_labels):
     assert {r[0] for r in out} <= {0, 1}
 
 
-def test_multiclass_gbt_uses_one_vs_rest(spark, events):
+def test_multiclass_boosting_predicts_classes(spark, events):
     m = fit(events, "event_type", ["value"], "c", "hgb", rounds=3)
     preds = {r[0] for r in m.transform(events).select("event_type_pred").distinct().collect()}
     assert preds <= set(r[0] for r in events.select("event_type").distinct().collect())
