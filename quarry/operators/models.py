@@ -277,7 +277,7 @@ def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str
         if out_col != "features":
             from pyspark.ml.feature import SQLTransformer
             prefix = PipelineModel(stages=list(encoder.stages) + [SQLTransformer(
-                statement=f"SELECT *, features AS {out_col} FROM __THIS__")])
+                statement=f"SELECT * EXCEPT (features), features AS {out_col} FROM __THIS__")])
     else:
         enc, _ = encoder_stages(data, inputs, scale=False, out=out_col)
         prefix = Pipeline(stages=list(enc)).fit(data)
