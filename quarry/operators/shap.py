@@ -1,16 +1,27 @@
 """Tree SHAP (H1): path-dependent SHAP values (Lundberg, Erion, Lee 2018;
-Lundberg et al. 2020) for MLlib forests and boosted trees
-(``boost``; their values are those of the margins).
-
-The fitted ensemble is saved and its node table read back as a DataFrame
-(node id, children, split, prediction, impurity statistics = cover); the
-table is bounded by the model's size and ships with the tasks, as the model
-itself does in ``transform``. The recursion visits every node of a tree
-once; rows differ only in which child each of them follows, so the path
-weights are arrays over the rows of an Arrow batch and the whole algorithm
-is vectorised. Each batch returns per-feature sums of |phi|, and Spark adds
-them up: importance = mean |phi| per vector slot (averaged over classes for
-a multi-output model).
+Lundberg et al. 2020) of forests and boosted trees (``boost``; their values are
+those of the margins), as a join of rows with root-to-leaf paths.
+
+The ensemble's nodes become a table, and every leaf's path is reduced there to one
+entry per input: the interval the path asks for and its share, the product of the
+cover ratios along that input's splits. With o_j = 1 where a row's value lies in the
+interval and z_j the share, the leaf's value v adds to input i
+
+    v (o_i - z_i) * integral over t in [0, 1] of prod_{j != i} (z_j (1 - t) + o_j t)
+
+(the Shapley weight s! (d - 1 - s)! / d! is that integral of t^s (1 - t)^(d - 1 - s)).
+The integrand is a polynomial of degree d - 1, so Gauss-Legendre quadrature on
+ceil(d / 2) points is exact; all its factors are positive, so one product serves
+every i by division.
+
+Rows are packed into blocks and paths into blocks of ``BLOCK_PATHS``; every row
+block meets every path block through an equi-join on the path block and a salt (a
+small model spreads over all tasks), and partial values are added up per row block.
+Row blocks are sized by the number of path blocks, so that such a group stays within
+``GROUP_BYTES``. The driver sees leaf counts per tree and path-block ids only.
+
+Importance = mean |phi| per vector slot, averaged over the outputs of a
+multi-output model. A table without complete rows gives no importance.
 """
 
 from __future__ import annotations
@@ -21,181 +32,189 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import cut_lineage
 
-# ------------------------------------------------------------------ node tables
-def _node_tables(spark, est, path):
-    """[(weight, nodes dict)] for each tree of a saved ensemble."""
-    est.write().overwrite().save(path)
-    data = spark.read.parquet(f"{path}/data")
-    # tree by tree; a tree's nodes are bounded by the model's leaf share
-    rows = data.select("treeID", "nodeData.*").toLocalIterator()
-    # (tree id, metadata, weight): the columns' names vary by version, not their order
-    meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights")
-    weights = {int(r["treeID"]): float(r["weights"]) for r in meta.select("treeID", "weights").collect()}
-    trees = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    return [(weights[t], trees[t]) for t in sorted(trees)]
-
-
-def _compile(nodes: dict, kind: str):
-    """Arrays: left, right, feature, threshold, categories, cover, value."""
-    ids = sorted(nodes)
-    pos = {i: k for k, i in enumerate(ids)}
-    n = len(ids)
-    left = np.full(n, -1)
-    right = np.full(n, -1)
-    feat = np.full(n, -1)
-    thr = np.zeros(n)
-    cats = [None] * n
-    cover = np.zeros(n)
-    values = []
-    for i in ids:
-        r = nodes[i]
-        k = pos[i]
-        stats = list(r["impurityStats"] or [])
-        cover[k] = stats[0] if kind == "regression" else sum(stats)
-        if r["leftChild"] is not None and r["leftChild"] >= 0:
-            left[k], right[k] = pos[r["leftChild"]], pos[r["rightChild"]]
-            sp = r["split"]
-            feat[k] = sp["featureIndex"]
-            if sp["numCategories"] is not None and sp["numCategories"] >= 0:
-                cats[k] = set(float(v) for v in sp["leftCategoriesOrThreshold"])
-            else:
-                thr[k] = float(sp["leftCategoriesOrThreshold"][0])
-        if kind == "class_prob":
-            tot = sum(stats)
-            values.append(np.array(stats) / tot if tot > 0 else np.zeros(len(stats)))
-        else:
-            values.append(np.array([float(r["prediction"])]))
-    root = pos[ids[0]] if 0 not in pos else pos[0]
-    return dict(left=left, right=right, feat=feat, thr=thr, cats=cats, cover=cover,
-                value=np.stack(values), root=root)
-
-
-def _compiled(tree: dict):
-    """The same arrays from a boosted tree, whose leaves point to themselves."""
-    n = len(tree["left"])
-    leaf = np.array(tree["left"]) == np.arange(n)
-    return dict(left=np.where(leaf, -1, tree["left"]), right=np.where(leaf, -1, tree["right"]), feat=np.where(leaf, -1, tree["feature"]),
-                thr=np.array(tree["threshold"], float), cats=[None] * n, cover=np.array(tree["cover"], float),
-                value=np.array(tree["value"], float)[:, None], root=0)
-
-
-# ------------------------------------------------------------------ the algorithm
-def _extend(path, pz, po, pi):
-    d, z, o, w = path
-    L = len(w)
-    n = po.shape[0]
-    d, z, o = d + [pi], z + [pz], o + [po]
-    w = [wi.copy() for wi in w] + [np.ones(n) if L == 0 else np.zeros(n)]
-    for i in range(L - 1, -1, -1):
-        w[i + 1] = w[i + 1] + po * w[i] * (i + 1) / (L + 1)
-        w[i] = pz * w[i] * (L - i) / (L + 1)
-    return d, z, o, w
-
-
-def _unwound_weights(path, idx):
-    d, z, o, w = path
-    L = len(w)
-    zi, oi = z[idx], o[idx]
-    one = oi != 0
-    safe_o = np.where(one, oi, 1.0)
-    nxt = w[L - 1].copy()
-    out = [None] * (L - 1)
-    for j in range(L - 2, -1, -1):
-        t = w[j]
-        w_one = nxt * L / ((j + 1) * safe_o)
-        w_zero = (w[j] * L / (zi * (L - (j + 1)))) if zi != 0 else np.zeros_like(t)
-        out[j] = np.where(one, w_one, w_zero)
-        nxt = np.where(one, t - w_one * zi * (L - (j + 1)) / L, nxt)
-    return out
-
-
-def _unwind(path, idx):
-    d, z, o, _ = path
-    w = _unwound_weights(path, idx)
-    return d[:idx] + d[idx + 1:], z[:idx] + z[idx + 1:], o[:idx] + o[idx + 1:], w
-
-
-def tree_shap(tree, X: np.ndarray, n_features: int) -> np.ndarray:
-    """phi with shape (rows, features, outputs) for one compiled tree."""
-    n = X.shape[0]
-    out = tree["value"].shape[1]
-    phi = np.zeros((n, n_features, out))
-    left, right, feat, thr, cats, cover, value = (tree[k] for k in
-                                                  ("left", "right", "feat", "thr", "cats", "cover", "value"))
-
-    def recurse(j, path, pz, po, pi):
-        path = _extend(path, pz, po, pi)
-        if left[j] < 0:
-            d, z, o, _ = path
-            for i in range(1, len(d)):
-                s = np.sum(_unwound_weights(path, i), axis=0)
-                phi[:, d[i], :] += ((s * (o[i] - z[i]))[:, None]) * value[j][None, :]
-            return
-        f = feat[j]
-        xs = X[:, f]
-        goes_left = (np.isin(xs, list(cats[j])) if cats[j] is not None else xs <= thr[j]).astype(float)
-        iz, io = 1.0, np.ones(n)
-        d = path[0]
-        if f in d[1:]:
-            k = d.index(f, 1)
-            iz, io = path[1][k], path[2][k]
-            path = _unwind(path, k)
-        c = cover[j] if cover[j] > 0 else 1.0
-        recurse(left[j], path, iz * cover[left[j]] / c, io * goes_left, f)
-        recurse(right[j], path, iz * cover[right[j]] / c, io * (1.0 - goes_left), f)
-
-    recurse(tree["root"], ([], [], [], []), 1.0, np.ones(n), -1)
-    return phi
+BLOCK_PATHS = 8_192
+BLOCK_ROWS = 4_096                  # most rows of a row block
+GROUP_BYTES = 64 * 2**20            # partial values that meet per row block
+CHUNK = 100_000                     # row-path pairs per numpy step (within cache)
+NODES = "tree int, id int, left int, right int, feature int, threshold double, flip boolean, cover double, value array<double>"
 
 
-def expected_value(tree) -> np.ndarray:
-    leaves = tree["left"] < 0
-    c = tree["cover"]
-    return (tree["value"][leaves] * c[leaves][:, None]).sum(axis=0) / c[tree["root"]]
-
-
-# ------------------------------------------------------------------ ensembles
-def ensemble(spark, fitted, path):
-    """[(weight, compiled tree, output slot)] and the number of outputs."""
+# ------------------------------------------------------------------ node tables
+def _boosted_nodes(spark, model: dict) -> tuple[DataFrame, int]:
+    """Nodes of a boosted model, whose leaves point to themselves; the base is a tree of one leaf."""
+    out, parts = len(model["base"]), []
+    trees = [(t, k) for one_round in model["trees"] for k, t in enumerate(one_round)]
+    trees += [({"feature": [0], "threshold": [0.0], "left": [0], "right": [0], "value": [v], "cover": [1.0]}, k)
+              for k, v in enumerate(model["base"])]
+    for number, (t, k) in enumerate(trees):
+        ids = np.arange(len(t["left"]))
+        leaf = np.asarray(t["left"]) == ids
+        value = np.zeros((len(ids), out))
+        value[:, k] = t["value"]
+        parts.append(pd.DataFrame({"tree": number, "id": ids, "left": np.where(leaf, -1, t["left"]), "right": np.where(leaf, -1, t["right"]),
+                                   "feature": t["feature"], "threshold": np.asarray(t["threshold"], float), "flip": False,
+                                   "cover": np.asarray(t["cover"], float), "value": list(value)}))
+    return spark.createDataFrame(pd.concat(parts, ignore_index=True), NODES), out
+
+
+def _forest_nodes(spark, est, path: str, classes: int) -> DataFrame:
+    """Nodes of a saved forest; values are shared out over its trees. The encoder
+    makes no categorical slots but those of two values, so sets are intervals too."""
+    est.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    stats, cut = F.col("impurityStats"), F.col("split.leftCategoriesOrThreshold")
+    total = F.aggregate(stats, F.lit(0.0), lambda a, v: a + v)
+    is_set = F.coalesce(F.col("split.numCategories") >= 0, F.lit(False))
+    if classes:
+        value, cover = F.transform(stats, lambda v: F.coalesce(F.try_divide(v, total), F.lit(0.0)) / est.getNumTrees), total
+    else:
+        value, cover = F.array(F.col("prediction") / est.getNumTrees), F.get(stats, F.lit(0))
+    threshold = F.when(F.col("split.numCategories") > 2, F.raise_error(F.lit("a split on more than two categories")).cast("double")) \
+        .when(is_set, F.lit(0.5)).otherwise(F.get(cut, F.lit(0)))
+    return nodes.select(F.col("tree").cast("int"), F.col("id").cast("int"), F.col("leftChild").cast("int").alias("left"),
+                        F.col("rightChild").cast("int").alias("right"), F.col("split.featureIndex").cast("int").alias("feature"),
+                        threshold.alias("threshold"), (is_set & F.array_contains(cut, 1.0)).alias("flip"), cover.alias("cover"),
+                        value.alias("value"))
+
+
+def tree_nodes(spark, fitted) -> tuple[DataFrame, int]:
+    """The ensemble as a table of nodes, and its number of outputs."""
+    from quarry.sources.sinks import scratch_path
     est = fitted.pipeline.stages[-1]
     name = type(est).__name__
-    trees = []
     if name == "BoostedTrees":
-        model = est.content
-        trees = [(1.0, _compiled(t), k) for one_round in model["trees"] for k, t in enumerate(one_round)]
-        # the base is a tree of one leaf
-        trees += [(1.0, _compiled({"feature": [0], "threshold": [0.0], "left": [0], "right": [0], "value": [v], "cover": [1.0]}), k)
-                  for k, v in enumerate(model["base"])]
-        return trees, len(model["base"])
+        return _boosted_nodes(spark, est.content)
     if name == "RandomForestClassificationModel":
-        tabs = _node_tables(spark, est, path)
-        k = len(tabs)
-        return [(1.0 / k, _compile(nodes, "class_prob"), None) for _, nodes in tabs], est.numClasses
+        return _forest_nodes(spark, est, scratch_path(spark, "shap-model"), est.numClasses), est.numClasses
     if name == "RandomForestRegressionModel":
-        tabs = _node_tables(spark, est, path)
-        k = len(tabs)
-        return [(1.0 / k, _compile(nodes, "regression"), 0) for _, nodes in tabs], 1
+        return _forest_nodes(spark, est, scratch_path(spark, "shap-model"), 0), 1
     raise ValueError(f"not a tree ensemble: {name}")
 
 
-def shap_values_batch(trees, n_out, X, n_features):
-    phi = np.zeros((X.shape[0], n_features, n_out))
-    base = np.zeros(n_out)
-    for w, t, slot in trees:
-        p = tree_shap(t, X, n_features)
-        ev = expected_value(t)
-        if slot is None:
-            phi += w * p
-            base += w * ev
-        else:
-            phi[:, :, slot] += w * p[:, :, 0]
-            base[slot] += w * ev[0]
-    return phi, base
+# ------------------------------------------------------------------ paths
+def paths_of(left, right, feature, threshold, flip, cover):
+    """One tree's leaves and their paths: (leaf positions, entries per leaf, and
+    feature, low, high, share as arrays leaves x longest path). A path's entries are
+    its inputs in order, low < x <= high (NaN: no bound); the rest of its line is
+    padding that asks for nothing and changes nothing."""
+    parent, low_side = np.full(len(left), -1), np.zeros(len(left), bool)
+    inner, leaves = np.flatnonzero(left >= 0), np.flatnonzero(left < 0)
+    parent[left[inner]], parent[right[inner]] = inner, inner
+    low_side[left[inner]], low_side[right[inner]] = ~flip[inner], flip[inner]
+    steps, at, which = [], leaves, np.arange(len(leaves))
+    while True:
+        up = parent[at]
+        at, which, up = at[up >= 0], which[up >= 0], up[up >= 0]
+        if not len(at):
+            break
+        low = low_side[at]
+        steps.append((which, feature[up], np.where(low, np.nan, threshold[up]), np.where(low, threshold[up], np.nan), cover[at] / cover[up]))
+        at = up
+    if not steps:
+        none = np.zeros((len(leaves), 0))
+        return leaves, np.zeros(len(leaves), int), none.astype(np.int32), none, none, none
+    which, f, low, high, share = (np.concatenate(a) for a in zip(*steps, strict=True))
+    order = np.lexsort((f, which))
+    which, f, low, high, share = which[order], f[order], low[order], high[order], share[order]
+    first = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (f[1:] != f[:-1])))
+    low, high, share = np.fmax.reduceat(low, first), np.fmin.reduceat(high, first), np.multiply.reduceat(share, first)
+    which, f = which[first], f[first]
+    length = np.bincount(which, minlength=len(leaves))
+    place = np.arange(len(which)) - (np.cumsum(length) - length)[which]
+    shape = (len(leaves), int(length.max()))
+
+    def laid(values, rest, kind=float):
+        a = np.full(shape, rest, kind)
+        a[which, place] = values
+        return a
+
+    return leaves, length, laid(f, 0, np.int32), laid(low, np.nan), laid(high, np.nan), laid(share, 1.0)
+
+
+def _packed(nodes: pd.DataFrame, size: int):
+    """Path blocks of some whole trees: paths by length, so that a block holds little padding."""
+    found = []
+    for _, t in nodes.groupby("tree"):
+        t = t.sort_values("id")
+        ids = t["id"].to_numpy()
+        left, right = (np.where(t[c].fillna(-1) >= 0, np.searchsorted(ids, t[c].fillna(-1)), -1) for c in ("left", "right"))
+        leaves, length, *arrays = paths_of(left, right, t["feature"].fillna(0).to_numpy(np.int32), t["threshold"].to_numpy(float),
+                                           t["flip"].fillna(False).to_numpy(bool), t["cover"].to_numpy(float))
+        found.append((length, *arrays, np.stack(t["value"].to_numpy())[leaves]))
+    widest = max(a[1].shape[1] for a in found)
+
+    def joined(i, rest):
+        return np.concatenate([np.pad(a[i], ((0, 0), (0, widest - a[i].shape[1])), constant_values=rest) for a in found])
+
+    length, value = np.concatenate([a[0] for a in found]), np.concatenate([a[5] for a in found])
+    arrays = [joined(1, 0), joined(2, np.nan), joined(3, np.nan), joined(4, 1.0)]
+    order = np.argsort(length, kind="stable")
+    for i in range(0, len(order), size):
+        pick = order[i:i + size]
+        d = int(length[pick].max())
+        yield [len(pick), d, *(np.ascontiguousarray(a[pick, :d]).tobytes() for a in arrays), value[pick].tobytes()]
+
+
+def path_blocks(nodes: DataFrame) -> DataFrame:
+    """(block, paths, longest, feature, low, high, share, value), checkpointed: whole
+    trees are dealt to tasks by their leaf counts."""
+    leaves = nodes.where(F.coalesce(F.col("left"), F.lit(-1)) < 0).groupBy("tree").count().orderBy("tree").collect()
+    start, deal, size = 0, [], BLOCK_PATHS
+    for r in leaves:
+        deal.append((r["tree"], start // size))
+        start += r["count"]
+    dealt = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(deal, "tree int, part int")), "tree")
+
+    def pack(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        rows = [[f"{key[0]}:{i}", *r] for i, r in enumerate(_packed(b, size))]
+        return pd.DataFrame(rows, columns=["block", "paths", "longest", "feature", "low", "high", "share", "value"])
+
+    return cut_lineage(dealt.groupBy("part").applyInPandas(
+        pack, "block string, paths int, longest int, feature binary, low binary, high binary, share binary, value binary"))
+
+
+def path_values(x: np.ndarray, feature, low, high, share, value) -> np.ndarray:
+    """phi (rows, inputs, outputs) that these paths add."""
+    n, m = x.shape
+    phi = np.zeros((n, m, value.shape[1]))
+    if not feature.shape[1]:
+        return phi
+    step = max(1, CHUNK // max(n, 1))
+    for i in range(0, len(feature), step):
+        f, lo, hi, z, v = (a[i:i + step] for a in (feature, low, high, share, value))
+        d = int((z < 1).any(axis=0).nonzero()[0].max(initial=-1)) + 1       # the rest is padding
+        if not d:
+            continue
+        t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
+        t, w = (t + 1) / 2, w / 2
+        inside = [~(x[:, f[:, j]] <= lo[:, j]) & ~(x[:, f[:, j]] > hi[:, j]) for j in range(d)]
+        total = [np.zeros((n, len(f))) for _ in range(d)]
+        for tq, wq in zip(t, w, strict=True):
+            factors = [z[:, j] * (1 - tq) + tq * inside[j] for j in range(d)]
+            product = wq * factors[0]
+            for g in factors[1:]:
+                product *= g
+            for j in range(d):
+                total[j] += product / factors[j]
+        for j in range(d):
+            s = total[j] * (inside[j] - z[:, j])
+            order = np.argsort(f[:, j], kind="stable")
+            inputs, first = np.unique(f[order, j], return_index=True)
+            for k in range(value.shape[1]):
+                phi[:, inputs, k] += np.add.reduceat((s * v[:, k])[:, order], first, axis=1)
+    return phi
+
+
+def unpacked(r, out: int):
+    """The arrays of a path block."""
+    shape = (r["paths"], r["longest"])
+    return (np.frombuffer(r["feature"], np.int32).reshape(shape), *(np.frombuffer(r[c]).reshape(shape) for c in ("low", "high", "share")),
+            np.frombuffer(r["value"]).reshape(r["paths"], out))
 
 
+# ------------------------------------------------------------------ rows x paths
 def feature_frame(fitted, df: DataFrame) -> DataFrame:
     """The assembled feature vector of every row, as an array column."""
     from pyspark.ml import PipelineModel
@@ -203,49 +222,83 @@ def feature_frame(fitted, df: DataFrame) -> DataFrame:
     return prefix.transform(df).select(vector_to_array("features").alias("x"))
 
 
+def _row_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of (x, y) in blocks, checkpointed: a repeated task must not cut them anew."""
+    def pack(batches):
+        for b in batches:
+            for i in range(0, len(b), size):
+                part = b.iloc[i:i + size]
+                yield pd.DataFrame({"n": [len(part)], "x": [np.stack(part["x"].to_numpy()).astype(float).tobytes()],
+                                    "y": [part["y"].to_numpy(float).tobytes()]})
+
+    packed = rows.mapInPandas(pack, "n int, x binary, y binary")
+    return cut_lineage(packed.withColumn("rows", F.monotonically_increasing_id()))
+
+
+def _per_block(rows: DataFrame, nodes: DataFrame, m: int, out: int, finish, schema: str) -> DataFrame:
+    """``finish(phi, base, y)`` of every row block, with phi (rows, inputs, outputs)
+    and the outputs' expected values."""
+    spark = rows.sparkSession
+    paths = path_blocks(nodes)
+    names = [r["block"] for r in paths.select("block").collect()]
+    size = int(min(BLOCK_ROWS, max(16, GROUP_BYTES // (8 * m * out * max(len(names), 1)))))
+    salts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(len(names), 1))
+    left = _row_blocks(rows, size).withColumn("salt", F.pmod(F.xxhash64("rows"), F.lit(salts)).cast("int")) \
+        .withColumn("block", F.explode(F.array(*[F.lit(v) for v in names])))
+    right = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def values(batches):
+        for b in batches:
+            done = []
+            for r in b.to_dict("records"):
+                arrays = unpacked(r, out)
+                phi = path_values(np.frombuffer(r["x"]).reshape(r["n"], m), *arrays)
+                base = (arrays[4] * arrays[3].prod(axis=1)[:, None]).sum(axis=0)
+                done.append((r["rows"], r["n"], phi.tobytes(), base.tobytes(), r["y"]))
+            yield pd.DataFrame(done, columns=["rows", "n", "phi", "base", "y"])
+
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        phi = sum(np.frombuffer(v) for v in b["phi"]).reshape(int(b["n"].iloc[0]), m, out)
+        return finish(phi, sum(np.frombuffer(v) for v in b["base"]), np.frombuffer(b["y"].iloc[0]))
+
+    partial = left.join(right.hint("shuffle_merge"), ["block", "salt"]).mapInPandas(values, "rows long, n int, phi binary, base binary, y binary")
+    return partial.groupBy("rows").applyInPandas(add, schema)
+
+
 def shap_importance(fitted, df: DataFrame) -> DataFrame:
     """H1: (feature, importance) = mean |phi| per vector slot."""
-    from quarry.sources.sinks import scratch_path
     spark = df.sparkSession
-    trees, n_out = ensemble(spark, fitted, scratch_path(spark, "shap-model"))
+    nodes, out = tree_nodes(spark, fitted)
     names = fitted.feature_names()
     m = len(names)
-    xs = feature_frame(fitted, df.dropna(how="any", subset=list(fitted.inputs)))
-    bc = spark.sparkContext.broadcast((trees, n_out))
+    rows = feature_frame(fitted, df.dropna(how="any", subset=list(fitted.inputs))).withColumn("y", F.lit(0.0))
 
-    def run(batches):
-        tr, no = bc.value
-        for b in batches:
-            if len(b) == 0:
-                continue
-            X = np.stack(b["x"].to_numpy())
-            phi, _ = shap_values_batch(tr, no, X, m)
-            yield pd.DataFrame({"slot": np.arange(m), "sabs": np.abs(phi).mean(axis=2).sum(axis=0),
-                                "n": np.full(m, X.shape[0], dtype=np.int64)})
-
-    part = xs.mapInPandas(run, "slot int, sabs double, n long")
+    def finish(phi, base, y):
+        return pd.DataFrame({"slot": np.arange(m), "sabs": np.abs(phi).mean(axis=2).sum(axis=0), "n": len(y)})
+
+    part = _per_block(rows, nodes, m, out, finish, "slot int, sabs double, n long")
     agg = part.groupBy("slot").agg((F.sum("sabs") / F.sum("n")).alias("importance"))
     lookup = spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
     return agg.join(F.broadcast(lookup), "slot").select("feature", "importance")
 
 
 def shap_gaps(fitted, df: DataFrame, tolerance: float) -> DataFrame:
-    """(rows_off, n): rows whose SHAP values and base do not add up to the
-    model's own prediction within ``tolerance`` (relative), and all rows."""
-    from quarry.sources.sinks import scratch_path
-    spark = df.sparkSession
-    trees, n_out = ensemble(spark, fitted, scratch_path(spark, "shap-model"))
+    """(rows_off, n): rows whose SHAP values and base do not add up to the model's
+    own prediction (of a class model: the last class's probability) within
+    ``tolerance`` (relative), and all rows."""
+    nodes, out = tree_nodes(df.sparkSession, fitted)
     m = len(fitted.feature_names())
-    bc = spark.sparkContext.broadcast((trees, n_out))
-    xs = fitted.pipeline.transform(df.dropna(how="any", subset=list(fitted.inputs))).select(
-        vector_to_array("features").alias("x"), "prediction")
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                phi, base = shap_values_batch(*bc.value, np.stack(b["x"].to_numpy()), m)
-                want = b["prediction"].to_numpy()
-                gap = np.abs(phi[:, :, 0].sum(axis=1) + base[0] - want)
-                yield pd.DataFrame({"off": [int((gap > tolerance * np.maximum(1.0, np.abs(want))).sum())], "n": [len(b)]})
-
-    return xs.mapInPandas(run, "off long, n long").agg(F.sum("off").alias("rows_off"), F.sum("n").alias("n"))
+    scored = fitted.pipeline.transform(df.dropna(how="any", subset=list(fitted.inputs)))
+    margins = fitted.task == "classification" and fitted.kind != "rf"
+    y = F.col("prediction") if fitted.task == "regression" else F.element_at(vector_to_array("probability"), -1)
+    rows = scored.select(vector_to_array("features").alias("x"), y.alias("y"))
+
+    def finish(phi, base, y):
+        found = phi.sum(axis=1) + base
+        if margins:         # of one output: the margin of the second of two classes
+            e = np.exp(found - found.max(axis=1, keepdims=True)) if out > 1 else 1 / (1 + np.exp(-found))
+            found = e / e.sum(axis=1, keepdims=True) if out > 1 else e
+        gap = np.abs(found[:, -1] - y)
+        return pd.DataFrame({"off": [int((gap > tolerance * np.maximum(1.0, np.abs(y))).sum())], "n": [len(y)]})
+
+    return _per_block(rows, nodes, m, out, finish, "off long, n long").agg(F.sum("off").alias("rows_off"), F.sum("n").alias("n"))

@@ -120,6 +120,37 @@ SELECT 0::BIGINT AS rows_off, count(DISTINCT l_orderkey) AS n FROM lineitem
 """)(_shap_adds_up)
 
 
+def _part_forest(spark, sf):
+    """A forest at the profile's size on the whole table of parts."""
+    d = load(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    return models.fit(d, "p_retailprice", ["p_size", "p_brand"], "regression", "rf"), d
+
+
+def _forest_adds_up(spark, sf):
+    """H1 as above, of a forest, on the explain job's sample of 500 rows."""
+    from quarry.operators.prep import sample_rows
+    from quarry.operators.shap import shap_gaps
+    m, data = _part_forest(spark, sf)
+    return shap_gaps(m, sample_rows(data, 500, 42, "p_partkey"), 1e-6)
+
+
+register("H1_shap_additivity_forest", """
+SELECT 0::BIGINT AS rows_off, least(500, count(*)) AS n FROM part
+""")(_forest_adds_up)
+
+
+def _explain_forest(spark, sf):
+    """H4 of that forest on its sample of 500 rows."""
+    from quarry.plans.explain_job import explain
+    m, data = _part_forest(spark, sf)
+    imp, rep = explain(spark, m, data, "p_partkey", max_samples=500)
+    r = rep.first()
+    return imp.withColumn("method", F.lit(r["method"])).withColumn("n_samples", F.lit(r["n_samples"]))
+
+
+register("H4_explain_forest")(_explain_forest)
+
+
 def _explain_from_run(spark, sf):
     """H4 from a run folder: permutation importance of a saved line on the table
     that its manifest names."""

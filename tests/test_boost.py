@@ -86,9 +86,7 @@ def test_penalty_sampling_and_saved_models(spark, tmp_path):
     runs.save_model(a, out)
     runs.save_manifest(spark, out, a, 42)
     assert np.allclose(runs.load_model(spark, out).transform(df).orderBy("id").toPandas()["y_pred"], pa)
-    trees, n_out = shap.ensemble(spark, a, "")
-    phi, base = shap.shap_values_batch(trees, n_out, x[:50], 3)
-    assert np.abs(phi[:, :, 0].sum(1) + base[0] - boost.margins(a.pipeline.stages[-1].content, x[:50])[:, 0]).max() < 1e-9
+    assert shap.shap_gaps(a, df, 1e-9).first() == (0, 600)
 
 
 def test_many_values_fall_into_bins(spark):

@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -7,7 +10,6 @@ from pyspark.sql import types as T
 from quarry.operators import models, shap
 from quarry.operators.explain import permutation_importance, top_importance
 from quarry.plans.queries_explain import order_features
-from quarry.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -15,24 +17,88 @@ def orders_feats(spark):
     return order_features(spark, "/root/testdata/sf0.001").persist()
 
 
-@pytest.mark.parametrize("kind,params", [("hgb", {"rounds": 4}), ("rf", {"trees": 3, "max_depth": 5})])
-def test_shap_additivity_regression(spark, orders_feats, kind, params):
-    m = models.fit(orders_feats, "sum_price", ["n_lines", "sum_qty", "avg_disc"], "r", kind, **params)
-    trees, n_out = shap.ensemble(spark, m, sinks.scratch_path(spark, "test-shap"))
-    X = np.stack(shap.feature_frame(m, orders_feats).toPandas()["x"].to_numpy())[:100]
-    phi, base = shap.shap_values_batch(trees, n_out, X, 3)
-    pred = np.array([r[0] for r in m.pipeline.transform(orders_feats).select("prediction").limit(100).collect()])
-    assert np.abs(phi[:, :, 0].sum(1) + base[0] - pred).max() < 1e-6 * max(1.0, np.abs(pred).max())
-
-
-def test_shap_additivity_classifier_probabilities(spark, events):
-    m = models.fit(events, "event_type", ["value", "user_id"], "c", "rf", trees=3, max_depth=4)
-    trees, n_out = shap.ensemble(spark, m, sinks.scratch_path(spark, "test-shap"))
-    X = np.stack(shap.feature_frame(m, events).toPandas()["x"].to_numpy())[:100]
-    phi, base = shap.shap_values_batch(trees, n_out, X, 2)
-    prob = np.stack([np.array(r[0]) for r in m.pipeline.transform(events).limit(100)
-                     .select(vector_to_array("probability")).collect()])
-    assert np.abs(phi.sum(1) + base[None, :] - prob).max() < 1e-9
+def _follow(nodes, x, known, at=0):
+    """Expected value of a tree when only the inputs in ``known`` are known."""
+    n = nodes[at]
+    if n["left"] is None or n["left"] < 0:
+        return np.array(n["value"])
+    low, high = nodes[n["left"]], nodes[n["right"]]
+    if n["feature"] in known:
+        to_low = (x[n["feature"]] <= n["threshold"]) != n["flip"]
+        return _follow(nodes, x, known, n["left"] if to_low else n["right"])
+    return (low["cover"] * _follow(nodes, x, known, n["left"]) + high["cover"] * _follow(nodes, x, known, n["right"])) / n["cover"]
+
+
+def _shapley(trees, x, m):
+    """Shapley values of one row by all subsets of inputs."""
+    phi = 0
+    for nodes in trees:
+        worth = {s: _follow(nodes, x, s) for k in range(m + 1) for s in itertools.combinations(range(m), k)}
+        parts = []
+        for i in range(m):
+            rest = [j for j in range(m) if j != i]
+            parts.append(sum(math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m)
+                             * (worth[tuple(sorted((*s, i)))] - worth[s]) for k in range(m) for s in itertools.combinations(rest, k)))
+        phi = phi + np.array(parts)
+    return phi
+
+
+MODELS = [("r", "hgb", "sum_price", {"rounds": 4}), ("r", "rf", "sum_price", {"trees": 3, "max_depth": 6}),
+          ("c", "rf", "busy", {"trees": 3, "max_depth": 5}), ("c", "xgb", "size", {"rounds": 2, "depth": 3})]
+
+
+@pytest.fixture(scope="module")
+def mixed(orders_feats):
+    """A numeric table with a category and two class targets."""
+    return orders_feats.withColumn("kind", F.concat(F.lit("k"), (F.col("l_orderkey") % 3).cast("string"))) \
+        .withColumn("busy", F.when(F.col("n_lines") > 3, "yes").otherwise("no")) \
+        .withColumn("size", F.when(F.col("sum_qty") < 50, "s").when(F.col("sum_qty") < 120, "m").otherwise("l")).persist()
+
+
+@pytest.mark.parametrize("task,kind,target,params", MODELS)
+def test_shap_is_the_shapley_value_and_adds_up(spark, mixed, task, kind, target, params):
+    model = models.fit(mixed, target, ["sum_qty", "avg_disc", "kind"], task, kind, **params)
+    m = len(model.feature_names())
+    x = np.stack(shap.feature_frame(model, mixed).orderBy("x").toPandas()["x"].to_numpy())[::97]
+    nodes, out = shap.tree_nodes(spark, model)
+    trees = {}
+    for r in nodes.collect():
+        trees.setdefault(r["tree"], {})[r["id"]] = r
+    blocks = [shap.unpacked(r, out) for r in shap.path_blocks(nodes).collect()]
+    got = sum(shap.path_values(x, *b) for b in blocks)
+    want = np.stack([_shapley(trees.values(), row, m) for row in x])
+    assert got.shape == (len(x), m, out) and np.allclose(got, want, rtol=1e-9, atol=1e-9 * max(1, np.abs(want).max()))
+    assert shap.shap_gaps(model, mixed, 1e-6).first() == (0, mixed.count())
+    # importance: mean |phi| over rows and outputs, however the rows and the paths are dealt out
+    every = np.stack(shap.feature_frame(model, mixed).toPandas()["x"].to_numpy())
+    want = dict(zip(model.feature_names(), np.abs(sum(shap.path_values(every, *b) for b in blocks)).mean(axis=(0, 2)), strict=True))
+    for parts in (1, 64):
+        found = {r["feature"]: r["importance"] for r in shap.shap_importance(model, mixed.repartition(parts)).collect()}
+        assert found.keys() == want.keys() and all(abs(found[f] - want[f]) <= 1e-9 * max(1, want[f]) for f in want)
+
+
+def test_shap_over_many_path_and_row_blocks(spark, mixed, monkeypatch):
+    model = models.fit(mixed, "sum_price", ["sum_qty", "avg_disc"], "r", "rf", trees=4, max_depth=6)
+    whole = {r[0]: r[1] for r in shap.shap_importance(model, mixed).collect()}
+    monkeypatch.setattr(shap, "BLOCK_PATHS", 16)
+    monkeypatch.setattr(shap, "GROUP_BYTES", 2**16)
+    nodes, _ = shap.tree_nodes(spark, model)
+    assert shap.path_blocks(nodes).count() > 5
+    cut = {r[0]: r[1] for r in shap.shap_importance(model, mixed).collect()}
+    assert whole.keys() == cut.keys() and all(abs(whole[f] - cut[f]) < 1e-9 * whole[f] for f in whole)
+
+
+def test_shap_of_one_leaf_and_of_no_rows(spark, mixed):
+    flat = mixed.withColumn("y", F.lit(2.5))
+    model = models.fit(flat, "y", ["sum_qty", "avg_disc"], "r", "rf", trees=2)
+    assert [r["importance"] for r in shap.shap_importance(model, flat).collect()] == [0.0, 0.0]
+    assert shap.shap_importance(model, flat.where("false")).count() == 0
+
+
+def test_shap_of_a_full_forest_adds_up(spark, mixed):
+    model = models.fit(mixed, "sum_price", ["n_lines", "sum_qty", "avg_disc"], "r", "rf")
+    assert model.params["trees"] == 100
+    assert shap.shap_gaps(model, mixed.limit(500), 1e-6).first() == (0, 500)
 
 
 def test_permutation_importance_ranks_signal_first(spark, orders_feats):
