@@ -44,8 +44,8 @@ PROFILES = {
                             "gui": {"rounds": 100, "lr": 0.1, "depth": 5, "min_leaf": 20, "bins": 255, "l2": 0.0}},
     ("regression", "xgb"): {"core": {"rounds": 100, "lr": 0.3, "depth": 6, "subsample": 1.0, "colsample": 1.0, "l2": 1.0},
                             "gui": {"rounds": 500, "lr": 0.05, "depth": 6, "subsample": 0.9, "colsample": 0.9, "l2": 1.0}},
-    ("regression", "svr"): {"core": {"C": 1.0, "epsilon": 0.1, "components": 200},
-                            "gui": {"C": 10.0, "epsilon": 0.1, "components": 200}},
+    ("regression", "svr"): {"core": {"C": 1.0, "epsilon": 0.1, "components": 500},
+                            "gui": {"C": 10.0, "epsilon": 0.1, "components": 500}},
     ("regression", "knn"): {"core": {"k": 5}, "gui": {"k": 5}},
     ("classification", "linear"): {"core": {"C": 1.0, "max_iter": 2000}, "gui": {"C": 1.0, "max_iter": 2000}},
     ("classification", "ridge"): {"core": {"C": 1.0, "max_iter": 2000}, "gui": {"C": 1.0, "max_iter": 2000}},
@@ -201,12 +201,6 @@ def _estimator(task: str, kind: str, p: dict, n: int, sigma_y: float, seed: int)
             return R.RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy="all", maxDepth=depth,
                                            minInstancesPerNode=leaf, bootstrap=bool(p.get("bootstrap", True)),
                                            maxBins=FOREST_BINS, seed=seed, **TREE_OPTS, **common)
-        if kind == "svr":
-            # Kernel regression on random Fourier features: approximate RBF SVR with
-            # the epsilon-insensitive loss replaced by the squared one (the profile's
-            # epsilon has no counterpart there), so the normal equations solve it.
-            return R.LinearRegression(regParam=sigma_y / (p["C"] * max(n, 1)), elasticNetParam=0.0,
-                                      standardization=False, solver="normal", **common)
     else:
         if kind in ("linear", "ridge"):
             return C.LogisticRegression(maxIter=p["max_iter"], regParam=1.0 / (p["C"] * max(n, 1)),
@@ -301,6 +295,9 @@ def fit(df: DataFrame, target: str, inputs, task: str = "regression", kind: str
             cur = rs.transform(cur)
     if kind in BOOSTED_KINDS:
         model = _boosted(cur, kind, p, seed, len(labels or []))
+    elif kind == "svr":
+        from quarry.operators.svr import fit_svr
+        model = fit_svr(cur, "__scaled", d, p["components"], 1.0 / d, seed, float(p["C"]), float(p["epsilon"]), sigma)
     else:
         model = _estimator(task, kind, p, n, sigma, seed).fit(cur)
     fitted.append(model)

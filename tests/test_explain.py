@@ -147,9 +147,34 @@ def test_keyless_mi_ignores_the_partitioning(spark, orders_feats):
     assert [round(r[0], 9) for r in got[0]] == [round(r[0], 9) for r in got[1]]
 
 
+def _exact_svr(kernel, y, c, epsilon):
+    """Fit of the exact kernel with the epsilon-insensitive loss, on its eigenvectors:
+    plain Newton steps with corners that sharpen."""
+    s, u = np.linalg.eigh(kernel)
+    a = np.column_stack([(u * np.sqrt(np.maximum(s, 0)))[:, s > 1e-9 * s.max()], np.ones(len(y))])
+    ridge = np.append(np.ones(a.shape[1] - 1), 1e-9)
+    theta = np.append(np.zeros(a.shape[1] - 1), y.mean())
+
+    def cost(theta, width):
+        over = np.maximum(np.abs(y - a @ theta) - epsilon, 0)
+        return (ridge * theta**2).sum() / 2 + c * np.where(over < width, over**2 / (2 * width), over - width / 2).sum()
+
+    width = 2 * y.std()
+    while width > epsilon / 10:
+        for _ in range(30):
+            r = y - a @ theta
+            over = np.maximum(np.abs(r) - epsilon, 0)
+            g = ridge * theta - c * (np.sign(r) * np.minimum(over / width, 1)) @ a
+            near = a[(over > 0) & (over < width)]
+            step, size = np.linalg.solve(np.diag(ridge) + c * near.T @ near / width, g), 1.0
+            while cost(theta - size * step, width) > cost(theta, width) and size > 1e-6:
+                size /= 2
+            theta = theta - size * step
+        width /= 4
+    return a @ theta
+
+
 def test_svr_follows_a_smooth_curve(spark):
-    import numpy as np
-    from quarry.operators import models
     d = spark.range(1000).select("id", (F.col("id") / 100.0).alias("x")).withColumn("y", 10 * F.sin("x") + 50)
     for profile in ("core", "gui"):
         m = models.fit(d, "y", ["x"], "regression", "svr", profile)
@@ -157,13 +182,54 @@ def test_svr_follows_a_smooth_curve(spark):
         x = (p.x - p.x.mean()) / p.x.std(ddof=0)
         kernel = np.exp(-np.subtract.outer(x.values, x.values) ** 2)
         c = m.params["C"]
-        exact = p.y.mean() + kernel @ np.linalg.solve(kernel + np.eye(len(x)) / c, p.y - p.y.mean())
+        exact = _exact_svr(kernel, p.y.to_numpy(), c, m.params["epsilon"])
         line = np.polyval(np.polyfit(p.x, p.y, 1), p.x)
         sse = lambda z: ((p.y - z) ** 2).sum()
         assert sse(p.y_pred) < 0.05 * sse(line)
         assert np.abs(p.y_pred - exact).max() < 0.5
 
 
+def test_svr_reaches_the_least_of_its_objective(spark, tmp_path):
+    """Brute force: the unrounded objective over all rows is no lower anywhere near,
+    and the rounded one's gradient is zero; epsilon and outliers act as they should."""
+    from quarry.operators import svr
+    from quarry.sources import runs
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-3, 3, (700, 2))
+    y = np.sin(x[:, 0]) * 4 + x[:, 1] + rng.standard_normal(700) * 0.3
+    y[::50] += 40                                           # outliers pull with a bounded force
+    d = spark.createDataFrame([(i, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, y double")
+    preds = {}
+    for epsilon in (0.0, 0.1, 2.0):
+        m = models.fit(d, "y", ["a", "b"], "r", "svr", "gui", epsilon=epsilon, components=60)
+        got = m.pipeline.transform(d).orderBy("id").toPandas()
+        z = np.stack([v.toArray() for v in got["features"]])
+        score = m.pipeline.stages[-1]
+        w, b = np.array(score.getOrDefault("coefficients")), score.getOrDefault("intercept")
+        delta = 0.1 * epsilon if epsilon else 1e-3 * y.std()
+
+        def objective(w, b, e, c=m.params["C"], z=z):
+            return (w @ w) / 2 + c * np.maximum(np.abs(y - z @ w - b) - e, 0).sum()
+
+        slope = svr.loss_slope_curve(y - z @ w - b, epsilon, delta)[1]
+        c = m.params["C"]
+        assert np.abs(w - c * slope @ z).max() < 1e-6 * c * 700 and abs(slope.sum()) < 1e-5 * 700
+        best = objective(w, b, epsilon)
+        slack = c * 700 * delta / 2                         # the most that rounding can cost
+        for _ in range(200):
+            assert objective(w + rng.standard_normal(60) * 0.05, b + rng.standard_normal() * 0.05, epsilon) >= best - slack
+        preds[epsilon] = got["prediction"].to_numpy()
+        clean = np.delete(np.arange(700), np.arange(0, 700, 50))
+        assert np.abs(preds[epsilon] - np.where(np.isin(np.arange(700), clean), y, y - 40)).mean() < 0.5 + epsilon
+    assert np.abs(preds[0.1] - preds[2.0]).max() > 0.3
+    out = f"file://{tmp_path}/svr"
+    runs.save_model(m, out)
+    runs.save_manifest(spark, out, m, 42)
+    assert np.allclose(runs.load_model(spark, out).transform(d).orderBy("id").toPandas()["y_pred"], preds[2.0])
+    flat = models.fit(d.withColumn("y", F.lit(3.0)), "y", ["a", "b"], "r", "svr")
+    assert flat.transform(d.drop("y")).agg(F.min("y_pred"), F.max("y_pred")).first() == (3.0, 3.0)
+
+
 def test_saved_runs_score_and_explain(spark, orders_feats, tmp_path):
     from quarry.plans.explain_job import explain_run
     from quarry.plans.score import score_run
