@@ -224,6 +224,26 @@ SELECT draw::INTEGER AS draw, params, round(avg(r2), 6) + 0.0 AS r2_mean FROM m
 register("I1_tune_ridge_two_inputs", _tune_two_sql())(_tune_two)
 
 
+def _tune_density(spark, sf):
+    """I1 by densities: the budget is spent, the first sets are the random ones, and
+    the best of all is no worse than the best of as many random draws."""
+    from quarry.operators.tune import STARTUP, draws, tune
+    d = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice",
+                                       F.col("p_brand"), F.col("p_type"))
+    args = (d, "p_retailprice", ["p_size", "p_brand", "p_type"], "regression", "ridge", "p_partkey")
+    _, found = tune(*args, mode="optuna", refit=False)
+    _, plain = tune(*args, mode="intense", trials=100, refit=False)
+    first = spark.createDataFrame([(i, str(sorted(p.items()))) for i, p in enumerate(draws("ridge", STARTUP, 42))], "draw int, params string")
+    marked = found.join(F.broadcast(first.withColumn("random", F.lit(1))), ["draw", "params"], "left").withColumn("by", F.lit("density")) \
+        .unionByName(plain.withColumn("by", F.lit("random")), allowMissingColumns=True)
+    here = F.col("by") == "density"
+    return marked.agg(F.count_if(here).alias("sets"), F.count("random").alias("random_sets"),
+                      (F.max(F.when(here, F.col("r2_mean"))) >= F.max(F.when(~here, F.col("r2_mean"))) - 1e-6).alias("no_worse"))
+
+
+register("I1_tune_density")(_tune_density)
+
+
 def _stream(spark, sf):
     """Score the order table as a stream: files in a folder -> fitted
     pipeline -> parquet sink (availableNow), then read the sink."""

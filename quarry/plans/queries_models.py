@@ -260,6 +260,23 @@ def _svr_fit(spark, sf):
 
 
 register("E8_svr_smooth_curve", "SELECT true AS fits, count(*) AS n FROM part")(_svr_fit)
+def _svr_stationary(spark, sf):
+    """At the solution w = C * sum of slope * z over all parts, input by input, and
+    the slopes add up to zero (to a millionth of what C times all rows could pull)."""
+    d = load(spark, sf, "part").select("p_partkey", (F.col("p_size") / 5.0).alias("x"))
+    d = d.withColumn("y", 10.0 * F.sin("x") + 50.0)
+    m = models.fit(d, "y", ["x"], "regression", "svr", "gui")
+    c, epsilon = float(m.params["C"]), float(m.params["epsilon"])
+    r = F.col("y") - F.col("prediction")
+    slope = F.signum(r) * F.least(F.greatest(F.abs(r) - epsilon, F.lit(0.0)) / (0.1 * epsilon), F.lit(1.0))
+    z = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
+    pulls = m.pipeline.transform(d).select(F.posexplode(F.transform(z, lambda v: v * slope * c)).alias("i", "pull")) \
+        .groupBy("i").agg(F.sum("pull").alias("pull"), F.count(F.lit(1)).alias("n"))
+    w = spark.createDataFrame(list(enumerate([*m.pipeline.stages[-1].getOrDefault("coefficients"), 0.0])), "i int, w double")
+    return pulls.join(w, "i").agg((F.max(F.abs(F.col("w") - F.col("pull")) / F.col("n")) <= 1e-6 * c).alias("stationary"), F.max("n").alias("n"))
+
+
+register("E8_svr_stationary", "SELECT true AS stationary, count(*) AS n FROM part")(_svr_stationary)
 register("E14_xgb_clf")(_pred_query("classification", "xgb", table="labels"))
 
 

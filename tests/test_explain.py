@@ -139,6 +139,39 @@ def test_tune_picks_from_draws(spark, orders_feats):
     assert best["params"] == str([("alpha", model.params["alpha"])])
 
 
+def test_densities_mostly_beat_random_draws():
+    """Three made-up scores, eight seeds each, sixty sets: the best set is at least as
+    good as the best random one in most runs."""
+    from quarry.operators import tune
+    scores = [lambda p: -((p["rounds"] / 180 - 1) ** 2 + (p["lr"] / 0.06 - 1) ** 2 + (p["depth"] / 4 - 1) ** 2),
+              lambda p: -abs(math.log(p["lr"] / 0.15)) - abs(p["rounds"] - 100) / 50 + (p["depth"] == 6) * 0.5,
+              lambda p: -math.log(p["lr"] / 0.08) ** 2 - ((p["depth"] - 7) / 4) ** 2]
+    won = 0
+    for score in scores:
+        for seed in range(8):
+            plain = tune.draws("hgb", 60, seed)
+            tried = [(p, score(p)) for p in plain[:tune.STARTUP]]
+            while len(tried) < 60:
+                batch = tune.proposals("hgb", tried, tune.BATCH, seed)
+                for p in batch:
+                    assert all(lo <= p[n] <= hi for n, (_, lo, hi) in tune.SPACES["hgb"].items()) and isinstance(p["depth"], int)
+                tried += [(p, score(p)) for p in batch]
+            won += max(s for _, s in tried) >= max(map(score, plain))
+            if not seed:
+                assert batch == tune.proposals("hgb", tried[:-tune.BATCH], tune.BATCH, seed)
+    assert won >= 18
+    odd = [(p, float("nan")) for p in tune.draws("ridge", 3, 1)]
+    assert len(tune.proposals("ridge", odd, 2, 1)) == 2
+
+
+def test_density_preset_spends_its_budget(spark, orders_feats):
+    from quarry.operators.tune import STARTUP, draws, tune
+    _, table = tune(orders_feats, "sum_price", ["n_lines"], "r", "ridge", "l_orderkey", mode="bayes", trials=33, k=2)
+    got = [r["params"] for r in table.orderBy("draw").collect()]
+    assert len(got) == 33 and got[:STARTUP] == [str(sorted(p.items())) for p in draws("ridge", STARTUP, 42)]
+    assert got[STARTUP:] != [str(sorted(p.items())) for p in draws("ridge", 33, 42)][STARTUP:]
+
+
 def test_keyless_mi_ignores_the_partitioning(spark, orders_feats):
     from quarry.operators import assoc
     d = orders_feats.select("n_lines", "sum_qty", "sum_price")
