@@ -82,3 +82,26 @@ def test_equal_rows_without_a_key_are_numbered(spark, monkeypatch):
     assert len(scores) == 1
     few = df.limit(2).withColumn("y", F.monotonically_increasing_id().cast("double"))
     assert assoc.associate(few, "y", "regression", ["mi"], inputs=["x"])[0].where("score is not null").count() == 0
+
+
+def test_asks_that_crowd_beside_levels_are_dealt_into_blocks(spark, monkeypatch):
+    """All intervals around a level end in the gaps beside it, in ranges of few values;
+    the points of a level cut along x all ask the thinner part of it."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    monkeypatch.setattr(mi_reg, "LEAF_ROWS", 20)
+    apply = PandasCogroupedOps.applyInPandas
+
+    def bounded(self, func, schema):
+        def run(p, q):
+            assert len(q) <= 160, f"{len(q)} rows in one group"
+            return func(p, q)
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", bounded)
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 3, 1500).astype(float)
+    y = x + rng.standard_normal(1500)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, x double, y double")
+    got = mi_reg.mi_regression(df, ["x"], "y", "id")["x"]
+    d = df.select(*[v.alias(k) for k, v in mi_reg._scaled(df, ["x", "y"], "id", 0, True)["columns"].items()]).toPandas()
+    assert got == pytest.approx(mi_cc(d["x"].values, d["y"].values, 3), abs=1e-9)
