@@ -54,6 +54,23 @@ def _cells(x, wanted):
     return knn.Cells(pivots, stats), cell, r
 
 
+def test_few_cells_are_searched_again():
+    """A query's second search goes to the cells beyond whose bisecting plane it can
+    have a neighbour, not to all whose ball it lies in."""
+    rng = np.random.default_rng(2)
+    x, q = rng.random((30_000, 2)), rng.random((400, 2))
+    x[:40] = np.repeat(x[:20], 2, 0)
+    cells, cell, _ = _cells(np.unique(x, axis=0)[rng.permutation(29_980)], 300)
+    rows = np.unique(x, axis=0)
+    cell = cells.pivots.assign(rows)[0]
+    d = np.sqrt(((q[:, None, :] - rows[None, :, :]) ** 2).sum(2))
+    ub = np.sort(d, 1)[:, 4]
+    i, c, _ = cells.within(q, ub)
+    found = set(zip(i.tolist(), c.tolist(), strict=True))
+    assert {(a, int(cell[b])) for a, b in zip(*np.nonzero(d <= ub[:, None]), strict=True)} <= found
+    assert len(found) < 2.5 * len(q)
+
+
 def test_all_inputs_prune():
     """Share of the rows that a query's cells and distance rings leave; none of the
     true neighbours is left out."""
