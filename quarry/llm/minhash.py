@@ -283,14 +283,18 @@ def linked_classes(docs: DataFrame, table: DataFrame, threshold: int = THRESHOLD
     members = saved(rows.join(heads, "key"))
     sets = saved(_sets(docs, members.select("cid", "rep").distinct()))
     tested = members.where("cid <> head").select(F.col("cid").alias("u"), F.col("head").alias("v")).distinct()
-    roots = components(confirmed(sets, tested, threshold))
+    roots = saved(components(confirmed(sets, tested, threshold)))
 
     # what one star could not settle: buckets of three and more that hold several
     # components (of two, the star has compared the only pair)
     known = (members.where("size > 2").join(roots, F.col("cid") == F.col("id"), "left")
              .select("key", "cid", "n", F.coalesce("root", "cid").alias("root")))
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    more = saved(_settled(sets, known.join(mixed, "key"), threshold))
+    # read several times: computed once
+    rest = saved(known.join(mixed, "key"))
+    if rest.isEmpty():
+        return roots
+    more = saved(_settled(sets, rest, threshold))
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).union(more))

@@ -75,6 +75,27 @@ def test_groups_chains_and_common_passages(spark, monkeypatch, part, shingles):
     check(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_rounds_of_components_start_few_tasks(spark):
+    """Few links in many partitions: the driver keeps what it knows of every task."""
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 40)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "")
+        got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == {i: 1 if i < 100 else 100 for i in (*range(1, 41), *range(100, 140))}
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    assert 0 < tasks < 2000
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(500, 500), (None, 3), (200, 100)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
