@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -101,6 +102,29 @@ def test_shap_of_a_full_forest_adds_up(spark, mixed):
     assert shap.shap_gaps(model, mixed.limit(500), 1e-6).first() == (0, 500)
 
 
+def test_forest_additivity_reads_every_part(spark, tmp_path):
+    """The query counts all rows of a table of more than 500, and every row that is off."""
+    from quarry.plans.catalog import ORACLE, QUERIES
+    rows = [(i, i % 13, f"b{i % 4}", float(i % 13 * 10 + i % 4 + i % 7)) for i in range(1300)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["H1_shap_additivity_forest"](spark, str(tmp_path)).first() == (0, 1300)
+    assert "500" not in ORACLE["H1_shap_additivity_forest"]
+    # a wrong prediction is found in each row that has it
+    part = spark.read.parquet(f"{tmp_path}/part.parquet")
+    model = models.fit(part, "p_retailprice", ["p_size", "p_brand"], "r", "rf", trees=3)
+    nodes, out = shap.tree_nodes(spark, model)
+    x = model.pipeline.transform(part).select(vector_to_array("features").alias("x"), "p_partkey",
+                                              (F.col("prediction") + F.when(F.col("p_partkey") % 100 == 7, 1.0).otherwise(0.0)).alias("y"))
+
+    def finish(phi, base, y, times):
+        gap = np.abs((phi.sum(axis=1) + base)[:, 0] - y)
+        return pd.DataFrame({"off": [int(times[gap > 1e-6].sum())], "rows": [len(y)]})
+
+    once = shap._told_apart(x.select("x", "y"), nodes, len(model.feature_names()))
+    got = shap._per_block(once, nodes, len(model.feature_names()), out, finish, "off long, rows long").toPandas().sum()
+    assert got["off"] == 13 and got["rows"] <= 13 * 4 + 13
+
+
 def test_permutation_importance_ranks_signal_first(spark, orders_feats):
     noisy = orders_feats.withColumn("noise", F.rand(3))
     m = models.fit(noisy, "sum_price", ["n_lines", "noise"], "r", "linear")
