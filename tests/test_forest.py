@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import forest, models
 
@@ -89,3 +90,58 @@ def test_table_of_a_few_rows(spark):
     m = models.fit(df, "y", ["a"], "regression", "rf", trees=20)
     assert m.pipeline.stages[-1].getNumTrees == 20
     assert all(2.0 <= r["y_pred"] <= 3.0 for r in m.transform(df).collect())
+
+
+def _two_inputs(spark, n=3000):
+    """Two inputs of many values and three classes, in several files' worth of tasks."""
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 40, n), rng.normal(size=n).round(1)
+    k = np.where(a + 10 * b + rng.integers(0, 30, n) > 35, "x", np.where(a % 7 > 4, "y", "z"))
+    rows = list(zip(range(n), a.astype(float).tolist(), b.tolist(), (a * b + rng.normal(size=n)).tolist(), k.tolist(), strict=True))
+    return spark.createDataFrame(rows, "id long, a double, b double, y double, k string")
+
+
+def _grown(df, task, target):
+    m = models.fit(df, target, ["a", "b"], task, "rf", trees=5, min_leaf_share=0.002)
+    column = "prediction" if task == "regression" else "probability"
+    got = {r["id"]: r[column] for r in m.pipeline.transform(df).collect()}
+    return m, {i: v if task == "regression" else tuple(v) for i, v in got.items()}
+
+
+@pytest.mark.parametrize("task,target", [("regression", "y"), ("classification", "k")])
+def test_bags_hold_equal_rows_once(spark, monkeypatch, task, target):
+    """Rows that the bins do not tell apart are one row of a bag; kept bags, top splits and
+    one task give the same forest."""
+    monkeypatch.setattr(forest, "LEAST_ROWS", 400)
+    sent, pooled, top = [], [], []
+    every = {name: getattr(forest, name) for name in ("_blocks", "_pooled", "_top")}
+    monkeypatch.setattr(forest, "_blocks", lambda *a: sent.append(every["_blocks"](*a)) or sent[-1])
+    monkeypatch.setattr(forest, "_pooled", lambda *a: pooled.append(a[1]) or every["_pooled"](*a))
+    monkeypatch.setattr(forest, "_top", lambda *a: top.append(every["_top"](*a)) or top[-1])
+    df = _two_inputs(spark).select("id", (F.col("a") % 6).alias("a"), F.round("b").alias("b"), "y", "k").cache()
+    _, want = _grown(df, task, target)
+    ways = 6 * df.select("b").distinct().count() * (3 if task == "classification" else 1)
+    assert all(r["rows"] <= ways < r["n"] for r in sent[0].selectExpr("rows", "length(which) / 4 AS n").collect())
+    assert not pooled and not top[0][0][0]
+    monkeypatch.setattr(forest, "LOCAL_CELLS", 60)
+    for kept in (True, False):
+        monkeypatch.setattr(forest, "POOLED_SHARE", 1 if kept else 10**9)
+        pooled.clear()
+        _, got = _grown(df, task, target)
+        assert bool(pooled) == kept and top[-1][0][0]
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_cells_are_scored_once(spark, monkeypatch):
+    """Every row gets MLlib's own prediction, one with a missing input too."""
+    df = _two_inputs(spark).cache()
+    m, _ = _grown(df, "classification", "k")
+    odd = df.unionByName(spark.createDataFrame([(-1, None, 0.3, 0.0, "x"), (-2, 3.0, None, 0.0, "x"), (-3, 1e9, -1e9, 0.0, "y")], df.schema))
+    want = {r["id"]: r["k_pred"] for r in m.transform(odd).collect()}
+    monkeypatch.setattr(forest, "LARGE_NODES", 1)
+    asked = []
+    monkeypatch.setattr(type(m.pipeline.stages[-1]), "transform", lambda self, x, every=type(m.pipeline.stages[-1]).transform: asked.append(x) or every(self, x))
+    assert {r["id"]: r["k_pred"] for r in m.transform(odd).collect()} == want
+    assert m.transform(odd).columns == [*odd.columns, "k_pred"]
+    cuts = m.pipeline.stages[-1].cuts
+    assert asked[0].columns == ["__cell", "features"] and asked[0].count() <= (len(cuts[0]) + 2) * (len(cuts[1]) + 2) < odd.count()
